@@ -159,3 +159,73 @@ ORDER BY transaction_date DESC, transaction_id ASC LIMIT 500"""
 SQL["kpi_totals"] = with_(L1) + kpi_sql("l1")
 SQL["kpi_totals_by_entity"] = with_(L2) + kpi_sql("l2", by="entity_id")
 SQL["recent_12_months"] = with_(L1) + f"""SELECT * FROM ({monthly_with_rate('l1')}) m ORDER BY year_month DESC LIMIT 12"""
+
+
+def monthly_dec(src: str, where: str = "", by: str = "") -> str:
+    b = f"{by}, " if by else ""
+    return f"""SELECT {b}year_month, SUM({INC}) AS inc, SUM({EXP}) AS exp
+FROM {src} {where} GROUP BY {b}year_month"""
+
+
+def pct_sql(cur: str, prev: str) -> str:
+    return R(f"100.0 * ({cur} - {prev}) / NULLIF({prev}, 0)")
+
+
+def trends_sql(src: str, where: str = "", by: str = "", rolling=(3,), running: bool = False) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    b = f"{by}, " if by else ""
+    w = f"({part}ORDER BY year_month)"
+    cols = [
+        f"{b}year_month",
+        "CAST(inc AS DOUBLE) AS total_income",
+        "CAST(exp AS DOUBLE) AS total_expense",
+        "CAST(inc - exp AS DOUBLE) AS net",
+        pct_sql("CAST(exp AS DOUBLE)", f"LAG(CAST(exp AS DOUBLE)) OVER {w}") + " AS expense_mom_change_pct",
+        pct_sql("CAST(inc AS DOUBLE)", f"LAG(CAST(inc AS DOUBLE)) OVER {w}") + " AS income_mom_change_pct",
+    ]
+    for k in rolling:
+        f = f"({part}ORDER BY year_month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        cols.append(R(f"CAST(SUM(exp) OVER {f} AS DOUBLE) / COUNT(*) OVER {f}") + f" AS expense_{k}mo_avg")
+    if running:
+        f = f"({part}ORDER BY year_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        cols += [f"CAST(SUM(inc) OVER {f} AS DOUBLE) AS running_income",
+                 f"CAST(SUM(exp) OVER {f} AS DOUBLE) AS running_expense",
+                 f"CAST(SUM(inc - exp) OVER {f} AS DOUBLE) AS running_net"]
+    return f"SELECT {', '.join(cols)} FROM ({monthly_dec(src, where, by)}) m"
+
+
+def std_samp_sql(n: str, s1: str, s2: str) -> str:
+    return f"sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) / NULLIF({n} * ({n} - 1), 0))"
+
+
+def std_pop_sql(n: str, s1: str, s2: str) -> str:
+    return f"sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) / NULLIF({n} * {n}, 0))"
+
+
+def anomalies_sql(src: str, thr: float = 2.0, by: str = "") -> str:
+    b = f"{by}, " if by else ""
+    part = f"PARTITION BY {b}category"
+    return f"""SELECT {b}category, year_month, {R('CAST(t AS DOUBLE)')} AS month_total, {R('mean')} AS category_mean,
+       {R('std')} AS category_std, {R('(CAST(t AS DOUBLE) - mean) / std')} AS z_score
+FROM (SELECT *, CAST(SUM(t) OVER w AS DOUBLE) / COUNT(*) OVER w AS mean,
+             {std_samp_sql('COUNT(*) OVER w', 'SUM(t) OVER w', 'SUM(CAST(t AS DECIMAL(19,2)) * CAST(t AS DECIMAL(19,2))) OVER w')} AS std
+      FROM (SELECT {b}category, year_month, SUM(amount) AS t FROM {src} WHERE type = 'Expense'
+            GROUP BY {b}category, year_month) cm
+      WINDOW w AS ({part})) s
+WHERE std IS NOT NULL AND std > 0 AND abs((CAST(t AS DOUBLE) - mean) / std) >= {thr}"""
+
+
+SQL["monthly_trends"] = with_(L1) + trends_sql("l1")
+SQL["monthly_trends_filtered"] = with_(L1) + trends_sql("l1", FILTER_A)
+SQL["monthly_trends_by_entity"] = with_(L2) + trends_sql("l2", by="entity_id")
+SQL["rolling_avg_n"] = with_(L2) + trends_sql("l2", rolling=(3, 6, 12))
+SQL["running_totals"] = with_(L1) + trends_sql("l1", FILTER_A, rolling=(), running=True)
+SQL["anomalies"] = with_(L1) + anomalies_sql("l1")
+SQL["anomalies_by_entity"] = with_(L2) + anomalies_sql("l2", 2.0, by="entity_id")
+SQL["category_share"] = with_(L2) + f"""SELECT category, CAST(t AS DOUBLE) AS total_amount,
+       {R('CAST(t AS DOUBLE) * 100.0 / NULLIF(CAST(SUM(t) OVER () AS DOUBLE), 0)')} AS share_pct
+FROM (SELECT category, SUM(amount) AS t FROM l2 WHERE type = 'Expense' GROUP BY category) g"""
+SQL["yearly_trends"] = with_(L1) + f"""SELECT year, CAST(inc AS DOUBLE) AS total_income, CAST(exp AS DOUBLE) AS total_expense,
+       CAST(inc - exp AS DOUBLE) AS net, transaction_count,
+       {pct_sql('CAST(exp AS DOUBLE)', 'LAG(CAST(exp AS DOUBLE)) OVER (ORDER BY year)')} AS expense_yoy_change_pct
+FROM (SELECT year, SUM({INC}) AS inc, SUM({EXP}) AS exp, COUNT(*) AS transaction_count FROM l1 GROUP BY year) y"""

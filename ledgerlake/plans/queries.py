@@ -140,3 +140,53 @@ def q_kpi_totals_by_entity(spark, sf):
 @register("recent_12_months")
 def q_recent_12_months(spark, sf):
     return S.recent_months(S.monthly_summary(l1(spark, sf)), 12)
+
+
+# --- trends and anomalies -------------------------------------------------
+from ..operators import anomaly as AN  # noqa: E402
+from ..operators import trends as TR  # noqa: E402
+
+
+@register("monthly_trends")
+def q_monthly_trends(spark, sf):
+    return TR.monthly_trends(l1(spark, sf))
+
+
+@register("monthly_trends_filtered")
+def q_monthly_trends_filtered(spark, sf):
+    return TR.monthly_trends(l1(spark, sf), FILTER_A)
+
+
+@register("monthly_trends_by_entity")
+def q_monthly_trends_by_entity(spark, sf):
+    return TR.monthly_trends(l2(spark, sf), by=BY)
+
+
+@register("rolling_avg_n")
+def q_rolling_avg_n(spark, sf):
+    return TR.monthly_trends(l2(spark, sf), rolling=(3, 6, 12))
+
+
+@register("running_totals")
+def q_running_totals(spark, sf):
+    return TR.monthly_trends(l1(spark, sf), FILTER_A, rolling=(), running=True)
+
+
+@register("anomalies")
+def q_anomalies(spark, sf):
+    return AN.detect_anomalies(l1(spark, sf), 2.0)
+
+
+@register("anomalies_by_entity")
+def q_anomalies_by_entity(spark, sf):
+    return AN.detect_anomalies(l2(spark, sf), 2.0, by=BY)
+
+
+@register("category_share")
+def q_category_share(spark, sf):
+    return TR.category_share(l2(spark, sf))
+
+
+@register("yearly_trends")
+def q_yearly_trends(spark, sf):
+    return TR.yearly_trends(l1(spark, sf))
