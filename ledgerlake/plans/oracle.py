@@ -229,3 +229,89 @@ SQL["yearly_trends"] = with_(L1) + f"""SELECT year, CAST(inc AS DOUBLE) AS total
        CAST(inc - exp AS DOUBLE) AS net, transaction_count,
        {pct_sql('CAST(exp AS DOUBLE)', 'LAG(CAST(exp AS DOUBLE)) OVER (ORDER BY year)')} AS expense_yoy_change_pct
 FROM (SELECT year, SUM({INC}) AS inc, SUM({EXP}) AS exp, COUNT(*) AS transaction_count FROM l1 GROUP BY year) y"""
+
+
+def health_sql(src: str, by: str = "", snapshot: bool = False) -> str:
+    b = f"{by}, " if by else ""
+    g = f"GROUP BY {by}" if by else ""
+    jk = f"USING ({by})" if by else "ON TRUE"
+
+    def stab(s1, s2):
+        mean = f"(CAST({s1} AS DOUBLE) / NULLIF(n_months, 0))"
+        std = f"(CASE WHEN n_months > 1 THEN {std_pop_sql('n_months', s1, s2)} ELSE 0.0 END)"
+        cv = f"COALESCE(CASE WHEN {mean} <> 0 THEN {std} / {mean} END, 0.0)"
+        return f"LEAST(GREATEST(100.0 - {cv} * 100.0, 0.0), 100.0)"
+
+    has = "(n_exp_cats > 0 AND CAST(t1 AS DOUBLE) > 0)"
+    hhi = f"(CASE WHEN {has} THEN CAST(t2 AS DOUBLE) / (CAST(t1 AS DOUBLE) * CAST(t1 AS DOUBLE)) END)"
+    rate = "(CASE WHEN CAST(s_inc AS DOUBLE) > 0 THEN CAST(s_net AS DOUBLE) / CAST(s_inc AS DOUBLE) * 100.0 ELSE 0.0 END)"
+    subs = {
+        "savings_score": f"LEAST(GREATEST({rate} / 50.0 * 100.0, 0.0), 100.0)",
+        "expense_stability_score": stab("s_exp", "s2_exp"),
+        "income_stability_score": stab("s_inc", "s2_inc"),
+        "diversification_score": f"(CASE WHEN {has} THEN LEAST(GREATEST((1.0 - {hhi}) * 100.0, 0.0), 100.0) ELSE 0.0 END)",
+    }
+    if snapshot:
+        subs = {k: R(v, 1) for k, v in subs.items()}
+    comp = "0.4 * savings_score + 0.25 * expense_stability_score + 0.15 * income_stability_score + 0.2 * diversification_score"
+    return f"""SELECT {b}total_income, total_expense, net, overall_savings_rate_pct,
+       savings_score, expense_stability_score, income_stability_score, diversification_score,
+       {R('comp', 1) if snapshot else 'comp'} AS composite_score,
+       CASE WHEN comp >= 75 THEN 'Healthy' WHEN comp >= 50 THEN 'Fair' ELSE 'At Risk' END AS band,
+       {R('hhi', 3)} AS category_hhi
+FROM (SELECT *, {comp} AS comp FROM (
+  SELECT {b}CAST(s_inc AS DOUBLE) AS total_income, CAST(s_exp AS DOUBLE) AS total_expense,
+         CAST(s_net AS DOUBLE) AS net, {R(rate)} AS overall_savings_rate_pct, {hhi} AS hhi,
+         {', '.join(f'{v} AS {k}' for k, v in subs.items())}
+  FROM (SELECT {b}SUM(inc) AS s_inc, SUM(exp) AS s_exp, SUM(net) AS s_net, COUNT(*) AS n_months,
+               SUM(CAST(inc AS DECIMAL(19,2)) * CAST(inc AS DECIMAL(19,2))) AS s2_inc,
+               SUM(CAST(exp AS DECIMAL(19,2)) * CAST(exp AS DECIMAL(19,2))) AS s2_exp
+        FROM (SELECT {b}year_month, SUM({INC}) AS inc, SUM({EXP}) AS exp, SUM({SGN}) AS net
+              FROM {src} GROUP BY {b}year_month) m {g}) mm
+  LEFT JOIN (SELECT {b}SUM(t) AS t1, SUM(CAST(t AS DECIMAL(19,2)) * CAST(t AS DECIMAL(19,2))) AS t2, COUNT(*) AS n_exp_cats
+             FROM (SELECT {b}category, SUM(amount) AS t FROM {src} WHERE type = 'Expense' GROUP BY {b}category) c {g}) cc
+  {jk}) x) y"""
+
+
+PLANS = """plans AS (
+  SELECT entity_id, category, CAST(ROUND(CAST(lim AS DECIMAL(28,8)), 2) AS DOUBLE) AS monthly_limit
+  FROM (SELECT c_custkey AS entity_id, '4-NOT SPECIFIED' AS category, abs(c_acctbal) AS lim FROM customer
+        UNION ALL SELECT c_custkey, '4-NOT SPECIFIED', abs(c_acctbal) / 2 FROM customer
+        UNION ALL SELECT c_custkey, '5-LOW', abs(c_acctbal) * 3 FROM customer
+        UNION ALL SELECT c_custkey, '0-SAVINGS', 100.0 FROM customer) p)"""
+
+
+def budget_cmp_sql(src: str, by: str = "", where: str = "") -> str:
+    b = f"{by}, " if by else ""
+    j = f"USING ({by}, category)" if by else "USING (category)"
+    cond = "type = 'Expense'" + (f" AND {where[len('WHERE '):]}" if where else "")
+    return f"""SELECT {b}category, monthly_limit, COALESCE(a, 0) AS act,
+       COALESCE(a, 0) - CAST(monthly_limit AS DECIMAL(28,8)) AS over
+FROM (SELECT {b}category, MAX(monthly_limit) AS monthly_limit FROM plans GROUP BY {b}category) l
+LEFT JOIN (SELECT {b}category, SUM(amount) AS a FROM {src} WHERE {cond} GROUP BY {b}category) x {j}"""
+
+
+def budget_status_sql(src: str, by: str = "", where: str = "") -> str:
+    b = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT {b}category, {R('monthly_limit')} AS monthly_limit, {R('CAST(act AS DOUBLE)')} AS actual,
+       {R('CAST(over AS DOUBLE)')} AS over_under, over > 0 AS is_over,
+       CASE WHEN over > 0 THEN row_number() OVER ({part}ORDER BY over DESC, category ASC) END AS over_rank
+FROM ({budget_cmp_sql(src, by, where)}) c"""
+
+
+def over_total_sql(src: str, by: str = "", where: str = "") -> str:
+    b = f"{by}, " if by else ""
+    g = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {b}{R('COALESCE(CAST(SUM(CASE WHEN over > 0 THEN over END) AS DOUBLE), 0.0)')} AS total_over_budget_amount,
+       COUNT(CASE WHEN over > 0 THEN over END) AS n_over_budget, COUNT(*) AS n_planned
+FROM ({budget_cmp_sql(src, by, where)}) c {g}"""
+
+
+SQL["health_score"] = with_(L1) + health_sql("l1")
+SQL["health_score_snapshot"] = with_(L1) + health_sql("l1", snapshot=True)
+SQL["health_score_by_entity"] = with_(L1) + health_sql("l1", by="entity_id", snapshot=True)
+SQL["health_score_display_by_entity"] = with_(L2) + health_sql("l2", by="entity_id")
+SQL["budget_status"] = with_(L1, PLANS) + budget_status_sql("l1", where=FILTER_A)
+SQL["budget_status_by_entity"] = with_(L1, PLANS) + budget_status_sql("l1", by="entity_id")
+SQL["over_budget_total"] = with_(L1, PLANS) + over_total_sql("l1", by="entity_id")

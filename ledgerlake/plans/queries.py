@@ -190,3 +190,47 @@ def q_category_share(spark, sf):
 @register("yearly_trends")
 def q_yearly_trends(spark, sf):
     return TR.yearly_trends(l1(spark, sf))
+
+
+# --- health score and budget ----------------------------------------------
+from ..operators import budget as BU  # noqa: E402
+from ..operators import health as HE  # noqa: E402
+
+
+@register("health_score")
+def q_health_score(spark, sf):
+    return HE.health_score(l1(spark, sf))
+
+
+@register("health_score_snapshot")
+def q_health_score_snapshot(spark, sf):
+    return HE.health_score(l1(spark, sf), snapshot=True)
+
+
+@register("health_score_by_entity")
+def q_health_score_by_entity(spark, sf):
+    return HE.health_score(l1(spark, sf), by=BY, snapshot=True)
+
+
+@register("health_score_display_by_entity")
+def q_health_score_display_by_entity(spark, sf):
+    return HE.health_score(l2(spark, sf), by=BY)
+
+
+def plans(spark, sf):
+    return TD.customer_budget_plans(spark, sf)
+
+
+@register("budget_status")
+def q_budget_status(spark, sf):
+    return BU.budget_status(l1(spark, sf), plans(spark, sf).drop("entity_id"), FILTER_A)
+
+
+@register("budget_status_by_entity")
+def q_budget_status_by_entity(spark, sf):
+    return BU.budget_status(l1(spark, sf), plans(spark, sf), by=BY)
+
+
+@register("over_budget_total")
+def q_over_budget_total(spark, sf):
+    return BU.over_budget_total(l1(spark, sf), plans(spark, sf), by=BY)
