@@ -315,3 +315,159 @@ SQL["health_score_display_by_entity"] = with_(L2) + health_sql("l2", by="entity_
 SQL["budget_status"] = with_(L1, PLANS) + budget_status_sql("l1", where=FILTER_A)
 SQL["budget_status_by_entity"] = with_(L1, PLANS) + budget_status_sql("l1", by="entity_id")
 SQL["over_budget_total"] = with_(L1, PLANS) + over_total_sql("l1", by="entity_id")
+
+
+POW_BITS = 11
+
+
+def with_powers_sql(inner: str, base: str, prefix: str = "g") -> str:
+    """Wrap ``inner`` adding prefix0..prefix10 = base^(2^i), one nesting level per step."""
+    q = f"SELECT *, {base} AS {prefix}0 FROM ({inner}) p0"
+    for i in range(1, POW_BITS):
+        q = f"SELECT *, {prefix}{i - 1} * {prefix}{i - 1} AS {prefix}{i} FROM ({q}) p{i}"
+    return q
+
+
+def int_pow_sql(m: str, prefix: str = "g") -> str:
+    acc = "1.0"
+    for i in range(POW_BITS):
+        acc = f"({acc} * CASE WHEN ((CAST({m} AS BIGINT) >> {i}) & 1) = 1 THEN {prefix}{i} ELSE 1.0 END)"
+    return acc
+
+
+def _dbl(x) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def scenario_values(scenarios) -> str:
+    rows = []
+    for i, s in enumerate(scenarios):
+        rows.append(f"({i}, '{s.name}', '{s.kind}', {_dbl(s.pct)}, {_dbl(s.amount)}, {_dbl(s.annual_return_pct)}, {int(s.months_forward)})")
+    return "sc(scenario_id, scenario, kind, pct, amount, annual_return_pct, months_forward) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def keyword_match(scenarios) -> str:
+    arms = []
+    for i, s in enumerate(scenarios):
+        if s.kind == "reduce_category" and s.keywords:
+            cond = " OR ".join(f"contains(lower(category), '{k.lower()}')" for k in s.keywords)
+            arms.append(f"(k.scenario_id = {i} AND ({cond}))")
+    return " OR ".join(arms) if arms else "FALSE"
+
+
+def whatif_sql(src: str, scenarios, by: str = "entity_id") -> str:
+    r = "(pow(1.0 + annual_return_pct / 100.0, CAST(1.0 AS DOUBLE) / CAST(12.0 AS DOUBLE)) - 1.0)"
+    inc = "(CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1))"
+    exp = "(CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1))"
+    net = f"({inc} - {exp})"
+    adj_inc = f"(CASE WHEN kind = 'increase_income' THEN {inc} * (1.0 + pct / 100.0) ELSE {inc} END)"
+    adj_exp = (f"(CASE WHEN kind = 'reduce_category' AND pick_t IS NOT NULL THEN {exp} - CAST(pick_t AS DOUBLE) / GREATEST(n_months, 1) * (pct / 100.0)"
+               f" WHEN kind = 'increase_savings' AND {exp} > 0 THEN {exp} * GREATEST(0.0, ({exp} - amount) / {exp}) ELSE {exp} END)")
+    adj_net = f"(CASE WHEN kind = 'increase_investment' THEN {net} - amount ELSE {adj_inc} - {adj_exp} END)"
+    fv = f"(CASE WHEN {r} = 0 THEN amount * months_forward ELSE amount * ({int_pow_sql('months_forward')} - 1.0) / {r} END)"
+    inv = "kind = 'increase_investment'"
+    return f"""{with_(L1 if src == 'l1' else L2, scenario_values(scenarios))}
+, base AS (SELECT {by}, SUM({INC}) AS s_inc, SUM({EXP}) AS s_exp, COUNT(CASE WHEN type = 'Expense' THEN 1 END) AS n_exp_rows,
+                  COUNT(DISTINCT year_month) AS n_months FROM {src} GROUP BY {by})
+, cats AS (SELECT {by}, category, SUM(amount) AS t FROM {src} WHERE type = 'Expense' GROUP BY {by}, category)
+, picks AS (SELECT {by}, k.scenario_id, category AS target_category, t AS pick_t FROM cats CROSS JOIN sc k
+            WHERE {keyword_match(scenarios)}
+            QUALIFY row_number() OVER (PARTITION BY {by}, k.scenario_id ORDER BY t DESC, category ASC) = 1)
+SELECT {by}, scenario_id, scenario, months_forward,
+       CASE WHEN kind = 'reduce_category' THEN target_category END AS target_category,
+       {R(inc)} AS baseline_monthly_income, {R(exp)} AS baseline_monthly_expense,
+       {R(adj_inc)} AS adjusted_monthly_income, {R(adj_exp)} AS adjusted_monthly_expense,
+       {R(net)} AS baseline_net_monthly, {R(adj_net)} AS adjusted_net_monthly,
+       {R(f'{adj_net} - {net}')} AS net_monthly_change,
+       {R(f'{net} * months_forward')} AS baseline_cumulative_net,
+       {R(f'{adj_net} * months_forward')} AS adjusted_cumulative_net,
+       CASE WHEN {inv} THEN {R(fv)} END AS future_value_after_months,
+       CASE WHEN {inv} THEN {R('amount * months_forward')} END AS total_contributed,
+       CASE WHEN {inv} THEN {R(f'{fv} - amount * months_forward')} END AS investment_growth
+FROM ({with_powers_sql(f"SELECT * FROM base CROSS JOIN sc LEFT JOIN picks USING ({by}, scenario_id) WHERE n_exp_rows > 0", f"1.0 + {r}")}) q"""
+
+
+FIRE_INPUTS = """inputs AS (
+  SELECT entity_id,
+         CAST(ROUND(CAST(CAST(s_inc AS DOUBLE) / GREATEST(n, 1) AS DECIMAL(28,8)), 2) AS DOUBLE) AS monthly_income,
+         CAST(ROUND(CAST(CAST(s_exp AS DOUBLE) / GREATEST(n, 1) AS DECIMAL(28,8)), 2) AS DOUBLE) AS monthly_expense,
+         CAST(0.0 AS DOUBLE) AS current_savings, CAST(7.0 AS DOUBLE) AS annual_return_pct,
+         CAST(4.0 AS DOUBLE) AS withdrawal_rate_pct, 30 AS current_age, 50 AS target_age
+  FROM (SELECT entity_id, SUM(CASE WHEN type = 'Income' THEN amount ELSE 0 END) AS s_inc,
+               SUM(CASE WHEN type = 'Expense' THEN amount ELSE 0 END) AS s_exp, COUNT(DISTINCT year_month) AS n
+        FROM l1 GROUP BY entity_id) a)"""
+
+
+def fire_month_sql(rate: str, number: str) -> str:
+    """Brute force: scan every month 0..M (the Spark side jumps to a closed-form candidate)."""
+    r = f"(pow(1.0 + ({rate}) / 100.0, CAST(1.0 AS DOUBLE) / CAST(12.0 AS DOUBLE)) - 1.0)"
+    c = "GREATEST(monthly_income - monthly_expense, 0.0)"
+    gm = int_pow_sql("m")
+    bal = f"(CASE WHEN {r} = 0 THEN current_savings + {c} * m ELSE current_savings * {gm} + {c} * ({gm} - 1.0) / {r} END)"
+    return f"""(SELECT MIN(m) FROM (SELECT unnest(generate_series(0, (target_age - current_age) * 12)) AS m) mm
+   WHERE ({number}) > 0 AND {bal} >= ({number}))"""
+
+
+def age_cols_sql(month: str) -> str:
+    return (f"{month} AS fire_month, {R(f'current_age + {month} / 12.0', 1)} AS fire_age, "
+            f"{R(f'current_age + {month} / 12.0 - current_age', 1)} AS years_to_fire")
+
+
+_RA = "(pow(1.0 + annual_return_pct / 100.0, CAST(1.0 AS DOUBLE) / CAST(12.0 AS DOUBLE)) - 1.0)"
+_RR = "(pow(1.0 + rr / 100.0, CAST(1.0 AS DOUBLE) / CAST(12.0 AS DOUBLE)) - 1.0)"
+SQL["fire_age"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, {R('monthly_expense * 12.0 * 25.0')} AS fire_number,
+       {R('GREATEST(monthly_income - monthly_expense, 0.0)')} AS monthly_contribution, {age_cols_sql('fm')}
+FROM (SELECT *, CAST({fire_month_sql('annual_return_pct', 'monthly_expense * 12.0 * 25.0')} AS INTEGER) AS fm
+      FROM ({with_powers_sql('SELECT * FROM inputs', '1.0 + ' + _RA)}) i) x"""
+SQL["fire_return_scenarios"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, scenario, {R('rr')} AS annual_return_pct, {age_cols_sql('fm')}
+FROM (SELECT *, CAST({fire_month_sql('rr', 'monthly_expense * 12.0 * 25.0')} AS INTEGER) AS fm
+      FROM ({with_powers_sql("""SELECT *, GREATEST(0.0, annual_return_pct + delta) AS rr FROM inputs
+            CROSS JOIN (VALUES ('Conservative (-2pp)', CAST(-2.0 AS DOUBLE)), ('Base case', CAST(0.0 AS DOUBLE)),
+                               ('Aggressive (+2pp)', CAST(2.0 AS DOUBLE))) d(scenario, delta)""", '1.0 + ' + _RR)}) y) x"""
+SQL["fire_withdrawal_scenarios"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, wr AS withdrawal_rate_pct, {R('fn')} AS fire_number,
+       {age_cols_sql('fm')}, wr = 4.0 AS is_default_25x
+FROM (SELECT *, CAST({fire_month_sql('annual_return_pct', 'fn')} AS INTEGER) AS fm
+      FROM ({with_powers_sql("""SELECT *, monthly_expense * 12.0 / (wr / 100.0) AS fn FROM inputs
+            CROSS JOIN (VALUES (CAST(3.0 AS DOUBLE)), (CAST(4.0 AS DOUBLE)), (CAST(5.0 AS DOUBLE))) w(wr)""", '1.0 + ' + _RA)}) y) x"""
+
+
+from ..operators.scenario import DEFAULT_SCENARIOS as _DEF, Scenario as _Sc  # noqa: E402
+
+_WHATIF = _DEF + (_Sc("Reduce Low-Priority Spending", "reduce_category", pct=20, months_forward=24, keywords=("low", "specified")),)
+_INV = (_Sc("Invest 10%", "increase_investment", amount=100.0, annual_return_pct=7.0, months_forward=36),
+        _Sc("Invest at 0%", "increase_investment", amount=100.0, annual_return_pct=0.0, months_forward=12))
+SQL["whatif_scenarios"] = whatif_sql("l1", _WHATIF)
+SQL["whatif_baseline"] = ("SELECT entity_id, baseline_monthly_income, baseline_monthly_expense, baseline_net_monthly FROM ("
+                          + whatif_sql("l2", _DEF) + ") w WHERE scenario_id = 0")
+SQL["investment_growth"] = ("SELECT entity_id, scenario, future_value_after_months, total_contributed, investment_growth, "
+                            "adjusted_net_monthly FROM (" + whatif_sql("l2", _INV) + ") w")
+
+_NET = "(CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1) - CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1))"
+
+
+def _proj_sql() -> str:
+    inner = whatif_sql("l1", _WHATIF).replace(
+        "SELECT entity_id, scenario_id, scenario, months_forward,",
+        "SELECT entity_id, scenario_id, scenario, months_forward, " + _NET + " AS _net, "
+        "CASE WHEN kind = 'increase_investment' THEN " + _NET + " - amount ELSE "
+        "(CASE WHEN kind = 'increase_income' THEN CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1) * (1.0 + pct / 100.0) "
+        "ELSE CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1) END) - "
+        "(CASE WHEN kind = 'reduce_category' AND pick_t IS NOT NULL THEN CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) "
+        "- CAST(pick_t AS DOUBLE) / GREATEST(n_months, 1) * (pct / 100.0) "
+        "WHEN kind = 'increase_savings' AND CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) > 0 THEN "
+        "CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) * GREATEST(0.0, (CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) - amount) "
+        "/ (CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1))) ELSE CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) END) END AS _adj,",
+        1)
+    return (f"SELECT entity_id, scenario_id, scenario, month, {R('_net * month')} AS baseline_cumulative_net, "
+            f"{R('_adj * month')} AS adjusted_cumulative_net FROM ({inner}) w "
+            "CROSS JOIN LATERAL (SELECT unnest(generate_series(0, w.months_forward)) AS month) g")
+
+
+SQL["whatif_projection"] = _proj_sql()
+
+_C = "GREATEST(monthly_income - monthly_expense, 0.0)"
+_r = "(pow(1.0 + annual_return_pct / 100.0, CAST(1.0 AS DOUBLE) / CAST(12.0 AS DOUBLE)) - 1.0)"
+_GM = int_pow_sql("m")
+SQL["fire_projection"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, m AS month, {R('current_age + m / 12.0', 4)} AS age,
+       {R(f"CASE WHEN {_r} = 0 THEN current_savings + {_C} * m ELSE current_savings * {_GM} + {_C} * ({_GM} - 1.0) / {_r} END")} AS portfolio_value
+FROM ({with_powers_sql('SELECT * FROM inputs', '1.0 + ' + _r)}) i CROSS JOIN LATERAL (SELECT unnest(generate_series(0, (target_age - current_age) * 12)) AS m) g"""

@@ -234,3 +234,63 @@ def q_budget_status_by_entity(spark, sf):
 @register("over_budget_total")
 def q_over_budget_total(spark, sf):
     return BU.over_budget_total(l1(spark, sf), plans(spark, sf), by=BY)
+
+
+# --- what-if and FIRE -------------------------------------------------------
+from ..operators import fire as FI  # noqa: E402
+from ..operators import scenario as SC  # noqa: E402
+
+# The simulator's five scenarios plus one whose keywords match this ledger's
+# category names, so that the category-pick path runs on real rows too.
+WHATIF_SCENARIOS = SC.DEFAULT_SCENARIOS + (
+    SC.Scenario("Reduce Low-Priority Spending", "reduce_category", pct=20, months_forward=24, keywords=("low", "specified")),
+)
+
+
+@register("whatif_scenarios")
+def q_whatif_scenarios(spark, sf):
+    return SC.scenario_results(l1(spark, sf), WHATIF_SCENARIOS, by=BY)
+
+
+@register("whatif_baseline")
+def q_whatif_baseline(spark, sf):
+    return SC.scenario_results(l2(spark, sf), SC.DEFAULT_SCENARIOS, by=BY).where(F.col("scenario_id") == 0).select(
+        *BY, "baseline_monthly_income", "baseline_monthly_expense", "baseline_net_monthly")
+
+
+@register("whatif_projection")
+def q_whatif_projection(spark, sf):
+    res = SC.whatif_scenarios(l1(spark, sf), WHATIF_SCENARIOS, by=BY)
+    return SC.whatif_projection(res, by=BY)
+
+
+@register("investment_growth")
+def q_investment_growth(spark, sf):
+    inv = (SC.Scenario("Invest 10%", "increase_investment", amount=100.0, annual_return_pct=7.0, months_forward=36),
+           SC.Scenario("Invest at 0%", "increase_investment", amount=100.0, annual_return_pct=0.0, months_forward=12))
+    return SC.scenario_results(l2(spark, sf), inv, by=BY).select(
+        *BY, "scenario", "future_value_after_months", "total_contributed", "investment_growth", "adjusted_net_monthly")
+
+
+def fire_inputs(spark, sf):
+    return FI.planner_inputs(l1(spark, sf), by=BY)
+
+
+@register("fire_age")
+def q_fire_age(spark, sf):
+    return FI.fire_plan(fire_inputs(spark, sf), by=BY)
+
+
+@register("fire_return_scenarios")
+def q_fire_return_scenarios(spark, sf):
+    return FI.fire_return_scenarios(fire_inputs(spark, sf), by=BY)
+
+
+@register("fire_withdrawal_scenarios")
+def q_fire_withdrawal_scenarios(spark, sf):
+    return FI.fire_withdrawal_scenarios(fire_inputs(spark, sf), by=BY)
+
+
+@register("fire_projection")
+def q_fire_projection(spark, sf):
+    return FI.fire_projection(fire_inputs(spark, sf), by=BY)
