@@ -471,3 +471,41 @@ _GM = int_pow_sql("m")
 SQL["fire_projection"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, m AS month, {R('current_age + m / 12.0', 4)} AS age,
        {R(f"CASE WHEN {_r} = 0 THEN current_savings + {_C} * m ELSE current_savings * {_GM} + {_C} * ({_GM} - 1.0) / {_r} END")} AS portfolio_value
 FROM ({with_powers_sql('SELECT * FROM inputs', '1.0 + ' + _r)}) i CROSS JOIN LATERAL (SELECT unnest(generate_series(0, (target_age - current_age) * 12)) AS m) g"""
+
+
+RAW_L2 = """raw AS (
+  SELECT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date_time, p_brand AS category, l_returnflag AS account,
+         CAST(l_extendedprice AS VARCHAR) AS amount, 'USD' AS currency, l_linestatus AS tags
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+           "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _clean_text_sql(c: str) -> str:
+    toks = ", ".join("'" + t.replace("'", "''") + "'" for t in _TOKENS)
+    return f"CASE WHEN {c} IS NULL OR {c} IN ({toks}) THEN 'nan' ELSE trim({c}) END"
+
+
+SQL["clean_ledger"] = with_(RAW_L2) + f""", p AS (
+  SELECT date_time, CAST(try_strptime(trim(date_time), '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS ts,
+         abs(TRY_CAST(trim(amount) AS DOUBLE)) AS amt,
+         {_clean_text_sql('category')} AS category, {_clean_text_sql('account')} AS account,
+         {_clean_text_sql('currency')} AS currency, {_clean_text_sql('tags')} AS tags
+  FROM raw),
+k AS (SELECT *, CAST(amt AS VARCHAR) AS amount_text FROM p WHERE ts IS NOT NULL AND amt IS NOT NULL AND NOT isnan(amt)),
+n AS (SELECT *, concat_ws('|', date_time, category, account, amount_text, tags) AS content FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, category, account, amount_text, tags, currency, ts, amt) - 1 AS occ FROM n)
+SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transaction_id,
+       CAST(ts AS DATE) AS transaction_date, ts AS transaction_datetime,
+       CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, strftime(ts, '%Y-%m') AS year_month,
+       category, CASE WHEN category IN {BRAND_INCOME_SQL} THEN 'Income' ELSE 'Expense' END AS type,
+       account, CAST(CAST(amt AS DECIMAL(18,2)) AS DOUBLE) AS amount, currency, tags, 'lineitem' AS source
+FROM o"""
+SQL["stable_ids"] = with_(RAW_L2) + """SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transaction_id,
+       date_time, account, tags
+FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, account, tags) - 1 AS occ
+      FROM (SELECT date_time, account, tags, concat_ws('|', date_time, account, tags) AS content FROM raw) c) o"""
+SQL["type_classification"] = with_(RAW_L2) + f"""SELECT category,
+       CASE WHEN category IN {BRAND_INCOME_SQL} THEN 'Income' ELSE 'Expense' END AS type, COUNT(*) AS n
+FROM raw GROUP BY 1, 2"""

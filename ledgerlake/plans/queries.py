@@ -294,3 +294,31 @@ def q_fire_withdrawal_scenarios(spark, sf):
 @register("fire_projection")
 def q_fire_projection(spark, sf):
     return FI.fire_projection(fire_inputs(spark, sf), by=BY)
+
+
+# --- cleaning and ids ---------------------------------------------------------
+from ..operators import classify as CL  # noqa: E402
+from ..operators import clean as CN  # noqa: E402
+from ..operators import stable_id as SI  # noqa: E402
+
+
+@register("clean_ledger")
+def q_clean_ledger(spark, sf):
+    raw = TD.lineitem_raw_log(spark, sf)
+    df = CN.clean_transactions(raw, source="lineitem", mapping=TD.LINEITEM_MAPPING)
+    return df.drop("ingested_at").withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("stable_ids")
+def q_stable_ids(spark, sf):
+    # hashing only (date_time, account, tags) leaves ~4 copies per text: occurrence numbering does the work
+    raw = TD.lineitem_raw_log(spark, sf).select("date_time", "account", "tags")
+    return SI.assign_stable_ids(raw, ["date_time", "account", "tags"])
+
+
+@register("type_classification")
+def q_type_classification(spark, sf):
+    brands = TD.read_table(spark, sf, "part").select(F.col("p_brand").alias("category")).distinct()
+    mapping = brands.where(F.col("category").isin(list(TD.LINEITEM_INCOME))).withColumn("type", F.lit("Income"))
+    raw = TD.lineitem_raw_log(spark, sf).select("category")
+    return CL.classify_with_table(raw, mapping).groupBy("category", "type").agg(F.count(F.lit(1)).alias("n"))
