@@ -509,3 +509,44 @@ FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, acco
 SQL["type_classification"] = with_(RAW_L2) + f"""SELECT category,
        CASE WHEN category IN {BRAND_INCOME_SQL} THEN 'Income' ELSE 'Expense' END AS type, COUNT(*) AS n
 FROM raw GROUP BY 1, 2"""
+
+
+_ORDERS_COLS = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True), ("o_orderstatus", "string", False),
+                ("o_totalprice", "double", True), ("o_orderdate", "timestamp_ntz", False),
+                ("o_orderpriority", "string", False)]
+
+
+def _profile_arm(c: str, dtype: str, num: bool) -> str:
+    if num:
+        nums = (f"CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max, {R(f'AVG(CAST({c} AS DOUBLE))', 6)} AS mean, "
+                f"COUNT_IF({c} < 0) AS negative_count, COUNT_IF({c} = 0) AS zero_count")
+    else:
+        nums = ("CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, "
+                "CAST(NULL AS BIGINT) AS negative_count, CAST(NULL AS BIGINT) AS zero_count")
+    return (f"SELECT '{c}' AS column_name, '{dtype}' AS dtype, COUNT_IF({c} IS NULL) AS null_count, "
+            f"{R(f'COUNT_IF({c} IS NULL) * 100.0 / COUNT(*)')} AS null_pct, COUNT(DISTINCT {c}) AS unique_count, {nums} FROM orders")
+
+
+SQL["column_profile"] = "\nUNION ALL\n".join(_profile_arm(*x) for x in _ORDERS_COLS)
+SQL["top_values"] = "\nUNION ALL\n".join(
+    f"""SELECT column_name, value, count, rank FROM (
+  SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count,
+         row_number() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) ASC) AS rank
+  FROM orders WHERE {c} IS NOT NULL GROUP BY 2) t WHERE rank <= 10"""
+    for c, _, num in _ORDERS_COLS if not num)
+SQL["duplicate_rows"] = with_(RAW_L2) + """SELECT COALESCE(SUM(c - 1), 0) AS duplicate_rows
+FROM (SELECT date_time, account, currency, tags, COUNT(*) AS c FROM raw GROUP BY ALL) g"""
+
+
+def amount_stats_sql(src: str, by: str = "") -> str:
+    b = f"{by}, " if by else ""
+    g = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {b}CAST(MIN(amount) AS DOUBLE) AS min_amount, CAST(MAX(amount) AS DOUBLE) AS max_amount,
+       CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_amount,
+       {std_samp_sql('COUNT(amount)', 'SUM(amount)', 'SUM(CAST(amount AS DECIMAL(19,2)) * CAST(amount AS DECIMAL(19,2)))')} AS std_amount,
+       CAST(MEDIAN(CAST(amount AS DECIMAL(18,3))) AS DOUBLE) AS median
+FROM {src} {g}"""
+
+
+SQL["amount_stats"] = with_(L2) + amount_stats_sql("l2")
+SQL["amount_stats_by_entity"] = with_(L1) + amount_stats_sql("l1", "entity_id")

@@ -322,3 +322,32 @@ def q_type_classification(spark, sf):
     mapping = brands.where(F.col("category").isin(list(TD.LINEITEM_INCOME))).withColumn("type", F.lit("Income"))
     raw = TD.lineitem_raw_log(spark, sf).select("category")
     return CL.classify_with_table(raw, mapping).groupBy("category", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- profile --------------------------------------------------------------------
+from ..operators import profile as PR  # noqa: E402
+
+
+@register("column_profile")
+def q_column_profile(spark, sf):
+    return PR.column_profile(TD.read_table(spark, sf, "orders"))
+
+
+@register("top_values")
+def q_top_values(spark, sf):
+    return PR.top_values(TD.read_table(spark, sf, "orders"))
+
+
+@register("duplicate_rows")
+def q_duplicate_rows(spark, sf):
+    return PR.duplicate_rows(TD.lineitem_raw_log(spark, sf).drop("amount", "category"))
+
+
+@register("amount_stats")
+def q_amount_stats(spark, sf):
+    return PR.amount_stats(l2(spark, sf))
+
+
+@register("amount_stats_by_entity")
+def q_amount_stats_by_entity(spark, sf):
+    return PR.amount_stats(l1(spark, sf), by=BY)
