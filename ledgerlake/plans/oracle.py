@@ -550,3 +550,18 @@ FROM {src} {g}"""
 
 SQL["amount_stats"] = with_(L2) + amount_stats_sql("l2")
 SQL["amount_stats_by_entity"] = with_(L1) + amount_stats_sql("l1", "entity_id")
+
+
+SQL["macro_yoy"] = """WITH obs AS (
+  SELECT o_orderpriority AS series_id, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date,
+         CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS value
+  FROM orders GROUP BY 1, 2),
+newest AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 13),
+usable AS (SELECT *, TRY_CAST(value AS DOUBLE) AS v FROM newest
+           WHERE value IS NOT NULL AND value <> '.' AND TRY_CAST(value AS DOUBLE) IS NOT NULL),
+pos AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS p FROM usable),
+g AS (SELECT series_id, MAX(CASE WHEN p = 1 THEN v END) AS latest_value, MAX(CASE WHEN p = 1 THEN date END) AS latest_date,
+             MAX(CASE WHEN p = 13 THEN v END) AS ago, COUNT(*) AS n_usable FROM pos GROUP BY series_id)
+SELECT series_id, CAST(NULL AS VARCHAR) AS label, latest_value, latest_date, n_usable,
+       CASE WHEN n_usable >= 13 THEN """ + R("(latest_value - ago) * 100.0 / NULLIF(ago, 0)") + """ END AS yoy_change_pct
+FROM g"""

@@ -351,3 +351,23 @@ def q_amount_stats(spark, sf):
 @register("amount_stats_by_entity")
 def q_amount_stats_by_entity(spark, sf):
     return PR.amount_stats(l1(spark, sf), by=BY)
+
+
+# --- macro and context ----------------------------------------------------------
+from ..operators import macro as MA  # noqa: E402
+from . import context as CX  # noqa: E402
+
+
+@register("macro_yoy")
+def q_macro_yoy(spark, sf):
+    return MA.macro_indicators(TD.orders_macro_observations(spark, sf), yoy_series=None)
+
+
+@register("context_package")
+def q_context_package(spark, sf):
+    return CX.financial_context(l1(spark, sf), by=BY, plans=plans(spark, sf)).select(*BY, "context_json")
+
+
+@register("context_package_whole")
+def q_context_package_whole(spark, sf):
+    return CX.financial_context(l1(spark, sf), FILTER_A, plans=plans(spark, sf).drop("entity_id")).select("context_json")
