@@ -565,3 +565,40 @@ g AS (SELECT series_id, MAX(CASE WHEN p = 1 THEN v END) AS latest_value, MAX(CAS
 SELECT series_id, CAST(NULL AS VARCHAR) AS label, latest_value, latest_date, n_usable,
        CASE WHEN n_usable >= 13 THEN """ + R("(latest_value - ago) * 100.0 / NULLIF(ago, 0)") + """ END AS yoy_change_pct
 FROM g"""
+
+
+SQL["append_new_rows"] = with_(L1) + """, led AS (SELECT transaction_id, year_month, CAST(amount AS DOUBLE) AS amount FROM l1),
+existing AS (SELECT * FROM led WHERE year_month < '1998-01'),
+incoming AS (SELECT * FROM led WHERE year_month >= '1997-07')
+SELECT * FROM existing
+UNION ALL
+SELECT * FROM incoming WHERE transaction_id NOT IN (SELECT transaction_id FROM existing)"""
+SQL["upsert_by_key"] = with_(L1) + f""", cur AS ({monthly_with_rate('l1', "WHERE year_month < '1999-01'")}),
+upd AS ({monthly_with_rate('l1', "WHERE year_month >= '1998-07' AND account = 'F'")})
+SELECT *, 'kept' AS op FROM cur WHERE year_month NOT IN (SELECT year_month FROM upd)
+UNION ALL
+SELECT upd.*, CASE WHEN upd.year_month IN (SELECT year_month FROM cur) THEN 'updated' ELSE 'inserted' END AS op FROM upd"""
+SQL["latest_per_key"] = """SELECT user_id, event_id, event_type, value, ts FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+SQL["newest_n"] = "SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50"
+SQL["find_transactions"] = with_(L1) + """SELECT transaction_id, year_month, type, CAST(amount AS DOUBLE) AS amount
+FROM l1 WHERE account = 'F' AND category = '1-URGENT'"""
+SQL["variant_payload"] = "SELECT event_id, event_type, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
+SQL["budget_plan_changes"] = """WITH base AS (
+  SELECT CAST(c_custkey AS VARCHAR) || '-' || k AS budget_id, category,
+         CAST(ROUND(CAST(lim AS DECIMAL(28,8)), 2) AS DOUBLE) AS monthly_limit
+  FROM (SELECT c_custkey, 'a' AS k, '4-NOT SPECIFIED' AS category, abs(c_acctbal) AS lim FROM customer
+        UNION ALL SELECT c_custkey, 'b', '4-NOT SPECIFIED', abs(c_acctbal) / 2 FROM customer
+        UNION ALL SELECT c_custkey, 'c', '5-LOW', abs(c_acctbal) * 3 FROM customer
+        UNION ALL SELECT c_custkey, 'd', '0-SAVINGS', 100.0 FROM customer) p),
+deleted AS (SELECT CAST(c_custkey AS VARCHAR) || '-d' AS budget_id FROM customer WHERE c_acctbal < 0),
+upd AS (SELECT CAST(c_custkey AS VARCHAR) || '-c' AS budget_id, ROUND(abs(c_acctbal), 2) AS lim FROM customer WHERE c_mktsegment = 'BUILDING'),
+cre AS (SELECT CAST(c_custkey AS VARCHAR) || '-e' AS budget_id FROM customer WHERE c_mktsegment = 'MACHINERY')
+SELECT b.budget_id, b.category, COALESCE(u.lim, b.monthly_limit) AS monthly_limit,
+       CASE WHEN u.budget_id IS NOT NULL THEN '2025-03' END AS applies_from,
+       CASE WHEN u.budget_id IS NOT NULL THEN 'raised' END AS notes,
+       '2025-01-01' AS created_day, CASE WHEN u.budget_id IS NOT NULL THEN '2025-03-01' END AS updated_day
+FROM base b LEFT JOIN upd u USING (budget_id)
+WHERE b.budget_id NOT IN (SELECT budget_id FROM deleted)
+UNION ALL
+SELECT budget_id, '2-HIGH', 250.0, NULL, NULL, '2025-02-01', NULL FROM cre"""

@@ -371,3 +371,75 @@ def q_context_package(spark, sf):
 @register("context_package_whole")
 def q_context_package_whole(spark, sf):
     return CX.financial_context(l1(spark, sf), FILTER_A, plans=plans(spark, sf).drop("entity_id")).select("context_json")
+
+
+# --- store operators ------------------------------------------------------------
+from ..sources import store as ST  # noqa: E402
+
+
+@register("append_new_rows")
+def q_append_new_rows(spark, sf):
+    led = l1(spark, sf).select("transaction_id", "year_month", F.col("amount").cast("double").alias("amount"))
+    existing = led.where(F.col("year_month") < "1998-01")
+    incoming = led.where(F.col("year_month") >= "1997-07")
+    return existing.unionByName(ST.append_new(existing, incoming))
+
+
+@register("upsert_by_key")
+def q_upsert_by_key(spark, sf):
+    led = l1(spark, sf)
+    current = S.monthly_summary(led.where(F.col("year_month") < "1999-01"))
+    updates = S.monthly_summary(led.where((F.col("year_month") >= "1998-07") & (F.col("account") == "F")))
+    return ST.upsert(current, updates, ["year_month"], flag="op")
+
+
+@register("latest_per_key")
+def q_latest_per_key(spark, sf):
+    ev = TD.read_table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return ST.latest_per_key(ev, ["user_id"], ts="ts", tie=["event_id"])
+
+
+@register("newest_n")
+def q_newest_n(spark, sf):
+    ev = TD.read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    return ST.newest_n(ev, 50, ts="ts", tie=["event_id"])
+
+
+@register("find_transactions")
+def q_find_transactions(spark, sf):
+    df = ST.find_rows(l1(spark, sf), {"account": "F", "category": "1-URGENT"})
+    return df.select("transaction_id", "year_month", "type", F.col("amount").cast("double").alias("amount"))
+
+
+@register("variant_payload")
+def q_variant_payload(spark, sf):
+    ev = ST.with_variant(TD.read_table(spark, sf, "events").select("event_id", "event_type", "props"), ["props"])
+    return ev.select("event_id", "event_type", F.variant_get("props", "$.k", "int").alias("k"))
+
+
+@register("budget_plan_changes")
+def q_budget_plan_changes(spark, sf):
+    base = TD.customer_budget_plans(spark, sf)
+    t0 = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    plans_tbl = base.select("budget_id", "category", "monthly_limit", F.lit(None).cast("string").alias("applies_from"),
+                            F.lit(None).cast("string").alias("notes"), t0.alias("created_at"),
+                            F.lit(None).cast("timestamp").alias("updated_at"))
+    cust = TD.read_table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    key = lambda k: F.concat_ws("-", F.col("c_custkey").cast("string"), F.lit(k))
+    t1 = F.lit("2025-02-01 00:00:00").cast("timestamp")
+    t2 = F.lit("2025-03-01 00:00:00").cast("timestamp")
+    nul = F.lit(None).cast("string")
+    deletes = cust.where(F.col("c_acctbal") < 0).select(F.lit("delete").alias("op"), key("d").alias("budget_id"), nul.alias("category"),
+                                                       F.lit(None).cast("double").alias("monthly_limit"), nul.alias("applies_from"),
+                                                       nul.alias("notes"), t1.alias("changed_at"))
+    updates = cust.where(F.col("c_mktsegment") == "BUILDING").select(
+        F.lit("update").alias("op"), key("c").alias("budget_id"), nul.alias("category"),
+        F.round(F.abs(F.col("c_acctbal")), 2).alias("monthly_limit"), F.lit("2025-03").alias("applies_from"),
+        F.lit("raised").alias("notes"), t2.alias("changed_at"))
+    creates = cust.where(F.col("c_mktsegment") == "MACHINERY").select(
+        F.lit("create").alias("op"), key("e").alias("budget_id"), F.lit("2-HIGH").alias("category"),
+        F.lit(250.0).alias("monthly_limit"), nul.alias("applies_from"), nul.alias("notes"), t1.alias("changed_at"))
+    out = ST.apply_plan_changes(plans_tbl, deletes.unionByName(updates).unionByName(creates))
+    return out.select("budget_id", "category", "monthly_limit", "applies_from", "notes",
+                      F.date_format("created_at", "yyyy-MM-dd").alias("created_day"),
+                      F.date_format("updated_at", "yyyy-MM-dd").alias("updated_day"))
