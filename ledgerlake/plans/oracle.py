@@ -602,3 +602,8 @@ FROM base b LEFT JOIN upd u USING (budget_id)
 WHERE b.budget_id NOT IN (SELECT budget_id FROM deleted)
 UNION ALL
 SELECT budget_id, '2-HIGH', 250.0, NULL, NULL, '2025-02-01', NULL FROM cre"""
+
+
+SQL["stream_append_dedup"] = with_(L3) + """SELECT transaction_id, transaction_date, year_month, category, type, account, entity_id,
+       CAST(amount AS DOUBLE) AS amount FROM l3"""
+SQL["stream_monthly_summary"] = with_(L3) + monthly_with_rate("l3", by="entity_id")

@@ -443,3 +443,31 @@ def q_budget_plan_changes(spark, sf):
     return out.select("budget_id", "category", "monthly_limit", "applies_from", "notes",
                       F.date_format("created_at", "yyyy-MM-dd").alias("created_day"),
                       F.date_format("updated_at", "yyyy-MM-dd").alias("updated_day"))
+
+
+# --- streaming ------------------------------------------------------------------
+from ..session import scratch_path  # noqa: E402
+from ..streaming import ingest as IN  # noqa: E402
+
+LEDGER_OUT = ["transaction_id", "transaction_date", "year_month", "category", "type", "account", "entity_id"]
+
+
+def _event_stream(spark, sf):
+    schema = TD.read_table(spark, sf, "events").schema
+    return TD.events_to_ledger(IN.file_stream(spark, sf, schema, "events.parquet"))
+
+
+@register("stream_append_dedup")
+def q_stream_append_dedup(spark, sf):
+    root = scratch_path(spark, "stream-append")
+    s = _event_stream(spark, sf)
+    IN.run_to_completion(lambda: IN.start_append_dedup(s, f"{root}/table", f"{root}/ck"))
+    return spark.read.parquet(f"{root}/table").select(*LEDGER_OUT, F.col("amount").cast("double").alias("amount"))
+
+
+@register("stream_monthly_summary")
+def q_stream_monthly_summary(spark, sf):
+    root = scratch_path(spark, "stream-summary")
+    s = _event_stream(spark, sf)
+    IN.run_to_completion(lambda: IN.start_monthly_summary(s, f"{root}/table", f"{root}/ck", by=BY))
+    return ST.read_current(spark, f"{root}/table")

@@ -85,7 +85,11 @@ def lineitem_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
+    return events_to_ledger(read_table(spark, sf_dir, "events"))
+
+
+def events_to_ledger(e: DataFrame) -> DataFrame:
+    """Event rows (batch or stream) as ledger rows."""
     ts = F.col("ts")
     return e.select(
         F.col("event_id").cast("string").alias("transaction_id"),
