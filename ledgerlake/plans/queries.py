@@ -471,3 +471,16 @@ def q_stream_monthly_summary(spark, sf):
     s = _event_stream(spark, sf)
     IN.run_to_completion(lambda: IN.start_monthly_summary(s, f"{root}/table", f"{root}/ck", by=BY))
     return ST.read_current(spark, f"{root}/table")
+
+
+# --- jobs -----------------------------------------------------------------------
+from . import profiling as PF  # noqa: E402
+
+
+@register("profile_report")
+def q_profile_report(spark, sf):
+    raw = TD.lineitem_raw_log(spark, sf)
+    clean = CN.clean_transactions(raw, source="lineitem", mapping=TD.LINEITEM_MAPPING)
+    rep = PF.profile_report(raw, clean)
+    return PF.profiling_summary(rep).select("source_rows", "clean_rows", "rows_dropped_in_transform", "duplicate_rows",
+                                            F.to_json("columns").alias("columns_json"))
