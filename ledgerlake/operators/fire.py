@@ -72,22 +72,33 @@ def balance_at(S, c, r, m, prefix: str = "_g") -> Column:
     return F.when(r == 0, S + c * m).otherwise(S * g + c * (g - F.lit(1.0)) / r)
 
 
-def first_month_reached(S, c, r, N, M, prefix: str = "_g") -> Column:
-    """Smallest m in [0, M] with balance_at(m) >= N, null if none or N <= 0."""
-    S, c, r, N, M = col_or(S), col_or(c), col_or(r), col_or(N), col_or(M)
+def with_first_month(df: DataFrame, S, c, r, N, M, out: str = "_fire_month") -> DataFrame:
+    """Add ``out`` = smallest m in [0, M] with balance_at(m) >= N; null if none or N <= 0.
+
+    Staged as separate projections (inputs, candidate, powers, balances) so
+    each generated method stays small; the powers of 1 + r are computed once
+    per row and shared by the three checked months.
+    """
+    x = df.select("*", col_or(S).alias("_fS"), col_or(c).alias("_fc"), col_or(r).alias("_fr"),
+                  col_or(N).alias("_fN"), col_or(M).alias("_fM"))
+    S, c, r, N, M = (F.col(k) for k in ("_fS", "_fc", "_fr", "_fN", "_fM"))
     k = c / r
-    ratio = (N + k) / (S + k)
-    cand_r = F.ceil(F.log(ratio) / F.log(F.lit(1.0) + r))
+    cand_r = F.ceil(F.log((N + k) / (S + k)) / F.log(F.lit(1.0) + r))
     cand_0 = F.ceil((N - S) / c)
     cand = F.when(S >= N, F.lit(0)).when(r == 0, F.when(c > 0, cand_0)).when((S + k) > 0, cand_r)
-    cand = cand.cast("long")
+    x = x.withColumn("_fcand", cand.cast("long"))
+    x = with_powers(x, F.lit(1.0) + r, prefix="_fp")
+    tmp = ["_fS", "_fc", "_fr", "_fN", "_fM", "_fcand"] + [f"_fp{i}" for i in range(POW_BITS)]
     picks = []
-    for d in (-1, 0, 1):
-        m = F.greatest(cand + F.lit(d), F.lit(0))
-        ok = (m <= M) & (balance_at(S, c, r, m, prefix) >= N)
-        picks.append(F.when(ok, m))
-    found = F.coalesce(*picks)
-    return F.when((N > 0) & cand.isNotNull(), found).cast("int")
+    for j, d in enumerate((-1, 0, 1)):
+        m, g, b = f"_fm{j}", f"_fg{j}", f"_fb{j}"
+        x = x.withColumn(m, F.greatest(F.col("_fcand") + F.lit(d), F.lit(0)))
+        x = x.withColumn(g, int_pow(m, prefix="_fp"))
+        x = x.withColumn(b, F.when(r == 0, S + c * F.col(m)).otherwise(S * F.col(g) + c * (F.col(g) - F.lit(1.0)) / r))
+        picks.append(F.when((F.col(m) <= M) & (F.col(b) >= N), F.col(m)))
+        tmp += [m, g, b]
+    found = F.when((N > 0) & F.col("_fcand").isNotNull(), F.coalesce(*picks)).cast("int")
+    return x.withColumn(out, found).drop(*tmp)
 
 
 def planner_inputs(ledger: DataFrame, filters=None, by: Sequence[str] = (), **overrides) -> DataFrame:
@@ -140,12 +151,12 @@ def fire_plan(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """FIRE number (25x annual expense), contribution, FIRE age and years to FIRE."""
     number = F.col("monthly_expense") * F.lit(12.0) * F.lit(25.0)
     r = monthly_return("annual_return_pct")
-    m = first_month_reached("current_savings", _contribution(), r, number, _horizon())
-    return with_powers(inputs, F.lit(1.0) + r).select(
+    x = with_first_month(inputs, "current_savings", _contribution(), r, number, _horizon())
+    return x.select(
         *by,
         round_dec(number).alias("fire_number"),
         round_dec(_contribution()).alias("monthly_contribution"),
-        *_age_cols(m, F.col("current_age")),
+        *_age_cols(F.col("_fire_month"), F.col("current_age")),
     )
 
 
@@ -155,20 +166,19 @@ def fire_return_scenarios(inputs: DataFrame, by: Sequence[str] = (), deltas=RETU
     x = inputs.select("*", F.explode(arr).alias("s"))
     rr = F.greatest(F.lit(0.0), F.col("annual_return_pct") + F.col("s.delta"))
     number = F.col("monthly_expense") * F.lit(12.0) * F.lit(25.0)
-    x = x.withColumn("_r", monthly_return(rr))
-    m = first_month_reached("current_savings", _contribution(), "_r", number, _horizon())
-    return with_powers(x, F.lit(1.0) + F.col("_r")).select(*by, F.col("s.scenario").alias("scenario"), round_dec(rr).alias("annual_return_pct"),
-                    *_age_cols(m, F.col("current_age")))
+    x = with_first_month(x, "current_savings", _contribution(), monthly_return(rr), number, _horizon())
+    return x.select(*by, F.col("s.scenario").alias("scenario"), round_dec(rr).alias("annual_return_pct"),
+                    *_age_cols(F.col("_fire_month"), F.col("current_age")))
 
 
 def fire_withdrawal_scenarios(inputs: DataFrame, by: Sequence[str] = (), rates=WITHDRAWAL_RATES) -> DataFrame:
     """FIRE number and age for withdrawal rates 3/4/5 %, flagging the 4 % (25x) row."""
     x = inputs.select("*", F.explode(F.array(*[F.lit(float(w)) for w in rates])).alias("wr"))
     number = F.col("monthly_expense") * F.lit(12.0) / (F.col("wr") / F.lit(100.0))
-    r = monthly_return("annual_return_pct")
-    m = first_month_reached("current_savings", _contribution(), r, number, _horizon())
-    return with_powers(x, F.lit(1.0) + r).select(*by, F.col("wr").alias("withdrawal_rate_pct"), round_dec(number).alias("fire_number"),
-                    *_age_cols(m, F.col("current_age")), (F.col("wr") == F.lit(DEFAULT_WITHDRAWAL)).alias("is_default_25x"))
+    x = with_first_month(x, "current_savings", _contribution(), monthly_return("annual_return_pct"), number, _horizon())
+    return x.select(*by, F.col("wr").alias("withdrawal_rate_pct"), round_dec(number).alias("fire_number"),
+                    *_age_cols(F.col("_fire_month"), F.col("current_age")),
+                    (F.col("wr") == F.lit(DEFAULT_WITHDRAWAL)).alias("is_default_25x"))
 
 
 def fire_projection(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
