@@ -9,6 +9,7 @@ and prunes ``year_month`` partitions when the table is partitioned by it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Iterable, Mapping
@@ -65,6 +66,42 @@ class LedgerFilter:
         return reduce(lambda a, b: a & b, cl) if cl else None
 
 
-def apply_filter(df: DataFrame, spec=None) -> DataFrame:
-    pred = LedgerFilter.of(spec).predicate()
-    return df if pred is None else df.where(pred)
+_YM = re.compile(r"^(\d{4})-(\d{2})$")
+
+
+def _month_start(ym: str | None, add: int = 0) -> str | None:
+    m = _YM.match(ym or "")
+    if not m:
+        return None
+    y, mo = int(m.group(1)), int(m.group(2)) + add
+    y, mo = y + (mo - 1) // 12, (mo - 1) % 12 + 1
+    return f"{y:04d}-{mo:02d}-01 00:00:00"
+
+
+def implied_time_range(spec: LedgerFilter, df: DataFrame, ts_col: str = "transaction_datetime") -> list[Column]:
+    """Timestamp bounds implied by month bounds (year_month is date_format(ts, 'yyyy-MM') in a ledger).
+
+    They add nothing to the result but, unlike a predicate on the derived
+    ``year_month`` text, reach the parquet scan as pushed filters, so row
+    groups outside the months are skipped by their min/max statistics.
+    """
+    if ts_col not in df.columns:
+        return []
+    t = df.schema[ts_col].dataType.simpleString()
+    lo = _month_start(spec.year_month or spec.start_ym)
+    hi = _month_start(spec.year_month or spec.end_ym, add=1)
+    out = []
+    if lo:
+        out.append(F.col(ts_col) >= F.lit(lo).cast(t))
+    if hi:
+        out.append(F.col(ts_col) < F.lit(hi).cast(t))
+    return out
+
+
+def apply_filter(df: DataFrame, spec=None, push_time_range: bool = True) -> DataFrame:
+    spec = LedgerFilter.of(spec)
+    pred = spec.predicate()
+    if pred is None:
+        return df
+    extra = implied_time_range(spec, df) if push_time_range else []
+    return df.where(reduce(lambda a, b: a & b, extra, pred))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.assemble import merge_columns
 from ..functions.exprs import round_dec
 from ..functions.stats import mean_from, stddev_samp_from
 
@@ -157,6 +158,5 @@ def amount_stats(ledger: DataFrame, by: Sequence[str] = (), col: str = "amount")
         stddev_samp_from("_n", "_s1", "_s2").alias("std_amount"),
     )
     med = exact_median(ledger, col, by)
-    if by:
-        return st.join(med, list(by), "left")
-    return st.withColumn("_k", F.lit(0)).join(med.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    # join-free: both parts are one row per key
+    return merge_columns([st, med], by)

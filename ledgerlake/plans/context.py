@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.assemble import json_object
 from ..functions.exprs import round_dec
 from ..functions.filters import LedgerFilter
 from ..operators import budget as BU
@@ -65,14 +66,13 @@ def _nested(df: DataFrame, by: Sequence[str], name: str, order: Sequence[str]) -
 
 
 def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), plans: DataFrame | None = None) -> DataFrame:
-    """One row per entity: ``by`` columns + ``context`` (struct) + ``context_json`` (text)."""
+    """One row per entity: ``by`` columns + ``context_json``.
+
+    The sections are gathered without joins (``functions.assemble``): one
+    union of small per-entity rows and one aggregate per entity.
+    """
     spec = LedgerFilter.of(filters)
-    whole = not by
-    if whole:
-        # one document for the whole ledger: a constant key keeps every section join an equi-join
-        ledger = ledger.withColumn("_all", F.lit(0))
-        plans = plans.withColumn("_all", F.lit(0)) if plans is not None else None
-        by = ("_all",)
+    by = list(by)
     monthly = S.monthly_summary(ledger, spec, by)
     kpi = S.kpi_totals(ledger, spec, by)
     top_exp = S.top_categories(ledger, 5, "Expense", spec, by).withColumn("_rank", -F.col("total_amount"))
@@ -81,33 +81,28 @@ def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), p
     accounts = S.account_breakdown(ledger, spec, by)
     health = HE.health_score(ledger, spec, by, snapshot=True)
 
+    period = F.struct(F.lit(spec.start_ym).cast("string").alias("start"), F.lit(spec.end_ym).cast("string").alias("end"))
     sections = [
-        kpi.select(*by, F.struct(
+        ("period", kpi.select(*by, period.alias("period"))),
+        ("overview", kpi.select(*by, F.struct(
             F.col("months_covered"),
             F.struct(round_dec("total_income").alias("total_income"), round_dec("total_expense").alias("total_expense"),
                      round_dec("net").alias("net")).alias("totals"),
             F.col("savings_rate_pct"),
-        ).alias("overview")),
-        _nested(monthly, by, "monthly_summary", ["year_month"]),
-        _nested(top_exp, by, "top_expense_categories", ["_rank", "category"]),
-        _nested(top_inc, by, "top_income_categories", ["_rank", "category"]),
-        _nested(trends, by, "monthly_trends", ["year_month"]),
-        _nested(accounts, by, "account_breakdown", ["account"]),
-        health.select(*by, F.struct(*[c for c in health.columns if c not in by]).alias("financial_health_score")),
+        ).alias("overview"))),
+        ("monthly_summary", _nested(monthly, by, "monthly_summary", ["year_month"])),
+        ("top_expense_categories", _nested(top_exp, by, "top_expense_categories", ["_rank", "category"])),
+        ("top_income_categories", _nested(top_inc, by, "top_income_categories", ["_rank", "category"])),
+        ("monthly_trends", _nested(trends, by, "monthly_trends", ["year_month"])),
+        ("account_breakdown", _nested(accounts, by, "account_breakdown", ["account"])),
+        ("financial_health_score",
+         health.select(*by, F.struct(*[c for c in health.columns if c not in by]).alias("financial_health_score"))),
     ]
     if plans is not None:
         st = BU.budget_status(ledger, plans, spec, by)
-        sections.append(_nested(st.drop("is_over"), by, "budget_status", ["category"]))
-        sections.append(BU.over_budget_total(ledger, plans, spec, by).select(
-            *by, F.struct("total_over_budget_amount", "n_over_budget").alias("budget_overrun")))
-    out = sections[0]
-    for s in sections[1:]:
-        out = out.join(s, list(by), "left")
-    body = [c for c in out.columns if c not in by]
-    period = F.struct(F.lit(spec.start_ym).cast("string").alias("start"), F.lit(spec.end_ym).cast("string").alias("end"))
-    ctx = F.struct(period.alias("period"), *[F.col(c) for c in body])
-    res = out.select(*by, ctx.alias("context"))
-    assert_aggregate_only(res.schema)
-    if whole:
-        res = res.drop("_all")
-    return res.withColumn("context_json", F.to_json("context"))
+        sections.append(("budget_status", _nested(st.drop("is_over"), by, "budget_status", ["category"])))
+        sections.append(("budget_overrun", BU.over_budget_total(ledger, plans, spec, by).select(
+            *by, F.struct("total_over_budget_amount", "n_over_budget").alias("budget_overrun"))))
+    for name, df in sections:
+        assert_aggregate_only(df.select(name).schema)
+    return json_object(sections, by, out="context_json")

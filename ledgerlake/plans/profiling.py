@@ -3,9 +3,10 @@
 Structural checks on the raw log (row/column counts, per-column nulls,
 distinct counts, numeric ranges or top values, duplicate rows) and
 statistical checks on the cleaned transactions (date range, type totals,
-category and account breakdowns, amount statistics), assembled into one
-nested report row. Every section is an aggregate; the report is built and
-serialised on the executors (``to_json``) and written as one small text file.
+category and account breakdowns, amount statistics), assembled into one JSON
+report. Every section is an aggregate; the sections are gathered without
+joins (``functions.assemble``) and the report is serialised on the executors
+and written as one small text file.
 """
 
 from __future__ import annotations
@@ -15,71 +16,67 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.assemble import json_object, merge_columns
 from ..operators import profile as PR
 from ..operators import summary as S
 
 
-def _one(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
-    """Collapse a small aggregate into one row holding an array of structs (sorted for a stable report)."""
-    cols = [F.col(c) for c in df.columns]
-    if order:
-        st = F.struct(*[F.col(o) for o in order], F.struct(*cols).alias("v"))
-        return df.agg(F.transform(F.sort_array(F.collect_list(st)), lambda e: e["v"]).alias(name)).withColumn("_k", F.lit(0))
-    return df.agg(F.collect_list(F.struct(*cols)).alias(name)).withColumn("_k", F.lit(0))
+def _listed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """A small aggregate as one row holding a sorted array of structs."""
+    st = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*[F.col(c) for c in df.columns]).alias("v"))
+    return df.agg(F.transform(F.sort_array(F.collect_list(st)), lambda e: e["v"]).alias(name))
+
+
+def column_entries(raw: DataFrame) -> DataFrame:
+    """Per raw column: the profile plus its top values (non-numeric columns)."""
+    tops = PR.top_values(raw).groupBy("column_name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))),
+                    lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))).alias("top_values"))
+    return PR.column_profile(raw).join(tops, "column_name", "left")
+
+
+def headline_counts(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    c = merge_columns([
+        raw.agg(F.count(F.lit(1)).alias("source_rows")),
+        clean.agg(F.count(F.lit(1)).alias("clean_rows")),
+        PR.duplicate_rows(raw),
+    ])
+    return c.withColumn("rows_dropped_in_transform", F.col("source_rows") - F.col("clean_rows"))
 
 
 def profile_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """One row: source_rows, clean_rows, rows_dropped_in_transform, structural, statistical, report_json."""
-    cols = PR.column_profile(raw)
-    tops = PR.top_values(raw)
-    col_entries = cols.join(
-        tops.groupBy("column_name").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))),
-                        lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))).alias("top_values")),
-        "column_name", "left")
-    counts = raw.agg(F.count(F.lit(1)).alias("source_rows")).withColumn("_k", F.lit(0))
-    ccount = clean.agg(F.count(F.lit(1)).alias("clean_rows")).withColumn("_k", F.lit(0))
-    dup = PR.duplicate_rows(raw).withColumn("_k", F.lit(0))
-    parts = [
-        counts, ccount, dup,
-        _one(col_entries, "columns", ["column_name"]),
-        S.date_range(clean).withColumn("_k", F.lit(0)),
-        _one(S.type_totals(clean), "type_totals", ["type"]),
-        _one(S.category_breakdown(clean), "category_breakdown", ["category", "type"]),
-        _one(S.account_breakdown(clean), "account_breakdown", ["account"]),
-        PR.amount_stats(clean).withColumn("_k", F.lit(0)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "_k")
-    structural = F.struct(
-        F.col("source_rows").alias("row_count"), F.lit(len(raw.columns)).alias("column_count"),
-        F.col("columns"), F.col("duplicate_rows"),
-    )
-    statistical = F.struct(
-        F.struct("min_date", "max_date", "row_count").alias("date_range"),
-        "type_totals", "category_breakdown", "account_breakdown",
-        F.struct("min_amount", "max_amount", "avg_amount", "std_amount", "median").alias("amount_stats"),
-    )
-    rep = out.select(
-        F.current_timestamp().alias("generated_at"),
-        "source_rows", "clean_rows",
-        (F.col("source_rows") - F.col("clean_rows")).alias("rows_dropped_in_transform"),
-        structural.alias("structural"), statistical.alias("statistical"),
-    )
-    return rep.withColumn("report_json", F.to_json(F.struct(*[F.col(c) for c in rep.columns])))
-
-
-def profiling_summary(report: DataFrame) -> DataFrame:
-    """Condensed summary (C21): per-column dtype, null %, distinct count and the headline figures."""
-    cols = F.transform(F.col("structural.columns"), lambda c: F.struct(
-        c["column_name"].alias("column_name"), c["dtype"].alias("dtype"), c["null_pct"].alias("null_pct"),
-        c["unique_count"].alias("unique_count")))
-    return report.select(
-        "source_rows", "clean_rows", "rows_dropped_in_transform",
-        F.col("structural.duplicate_rows").alias("duplicate_rows"), cols.alias("columns"),
-        F.col("statistical.date_range").alias("date_range"), F.col("statistical.amount_stats").alias("amount_stats"),
-    )
+    """One row: ``report_json`` with generated_at, counts, structural and statistical sections."""
+    counts = headline_counts(raw, clean)
+    structural = json_object([
+        ("row_count", counts.select(F.col("source_rows").alias("row_count"))),
+        ("column_count", counts.select(F.lit(len(raw.columns)).alias("column_count"))),
+        ("columns", _listed(column_entries(raw), "columns", ["column_name"])),
+        ("duplicate_rows", counts.select("duplicate_rows")),
+    ], out="structural")
+    amount = PR.amount_stats(clean)
+    statistical = json_object([
+        ("date_range", S.date_range(clean).select(F.struct("min_date", "max_date", "row_count").alias("date_range"))),
+        ("type_totals", _listed(S.type_totals(clean), "type_totals", ["type"])),
+        ("category_breakdown", _listed(S.category_breakdown(clean), "category_breakdown", ["category", "type"])),
+        ("account_breakdown", _listed(S.account_breakdown(clean), "account_breakdown", ["account"])),
+        ("amount_stats", amount.select(F.struct(*amount.columns).alias("amount_stats"))),
+    ], out="statistical")
+    return json_object([
+        ("generated_at", counts.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"))),
+        ("source_rows", counts.select("source_rows")),
+        ("clean_rows", counts.select("clean_rows")),
+        ("rows_dropped_in_transform", counts.select("rows_dropped_in_transform")),
+        ("structural", structural, True),
+        ("statistical", statistical, True),
+    ], out="report_json")
+
+
+def profiling_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """Condensed summary (C21): headline counts, and per column only dtype, null % and distinct count."""
+    counts = headline_counts(raw, clean)
+    cols = PR.column_profile(raw).select("column_name", "dtype", "null_pct", "unique_count")
+    listed = _listed(cols, "columns", ["column_name"])
+    return merge_columns([counts, listed.select(F.to_json("columns").alias("columns_json"))])
 
 
 def write_report(report: DataFrame, report_dir: str) -> str:
