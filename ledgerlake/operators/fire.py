@@ -44,10 +44,22 @@ DEFAULT_WITHDRAWAL = 4.0
 POW_BITS = 11  # exponents below 2048 months, more than 84 years
 
 
-def monthly_return(annual_pct) -> Column:
+def monthly_return(annual_pct, compounding: str = "effective") -> Column:
+    """Monthly rate from an annual percentage.
+
+    ``effective`` (the planner's rule): (1 + R/100)^(1/12) - 1; ``nominal``: R/100/12.
+    """
+    if compounding == "nominal":
+        return col_or(annual_pct) / F.lit(1200.0)
     return F.pow(F.lit(1.0) + col_or(annual_pct) / F.lit(100.0), F.lit(1.0 / 12.0)) - F.lit(1.0)
 
 
+def real_return_pct(nominal_pct, inflation_pct) -> Column:
+    """Inflation-adjusted annual return in percent: ((1 + R) / (1 + i) - 1) * 100."""
+    return ((F.lit(1.0) + col_or(nominal_pct) / F.lit(100.0)) / (F.lit(1.0) + col_or(inflation_pct) / F.lit(100.0))
+            - F.lit(1.0)) * F.lit(100.0)
+
+
 def with_powers(df: DataFrame, base, prefix: str = "_g") -> DataFrame:
     """Add columns prefix0..prefix{POW_BITS-1} = base^(2^i); one projection per step (no tree blow-up)."""
     df = df.withColumn(f"{prefix}0", col_or(base))

@@ -607,3 +607,7 @@ SELECT budget_id, '2-HIGH', 250.0, NULL, NULL, '2025-02-01', NULL FROM cre"""
 SQL["stream_append_dedup"] = with_(L3) + """SELECT transaction_id, transaction_date, year_month, category, type, account, entity_id,
        CAST(amount AS DOUBLE) AS amount FROM l3"""
 SQL["stream_monthly_summary"] = with_(L3) + monthly_with_rate("l3", by="entity_id")
+
+
+SQL["sql_passthrough"] = with_(L2) + """SELECT category, type, CAST(SUM(amount) AS DOUBLE) AS total_amount, COUNT(*) AS transaction_count
+FROM l2 WHERE year_month = '1998-03' AND type = 'Expense' GROUP BY category, type"""

@@ -490,3 +490,12 @@ def q_profile_report_json(spark, sf):
     raw = TD.lineitem_raw_log(spark, sf)
     clean = CN.clean_transactions(raw, source="lineitem", mapping=TD.LINEITEM_MAPPING)
     return PF.profile_report(raw, clean)
+
+
+@register("sql_passthrough")
+def q_sql_passthrough(spark, sf):
+    ST.register(l2(spark, sf), "transactions")
+    return ST.run_query(spark, """
+        SELECT category, type, CAST(SUM(amount) AS DOUBLE) AS total_amount, COUNT(*) AS transaction_count
+        FROM transactions WHERE year_month = ? AND type = ?
+        GROUP BY category, type""", ["1998-03", "Expense"])

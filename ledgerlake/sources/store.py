@@ -25,6 +25,23 @@ from pyspark.sql import types as T
 VERSION_PREFIX = "v"
 
 
+# --- SQL access (S5, S6) --------------------------------------------------------------
+def register(df: DataFrame, name: str = "transactions") -> DataFrame:
+    """Expose a frame to SQL under ``name`` (a temporary view; nothing is copied)."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def run_query(spark: SparkSession, sql: str, params: Sequence[object] | Mapping[str, object] | None = None) -> DataFrame:
+    """Ad-hoc SQL with positional ``?`` (list) or named ``:name`` (dict) parameters, bound by Spark."""
+    return spark.sql(sql, args=params) if params else spark.sql(sql)
+
+
+def cache_key(*cols: Column | str) -> Column:
+    """Deterministic key of a document and a question (D7): sha256 of their JSON/text, for de-duplicating reports."""
+    return F.sha2(F.concat_ws("\u0001", *[F.col(c) if isinstance(c, str) else c for c in cols]), 256)
+
+
 # --- pure DataFrame operators -------------------------------------------------------
 def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction_id") -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``existing``.
