@@ -45,10 +45,10 @@ def pct_change(cur, prev) -> Column:
 
 
 def format_money(c, currency: str = "BYN") -> Column:
-    """``1,234.56 BYN``; a dash when null."""
-    return F.coalesce(F.concat(F.format_number(col_or(c), 2), F.lit(" " + currency)), F.lit("—"))
+    """``1,234.56 BYN``; a dash when null. Rounded like ``round_dec`` (ties away from zero)."""
+    return F.coalesce(F.concat(F.format_number(round_dec(c, 2), 2), F.lit(" " + currency)), F.lit("—"))
 
 
 def format_pct(c) -> Column:
-    """``+1.23%``; a dash when null."""
-    return F.coalesce(F.format_string("%+.2f%%", col_or(c)), F.lit("—"))
+    """``+1.23%``; a dash when null. Rounded like ``round_dec`` (ties away from zero)."""
+    return F.coalesce(F.format_string("%+.2f%%", round_dec(c, 2)), F.lit("—"))

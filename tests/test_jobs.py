@@ -69,8 +69,9 @@ def test_ddl_and_sql_access(spark):
 def test_formatting_and_rounding(spark):
     df = spark.createDataFrame([(1234.567, 1.005), (None, -2.5)], "v double, p double")
     rows = df.select(format_money("v").alias("m"), format_pct("p").alias("p"), round_dec("p", 2).alias("r")).collect()
-    # like Python's f"{x:+.2f}": the binary value of 1.005 is just below the tie
-    assert rows[0].m == "1,234.57 BYN" and rows[0].p == f"{1.005:+.2f}%"
+    # ties round away from zero on the decimal value, as everywhere in the library
+    # (Python's f"{1.005:+.2f}" gives +1.00 from the binary value just below the tie)
+    assert rows[0].m == "1,234.57 BYN" and rows[0].p == "+1.01%"
     assert rows[1].m == "—" and rows[1].p == "-2.50%" and rows[1].r == -2.5
     assert rows[0].r == 1.01  # half away from zero on the decimal value
 
