@@ -611,3 +611,18 @@ SQL["stream_monthly_summary"] = with_(L3) + monthly_with_rate("l3", by="entity_i
 
 SQL["sql_passthrough"] = with_(L2) + """SELECT category, type, CAST(SUM(amount) AS DOUBLE) AS total_amount, COUNT(*) AS transaction_count
 FROM l2 WHERE year_month = '1998-03' AND type = 'Expense' GROUP BY category, type"""
+
+
+def _raw_profile_arm(c: str) -> str:
+    return (f"SELECT '{c}' AS column_name, 'string' AS dtype, "
+            f"{R(f'COUNT_IF({c} IS NULL) * 100.0 / COUNT(*)')} AS null_pct, COUNT(DISTINCT {c}) AS unique_count FROM raw")
+
+
+SQL["profile_report"] = with_(RAW_L2) + """, cols AS (""" + "\nUNION ALL\n".join(
+    _raw_profile_arm(c) for c in ["date_time", "category", "account", "amount", "currency", "tags"]) + """),
+dup AS (SELECT COALESCE(SUM(c - 1), 0) AS duplicate_rows
+        FROM (SELECT COUNT(*) AS c FROM raw GROUP BY date_time, category, account, amount, currency, tags) g)
+SELECT (SELECT COUNT(*) FROM raw) AS source_rows, (SELECT COUNT(*) FROM raw) AS clean_rows,
+       0 AS rows_dropped_in_transform, (SELECT duplicate_rows FROM dup) AS duplicate_rows,
+       (SELECT CAST(to_json(list(struct_pack(column_name := column_name, dtype := dtype, null_pct := null_pct,
+                                             unique_count := unique_count) ORDER BY column_name)) AS VARCHAR) FROM cols) AS columns_json"""
