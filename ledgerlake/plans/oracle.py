@@ -296,7 +296,7 @@ def budget_status_sql(src: str, by: str = "", where: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
     return f"""SELECT {b}category, {R('monthly_limit')} AS monthly_limit, {R('CAST(act AS DOUBLE)')} AS actual,
        {R('CAST(over AS DOUBLE)')} AS over_under, over > 0 AS is_over,
-       CASE WHEN over > 0 THEN row_number() OVER ({part}ORDER BY over DESC, category ASC) END AS over_rank
+       CASE WHEN over > 0 THEN CAST(row_number() OVER ({part}ORDER BY over DESC, category ASC) AS INTEGER) END AS over_rank
 FROM ({budget_cmp_sql(src, by, where)}) c"""
 
 
@@ -458,7 +458,7 @@ def _proj_sql() -> str:
         "CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) * GREATEST(0.0, (CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) - amount) "
         "/ (CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1))) ELSE CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) END) END AS _adj,",
         1)
-    return (f"SELECT entity_id, scenario_id, scenario, month, {R('_net * month')} AS baseline_cumulative_net, "
+    return (f"SELECT entity_id, scenario_id, scenario, CAST(month AS INTEGER) AS month, {R('_net * month')} AS baseline_cumulative_net, "
             f"{R('_adj * month')} AS adjusted_cumulative_net FROM ({inner}) w "
             "CROSS JOIN LATERAL (SELECT unnest(generate_series(0, w.months_forward)) AS month) g")
 
@@ -468,7 +468,7 @@ SQL["whatif_projection"] = _proj_sql()
 _C = "GREATEST(monthly_income - monthly_expense, 0.0)"
 _r = "(pow(1.0 + annual_return_pct / 100.0, CAST(1.0 AS DOUBLE) / CAST(12.0 AS DOUBLE)) - 1.0)"
 _GM = int_pow_sql("m")
-SQL["fire_projection"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, m AS month, {R('current_age + m / 12.0', 4)} AS age,
+SQL["fire_projection"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, CAST(m AS INTEGER) AS month, {R('current_age + m / 12.0', 4)} AS age,
        {R(f"CASE WHEN {_r} = 0 THEN current_savings + {_C} * m ELSE current_savings * {_GM} + {_C} * ({_GM} - 1.0) / {_r} END")} AS portfolio_value
 FROM ({with_powers_sql('SELECT * FROM inputs', '1.0 + ' + _r)}) i CROSS JOIN LATERAL (SELECT unnest(generate_series(0, (target_age - current_age) * 12)) AS m) g"""
 
@@ -519,11 +519,11 @@ _ORDERS_COLS = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True), (
 def _profile_arm(c: str, dtype: str, num: bool) -> str:
     if num:
         nums = (f"CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max, {R(f'AVG(CAST({c} AS DOUBLE))', 6)} AS mean, "
-                f"COUNT_IF({c} < 0) AS negative_count, COUNT_IF({c} = 0) AS zero_count")
+                f"CAST(COUNT_IF({c} < 0) AS BIGINT) AS negative_count, CAST(COUNT_IF({c} = 0) AS BIGINT) AS zero_count")
     else:
         nums = ("CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, "
                 "CAST(NULL AS BIGINT) AS negative_count, CAST(NULL AS BIGINT) AS zero_count")
-    return (f"SELECT '{c}' AS column_name, '{dtype}' AS dtype, COUNT_IF({c} IS NULL) AS null_count, "
+    return (f"SELECT '{c}' AS column_name, '{dtype}' AS dtype, CAST(COUNT_IF({c} IS NULL) AS BIGINT) AS null_count, "
             f"{R(f'COUNT_IF({c} IS NULL) * 100.0 / COUNT(*)')} AS null_pct, COUNT(DISTINCT {c}) AS unique_count, {nums} FROM orders")
 
 
@@ -531,10 +531,10 @@ SQL["column_profile"] = "\nUNION ALL\n".join(_profile_arm(*x) for x in _ORDERS_C
 SQL["top_values"] = "\nUNION ALL\n".join(
     f"""SELECT column_name, value, count, rank FROM (
   SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count,
-         row_number() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) ASC) AS rank
+         CAST(row_number() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) ASC) AS INTEGER) AS rank
   FROM orders WHERE {c} IS NOT NULL GROUP BY 2) t WHERE rank <= 10"""
     for c, _, num in _ORDERS_COLS if not num)
-SQL["duplicate_rows"] = with_(RAW_L2) + """SELECT COALESCE(SUM(c - 1), 0) AS duplicate_rows
+SQL["duplicate_rows"] = with_(RAW_L2) + """SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows
 FROM (SELECT date_time, account, currency, tags, COUNT(*) AS c FROM raw GROUP BY ALL) g"""
 
 
@@ -623,6 +623,6 @@ SQL["profile_report"] = with_(RAW_L2) + """, cols AS (""" + "\nUNION ALL\n".join
 dup AS (SELECT COALESCE(SUM(c - 1), 0) AS duplicate_rows
         FROM (SELECT COUNT(*) AS c FROM raw GROUP BY date_time, category, account, amount, currency, tags) g)
 SELECT (SELECT COUNT(*) FROM raw) AS source_rows, (SELECT COUNT(*) FROM raw) AS clean_rows,
-       0 AS rows_dropped_in_transform, (SELECT duplicate_rows FROM dup) AS duplicate_rows,
+       CAST(0 AS BIGINT) AS rows_dropped_in_transform, CAST((SELECT duplicate_rows FROM dup) AS BIGINT) AS duplicate_rows,
        (SELECT CAST(to_json(list(struct_pack(column_name := column_name, dtype := dtype, null_pct := null_pct,
                                              unique_count := unique_count) ORDER BY column_name)) AS VARCHAR) FROM cols) AS columns_json"""
