@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import pct_change, round_dec
 from ..functions.filters import apply_filter
-from .summary import EXPENSE, expense_amt, income_amt
+from .summary import EXPENSE, expense_amt, income_amt, n_rows
 
 
 def _monthly_decimal(ledger: DataFrame, filters, by: Sequence[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def yearly_trends(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> Da
     """Yearly income/expense/net with year-over-year change (D4 trend mart)."""
     df = apply_filter(ledger, filters)
     g = df.groupBy(*by, "year").agg(F.sum(income_amt()).alias("_inc"), F.sum(expense_amt()).alias("_exp"),
-                                    F.count(F.lit(1)).alias("transaction_count"))
+                                    n_rows(df).alias("transaction_count"))
     w = Window.partitionBy(*by).orderBy("year")
     exp = F.col("_exp").cast("double")
     return g.select(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.assemble import json_object
+from ..session import ensure_checkpoint_dir
 from ..functions.exprs import round_dec
 from ..functions.filters import LedgerFilter
 from ..operators import budget as BU
@@ -65,21 +66,32 @@ def _nested(df: DataFrame, by: Sequence[str], name: str, order: Sequence[str]) -
     return df.groupBy(*by).agg(F.transform(lst, lambda e: e["v"]).alias(name))
 
 
-def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), plans: DataFrame | None = None) -> DataFrame:
+def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), plans: DataFrame | None = None,
+                      materialize: bool = True) -> DataFrame:
     """One row per entity: ``by`` columns + ``context_json``.
 
-    The sections are gathered without joins (``functions.assemble``): one
-    union of small per-entity rows and one aggregate per entity.
+    Every section is computed from one (entity, month, category, type,
+    account) pre-aggregate. With ``materialize`` (default) it is written once
+    with ``checkpoint()`` to the shared ``spark.checkpoint.dir``: the raw
+    ledger is scanned and shuffled once, the ten sections read the small
+    checkpointed table, and a lost executor re-reads it instead of re-scanning
+    the ledger. The sections are gathered without joins
+    (``functions.assemble``): one union of small per-entity rows and one
+    aggregate per entity.
     """
     spec = LedgerFilter.of(filters)
     by = list(by)
-    monthly = S.monthly_summary(ledger, spec, by)
-    kpi = S.kpi_totals(ledger, spec, by)
-    top_exp = S.top_categories(ledger, 5, "Expense", spec, by).withColumn("_rank", -F.col("total_amount"))
-    top_inc = S.top_categories(ledger, 3, "Income", spec, by).withColumn("_rank", -F.col("total_amount"))
-    trends = TR.monthly_trends(ledger, spec, by)
-    accounts = S.account_breakdown(ledger, spec, by)
-    health = HE.health_score(ledger, spec, by, snapshot=True)
+    base = S.preaggregate(ledger, spec, by)
+    if materialize:
+        ensure_checkpoint_dir(base.sparkSession)
+        base = base.checkpoint(eager=True)
+    monthly = S.monthly_summary(base, by=by)
+    kpi = S.kpi_totals(base, by=by)
+    top_exp = S.top_categories(base, 5, "Expense", by=by).withColumn("_rank", -F.col("total_amount"))
+    top_inc = S.top_categories(base, 3, "Income", by=by).withColumn("_rank", -F.col("total_amount"))
+    trends = TR.monthly_trends(base, by=by)
+    accounts = S.account_breakdown(base, by=by)
+    health = HE.health_score(base, by=by, snapshot=True)
 
     period = F.struct(F.lit(spec.start_ym).cast("string").alias("start"), F.lit(spec.end_ym).cast("string").alias("end"))
     sections = [
@@ -99,9 +111,9 @@ def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), p
          health.select(*by, F.struct(*[c for c in health.columns if c not in by]).alias("financial_health_score"))),
     ]
     if plans is not None:
-        st = BU.budget_status(ledger, plans, spec, by)
+        st = BU.budget_status(base, plans, by=by)
         sections.append(("budget_status", _nested(st.drop("is_over"), by, "budget_status", ["category"])))
-        sections.append(("budget_overrun", BU.over_budget_total(ledger, plans, spec, by).select(
+        sections.append(("budget_overrun", BU.over_budget_total(base, plans, by=by).select(
             *by, F.struct("total_over_budget_amount", "n_over_budget").alias("budget_overrun"))))
     for name, df in sections:
         assert_aggregate_only(df.select(name).schema)
