@@ -194,17 +194,31 @@ def fire_withdrawal_scenarios(inputs: DataFrame, by: Sequence[str] = (), rates=W
 
 
 def fire_projection(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Portfolio value per month from current to target age (the planner's chart series)."""
-    r = monthly_return("annual_return_pct")
-    x = with_powers(inputs, F.lit(1.0) + r).select("*", F.explode(F.sequence(F.lit(0), _horizon())).alias("m"))
+    """Portfolio value per month from current to target age (the planner's chart series).
+
+    Rate, contribution and the powers of 1 + r are computed once per entity
+    before the months are generated; each generated row multiplies at most
+    ``POW_BITS`` of them.
+    """
+    x = inputs.withColumn("_r", monthly_return("annual_return_pct")).withColumn("_c", _contribution())
+    x = with_powers(x, F.lit(1.0) + F.col("_r"))
+    x = x.select(*by, "current_age", "current_savings", "_r", "_c", *[f"_g{i}" for i in range(POW_BITS)],
+                 F.explode(F.sequence(F.lit(0), _horizon_of(x))).alias("m"))
+    x = x.withColumn("_gm", int_pow("m"))
+    S, c, r, g, m = F.col("current_savings"), F.col("_c"), F.col("_r"), F.col("_gm"), F.col("m")
+    bal = F.when(r == 0, S + c * m).otherwise(S * g + c * (g - F.lit(1.0)) / r)
     return x.select(
         *by,
-        F.col("m").alias("month"),
-        round_dec(F.col("current_age") + F.col("m") / F.lit(12.0), 4).alias("age"),
-        round_dec(balance_at("current_savings", _contribution(), r, "m")).alias("portfolio_value"),
+        m.alias("month"),
+        round_dec(F.col("current_age") + m / F.lit(12.0), 4).alias("age"),
+        round_dec(bal).alias("portfolio_value"),
     )
 
 
+def _horizon_of(df: DataFrame) -> Column:
+    return (F.col("target_age") - F.col("current_age")) * 12
+
+
 def future_value(amount, r, months, prefix: str = "_g") -> Column:
     """Future value of a monthly contribution, closed form of fv = fv * (1 + r) + a;
     needs ``with_powers(df, 1 + r, prefix)``."""
