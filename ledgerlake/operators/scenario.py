@@ -27,7 +27,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import round_dec
 from ..functions.filters import apply_filter
@@ -56,26 +55,13 @@ DEFAULT_SCENARIOS = (
     Scenario("Increase Income", "increase_income", pct=5),
 )
 
-SCENARIO_TYPE = T.StructType(
-    [
-        T.StructField("scenario_id", T.IntegerType()),
-        T.StructField("scenario", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("pct", T.DoubleType()),
-        T.StructField("amount", T.DoubleType()),
-        T.StructField("annual_return_pct", T.DoubleType()),
-        T.StructField("months_forward", T.IntegerType()),
-        T.StructField("keywords", T.ArrayType(T.StringType())),
-    ]
-)
-
 MAX_SCENARIOS = 1000
 
 
 def scenario_array(scenarios: Sequence[Scenario]) -> Column:
     """The scenario list as one literal array column (size checked: it is replicated per entity)."""
     if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError("scenario list too large to attach per entity; pass a keyed scenario table instead")
+        raise ValueError(f"at most {MAX_SCENARIOS} scenarios are attached per entity")
     items = []
     for i, s in enumerate(scenarios):
         kws = [F.lit(k.lower()) for k in s.keywords]

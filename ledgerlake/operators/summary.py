@@ -16,7 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dsum, round_dec, safe_div
+from ..functions.exprs import dsum, round_dec
 from ..functions.filters import LedgerFilter, apply_filter
 
 INCOME = "Income"

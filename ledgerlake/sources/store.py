@@ -18,7 +18,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
