@@ -470,7 +470,8 @@ def q_stream_monthly_summary(spark, sf):
     root = scratch_path(spark, "stream-summary")
     s = _event_stream(spark, sf)
     IN.run_to_completion(lambda: IN.start_monthly_summary(s, f"{root}/table", f"{root}/ck", by=BY))
-    return ST.read_current(spark, f"{root}/table")
+    return spark.read.parquet(f"{root}/table").select(*BY, "year_month", "total_income", "total_expense", "net",
+                                                      "transaction_count", "savings_rate_pct")
 
 
 # --- jobs -----------------------------------------------------------------------

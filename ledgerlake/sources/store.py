@@ -234,3 +234,32 @@ def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], partition_b
     )
     path = write_version(merged.drop("_op"), root, partition_by)
     return {"path": path, **obs.get}
+
+
+# --- partition-scoped upsert for large partitioned tables -----------------------------
+def upsert_partitions(updates: DataFrame, root: str, keys: Sequence[str], partition_by: Sequence[str] = ("year_month",)) -> str:
+    """Keyed upsert that rewrites only the partitions the updates touch.
+
+    Reads the touched partitions (a semi-join on the partition columns, which
+    dynamic partition pruning turns into partition skipping), replaces rows by
+    key, and writes them back with dynamic partition overwrite; all other
+    partitions are left as they are. Valid when the partition value is a
+    function of the key (a transaction id hashes its datetime; a summary is
+    keyed by its month), so a key never moves between partitions. A failure
+    before the commit leaves the table unchanged; for a commit that is atomic
+    across partitions, use ``upsert_table`` (versioned) or a transactional
+    table format.
+    """
+    spark = updates.sparkSession
+    keys, parts = list(keys), list(partition_by)
+    fs, p = _fs(spark, root)
+    if not fs.exists(p) or not fs.listStatus(p):
+        merged = updates
+    else:
+        cur = spark.read.parquet(root)
+        touched = updates.select(*parts).distinct()
+        cur_t = cur.join(touched, parts, "left_semi")
+        merged = upsert(cur_t, updates.select(*cur.columns), keys)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).parquet(root))
+    return root

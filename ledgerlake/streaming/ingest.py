@@ -13,7 +13,10 @@ X2 ``start_monthly_summary``: the same de-duplicated stream aggregated per
 
 Both sinks are idempotent under retries: the append sink writes each batch to
 its own ``batch_id=N`` folder (overwritten on retry) and checks keys only
-against earlier batches; the summary sink's upsert is idempotent by key.
+against earlier batches; the summary sink's upsert is idempotent by key and
+rewrites only the month partitions the batch touched. At scale, run with the
+RocksDB state store provider: aggregation state is one row per (entity,
+month), de-duplication state is bounded by the watermark.
 """
 
 from __future__ import annotations
@@ -75,7 +78,8 @@ def _summary_batch(table_root: str, keys: Sequence[str]):
             F.col("_net").cast("double").alias("net"),
             "transaction_count",
         ).withColumn("savings_rate_pct", savings_rate("net", "total_income"))
-        ST.upsert_table(out, table_root, list(keys))
+        # only the months this batch touched are rewritten
+        ST.upsert_partitions(out, table_root, list(keys), ["year_month"])
 
     return run
 
