@@ -18,6 +18,8 @@ Scenario kinds (C7-C11):
 * ``increase_investment``: net - amount; the amount compounds monthly at
   r = (1 + R/100)^(1/12) - 1 for ``months_forward`` months (closed form).
 * ``increase_income``: income x (1 + pct/100).
+* ``one_time_expense`` (design-doc item D5): a single outlay of ``amount`` in
+  month 1; the monthly figures are unchanged, the cumulative net is lower by it.
 """
 
 from __future__ import annotations
@@ -140,6 +142,7 @@ def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_
         .otherwise(exp)
     )
     is_inv = kind == "increase_investment"
+    once = F.when((kind == "one_time_expense") & (F.col("months_forward") >= 1), F.col("amount")).otherwise(F.lit(0.0))
     adj_net = F.when(is_inv, net - F.col("amount")).otherwise(adj_inc - adj_exp)
     h = F.col("months_forward")
     r = monthly_return("annual_return_pct")
@@ -158,28 +161,30 @@ def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_
         round_dec(adj_net).alias("adjusted_net_monthly"),
         round_dec(adj_net - net).alias("net_monthly_change"),
         round_dec(net * h).alias("baseline_cumulative_net"),
-        round_dec(adj_net * h).alias("adjusted_cumulative_net"),
+        round_dec(adj_net * h - once).alias("adjusted_cumulative_net"),
         F.when(is_inv, round_dec(fv)).alias("future_value_after_months"),
         F.when(is_inv, round_dec(F.col("amount") * h)).alias("total_contributed"),
         F.when(is_inv, round_dec(fv - F.col("amount") * h)).alias("investment_growth"),
         net.alias("_net"),
         adj_net.alias("_adj_net"),
+        F.when(kind == "one_time_expense", F.col("amount")).otherwise(F.lit(0.0)).alias("_once"),
     )
     return out
 
 
 def whatif_projection(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative net for months 0..H, baseline and adjusted (C12); rows = (by, scenario) x (H + 1)."""
-    x = results.select(*by, "scenario_id", "scenario", "_net", "_adj_net",
+    x = results.select(*by, "scenario_id", "scenario", "_net", "_adj_net", "_once",
                        F.explode(F.sequence(F.lit(0), F.col("months_forward"))).alias("month"))
+    once = F.when(F.col("month") >= 1, F.col("_once")).otherwise(F.lit(0.0))
     return x.select(
         *by, "scenario_id", "scenario", "month",
         round_dec(F.col("_net") * F.col("month")).alias("baseline_cumulative_net"),
-        round_dec(F.col("_adj_net") * F.col("month")).alias("adjusted_cumulative_net"),
+        round_dec(F.col("_adj_net") * F.col("month") - once).alias("adjusted_cumulative_net"),
     )
 
 
 def scenario_results(ledger: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS, filters=None,
                      by: Sequence[str] = ()) -> DataFrame:
     """``whatif_scenarios`` without the internal columns."""
-    return whatif_scenarios(ledger, scenarios, filters, by).drop("_net", "_adj_net")
+    return whatif_scenarios(ledger, scenarios, filters, by).drop("_net", "_adj_net", "_once")

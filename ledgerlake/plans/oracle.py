@@ -380,7 +380,7 @@ SELECT {by}, scenario_id, scenario, months_forward,
        {R(net)} AS baseline_net_monthly, {R(adj_net)} AS adjusted_net_monthly,
        {R(f'{adj_net} - {net}')} AS net_monthly_change,
        {R(f'{net} * months_forward')} AS baseline_cumulative_net,
-       {R(f'{adj_net} * months_forward')} AS adjusted_cumulative_net,
+       {R(f"{adj_net} * months_forward - (CASE WHEN kind = 'one_time_expense' AND months_forward >= 1 THEN amount ELSE 0.0 END)")} AS adjusted_cumulative_net,
        CASE WHEN {inv} THEN {R(fv)} END AS future_value_after_months,
        CASE WHEN {inv} THEN {R('amount * months_forward')} END AS total_contributed,
        CASE WHEN {inv} THEN {R(f'{fv} - amount * months_forward')} END AS investment_growth
@@ -433,7 +433,8 @@ FROM (SELECT *, CAST({fire_month_sql('annual_return_pct', 'fn')} AS INTEGER) AS
 
 from ..operators.scenario import DEFAULT_SCENARIOS as _DEF, Scenario as _Sc  # noqa: E402
 
-_WHATIF = _DEF + (_Sc("Reduce Low-Priority Spending", "reduce_category", pct=20, months_forward=24, keywords=("low", "specified")),)
+_WHATIF = _DEF + (_Sc("Reduce Low-Priority Spending", "reduce_category", pct=20, months_forward=24, keywords=("low", "specified")),
+                  _Sc("One-time Purchase", "one_time_expense", amount=5000.0, months_forward=36))
 _INV = (_Sc("Invest 10%", "increase_investment", amount=100.0, annual_return_pct=7.0, months_forward=36),
         _Sc("Invest at 0%", "increase_investment", amount=100.0, annual_return_pct=0.0, months_forward=12))
 SQL["whatif_scenarios"] = whatif_sql("l1", _WHATIF)
@@ -449,6 +450,7 @@ def _proj_sql() -> str:
     inner = whatif_sql("l1", _WHATIF).replace(
         "SELECT entity_id, scenario_id, scenario, months_forward,",
         "SELECT entity_id, scenario_id, scenario, months_forward, " + _NET + " AS _net, "
+        "CASE WHEN kind = 'one_time_expense' THEN amount ELSE 0.0 END AS _once, "
         "CASE WHEN kind = 'increase_investment' THEN " + _NET + " - amount ELSE "
         "(CASE WHEN kind = 'increase_income' THEN CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1) * (1.0 + pct / 100.0) "
         "ELSE CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1) END) - "
@@ -459,7 +461,7 @@ def _proj_sql() -> str:
         "/ (CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1))) ELSE CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1) END) END AS _adj,",
         1)
     return (f"SELECT entity_id, scenario_id, scenario, CAST(month AS INTEGER) AS month, {R('_net * month')} AS baseline_cumulative_net, "
-            f"{R('_adj * month')} AS adjusted_cumulative_net FROM ({inner}) w "
+            f"{R(chr(40) + '_adj * month - (CASE WHEN month >= 1 THEN _once ELSE 0.0 END)' + chr(41))} AS adjusted_cumulative_net FROM ({inner}) w "
             "CROSS JOIN LATERAL (SELECT unnest(generate_series(0, w.months_forward)) AS month) g")
 
 
@@ -626,3 +628,11 @@ SELECT (SELECT COUNT(*) FROM raw) AS source_rows, (SELECT COUNT(*) FROM raw) AS
        CAST(0 AS BIGINT) AS rows_dropped_in_transform, CAST((SELECT duplicate_rows FROM dup) AS BIGINT) AS duplicate_rows,
        (SELECT CAST(to_json(list(struct_pack(column_name := column_name, dtype := dtype, null_pct := null_pct,
                                              unique_count := unique_count) ORDER BY column_name)) AS VARCHAR) FROM cols) AS columns_json"""
+
+
+SQL["top_anomalies"] = with_(L2) + f"""SELECT * FROM ({anomalies_sql('l2')}) a
+ORDER BY abs(z_score) DESC, category, year_month LIMIT 15"""
+SQL["category_breakdown_by_entity"] = with_(L1) + category_sql("l1", by="entity_id")
+SQL["account_breakdown_by_entity"] = with_(L2) + account_sql("l2", by="entity_id")
+SQL["date_range_by_entity"] = with_(L3) + """SELECT entity_id, MIN(transaction_date) AS min_date, MAX(transaction_date) AS max_date,
+       COUNT(*) AS row_count FROM l3 GROUP BY entity_id"""

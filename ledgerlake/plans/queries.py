@@ -244,6 +244,7 @@ from ..operators import scenario as SC  # noqa: E402
 # category names, so that the category-pick path runs on real rows too.
 WHATIF_SCENARIOS = SC.DEFAULT_SCENARIOS + (
     SC.Scenario("Reduce Low-Priority Spending", "reduce_category", pct=20, months_forward=24, keywords=("low", "specified")),
+    SC.Scenario("One-time Purchase", "one_time_expense", amount=5000.0, months_forward=36),
 )
 
 
@@ -500,3 +501,23 @@ def q_sql_passthrough(spark, sf):
         SELECT category, type, CAST(SUM(amount) AS DOUBLE) AS total_amount, COUNT(*) AS transaction_count
         FROM transactions WHERE year_month = ? AND type = ?
         GROUP BY category, type""", ["1998-03", "Expense"])
+
+
+@register("top_anomalies")
+def q_top_anomalies(spark, sf):
+    return AN.top_anomalies(AN.detect_anomalies(l2(spark, sf), 2.0), 15)
+
+
+@register("category_breakdown_by_entity")
+def q_category_breakdown_by_entity(spark, sf):
+    return S.category_breakdown(l1(spark, sf), by=BY)
+
+
+@register("account_breakdown_by_entity")
+def q_account_breakdown_by_entity(spark, sf):
+    return S.account_breakdown(l2(spark, sf), by=BY)
+
+
+@register("date_range_by_entity")
+def q_date_range_by_entity(spark, sf):
+    return S.date_range(l3(spark, sf), by=BY)
