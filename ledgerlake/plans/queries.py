@@ -383,7 +383,7 @@ def q_append_new_rows(spark, sf):
     led = l1(spark, sf).select("transaction_id", "year_month", F.col("amount").cast("double").alias("amount"))
     existing = led.where(F.col("year_month") < "1998-01")
     incoming = led.where(F.col("year_month") >= "1997-07")
-    return existing.unionByName(ST.append_new(existing, incoming))
+    return existing.unionByName(ST.append_new(existing, incoming, partition_cols=["year_month"]))
 
 
 @register("upsert_by_key")

@@ -43,14 +43,47 @@ def cache_key(*cols: Column | str) -> Column:
 
 
 # --- pure DataFrame operators -------------------------------------------------------
-def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction_id") -> DataFrame:
+def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction_id",
+               partition_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``existing``.
 
     As in the source, duplicates inside one incoming batch are not removed.
     The key is never null (ids are generated), so a plain left anti join has
-    ``NOT IN`` semantics.
+    ``NOT IN`` semantics. With ``partition_cols`` (columns that are a function
+    of the key, e.g. ``year_month`` for transaction ids, which hash the
+    datetime), only existing keys in the partitions the incoming rows touch
+    are compared: on a table partitioned by them, dynamic partition pruning
+    skips every other partition instead of shuffling all existing keys.
     """
-    return incoming.join(existing.select(key), key, "left_anti")
+    keys = restrict_to_touched(existing.select(key, *partition_cols), incoming, partition_cols)
+    return incoming.join(keys.select(key), key, "left_anti")
+
+
+MAX_STATIC_PARTITIONS = 10_000
+
+
+def restrict_to_touched(table: DataFrame, changes: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
+    """Rows of ``table`` in the partitions that ``changes`` touch.
+
+    For one partition column the distinct values of the (small) change set are
+    fetched (one job over the changes, at most ``MAX_STATIC_PARTITIONS``
+    values) and applied as a static ``IN`` filter, which prunes partitions at
+    planning time. Otherwise (or beyond the cap) it is a semi-join with the
+    broadcast distinct values, whose size is bounded by the number of
+    partitions the changes span, not by their rows.
+    """
+    cols = list(partition_cols)
+    if not cols:
+        return table
+    if len(cols) == 1:
+        vals = changes.select(cols[0]).distinct().limit(MAX_STATIC_PARTITIONS + 1).collect()
+        if len(vals) <= MAX_STATIC_PARTITIONS:
+            present = [v[0] for v in vals if v[0] is not None]
+            cond = F.col(cols[0]).isin(present) if present else F.lit(False)
+            if any(v[0] is None for v in vals):
+                cond = cond | F.col(cols[0]).isNull()
+            return table.where(cond)
+    return table.join(F.broadcast(changes.select(*cols).distinct()), cols, "left_semi")
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Column | str | None = None,
@@ -211,7 +244,7 @@ def append_table(df: DataFrame, root: str, key: str = "transaction_id", partitio
     """``mode="append"`` (S4): add rows whose key is absent; creates the table when absent."""
     spark = df.sparkSession
     cur = read_current(spark, root, df.schema)
-    out = df if cur is None else cur.unionByName(append_new(cur, df, key))
+    out = df if cur is None else cur.unionByName(append_new(cur, df, key, partition_by))
     return write_version(out, root, partition_by)
 
 
@@ -257,8 +290,7 @@ def upsert_partitions(updates: DataFrame, root: str, keys: Sequence[str], partit
         merged = updates
     else:
         cur = spark.read.parquet(root)
-        touched = updates.select(*parts).distinct()
-        cur_t = cur.join(touched, parts, "left_semi")
+        cur_t = restrict_to_touched(cur, updates, parts)
         merged = upsert(cur_t, updates.select(*cur.columns), keys)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*parts).parquet(root))

@@ -45,16 +45,17 @@ def dedup_stream(stream: DataFrame, key: str, event_time: str, watermark: str =
     return s.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def _append_batch(table_root: str, key: str):
+def _append_batch(table_root: str, key: str, month_col: str = "year_month"):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.drop("_event_time")
         fs, p = ST._fs(spark, table_root)
         if fs.exists(p) and fs.listStatus(p):
-            existing = spark.read.parquet(table_root).where(F.col("batch_id") < batch_id).select(key)
-            rows = rows.join(existing, key, "left_anti")
+            existing = spark.read.parquet(table_root).where(F.col("batch_id") < batch_id)
+            # only the months this batch touches are read (the id fixes the month)
+            rows = ST.append_new(existing, rows, key, [month_col])
         # the batch's own folder: a retried batch replaces exactly what it wrote before
-        rows.write.mode("overwrite").parquet(f"{table_root.rstrip('/')}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy(month_col).parquet(f"{table_root.rstrip('/')}/batch_id={batch_id}")
 
     return run
 

@@ -55,3 +55,22 @@ def test_month_filters_reach_the_scan(spark):
 def test_scans_read_only_needed_columns(spark):
     p = formatted(E.queries()["monthly_summary"](spark, SF))
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string>" in p
+
+
+def test_append_reads_only_touched_months(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.session import scratch_path
+    from ledgerlake.sources import store as ST
+
+    root = scratch_path(spark, "dpp")
+    base = spark.range(0, 2000).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("transaction_id"),
+                                       F.format_string("2025-%02d", (F.col("id") % 12 + 1).cast("int")).alias("year_month"))
+    base.write.partitionBy("year_month").parquet(root)
+    existing = spark.read.parquet(root)
+    incoming = spark.createDataFrame([("id5", "2025-06"), ("new", "2025-06")], "transaction_id string, year_month string")
+    out = ST.append_new(existing, incoming, partition_cols=["year_month"])
+    assert sorted(r.transaction_id for r in out.collect()) == ["new"]
+    plan = formatted(out)
+    part_filters = [line for line in plan.splitlines() if line.startswith("PartitionFilters")]
+    assert any("= 2025-06" in line for line in part_filters), part_filters
