@@ -18,7 +18,10 @@ Plans:
   (bucket counts, then the distinct values of the one or two buckets that hold
   the middle ranks), so no task ever holds more than one bucket's distinct
   values. Spark's ``median``/``percentile`` would instead merge every
-  partition's value map in a single final task.
+  partition's value map in a single final task. The whole-ledger median
+  filters rows to its (at most two) target buckets map-side; per-group
+  medians count (group, bucket, value) before joining the targets, so a hot
+  group never lands in one task.
 """
 
 from __future__ import annotations
@@ -129,10 +132,15 @@ def exact_median(df: DataFrame, col: str, by: Sequence[str] = (), scale: int = 2
     )
     t = lvl1.select("*", F.inline(ranks)).where((F.col("_lo") <= F.col("k")) & (F.col("k") < F.col("_hi")))
     targets = t.select(*by, "_b", "which", (F.col("k") - F.col("_lo")).alias("_off"))
-    # the second level reads only rows of the (at most two per group) target buckets
-    tb = targets.select(*by, "_b").distinct()
-    inb = x.join(tb, [*by, "_b"], "left_semi")
-    lvl2 = inb.groupBy(*by, "_b", "_u").agg(F.count(F.lit(1)).alias("_c2"))
+    if not by:
+        # at most two target buckets: broadcasting them is size-safe and filters rows map-side
+        inb = x.join(F.broadcast(targets.select("_b").distinct()), ["_b"], "left_semi")
+        lvl2 = inb.groupBy("_b", "_u").agg(F.count(F.lit(1)).alias("_c2"))
+    else:
+        # per group: count (group, bucket, value) first -- partially aggregated, keyed by the value,
+        # so a hot group's bucket is spread over tasks -- then keep the target buckets
+        lvl2 = x.groupBy(*by, "_b", "_u").agg(F.count(F.lit(1)).alias("_c2")).join(
+            targets.select(*by, "_b").distinct(), [*by, "_b"])
     w2 = Window.partitionBy(*by, "_b").orderBy("_u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lvl2 = lvl2.select(*by, "_b", "_u", F.sum("_c2").over(w2).alias("_hi2"), "_c2")
     lvl2 = lvl2.withColumn("_lo2", F.col("_hi2") - F.col("_c2"))
