@@ -8,9 +8,10 @@ one relational operator, the keyed upsert::
 
 Parquet files are immutable, so a table here is a folder of versions
 (``v00001``, ``v00002``, ...): an upsert reads the newest version and writes
-the next one, never overwriting a path it reads. A failed job leaves no
-``_SUCCESS`` marker and the reader skips that version, so a lost executor or a
-retried job cannot expose a half-written table.
+the next one, never overwriting a path it reads. A version becomes visible
+only once its write has committed and a row is appended to the table's
+``_versions`` log, so a lost executor or a retried job cannot expose a
+half-written table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION_PREFIX = "v"
+VERSION_LOG = "_versions"
 
 
 # --- SQL access (S5, S6) --------------------------------------------------------------
@@ -192,24 +194,31 @@ def create_tables(spark: SparkSession, tables: Mapping[str, T.StructType], locat
 
 
 # --- versioned parquet tables -------------------------------------------------------
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The parquet data at ``path``, or None when the path is missing or holds no data files."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        r = spark.read.schema(schema) if schema is not None else spark.read
+        df = r.parquet(path)
+        if schema is not None:
+            # an explicit schema skips inference; make a missing path fail here as well
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).collect()
+        return df
+    except AnalysisException:
+        return None
+
+
+def _log_path(root: str) -> str:
+    return f"{root.rstrip('/')}/{VERSION_LOG}"
 
 
 def list_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions (folders holding ``_SUCCESS``), ascending."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
+    """Committed versions, ascending, from the table's commit log."""
+    log = _read_or_none(spark, _log_path(root))
+    if log is None:
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(VERSION_PREFIX) and name[len(VERSION_PREFIX):].isdigit():
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(name[len(VERSION_PREFIX):]))
-    return sorted(out)
+    return sorted({r.version for r in log.select("version").collect()})
 
 
 def version_path(root: str, v: int) -> str:
@@ -225,13 +234,20 @@ def read_current(spark: SparkSession, root: str, schema: T.StructType | None = N
 
 
 def write_version(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
+    """Write ``df`` as the next version, then commit it by appending (version, path) to the log.
+
+    Readers only see logged versions. A folder left by a failed attempt is not
+    logged, so it is never read and the next attempt overwrites it.
+    """
     spark = df.sparkSession
     vs = list_versions(spark, root)
-    path = version_path(root, (vs[-1] + 1) if vs else 1)
-    w = df.write.mode("errorifexists")
+    v = (vs[-1] + 1) if vs else 1
+    path = version_path(root, v)
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    spark.createDataFrame([(v, path)], "version int, path string").coalesce(1).write.mode("append").parquet(_log_path(root))
     return path
 
 
@@ -285,11 +301,10 @@ def upsert_partitions(updates: DataFrame, root: str, keys: Sequence[str], partit
     """
     spark = updates.sparkSession
     keys, parts = list(keys), list(partition_by)
-    fs, p = _fs(spark, root)
-    if not fs.exists(p) or not fs.listStatus(p):
+    cur = _read_or_none(spark, root)
+    if cur is None:
         merged = updates
     else:
-        cur = spark.read.parquet(root)
         cur_t = restrict_to_touched(cur, updates, parts)
         merged = upsert(cur_t, updates.select(*cur.columns), keys)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

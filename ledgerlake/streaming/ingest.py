@@ -49,9 +49,9 @@ def _append_batch(table_root: str, key: str, month_col: str = "year_month"):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.drop("_event_time")
-        fs, p = ST._fs(spark, table_root)
-        if fs.exists(p) and fs.listStatus(p):
-            existing = spark.read.parquet(table_root).where(F.col("batch_id") < batch_id)
+        table = ST._read_or_none(spark, table_root)
+        if table is not None:
+            existing = table.where(F.col("batch_id") < batch_id)
             # only the months this batch touches are read (the id fixes the month)
             rows = ST.append_new(existing, rows, key, [month_col])
         # the batch's own folder: a retried batch replaces exactly what it wrote before
