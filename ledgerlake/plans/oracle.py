@@ -636,3 +636,15 @@ SQL["category_breakdown_by_entity"] = with_(L1) + category_sql("l1", by="entity_
 SQL["account_breakdown_by_entity"] = with_(L2) + account_sql("l2", by="entity_id")
 SQL["date_range_by_entity"] = with_(L3) + """SELECT entity_id, MIN(transaction_date) AS min_date, MAX(transaction_date) AS max_date,
        COUNT(*) AS row_count FROM l3 GROUP BY entity_id"""
+
+
+SQL["context_package_fields"] = with_(L1, PLANS) + f"""
+, k AS (SELECT entity_id, COUNT(DISTINCT year_month) AS months_covered,
+               {R('CAST(SUM(' + INC + ') AS DOUBLE)')} AS total_income, {R('CAST(SUM(' + SGN + ') AS DOUBLE)')} AS net
+        FROM l1 GROUP BY entity_id)
+, t AS ({top_sql('l1', 1, 'Expense', by='entity_id')})
+, h AS ({health_sql('l1', by='entity_id', snapshot=True)})
+, o AS ({over_total_sql('l1', by='entity_id')})
+SELECT k.entity_id, k.months_covered, k.total_income, k.net, CAST(k.months_covered AS INTEGER) AS n_months_listed,
+       t.category AS top_expense_category, h.composite_score, h.band, o.total_over_budget_amount
+FROM k LEFT JOIN t USING (entity_id) LEFT JOIN h USING (entity_id) LEFT JOIN o USING (entity_id)"""

@@ -521,3 +521,25 @@ def q_account_breakdown_by_entity(spark, sf):
 @register("date_range_by_entity")
 def q_date_range_by_entity(spark, sf):
     return S.date_range(l3(spark, sf), by=BY)
+
+
+@register("context_package_fields")
+def q_context_package_fields(spark, sf):
+    """Fields read back out of each entity's JSON document (checks the document against the oracle)."""
+    ctx = CX.financial_context(l1(spark, sf), by=BY, plans=plans(spark, sf))
+    j = F.col("context_json")
+
+    def get(path, t):
+        return F.get_json_object(j, path).cast(t)
+
+    return ctx.select(
+        *BY,
+        get("$.overview.months_covered", "bigint").alias("months_covered"),
+        get("$.overview.totals.total_income", "double").alias("total_income"),
+        get("$.overview.totals.net", "double").alias("net"),
+        F.json_array_length(F.get_json_object(j, "$.monthly_summary")).alias("n_months_listed"),
+        get("$.top_expense_categories[0].category", "string").alias("top_expense_category"),
+        get("$.financial_health_score.composite_score", "double").alias("composite_score"),
+        get("$.financial_health_score.band", "string").alias("band"),
+        get("$.budget_overrun.total_over_budget_amount", "double").alias("total_over_budget_amount"),
+    )
