@@ -2,9 +2,12 @@
 
 X1 ``start_append_dedup``: rows arrive as files; event time gets a watermark,
 ``dropDuplicatesWithinWatermark`` removes repeats of a key that arrive within
-it, and each micro-batch appends only keys the table does not hold yet (left
-anti join against the table). Rows later than the watermark are dropped by
-Spark; the watermark must cover the true disorder of the source.
+it (its state expires with the watermark), and each micro-batch appends only
+keys the table does not hold yet (left anti join against the touched months
+of the table). A row behind the watermark is still appended (measured: the
+de-duplication operator keeps it), and a repeat arriving after its state
+expired is caught by the anti join, so nothing is lost and nothing doubles;
+the watermark only bounds the state.
 
 X2 ``start_monthly_summary``: the same de-duplicated stream aggregated per
 (entity, month) in update mode; every micro-batch upserts the changed
