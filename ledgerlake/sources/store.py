@@ -194,17 +194,12 @@ def create_tables(spark: SparkSession, tables: Mapping[str, T.StructType], locat
 
 
 # --- versioned parquet tables -------------------------------------------------------
-def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The parquet data at ``path``, or None when the path is missing or holds no data files."""
     from pyspark.errors import AnalysisException
 
     try:
-        r = spark.read.schema(schema) if schema is not None else spark.read
-        df = r.parquet(path)
-        if schema is not None:
-            # an explicit schema skips inference; make a missing path fail here as well
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).collect()
-        return df
+        return spark.read.parquet(path)
     except AnalysisException:
         return None
 
@@ -215,7 +210,7 @@ def _log_path(root: str) -> str:
 
 def list_versions(spark: SparkSession, root: str) -> list[int]:
     """Committed versions, ascending, from the table's commit log."""
-    log = _read_or_none(spark, _log_path(root))
+    log = read_or_none(spark, _log_path(root))
     if log is None:
         return []
     return sorted({r.version for r in log.select("version").collect()})
@@ -301,7 +296,7 @@ def upsert_partitions(updates: DataFrame, root: str, keys: Sequence[str], partit
     """
     spark = updates.sparkSession
     keys, parts = list(keys), list(partition_by)
-    cur = _read_or_none(spark, root)
+    cur = read_or_none(spark, root)
     if cur is None:
         merged = updates
     else:

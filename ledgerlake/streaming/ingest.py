@@ -52,7 +52,7 @@ def _append_batch(table_root: str, key: str, month_col: str = "year_month"):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.drop("_event_time")
-        table = ST._read_or_none(spark, table_root)
+        table = ST.read_or_none(spark, table_root)
         if table is not None:
             existing = table.where(F.col("batch_id") < batch_id)
             # only the months this batch touches are read (the id fixes the month)
