@@ -648,3 +648,8 @@ SQL["context_package_fields"] = with_(L1, PLANS) + f"""
 SELECT k.entity_id, k.months_covered, k.total_income, k.net, CAST(k.months_covered AS INTEGER) AS n_months_listed,
        t.category AS top_expense_category, h.composite_score, h.band, o.total_over_budget_amount
 FROM k LEFT JOIN t USING (entity_id) LEFT JOIN h USING (entity_id) LEFT JOIN o USING (entity_id)"""
+
+
+SQL["dim_category"] = with_(L2) + "SELECT DISTINCT category, type FROM l2"
+SQL["category_month_mart"] = with_(L1) + """SELECT year_month, type, CAST(SUM(amount) AS DOUBLE) AS total_amount, COUNT(*) AS transaction_count
+FROM l1 GROUP BY year_month, type"""

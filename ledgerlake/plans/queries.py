@@ -543,3 +543,17 @@ def q_context_package_fields(spark, sf):
         get("$.financial_health_score.band", "string").alias("band"),
         get("$.budget_overrun.total_over_budget_amount", "double").alias("total_over_budget_amount"),
     )
+
+
+# --- star schema ------------------------------------------------------------------
+from . import marts as MT  # noqa: E402
+
+
+@register("dim_category")
+def q_dim_category(spark, sf):
+    return MT.dim_category(l2(spark, sf))
+
+
+@register("category_month_mart")
+def q_category_month_mart(spark, sf):
+    return MT.category_month_mart(l1(spark, sf))
