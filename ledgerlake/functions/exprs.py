@@ -17,11 +17,17 @@ def col_or(c) -> Column:
 def round_dec(c, scale: int = 2) -> Column:
     """Round half away from zero on the decimal value of a double.
 
-    Doubles are rounded through ``decimal(28,8)`` so that the result does not
-    depend on the binary representation of the tie (Spark's and DuckDB's
-    ``round`` on doubles disagree at ties; on decimals they agree).
+    The integer part t = trunc(x) is split off (exact) and only the fraction
+    x - t (exact by Sterbenz's lemma, |x - t| < 1) is rounded through
+    ``decimal(28,8)``; then t is added back. Converting a fraction below 1 to
+    8 decimals is exact in every engine, whereas converting a large double
+    (above ~1e8) is not in all of them, so the result no longer depends on the
+    engine or on the magnitude.
     """
-    return F.round(col_or(c).cast("decimal(28,8)"), scale).cast("double")
+    x = col_or(c)
+    t = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("double")
+    frac = F.round((x - t).cast("decimal(28,8)"), scale).cast("double")
+    return t + frac
 
 
 def dsum(c) -> Column:

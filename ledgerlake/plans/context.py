@@ -111,6 +111,9 @@ def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), p
          health.select(*by, F.struct(*[c for c in health.columns if c not in by]).alias("financial_health_score"))),
     ]
     if plans is not None:
+        # documents exist for entities with ledger rows; their plans are compared with their spend
+        if by:
+            plans = plans.join(kpi.select(*by), by, "left_semi")
         st = BU.budget_status(base, plans, by=by)
         sections.append(("budget_status", _nested(st.drop("is_over"), by, "budget_status", ["category"])))
         sections.append(("budget_overrun", BU.over_budget_total(base, plans, by=by).select(

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 
 def R(x: str, scale: int = 2) -> str:
-    """Round a double the way ``functions.exprs.round_dec`` does."""
-    return f"CAST(ROUND(CAST(({x}) AS DECIMAL(28,8)), {scale}) AS DOUBLE)"
+    """Round a double the way ``functions.exprs.round_dec`` does: integer part split off, fraction rounded."""
+    return f"(trunc(({x})) + CAST(ROUND(CAST((({x}) - trunc(({x}))) AS DECIMAL(28,8)), {scale}) AS DOUBLE))"
 
 
 ORDERS_INCOME_SQL = "('1-URGENT', '2-HIGH', '3-MEDIUM')"
