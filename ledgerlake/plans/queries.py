@@ -12,8 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import LedgerFilter
+from ..operators import anomaly as AN
+from ..operators import budget as BU
+from ..operators import classify as CL
+from ..operators import clean as CN
+from ..operators import fire as FI
+from ..operators import health as HE
+from ..operators import macro as MA
+from ..operators import profile as PR
+from ..operators import scenario as SC
+from ..operators import stable_id as SI
 from ..operators import summary as S
+from ..operators import trends as TR
+from ..session import scratch_path
+from ..sources import store as ST
 from ..sources import testdata as TD
+from ..streaming import ingest as IN
+from . import context as CX
+from . import marts as MT
+from . import profiling as PF
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -143,8 +160,6 @@ def q_recent_12_months(spark, sf):
 
 
 # --- trends and anomalies -------------------------------------------------
-from ..operators import anomaly as AN  # noqa: E402
-from ..operators import trends as TR  # noqa: E402
 
 
 @register("monthly_trends")
@@ -193,8 +208,6 @@ def q_yearly_trends(spark, sf):
 
 
 # --- health score and budget ----------------------------------------------
-from ..operators import budget as BU  # noqa: E402
-from ..operators import health as HE  # noqa: E402
 
 
 @register("health_score")
@@ -237,8 +250,6 @@ def q_over_budget_total(spark, sf):
 
 
 # --- what-if and FIRE -------------------------------------------------------
-from ..operators import fire as FI  # noqa: E402
-from ..operators import scenario as SC  # noqa: E402
 
 # The simulator's five scenarios plus one whose keywords match this ledger's
 # category names, so that the category-pick path runs on real rows too.
@@ -298,9 +309,6 @@ def q_fire_projection(spark, sf):
 
 
 # --- cleaning and ids ---------------------------------------------------------
-from ..operators import classify as CL  # noqa: E402
-from ..operators import clean as CN  # noqa: E402
-from ..operators import stable_id as SI  # noqa: E402
 
 
 @register("clean_ledger")
@@ -326,7 +334,6 @@ def q_type_classification(spark, sf):
 
 
 # --- profile --------------------------------------------------------------------
-from ..operators import profile as PR  # noqa: E402
 
 
 @register("column_profile")
@@ -355,8 +362,6 @@ def q_amount_stats_by_entity(spark, sf):
 
 
 # --- macro and context ----------------------------------------------------------
-from ..operators import macro as MA  # noqa: E402
-from . import context as CX  # noqa: E402
 
 
 @register("macro_yoy")
@@ -375,7 +380,6 @@ def q_context_package_whole(spark, sf):
 
 
 # --- store operators ------------------------------------------------------------
-from ..sources import store as ST  # noqa: E402
 
 
 @register("append_new_rows")
@@ -447,8 +451,6 @@ def q_budget_plan_changes(spark, sf):
 
 
 # --- streaming ------------------------------------------------------------------
-from ..session import scratch_path  # noqa: E402
-from ..streaming import ingest as IN  # noqa: E402
 
 LEDGER_OUT = ["transaction_id", "transaction_date", "year_month", "category", "type", "account", "entity_id"]
 
@@ -476,7 +478,6 @@ def q_stream_monthly_summary(spark, sf):
 
 
 # --- jobs -----------------------------------------------------------------------
-from . import profiling as PF  # noqa: E402
 
 
 @register("profile_report")
@@ -546,7 +547,6 @@ def q_context_package_fields(spark, sf):
 
 
 # --- star schema ------------------------------------------------------------------
-from . import marts as MT  # noqa: E402
 
 
 @register("dim_category")

@@ -54,8 +54,8 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction
     ``NOT IN`` semantics. With ``partition_cols`` (columns that are a function
     of the key, e.g. ``year_month`` for transaction ids, which hash the
     datetime), only existing keys in the partitions the incoming rows touch
-    are compared: on a table partitioned by them, dynamic partition pruning
-    skips every other partition instead of shuffling all existing keys.
+    are compared (``restrict_to_touched``): on a table partitioned by them,
+    every other partition is pruned instead of shuffling all existing keys.
     """
     keys = restrict_to_touched(existing.select(key, *partition_cols), incoming, partition_cols)
     return incoming.join(keys.select(key), key, "left_anti")
@@ -284,8 +284,8 @@ def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], partition_b
 def upsert_partitions(updates: DataFrame, root: str, keys: Sequence[str], partition_by: Sequence[str] = ("year_month",)) -> str:
     """Keyed upsert that rewrites only the partitions the updates touch.
 
-    Reads the touched partitions (a semi-join on the partition columns, which
-    dynamic partition pruning turns into partition skipping), replaces rows by
+    Reads only the touched partitions (``restrict_to_touched``: a static
+    partition filter built from the change set), replaces rows by
     key, and writes them back with dynamic partition overwrite; all other
     partitions are left as they are. Valid when the partition value is a
     function of the key (a transaction id hashes its datetime; a summary is
