@@ -98,3 +98,19 @@ def test_extract_errors(spark):
     empty = extract_transactions(spark, write_csv([]))
     with pytest.raises(TransformError):
         clean_transactions(empty, require_non_empty=True)
+
+
+def test_hot_third_is_spread_across_tasks(spark):
+    """A third of all rows are copies of one row: ids stay exact and the copies are generated by many tasks."""
+    n, hot = 90_000, 30_000
+    base = spark.range(0, n).select(
+        F.when(F.col("id") < hot, F.lit("2025-01-01 00:00:00"))
+        .otherwise(F.format_string("2025-01-%02d %05d", (F.col("id") % 28 + 1).cast("int"), F.col("id").cast("int")))
+        .alias("date_time"),
+        F.lit("Food").alias("category"), F.lit("a").alias("account"), F.lit("1.0").alias("amount"), F.lit("t").alias("tags"),
+    )
+    out = assign_stable_ids(base, ["date_time", "category", "account", "amount", "tags"], chunk_rows=2_000)
+    hot_rows = out.where(F.col("date_time") == "2025-01-01 00:00:00")
+    per_task = [r["count"] for r in hot_rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(per_task) == hot and len(per_task) >= 4 and max(per_task) < hot / 2
+    assert out.count() == n and out.select("transaction_id").distinct().count() == n
