@@ -34,7 +34,12 @@ def monthly_trends(ledger: DataFrame, filters=None, by: Sequence[str] = (), roll
     ``rolling`` lists the window lengths in months (the source has 3 only);
     ``running=True`` adds cumulative income, expense and net.
     """
-    m = _monthly_decimal(ledger, filters, by)
+    return trends_from_monthly(_monthly_decimal(ledger, filters, by), by, rolling, running)
+
+
+def trends_from_monthly(m: DataFrame, by: Sequence[str] = (), rolling: Sequence[int] = (3,),
+                        running: bool = False) -> DataFrame:
+    """Trends from a (by, year_month, _inc, _exp) aggregate with exact decimal sums."""
     w = Window.partitionBy(*by).orderBy("year_month")
     cols = [
         *by,

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.assemble import json_object
+from ..functions.assemble import json_document
 from ..session import ensure_checkpoint_dir
 from ..functions.exprs import round_dec
 from ..functions.filters import LedgerFilter
@@ -46,26 +46,6 @@ def assert_aggregate_only(schema: T.DataType, path: str = "") -> None:
         assert_aggregate_only(schema.valueType, path)
 
 
-def _r2(df: DataFrame, keep: Sequence[str]) -> list:
-    out = []
-    for f in df.schema.fields:
-        if f.name in keep:
-            continue
-        if isinstance(f.dataType, T.DoubleType):
-            out.append(round_dec(f.name, 2).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return out
-
-
-def _nested(df: DataFrame, by: Sequence[str], name: str, order: Sequence[str]) -> DataFrame:
-    """collect_list(struct) per entity, sorted by ``order`` fields for a stable document."""
-    fields = _r2(df, by)
-    st = F.struct(*[F.col(o) for o in order], F.struct(*fields).alias("v"))
-    lst = F.sort_array(F.collect_list(st))
-    return df.groupBy(*by).agg(F.transform(lst, lambda e: e["v"]).alias(name))
-
-
 def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), plans: DataFrame | None = None,
                       materialize: bool = True) -> DataFrame:
     """One row per entity: ``by`` columns + ``context_json``.
@@ -85,39 +65,58 @@ def financial_context(ledger: DataFrame, filters=None, by: Sequence[str] = (), p
     if materialize:
         ensure_checkpoint_dir(base.sparkSession)
         base = base.checkpoint(eager=True)
-    monthly = S.monthly_summary(base, by=by)
+    # one (entity, month) aggregate feeds both the monthly summary and the trends
+    m = base.groupBy(*by, "year_month").agg(
+        F.sum(S.income_amt()).alias("_inc"), F.sum(S.expense_amt()).alias("_exp"),
+        F.sum(S.signed_amt()).alias("_net"), S.n_rows(base).alias("transaction_count"))
+    monthly = m.select(
+        *by, "year_month", F.col("_inc").cast("double").alias("total_income"),
+        F.col("_exp").cast("double").alias("total_expense"), F.col("_net").cast("double").alias("net"),
+        "transaction_count",
+    ).withColumn("savings_rate_pct", S.savings_rate("net", "total_income"))
+    trends = TR.trends_from_monthly(m, by)
     kpi = S.kpi_totals(base, by=by)
-    top_exp = S.top_categories(base, 5, "Expense", by=by).withColumn("_rank", -F.col("total_amount"))
-    top_inc = S.top_categories(base, 3, "Income", by=by).withColumn("_rank", -F.col("total_amount"))
-    trends = TR.monthly_trends(base, by=by)
+    # top 5 expense and top 3 income categories from one aggregate and one window
+    cats = base.where(F.col("type").isin(S.EXPENSE, S.INCOME)).groupBy(*by, "type", "category").agg(
+        F.sum("amount").cast("double").alias("total_amount"), S.n_rows(base).alias("transaction_count"))
+    w = Window.partitionBy(*by, "type").orderBy(F.col("total_amount").desc(), F.col("category").asc())
+    ranked = cats.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 5)
+    ranked = ranked.where((F.col("type") == S.EXPENSE) | (F.col("_rn") <= 3))
+    top_exp = ranked.where(F.col("type") == S.EXPENSE).select(*by, "category", "total_amount", "transaction_count", "_rn")
+    top_inc = ranked.where(F.col("type") == S.INCOME).select(*by, "category", "total_amount", "transaction_count", "_rn")
     accounts = S.account_breakdown(base, by=by)
     health = HE.health_score(base, by=by, snapshot=True)
 
+    def r2(df, keep=("_rn",)):
+        return df.select(*[(round_dec(f.name, 2).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in keep
+                            else F.col(f.name)) for f in df.schema.fields])
+
     period = F.struct(F.lit(spec.start_ym).cast("string").alias("start"), F.lit(spec.end_ym).cast("string").alias("end"))
     sections = [
-        ("period", kpi.select(*by, period.alias("period"))),
+        ("period", kpi.select(*by, period.alias("period")), "object"),
         ("overview", kpi.select(*by, F.struct(
             F.col("months_covered"),
             F.struct(round_dec("total_income").alias("total_income"), round_dec("total_expense").alias("total_expense"),
                      round_dec("net").alias("net")).alias("totals"),
             F.col("savings_rate_pct"),
-        ).alias("overview"))),
-        ("monthly_summary", _nested(monthly, by, "monthly_summary", ["year_month"])),
-        ("top_expense_categories", _nested(top_exp, by, "top_expense_categories", ["_rank", "category"])),
-        ("top_income_categories", _nested(top_inc, by, "top_income_categories", ["_rank", "category"])),
-        ("monthly_trends", _nested(trends, by, "monthly_trends", ["year_month"])),
-        ("account_breakdown", _nested(accounts, by, "account_breakdown", ["account"])),
+        ).alias("overview")), "object"),
+        ("monthly_summary", r2(monthly), "list", (None, "year_month")),
+        ("top_expense_categories", r2(top_exp), "list", ("_rn", None)),
+        ("top_income_categories", r2(top_inc), "list", ("_rn", None)),
+        ("monthly_trends", r2(trends), "list", (None, "year_month")),
+        ("account_breakdown", r2(accounts), "list", (None, "account")),
         ("financial_health_score",
-         health.select(*by, F.struct(*[c for c in health.columns if c not in by]).alias("financial_health_score"))),
+         health.select(*by, F.struct(*[c for c in health.columns if c not in by]).alias("financial_health_score")), "object"),
     ]
     if plans is not None:
         # documents exist for entities with ledger rows; their plans are compared with their spend
         if by:
             plans = plans.join(kpi.select(*by), by, "left_semi")
         st = BU.budget_status(base, plans, by=by)
-        sections.append(("budget_status", _nested(st.drop("is_over"), by, "budget_status", ["category"])))
+        sections.append(("budget_status", r2(st.drop("is_over")), "list", (None, "category")))
         sections.append(("budget_overrun", BU.over_budget_total(base, plans, by=by).select(
-            *by, F.struct("total_over_budget_amount", "n_over_budget").alias("budget_overrun"))))
-    for name, df in sections:
-        assert_aggregate_only(df.select(name).schema)
-    return json_object(sections, by, out="context_json")
+            *by, F.struct("total_over_budget_amount", "n_over_budget").alias("budget_overrun")), "object"))
+    for sec in sections:
+        name, df = sec[0], sec[1]
+        assert_aggregate_only(df.select(name).schema if sec[2] == "object" else df.schema)
+    return json_document(sections, by, out="context_json")
