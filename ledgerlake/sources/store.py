@@ -70,9 +70,9 @@ def restrict_to_touched(table: DataFrame, changes: DataFrame, partition_cols: Se
     For one partition column the distinct values of the (small) change set are
     fetched (one job over the changes, at most ``MAX_STATIC_PARTITIONS``
     values) and applied as a static ``IN`` filter, which prunes partitions at
-    planning time. Otherwise (or beyond the cap) it is a semi-join with the
-    broadcast distinct values, whose size is bounded by the number of
-    partitions the changes span, not by their rows.
+    planning time. Otherwise (several partition columns, or more values than
+    the cap) it is a plain semi-join on the distinct values, and the planner
+    picks broadcast or shuffle from their measured size.
     """
     cols = list(partition_cols)
     if not cols:
@@ -85,7 +85,7 @@ def restrict_to_touched(table: DataFrame, changes: DataFrame, partition_cols: Se
             if any(v[0] is None for v in vals):
                 cond = cond | F.col(cols[0]).isNull()
             return table.where(cond)
-    return table.join(F.broadcast(changes.select(*cols).distinct()), cols, "left_semi")
+    return table.join(changes.select(*cols).distinct(), cols, "left_semi")
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Column | str | None = None,
