@@ -653,3 +653,6 @@ FROM k LEFT JOIN t USING (entity_id) LEFT JOIN h USING (entity_id) LEFT JOIN o U
 SQL["dim_category"] = with_(L2) + "SELECT DISTINCT category, type FROM l2"
 SQL["category_month_mart"] = with_(L1) + """SELECT year_month, type, CAST(SUM(amount) AS DOUBLE) AS total_amount, COUNT(*) AS transaction_count
 FROM l1 GROUP BY year_month, type"""
+
+
+SQL["source_fallback"] = SQL["monthly_summary"]

@@ -557,3 +557,21 @@ def q_dim_category(spark, sf):
 @register("category_month_mart")
 def q_category_month_mart(spark, sf):
     return MT.category_month_mart(l1(spark, sf))
+
+
+@register("source_fallback")
+def q_source_fallback(spark, sf):
+    """The operational store (an empty, never-written table) is skipped; the ledger derived from orders is used."""
+    store_root = scratch_path(spark, "operational-store")
+
+    def operational():
+        cur = ST.read_current(spark, store_root)
+        if cur is None:
+            raise FileNotFoundError(store_root)
+        return cur
+
+    def empty_store():
+        return l1(spark, sf).where(F.lit(False))
+
+    ledger = ST.first_non_empty([operational, empty_store, lambda: l1(spark, sf)])
+    return S.monthly_summary(ledger)
