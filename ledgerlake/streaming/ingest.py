@@ -10,11 +10,10 @@ expired is caught by the anti join, so nothing is lost and nothing doubles;
 the watermark only bounds the state.
 
 X2 ``start_monthly_summary``: the same de-duplicated stream aggregated per
-(entity, month, 1-day event-time window) in update mode; every micro-batch
-upserts the changed day totals into a daily table and recomputes the
-(entity, month) rows they belong to. The watermark closes day windows, so
-aggregation state is bounded (rows later than a closed window are dropped by
-Spark's windowed aggregation: the watermark must cover the source's disorder).
+(entity, month) in update mode; every micro-batch upserts the changed
+(entity, month) rows, rewriting only the months it touched. Aggregation
+state is one row per (entity, month) -- as large as the summary table, not
+the input -- and the de-duplication state is bounded by the watermark.
 
 Both sinks are idempotent under retries: the append sink writes each batch to
 its own ``batch_id=N`` folder (overwritten on retry) and checks keys only
@@ -74,26 +73,17 @@ def start_append_dedup(stream: DataFrame, table_root: str, checkpoint: str, key:
     return w.start()
 
 
-def _daily_then_monthly(table_root: str, by: Sequence[str]):
-    daily_root = f"{table_root.rstrip('/')}/_daily"
-    day_keys = [*by, "year_month", "day_start"]
-
+def _summary_batch(table_root: str, keys: Sequence[str]):
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        daily = batch.select(*by, "year_month", F.col("_day.start").alias("day_start"), "_inc", "_exp", "_net",
-                             "transaction_count")
-        # a day's running totals replace the stored ones: idempotent under retries
-        ST.upsert_partitions(daily, daily_root, day_keys, ["year_month"])
-        stored = ST.restrict_to_touched(spark.read.parquet(daily_root), daily, ["year_month"])
-        touched = daily.select(*by, "year_month").distinct()
-        monthly = (
-            stored.join(touched, [*by, "year_month"], "left_semi")
-            .groupBy(*by, "year_month")
-            .agg(F.sum("_inc").cast("double").alias("total_income"), F.sum("_exp").cast("double").alias("total_expense"),
-                 F.sum("_net").cast("double").alias("net"), F.sum("transaction_count").alias("transaction_count"))
-            .withColumn("savings_rate_pct", savings_rate("net", "total_income"))
-        )
-        ST.upsert_partitions(monthly, table_root, [*by, "year_month"], ["year_month"])
+        out = batch.select(
+            *keys,
+            F.col("_inc").cast("double").alias("total_income"),
+            F.col("_exp").cast("double").alias("total_expense"),
+            F.col("_net").cast("double").alias("net"),
+            "transaction_count",
+        ).withColumn("savings_rate_pct", savings_rate("net", "total_income"))
+        # running totals replace the stored rows; only the months this batch touched are rewritten
+        ST.upsert_partitions(out, table_root, list(keys), ["year_month"])
 
     return run
 
@@ -104,19 +94,21 @@ def start_monthly_summary(stream: DataFrame, table_root: str, checkpoint: str, b
                           processing_time: str | None = None):
     """Start X2 over a ledger-shaped stream; returns the StreamingQuery.
 
-    The streaming aggregate is keyed by (by, month, 1-day event-time window):
-    the watermark closes and evicts day windows, so state stays bounded by
-    the watermark. Each micro-batch stores the changed day totals and
-    recomputes only the (by, month) rows they belong to.
+    The streaming aggregate is keyed by (by, month) in update mode: its state
+    holds the running totals, one row per (by, month) -- the size of the
+    summary table itself, not of the input -- so a late row still lands in
+    the right month. Event-time day windows closed by the watermark were
+    tried: a late row then reopens an evicted window with a partial total,
+    which a replacing sink would store in place of the full one.
     """
     d = dedup_stream(stream, key, event_time, watermark)
-    agg = d.groupBy(*by, "year_month", F.window("_event_time", "1 day").alias("_day")).agg(
+    agg = d.groupBy(*by, "year_month").agg(
         F.sum(income_amt()).alias("_inc"),
         F.sum(expense_amt()).alias("_exp"),
         F.sum(signed_amt()).alias("_net"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
-    w = (agg.writeStream.outputMode("update").foreachBatch(_daily_then_monthly(table_root, list(by)))
+    w = (agg.writeStream.outputMode("update").foreachBatch(_summary_batch(table_root, [*by, "year_month"]))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
