@@ -656,3 +656,6 @@ FROM l1 GROUP BY year_month, type"""
 
 
 SQL["source_fallback"] = SQL["monthly_summary"]
+
+
+SQL["stream_ingest_summary"] = with_(L3) + monthly_with_rate("l3", by="entity_id")

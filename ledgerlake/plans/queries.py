@@ -480,6 +480,15 @@ def q_stream_monthly_summary(spark, sf):
 # --- jobs -----------------------------------------------------------------------
 
 
+@register("stream_ingest_summary")
+def q_stream_ingest_summary(spark, sf):
+    root = scratch_path(spark, "stream-ingest")
+    s = _event_stream(spark, sf)
+    IN.run_to_completion(lambda: IN.start_ingest(s, f"{root}/table", f"{root}/summary", f"{root}/ck", by=BY))
+    return spark.read.parquet(f"{root}/summary").select(*BY, "year_month", "total_income", "total_expense", "net",
+                                                        "transaction_count", "savings_rate_pct")
+
+
 @register("profile_report")
 def q_profile_report(spark, sf):
     raw = TD.lineitem_raw_log(spark, sf)
