@@ -6,9 +6,12 @@ account breakdown, the health-score snapshot and, when plans are given, the
 budget status. Row-level data never enters: every section is built from an
 aggregate and the final struct is checked for row-level field names.
 
-Sections are aggregated per entity and nested with ``collect_list(struct)``;
+Sections are aggregated per entity and gathered into one row per entity;
 each list is bounded by the entity's months, accounts or planned categories
-(top-k lists by k), never by its number of transactions. The sections are
+(top-k lists by k), never by its number of transactions. Without entity keys
+the single document lists every month, account and planned category of the
+whole ledger: right for one household (the source's use); for a multi-tenant
+ledger use ``by=`` (one bounded document per entity) and the breakdown tables. The sections are
 joined on the entity key; each side is already hash-partitioned by it.
 """
 

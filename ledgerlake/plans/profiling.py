@@ -6,7 +6,10 @@ statistical checks on the cleaned transactions (date range, type totals,
 category and account breakdowns, amount statistics), assembled into one JSON
 report. Every section is an aggregate; the sections are gathered without
 joins (``functions.assemble``) and the report is serialised on the executors
-and written as one small text file.
+and written as one small text file. Like the source's report it lists every
+category and account of the ledger in that one document; for a ledger with
+millions of accounts, read the breakdowns as tables (``operators.summary``)
+instead.
 """
 
 from __future__ import annotations
