@@ -103,11 +103,14 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
             F.count_if(good & (typ == "Expense")).alias("expense_rows"),
         )
     kept = staged.where(F.col("_ts").isNotNull() & F.col("_amt").isNotNull()).select(
-        "date_time", "category", "account", F.col("_amt").cast("string").alias("amount_text"), "tags",
-        "currency", "_ts", "_amt",
+        "date_time", "category", "account", F.col("_amt").cast("string").alias("amount_text"), "tags", "currency",
     )
-    ided = assign_stable_ids(kept, ["date_time", "category", "account", "amount_text", "tags"], ["currency", "_ts", "_amt"],
+    # the parsed timestamp and amount are functions of the hashed text: recomputed after the id step
+    # instead of travelling through its shuffles
+    ided = assign_stable_ids(kept, ["date_time", "category", "account", "amount_text", "tags"], ["currency"],
                              chunk_rows=chunk_rows, drop_duplicate_ids=drop_duplicate_ids)
+    ided = ided.withColumn("_ts", parse_datetime(F.col("date_time"), formats)).withColumn(
+        "_amt", F.col("amount_text").cast("double"))
     ts = F.col("_ts")
     out = ided.select(
         "transaction_id",
