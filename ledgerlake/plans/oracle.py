@@ -659,3 +659,18 @@ SQL["source_fallback"] = SQL["monthly_summary"]
 
 
 SQL["stream_ingest_summary"] = with_(L3) + monthly_with_rate("l3", by="entity_id")
+
+
+SQL["context_package_whole_fields"] = with_(L1, PLANS) + f"""
+, k AS ({kpi_sql('l1', FILTER_A)})
+, t AS ({trends_sql('l1', FILTER_A)})
+, ti AS ({top_sql('l1', 1, 'Income', FILTER_A)})
+, h AS ({health_sql('(SELECT * FROM l1 ' + FILTER_A + ')', snapshot=True)})
+, o AS ({over_total_sql('l1', where=FILTER_A)})
+SELECT '1996-01' AS period_start, k.months_covered, {R('k.total_expense')} AS total_expense, k.savings_rate_pct,
+       CAST((SELECT COUNT(*) FROM t) AS INTEGER) AS n_trend_months,
+       (SELECT expense_3mo_avg FROM t ORDER BY year_month DESC LIMIT 1) AS last_expense_3mo_avg,
+       (SELECT category FROM ti) AS top_income_category,
+       (SELECT MIN(account) FROM l1 {FILTER_A}) AS first_account,
+       h.category_hhi, o.n_over_budget
+FROM k, h, o"""

@@ -584,3 +584,26 @@ def q_source_fallback(spark, sf):
 
     ledger = ST.first_non_empty([operational, empty_store, lambda: l1(spark, sf)])
     return S.monthly_summary(ledger)
+
+
+@register("context_package_whole_fields")
+def q_context_package_whole_fields(spark, sf):
+    """Fields read back from the whole-ledger (filtered) document."""
+    ctx = CX.financial_context(l1(spark, sf), FILTER_A, plans=plans(spark, sf).drop("entity_id"))
+    j = F.col("context_json")
+
+    def get(path, t):
+        return F.get_json_object(j, path).cast(t)
+
+    return ctx.select(
+        get("$.period.start", "string").alias("period_start"),
+        get("$.overview.months_covered", "bigint").alias("months_covered"),
+        get("$.overview.totals.total_expense", "double").alias("total_expense"),
+        get("$.overview.savings_rate_pct", "double").alias("savings_rate_pct"),
+        F.json_array_length(F.get_json_object(j, "$.monthly_trends")).alias("n_trend_months"),
+        get("$.monthly_trends[35].expense_3mo_avg", "double").alias("last_expense_3mo_avg"),
+        get("$.top_income_categories[0].category", "string").alias("top_income_category"),
+        get("$.account_breakdown[0].account", "string").alias("first_account"),
+        get("$.financial_health_score.category_hhi", "double").alias("category_hhi"),
+        get("$.budget_overrun.n_over_budget", "bigint").alias("n_over_budget"),
+    )
