@@ -85,7 +85,7 @@ def restrict_to_touched(table: DataFrame, changes: DataFrame, partition_cols: Se
             if any(v[0] is None for v in vals):
                 cond = cond | F.col(cols[0]).isNull()
             return table.where(cond)
-    return table.join(changes.select(*cols).distinct(), cols, "left_semi")
+    return table.join(changes.select(*cols).distinct(), cols, "left_semi").select(*table.columns)
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Column | str | None = None,
