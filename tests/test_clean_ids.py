@@ -114,3 +114,16 @@ def test_hot_third_is_spread_across_tasks(spark):
     per_task = [r["count"] for r in hot_rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(per_task) == hot and len(per_task) >= 4 and max(per_task) < hot / 2
     assert out.count() == n and out.select("transaction_id").distinct().count() == n
+
+
+def test_option_paths(spark):
+    from ledgerlake.operators import macro as MA
+
+    raw = extract_transactions(spark, write_csv(DIRTY))
+    keep_null = clean_transactions(raw, missing_text=None, drop_duplicate_ids=True).collect()
+    assert len(keep_null) == 8 and len({r.transaction_id for r in keep_null}) == 8
+    assert [r.tags for r in keep_null if r.transaction_date.isoformat() == "2025-01-10"] == [None]
+    obs = spark.createDataFrame([("S", f"2025-{m:02d}-01", str(100 + m)) for m in range(1, 13)] + [("S", "2024-12-01", "100")],
+                                "series_id string, date string, value string")
+    r = MA.macro_indicators(obs, yoy_series=None, labels={}).collect()[0]
+    assert r.label is None and r.n_usable == 13 and r.yoy_change_pct == 12.0
