@@ -1,0 +1,73 @@
+"""DuckDB SQL of the registered queries that SQL can express."""
+
+from __future__ import annotations
+
+WS = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP7 = rf"""
+WITH sized AS (
+  SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+    CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+  FROM sums
+), filled AS (
+  SELECT *, sum(cap) OVER o - cap AS spent, sum(w) OVER () - sum(w) OVER o + w AS free,
+    1.5::DOUBLE * sum(source_size) OVER () AS goal, row_number() OVER o AS k
+  FROM weighed WINDOW o AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), unit AS (
+  SELECT coalesce(arg_min((goal - spent) / free, k) FILTER ((goal - spent) / free <= cap / w), 0) AS u FROM filled
+), targets AS (
+  SELECT source, source_size, least(cap, u * w) AS target FROM filled, unit
+), rated AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate,
+    ('0x' || md5('mix-1:' || coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))))[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rated
+"""
+
+OP8 = r"""
+WITH iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) AS i FROM iw WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents
+), lens AS (SELECT DISTINCT n FROM win),
+places AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lens WHERE len(w) >= n)
+), hits AS (SELECT p.r, p.i, p.n, win.item_id FROM places p JOIN win ON p.t = win.t AND p.n = win.n),
+words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+OP9 = rf"""
+WITH rows AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '{WS}', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM rows WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
+SQL: dict[str, str] = {
+    "op7_mix_sources": OP7,
+    "op8_decontaminate": OP8,
+    "op9_exact_dedup": OP9,
+}
