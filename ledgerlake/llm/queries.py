@@ -4,15 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, html_extract, language_id, licenses, mixing, sharding, toxicity
 from .common import read_table, text_of
 
 N_SHARDS = 24
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs)
+    names = F.array_sort(F.array_distinct("license_matches.license"))
+    return found.select(
+        "doc_id", "n_words", F.size("license_matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.coalesce(F.array_max("license_matches.containment"), F.lit(0.0)).alias("containment"),
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
+    found = language_id.identified(pages, docs, carry=["page_id", "url"])
+    return found.select("page_id", "url", "declared", "lang", "probability")
+
+
+def held_out() -> Column:
+    """Whether crc32 of the id as text leaves 1 when divided by 3; a null id does not."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(F.pmod(crc, F.lit(3)) == 1, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out()))
+    rows = toxicity.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extracted(read_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(read_table(spark, sf_dir, "documents"))
     return mix.select(
@@ -49,6 +84,10 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op6_html_extraction": op6_html_extraction,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
