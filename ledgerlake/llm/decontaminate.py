@@ -21,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, stored, text_of
+from .common import content_key, fresh, stored, text_of
 
 WINDOW = 10
 SHINGLE = 3
@@ -178,3 +178,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows whose text contains a window of an item; columns and repeated rows stay."""
+    (key,) = fresh(docs, "_key")
+    hits = stored(occurrences(docs, items, window)[1].select(F.col("key").alias(key)).distinct(), "contaminated-texts")
+    return docs.withColumn(key, content_key()).join(hits, key, "left_anti").drop(key)

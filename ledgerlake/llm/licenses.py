@@ -1,7 +1,8 @@
 """License scan: MinHash bands over overlapping text windows, then exact shingle containment.
 
 Templates are grouped by size: a class g (a power of two) holds templates of
-g/2 < n <= g distinct five-word shingles. A document is cut into windows of 2g
+g/2 < n <= g distinct five-word shingles. Words are runs of ASCII letters and digits, in lower case.
+A document is cut into windows of 2g
 shingles that start every g shingles, so any run of g shingles lies whole in
 one window. A window and a template that collide in one of ``BANDS`` MinHash
 bands of one row are a candidate. For a template that is contained by 0.8 the
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
-from .shingles import flat, rolled, row_of, whole, word_hashes
+from .common import fresh
+from .shingles import ASCII_LETTERS, hashed_words, rolled, row_of, whole
 
 SHINGLE = 5
 BANDS = 51
@@ -43,11 +44,6 @@ TEMPLATES = (
 )
 
 
-def words(text):
-    """Lower-case words: runs of ASCII letters and digits."""
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
-
-
 _ODD = (np.arange(1, 2 * BANDS + 1, 2, np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _MOST = np.iinfo(np.uint64).max
 
@@ -95,7 +91,7 @@ def _classes(hashed: list[np.ndarray]) -> list[_Class]:
 def _scan(batches: Iterator[pa.RecordBatch], classes: list[_Class], names: list[str]) -> Iterator[pa.RecordBatch]:
     """For each row: its number of words, and its matches as (template, start word, containment)."""
     for batch in batches:
-        values, offsets = flat(batch.column(batch.num_columns - 1))
+        values, offsets = hashed_words(batch.column("text"), ASCII_LETTERS)
         h, rows = rolled(values, SHINGLE), row_of(offsets)
         inside = whole(offsets, SHINGLE)
         matches: list[dict] = [{} for _ in range(batch.num_rows)]
@@ -113,7 +109,7 @@ def _scan(batches: Iterator[pa.RecordBatch], classes: list[_Class], names: list[
         kind = pa.struct([("template", pa.int32()), ("start", pa.int64()), ("containment", pa.float64())])
         found = [[{"template": n, "start": s, "containment": v} for (n, s), v in sorted(m.items())] for m in matches]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(np.diff(offsets), pa.int64()), pa.array(found, pa.list_(kind))], names=names
+            [*batch.columns, pa.array(np.diff(offsets), pa.int64()), pa.array(found, pa.list_(kind))], names=names
         )
 
 
@@ -126,21 +122,18 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     texts have no match; columns of the two names are replaced.
     """
     docs = docs.drop("n_words", "license_matches")
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(templates)], "i int, t string")
-    hashed = {r.i: np.array(r.h, np.int64).view(np.uint64) for r in rows.select("i", word_hashes(words(F.col("t"))).alias("h")).collect()}
-    classes = _classes([hashed[i] for i in range(len(templates))])
-    name, found = fresh(docs, "_words", "_found")
-    schema = docs.schema
-    names = [*docs.columns, "_n", found]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    out = docs.withColumn(name, word_hashes(words(text_of()))).mapInArrow(
+    values, offsets = hashed_words(pa.array([t for _, t in templates], pa.string()), ASCII_LETTERS)
+    classes = _classes([values[i:j] for i, j in zip(offsets, offsets[1:], strict=False)])
+    n, found = fresh(docs, "_n", "_found")
+    names = [*docs.columns, n, found]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = docs.mapInArrow(
         lambda batches: _scan(batches, classes, names),
-        f"{kept}, `_n` bigint, `{found}` array<struct<template:int,start:bigint,containment:double>>",
+        f"{kept}, `{n}` bigint, `{found}` array<struct<template:int,start:bigint,containment:double>>",
     )
     license_of = F.array(*[F.lit(n) for n, _ in templates])
     matches = F.transform(found, lambda m: F.struct(
         F.get(license_of, m["template"]).alias("license"), m["template"].alias("template"),
         m["start"].alias("start"), m["containment"].alias("containment"),
     ))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n").alias("n_words"), matches.alias("license_matches"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(n).alias("n_words"), matches.alias("license_matches"))

@@ -5,6 +5,21 @@ from __future__ import annotations
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), wins AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS t
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), firsts AS (SELECT t, min(doc_id) AS first FROM wins GROUP BY t),
+hit AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS j FROM wins JOIN firsts USING (t) WHERE first < coalesce(doc_id, 9223372036854775807)
+), gone AS (SELECT r, list(j) AS js FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k: js IS NULL OR NOT list_contains(js, k)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
 OP7 = rf"""
 WITH sized AS (
   SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents
@@ -67,6 +82,7 @@ FROM rows WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
 """
 
 SQL: dict[str, str] = {
+    "op5_substring_dedup": OP5,
     "op7_mix_sources": OP7,
     "op8_decontaminate": OP8,
     "op9_exact_dedup": OP9,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, licenses, mixing, sharding, toxicity
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity
 from .common import read_table, text_of
 
 N_SHARDS = 24
@@ -24,6 +24,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similarity_classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, docs = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
     found = language_id.identified(pages, docs, carry=["page_id", "url"])
@@ -43,6 +48,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.duplicate_spans(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.extracted(read_table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -85,8 +95,10 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,

@@ -1,31 +1,78 @@
 """Word shingles as numpy arrays, for operators that hash whole texts in Arrow batches.
 
-Words are hashed on the JVM side (``xxhash64`` of each word); a batch reaches
-numpy as one flat array with the offsets of its rows, and the hash of k words
-in a row is a polynomial of their hashes, computed for the whole batch at once.
+A batch of texts is read as one run of UTF-8 bytes. A table says for each byte
+whether it separates words, and what it counts as (so that A-Z may count as
+a-z). A word's hash is a polynomial of its bytes, taken from running sums over
+the batch; the hash of k words is a polynomial of their hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses nothing
-
-
-def word_hashes(words: Column) -> Column:
-    """array<bigint> of the hashes of an array of words."""
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of an array<bigint> column: row i is values[offsets[i]:offsets[i + 1]]."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
+_BASE = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+# Bytes that separate words (0), or what they count as.
+WHITE_SPACE = np.arange(1, 257, dtype=np.uint64)
+WHITE_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
+LETTERS = np.array([ord(chr(b).lower()) + 1 if b < 128 and chr(b).isalnum() else (b + 1) * (b >= 128) for b in range(256)], np.uint64)
+ASCII_LETTERS = np.where(np.arange(256) < 128, LETTERS, 0).astype(np.uint64)
+
+
+_known: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1), kept for the next batch."""
+    if len(_known.get(int(base), ())) < n:
+        out = np.full(max(n, 5 << 20), base, np.uint64)
+        out[0] = 1
+        _known[int(base)] = np.cumprod(out, dtype=np.uint64)
+    return _known[int(base)][:n]
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column; null counts as empty."""
+    strings = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def hashed_words(column: pa.Array, table: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, offsets) of a string column: the words of row i are hashes[offsets[i]:offsets[i + 1]]."""
+    data, at = raw_bytes(column)
+    hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    lo = 0
+    while lo < len(at) - 1:  # some rows at a time, as running sums take eight bytes for each byte
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (4 << 20))))
+        hi = min(hi, len(at) - 1)
+        h, n = _part(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], table)
+        hashes.append(h)
+        counts.append(n)
+        lo = hi
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
+
+
+def _part(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    value = table[data]
+    inside = value != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cut = at[1:-1][(at[1:-1] < len(data))]
+    begins[cut] = inside[cut]  # the first byte of a row begins a word
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value * _powers(_BASE, len(data)), out=sums[1:])
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    words = (sums[last] - sums[first]) * _powers(_BACK, len(data))[first]
+    counts = np.diff(np.searchsorted(first, at))
+    return mixed(words), counts
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
