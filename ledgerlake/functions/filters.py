@@ -81,7 +81,7 @@ def _month_start(ym: str | None, add: int = 0) -> str | None:
 def implied_time_range(spec: LedgerFilter, df: DataFrame, ts_col: str = "transaction_datetime") -> list[Column]:
     """Timestamp bounds implied by month bounds (year_month is date_format(ts, 'yyyy-MM') in a ledger).
 
-    They add nothing to the result but, unlike a predicate on the derived
+    They add nothing to the result (a missing timestamp passes) but, unlike a predicate on the derived
     ``year_month`` text, reach the parquet scan as pushed filters, so row
     groups outside the months are skipped by their min/max statistics.
     """
@@ -92,9 +92,9 @@ def implied_time_range(spec: LedgerFilter, df: DataFrame, ts_col: str = "transac
     hi = _month_start(spec.year_month or spec.end_ym, add=1)
     out = []
     if lo:
-        out.append(F.col(ts_col) >= F.lit(lo).cast(t))
+        out.append((F.col(ts_col) >= F.lit(lo).cast(t)) | F.col(ts_col).isNull())
     if hi:
-        out.append(F.col(ts_col) < F.lit(hi).cast(t))
+        out.append((F.col(ts_col) < F.lit(hi).cast(t)) | F.col(ts_col).isNull())
     return out
 
 

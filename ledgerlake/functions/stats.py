@@ -4,7 +4,8 @@
 order rows reach the aggregate (and on the engine). Sums of a decimal column
 and of its square are exact, so ``n*S2 - S1^2`` is exact too; only the final
 division and square root are done in double. The result is the same for any
-partitioning, on every run.
+partitioning, on every run. Where a square or sum would exceed decimal(38), the
+double moments take its place instead of an overflow error.
 """
 
 from __future__ import annotations
@@ -15,22 +16,36 @@ from pyspark.sql import functions as F
 from .exprs import col_or, safe_div
 
 
+def sum_sq(c, over=None) -> Column:
+    """Exact sum of squares of a decimal column; null when a square or the sum exceeds decimal(38)."""
+    c = col_or(c)
+    sq = F.try_multiply(c, c)
+    put = (lambda e: e) if over is None else (lambda e: e.over(over))
+    return F.when(put(F.count(sq)) == put(F.count(c)), put(F.try_sum(sq)))
+
+
 def var_numerator(n, s1, s2) -> Column:
-    """n*S2 - S1^2 as double (exact before the cast)."""
+    """n*S2 - S1^2 as double (exact before the cast); null when it exceeds decimal(38)."""
     n, s1, s2 = col_or(n), col_or(s1), col_or(s2)
-    return (n * s2 - s1 * s1).cast("double")
+    return F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s1, s1)).cast("double")
+
 
+def stddev_samp_from(n, s1, s2, wide=None) -> Column:
+    """Sample std from count, exact sum and exact sum of squares; null when n < 2.
 
-def stddev_samp_from(n, s1, s2) -> Column:
-    """Sample std from count, exact sum and exact sum of squares; null when n < 2."""
+    ``wide`` (``stddev_samp`` of the same rows as double) stands in where the
+    exact numerator exceeds decimal(38).
+    """
     n = col_or(n)
-    return F.sqrt(safe_div(var_numerator(n, s1, s2), n * (n - F.lit(1))))
+    exact = F.sqrt(safe_div(var_numerator(n, s1, s2), n * (n - F.lit(1))))
+    return exact if wide is None else F.coalesce(exact, F.when(n > 1, col_or(wide)))
 
 
-def stddev_pop_from(n, s1, s2) -> Column:
-    """Population std; 0 for n == 1, null for n == 0."""
+def stddev_pop_from(n, s1, s2, wide=None) -> Column:
+    """Population std; 0 for n == 1, null for n == 0; ``wide`` as above (``stddev_pop``)."""
     n = col_or(n)
-    return F.sqrt(safe_div(var_numerator(n, s1, s2), n * n))
+    exact = F.sqrt(safe_div(var_numerator(n, s1, s2), n * n))
+    return exact if wide is None else F.coalesce(exact, F.when(n > 0, col_or(wide)))
 
 
 def mean_from(n, s1) -> Column:

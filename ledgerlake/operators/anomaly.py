@@ -18,21 +18,22 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import round_dec
 from ..functions.filters import apply_filter
-from ..functions.stats import mean_from, stddev_samp_from
+from ..functions.stats import mean_from, stddev_samp_from, sum_sq
 from .summary import EXPENSE
 
 
-def detect_anomalies(ledger: DataFrame, z_threshold: float = 2.0, by: Sequence[str] = (), filters=None) -> DataFrame:
+def _scored(ledger: DataFrame, z_threshold: float, by: Sequence[str], filters) -> DataFrame:
     df = apply_filter(ledger, filters).where(F.col("type") == EXPENSE)
     cm = df.groupBy(*by, "category", "year_month").agg(F.sum("amount").alias("_t"))
     w = Window.partitionBy(*by, "category")
     n = F.count(F.lit(1)).over(w)
     s1 = F.sum("_t").over(w)
-    s2 = F.sum(F.col("_t") * F.col("_t")).over(w)
+    s2 = sum_sq("_t", w)
+    wide = F.stddev_samp(F.col("_t").cast("double")).over(w)
     st = cm.select(
         *by, "category", "year_month", "_t",
         mean_from(n, s1).alias("_mean"),
-        stddev_samp_from(n, s1, s2).alias("_std"),
+        stddev_samp_from(n, s1, s2, wide).alias("_std"),
     )
     t = F.col("_t").cast("double")
     z = (t - F.col("_mean")) / F.col("_std")
@@ -47,9 +48,21 @@ def detect_anomalies(ledger: DataFrame, z_threshold: float = 2.0, by: Sequence[s
         round_dec("_mean", 2).alias("category_mean"),
         round_dec("_std", 2).alias("category_std"),
         round_dec("_z", 2).alias("z_score"),
+        "_z",
     )
 
 
-def top_anomalies(anomalies: DataFrame, n: int = 15) -> DataFrame:
-    """First n anomalies by |z| descending (the page shows 15)."""
-    return anomalies.orderBy(F.abs("z_score").desc(), F.col("category"), F.col("year_month")).limit(n)
+def detect_anomalies(ledger: DataFrame, z_threshold: float = 2.0, by: Sequence[str] = (), filters=None,
+                     ordered: bool = False) -> DataFrame:
+    """Anomalous (category, month) totals; ``ordered`` sorts by |z| descending as the source lists them."""
+    out = _scored(ledger, z_threshold, by, filters)
+    if ordered:
+        out = out.orderBy(F.abs("_z").desc(), *by, "category", "year_month")
+    return out.drop("_z")
+
+
+def top_anomalies(ledger: DataFrame, n: int = 15, z_threshold: float = 2.0, filters=None) -> DataFrame:
+    """First n anomalies by unrounded |z| descending, with their rank (the page shows 15)."""
+    top = _scored(ledger, z_threshold, (), filters).orderBy(F.abs("_z").desc(), "category", "year_month").limit(n)
+    rank = F.row_number().over(Window.orderBy(F.abs("_z").desc(), "category", "year_month"))  # n rows
+    return top.withColumn("rank", rank).drop("_z")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The category mapping of the source application.
-# Job -> Income; Loan given, Other, Food, Cafe, Gifts, Bought for myself, Leisure,
-# Health, Taxi, Clothes, Public transport, University, Fines -> Expense;
-# any other category -> Expense (the default type).
+# Any other category is an Expense (the default type).
 DEFAULT_TYPE = "Expense"
 DEFAULT_CATEGORY_MAPPING = {
     "Job": "Income",
@@ -31,25 +30,18 @@ DEFAULT_CATEGORY_MAPPING = {
 # Mapping used when the mapping file is absent (only Job is Income).
 FALLBACK_CATEGORY_MAPPING = {"Job": "Income"}
 
-# A literal map beyond this many entries is better served by a join.
-LITERAL_MAP_LIMIT = 10_000
-
-
 def type_expr(category: Column | str, mapping: Mapping[str, str] | None = None, default: str = DEFAULT_TYPE) -> Column:
     """Type lookup as one expression: ``coalesce(try_element_at(map, category), default)``.
 
-    The map is a literal, so there is no join and nothing to shuffle.
+    The map is one literal, so there is no join and nothing to shuffle; a mapping
+    of thousands of entries is better given as a table (``classify_with_table``).
     """
     mapping = DEFAULT_CATEGORY_MAPPING if mapping is None else mapping
     cat = F.col(category) if isinstance(category, str) else category
     if not mapping:
         return F.lit(default)
-    if len(mapping) > LITERAL_MAP_LIMIT:
-        raise ValueError("mapping too large for a literal map; use classify_with_table")
-    kv = []
-    for k, v in mapping.items():
-        kv += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.try_element_at(F.create_map(*kv), cat), F.lit(default))
+    table = F.from_json(F.lit(json.dumps(dict(mapping))), "map<string,string>")
+    return F.coalesce(F.try_element_at(table, cat), F.lit(default))
 
 
 def classify(df: DataFrame, mapping: Mapping[str, str] | None = None, default: str = DEFAULT_TYPE,
@@ -59,7 +51,7 @@ def classify(df: DataFrame, mapping: Mapping[str, str] | None = None, default: s
 
 def classify_with_table(df: DataFrame, mapping_df: DataFrame, default: str = DEFAULT_TYPE,
                         category_col: str = "category", out_col: str = "type") -> DataFrame:
-    """Type lookup against a mapping table of (category, type) of any size.
+    """Type lookup against a mapping table of (category, type) of any size; a category should occur once.
 
     No broadcast hint: the mapping size is unknown here, so the planner (and
     AQE at run time, from the actual size) chooses broadcast or shuffle join.

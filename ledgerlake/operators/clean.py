@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schema import AMOUNT_TYPE, CANONICAL_COLUMNS, REQUIRED_RAW_COLUMNS
-from .classify import DEFAULT_TYPE, type_expr
+from .classify import DEFAULT_TYPE, classify_with_table, type_expr
 from .stable_id import DEFAULT_CHUNK_ROWS, assign_stable_ids
 
 DEFAULT_DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
@@ -37,40 +37,60 @@ class TransformError(RuntimeError):
     """The raw frame cannot be transformed (e.g. it is empty)."""
 
 
-def parse_datetime(c: Column, formats: Sequence[str] = DEFAULT_DATETIME_FORMATS) -> Column:
-    """First format that parses, as timestamp_ntz; null when none does."""
-    s = F.trim(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-    return parsed.cast("timestamp_ntz")
+# The characters that Python's str.strip removes (its white space).
+STRIPPED = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
-# Largest magnitude the canonical decimal(18,2) amount can hold.
-MAX_AMOUNT = 1e16
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(STRIPPED))
 
 
-def parse_amount(c: Column) -> Column:
-    """Text -> double; null for non-numeric text, NaN and magnitudes beyond decimal(18,2).
+def parse_datetime(c: Column, formats: Sequence[str] = DEFAULT_DATETIME_FORMATS) -> Column:
+    """Text -> timestamp_ntz, null when nothing parses.
 
-    pandas keeps ``inf``; the canonical amount is a decimal, so such rows are
-    counted and dropped as bad amounts instead.
+    ISO forms (with or without ``T``, fractions of a second, a zone) are cast
+    without passing through the session's time zone: the written clock time is
+    kept. A slash date counts as a dash date; ``formats`` are tried last.
     """
-    v = F.trim(c).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(MAX_AMOUNT)), v)
+    s = strip(c)
+    iso = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"\s*(?:Z|UTC|[+-]\d{2}:?\d{2})$", "")
+    day = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso)
+    tries = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats if f not in DEFAULT_DATETIME_FORMATS]
+    return F.coalesce(day.try_cast("timestamp_ntz"), *tries)
+
+
+def parse_amount(c: Column) -> Column:
+    """Text -> double; null for non-numeric text and NaN."""
+    v = strip(c).try_cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def exact_amount(v: Column, amount_type: str) -> Column:
+    """The double as ``amount_type``; an error for a value that the type cannot hold as it is."""
+    d = v.try_cast(amount_type)
+    wrong = F.concat(F.lit("amount "), v.cast("string"), F.lit(f" does not fit {amount_type}; pass a wider amount_type"))
+    return F.when(d.isNotNull() & (d.cast("double") == v), d).otherwise(F.raise_error(wrong).cast(amount_type))
 
 
 def clean_text(c: Column, missing_text: str | None = MISSING_TEXT) -> Column:
     """Strip; a missing value (null or a missing-value token) becomes ``missing_text``."""
     is_missing = c.isNull() | c.isin(list(MISSING_TOKENS))
-    return F.when(is_missing, F.lit(missing_text)).otherwise(F.trim(c))
+    return F.when(is_missing, F.lit(missing_text)).otherwise(strip(c))
 
 
-def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mapping[str, str] | None = None,
+def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mapping[str, str] | DataFrame | None = None,
                        default_type: str = DEFAULT_TYPE, formats: Sequence[str] = DEFAULT_DATETIME_FORMATS,
                        missing_text: str | None = MISSING_TEXT, require_non_empty: bool = False,
                        observation: Observation | None = None, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                       drop_duplicate_ids: bool = False) -> DataFrame:
+                       drop_duplicate_ids: bool = False, amount_type: str = AMOUNT_TYPE) -> DataFrame:
     """Canonical transactions from a raw all-text log with the six required columns.
 
+    ``mapping`` is a dict, or a table of (category, type), which is joined. An
+    amount that ``amount_type`` cannot hold exactly (too large, too many
+    decimals) is an error, never dropped or rounded.
+
     ``require_non_empty`` runs one small job (``isEmpty``) to raise on an empty
     input like the source does; the default skips it. ``observation`` collects
     rows_in, bad_date, bad_amount, rows_out, income_rows, expense_rows when the
@@ -90,9 +110,12 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
         amt.alias("_amt"),
         *[clean_text(F.col(c).cast("string"), missing_text).alias(c) for c in TEXT_COLUMNS],
     )
+    table = mapping if isinstance(mapping, DataFrame) else None
     if observation is not None:
         good = F.col("_ts").isNotNull() & F.col("_amt").isNotNull()
-        typ = type_expr(F.col("category"), mapping, default_type)
+        if table is not None:
+            staged = classify_with_table(staged, table, default_type)
+        typ = F.col("type") if table is not None else type_expr(F.col("category"), mapping, default_type)
         staged = staged.observe(
             observation,
             F.count(F.lit(1)).alias("rows_in"),
@@ -111,6 +134,8 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
                              chunk_rows=chunk_rows, drop_duplicate_ids=drop_duplicate_ids)
     ided = ided.withColumn("_ts", parse_datetime(F.col("date_time"), formats)).withColumn(
         "_amt", F.col("amount_text").cast("double"))
+    if table is not None:
+        ided = classify_with_table(ided, table, default_type)
     ts = F.col("_ts")
     out = ided.select(
         "transaction_id",
@@ -120,9 +145,9 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
         F.month(ts).alias("month"),
         F.date_format(ts, "yyyy-MM").alias("year_month"),
         "category",
-        type_expr(F.col("category"), mapping, default_type).alias("type"),
+        F.col("type") if table is not None else type_expr(F.col("category"), mapping, default_type).alias("type"),
         "account",
-        F.col("_amt").cast(AMOUNT_TYPE).alias("amount"),
+        exact_amount(F.col("_amt"), amount_type).alias("amount"),
         "currency",
         "tags",
         F.lit(source).alias("source"),

@@ -41,7 +41,7 @@ DEFAULT_WITHDRAWAL = 4.0
 # Integer powers g^m are built from g, g^2, g^4, ... by multiplication only
 # (exponentiation by squaring). IEEE products are reproducible in every engine,
 # whereas libm ``pow`` differs in the last bit between the JVM and C libraries.
-POW_BITS = 11  # exponents below 2048 months, more than 84 years
+POW_BITS = 11  # exponents below 2048 months; beyond, the library's pow takes over
 
 
 def monthly_return(annual_pct, compounding: str = "effective") -> Column:
@@ -69,12 +69,12 @@ def with_powers(df: DataFrame, base, prefix: str = "_g") -> DataFrame:
 
 
 def int_pow(m, prefix: str = "_g") -> Column:
-    """base^m for 0 <= m < 2^POW_BITS from the power columns added by ``with_powers``."""
+    """base^m for m >= 0 from the power columns added by ``with_powers`` (``pow`` from 2^POW_BITS on)."""
     m = col_or(m).cast("long")
     acc = F.lit(1.0)
     for i in range(POW_BITS):
         acc = acc * F.when(F.shiftright(m, i).bitwiseAND(1) == 1, F.col(f"{prefix}{i}")).otherwise(F.lit(1.0))
-    return F.when(m < F.lit(1 << POW_BITS), acc)
+    return F.when(m < F.lit(1 << POW_BITS), acc).otherwise(F.pow(F.col(f"{prefix}0"), m))
 
 
 def balance_at(S, c, r, m, prefix: str = "_g") -> Column:
@@ -201,7 +201,7 @@ def fire_projection(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ``POW_BITS`` of them.
     """
     x = inputs.withColumn("_r", monthly_return("annual_return_pct")).withColumn("_c", _contribution())
-    x = with_powers(x, F.lit(1.0) + F.col("_r"))
+    x = with_powers(x.where(_horizon() >= 0), F.lit(1.0) + F.col("_r"))  # no months when the target age has passed
     x = x.select(*by, "current_age", "current_savings", "_r", "_c", *[f"_g{i}" for i in range(POW_BITS)],
                  F.explode(F.sequence(F.lit(0), _horizon_of(x))).alias("m"))
     x = x.withColumn("_gm", int_pow("m"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, round_dec, safe_div
 from ..functions.filters import apply_filter
-from ..functions.stats import stddev_pop_from
+from ..functions.stats import stddev_pop_from, sum_sq
 from .summary import EXPENSE, expense_amt, income_amt, signed_amt
 
 # Sub-score weights and band thresholds of the health score.
@@ -67,34 +67,40 @@ def health_inputs(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> Da
         msum(F.col("_exp")).alias("s_exp"),
         msum(F.col("_net")).alias("s_net"),
         F.count(F.when(is_month, F.lit(1))).alias("n_months"),
-        msum(F.col("_inc") * F.col("_inc")).alias("s2_inc"),
-        msum(F.col("_exp") * F.col("_exp")).alias("s2_exp"),
+        sum_sq(F.when(is_month, F.col("_inc"))).alias("s2_inc"),
+        sum_sq(F.when(is_month, F.col("_exp"))).alias("s2_exp"),
+        F.stddev_pop(F.when(is_month, F.col("_inc").cast("double"))).alias("w_inc"),
+        F.stddev_pop(F.when(is_month, F.col("_exp").cast("double"))).alias("w_exp"),
         F.sum(F.when(is_exp_cat, F.col("_amt"))).alias("t1"),
-        F.sum(F.when(is_exp_cat, F.col("_amt") * F.col("_amt"))).alias("t2"),
+        sum_sq(F.when(is_exp_cat, F.col("_amt"))).alias("t2"),
+        F.sum(F.when(is_exp_cat, F.col("_amt").cast("double") * F.col("_amt").cast("double"))).alias("w2"),
         F.count(F.when(is_exp_cat, F.lit(1))).alias("n_exp_cats"),
     )
 
 
-def _stability(n, s1, s2) -> Column:
+def _stability(n, s1, s2, wide) -> Column:
     mean = safe_div(F.col(s1).cast("double"), F.col(n))
-    std = F.when(F.col(n) > 1, stddev_pop_from(n, s1, s2)).otherwise(F.lit(0.0))
+    std = F.when(F.col(n) > 1, stddev_pop_from(n, s1, s2, wide)).otherwise(F.lit(0.0))
     cv = F.coalesce(F.when(mean != 0, std / mean), F.lit(0.0))
     return clip(F.lit(100.0) - cv * F.lit(100.0))
 
 
 def health_score(ledger: DataFrame, filters=None, by: Sequence[str] = (), snapshot: bool = False) -> DataFrame:
-    """Health score per ``by`` group; ``snapshot=True`` gives the rounded-sub-score form."""
-    h = health_inputs(ledger, filters, by)
+    """Health score per ``by`` group; ``snapshot=True`` gives the rounded-sub-score form.
+
+    A ledger without rows (after the filters) has no score: no row is returned.
+    """
+    h = health_inputs(ledger, filters, by).where(F.col("n_months") > 0)
     inc = F.col("s_inc").cast("double")
     net = F.col("s_net").cast("double")
     rate = F.when(inc > 0, net / inc * F.lit(100.0)).otherwise(F.lit(0.0))
     t1 = F.col("t1").cast("double")
     has_exp = (F.col("n_exp_cats") > 0) & (t1 > 0)
-    hhi = F.when(has_exp, F.col("t2").cast("double") / (t1 * t1))
+    hhi = F.when(has_exp, F.coalesce(F.col("t2").cast("double"), F.col("w2")) / (t1 * t1))
     subs = {
         "savings_score": clip(rate / F.lit(50.0) * F.lit(100.0)),
-        "expense_stability_score": _stability("n_months", "s_exp", "s2_exp"),
-        "income_stability_score": _stability("n_months", "s_inc", "s2_inc"),
+        "expense_stability_score": _stability("n_months", "s_exp", "s2_exp", "w_exp"),
+        "income_stability_score": _stability("n_months", "s_inc", "s2_inc", "w_inc"),
         "diversification_score": F.when(has_exp, clip((F.lit(1.0) - hhi) * F.lit(100.0))).otherwise(F.lit(0.0)),
     }
     if snapshot:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..functions.assemble import merge_columns
 from ..functions.exprs import round_dec
-from ..functions.stats import mean_from, stddev_samp_from
+from ..functions.stats import mean_from, stddev_samp_from, sum_sq
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 MEDIAN_BUCKET_BITS = 20  # 2^20 unscaled units (cents) per first-level bucket
@@ -154,16 +154,16 @@ def exact_median(df: DataFrame, col: str, by: Sequence[str] = (), scale: int = 2
 
 def amount_stats(ledger: DataFrame, by: Sequence[str] = (), col: str = "amount") -> DataFrame:
     """min, max, avg, sample std and exact median of the amount."""
-    n, s1, s2 = F.count(F.col(col)), F.sum(F.col(col)), F.sum(F.col(col) * F.col(col))
+    n, s1, s2 = F.count(F.col(col)), F.sum(F.col(col)), sum_sq(col)
     st = ledger.groupBy(*by).agg(
         F.min(col).cast("double").alias("min_amount"),
         F.max(col).cast("double").alias("max_amount"),
-        n.alias("_n"), s1.alias("_s1"), s2.alias("_s2"),
+        n.alias("_n"), s1.alias("_s1"), s2.alias("_s2"), F.stddev_samp(F.col(col).cast("double")).alias("_w"),
     )
     st = st.select(
         *by, "min_amount", "max_amount",
         mean_from("_n", "_s1").alias("avg_amount"),
-        stddev_samp_from("_n", "_s1", "_s2").alias("std_amount"),
+        stddev_samp_from("_n", "_s1", "_s2", "_w").alias("std_amount"),
     )
     med = exact_median(ledger, col, by)
     # join-free: both parts are one row per key

@@ -24,6 +24,7 @@ Scenario kinds (C7-C11):
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Sequence
 
@@ -57,29 +58,28 @@ DEFAULT_SCENARIOS = (
     Scenario("Increase Income", "increase_income", pct=5),
 )
 
-MAX_SCENARIOS = 1000
+SCENARIO_TYPE = ("array<struct<scenario_id:int,scenario:string,kind:string,pct:double,amount:double,"
+                 "annual_return_pct:double,months_forward:int,keywords:array<string>>>")
+
+
+def scenario_list(scenarios: Sequence[Scenario] | DataFrame) -> list[Scenario]:
+    """Scenarios given as a list, or as a table with the fields of ``Scenario`` (parameters, read on the driver)."""
+    if not isinstance(scenarios, DataFrame):
+        return list(scenarios)
+    names = [f for f in Scenario.__dataclass_fields__ if f in scenarios.columns]
+    rows = [{n: r[n] for n in names if r[n] is not None} for r in scenarios.select(*names).collect()]
+    return [Scenario(**(r | ({"keywords": tuple(r["keywords"])} if "keywords" in r else {}))) for r in rows]
 
 
 def scenario_array(scenarios: Sequence[Scenario]) -> Column:
-    """The scenario list as one literal array column (size checked: it is replicated per entity)."""
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"at most {MAX_SCENARIOS} scenarios are attached per entity")
-    items = []
-    for i, s in enumerate(scenarios):
-        kws = [F.lit(k.lower()) for k in s.keywords]
-        items.append(
-            F.struct(
-                F.lit(i).alias("scenario_id"),
-                F.lit(s.name).alias("scenario"),
-                F.lit(s.kind).alias("kind"),
-                F.lit(float(s.pct)).alias("pct"),
-                F.lit(float(s.amount)).alias("amount"),
-                F.lit(float(s.annual_return_pct)).alias("annual_return_pct"),
-                F.lit(int(s.months_forward)).alias("months_forward"),
-                (F.array(*kws) if kws else F.array().cast("array<string>")).alias("keywords"),
-            )
-        )
-    return F.array(*items)
+    """The scenario list as one literal array column."""
+    items = [
+        {"scenario_id": i, "scenario": s.name, "kind": s.kind, "pct": float(s.pct), "amount": float(s.amount),
+         "annual_return_pct": float(s.annual_return_pct), "months_forward": int(s.months_forward),
+         "keywords": [k.lower() for k in s.keywords]}
+        for i, s in enumerate(scenarios)
+    ]
+    return F.from_json(F.lit(json.dumps(items)), SCENARIO_TYPE)
 
 
 def baseline(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +103,8 @@ def _keyword_picks(ledger: DataFrame, filters, by: Sequence[str], scenarios: Seq
         .groupBy(*by, "category")
         .agg(F.sum("amount").alias("t"))
     )
-    kw = F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.array(*[F.lit(k.lower()) for k in s.keywords]).alias("kws"))
-                   for i, s in keyed])
+    kws = [{"scenario_id": i, "kws": [k.lower() for k in s.keywords]} for i, s in keyed]
+    kw = F.from_json(F.lit(json.dumps(kws)), "array<struct<scenario_id:int,kws:array<string>>>")
     x = cats.select(*by, "category", "t", F.explode(kw).alias("k"))
     hit = F.exists(F.col("k.kws"), lambda k: F.contains(F.lower(F.col("category")), k))
     m = x.where(hit)
@@ -115,9 +115,10 @@ def _keyword_picks(ledger: DataFrame, filters, by: Sequence[str], scenarios: Seq
     )
 
 
-def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS, filters=None,
+def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] | DataFrame = DEFAULT_SCENARIOS, filters=None,
                      by: Sequence[str] = ()) -> DataFrame:
     """One row per (by, scenario) with the ten rounded figures of the scenario record."""
+    scenarios = scenario_list(scenarios)
     base = baseline(ledger, filters, by).where(F.col("n_exp_rows") > 0)
     grid = base.select("*", F.explode(scenario_array(scenarios)).alias("sc")).select(
         *by, "s_inc", "s_exp", "n_months", "sc.*"

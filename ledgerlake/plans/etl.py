@@ -1,7 +1,7 @@
 """The ETL job (S22): raw log -> canonical transactions -> monthly summary -> stores.
 
-extract (S1, S2) -> clean (T1-T12) -> write transactions as the next table
-version, partitioned by ``year_month`` (S3) -> monthly summary (A1) read from
+extract (S1, S2) -> clean (T1-T12) -> write transactions, partitioned
+by ``year_month`` (S3) -> monthly summary (A1) read from
 the written table -> keyed upsert into the summary table (S8) -> optional
 extra sinks. As in the source, a failing sink does not abort the run: its
 error is collected in ``errors``; errors in extract/clean propagate.

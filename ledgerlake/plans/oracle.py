@@ -202,11 +202,11 @@ def std_pop_sql(n: str, s1: str, s2: str) -> str:
     return f"sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) / NULLIF({n} * {n}, 0))"
 
 
-def anomalies_sql(src: str, thr: float = 2.0, by: str = "") -> str:
+def anomalies_sql(src: str, thr: float = 2.0, by: str = "", more: str = "") -> str:
     b = f"{by}, " if by else ""
     part = f"PARTITION BY {b}category"
     return f"""SELECT {b}category, year_month, {R('CAST(t AS DOUBLE)')} AS month_total, {R('mean')} AS category_mean,
-       {R('std')} AS category_std, {R('(CAST(t AS DOUBLE) - mean) / std')} AS z_score
+       {R('std')} AS category_std, {R('(CAST(t AS DOUBLE) - mean) / std')} AS z_score{more}
 FROM (SELECT *, CAST(SUM(t) OVER w AS DOUBLE) / COUNT(*) OVER w AS mean,
              {std_samp_sql('COUNT(*) OVER w', 'SUM(t) OVER w', 'SUM(CAST(t AS DECIMAL(19,2)) * CAST(t AS DECIMAL(19,2))) OVER w')} AS std
       FROM (SELECT {b}category, year_month, SUM(amount) AS t FROM {src} WHERE type = 'Expense'
@@ -537,7 +537,8 @@ SQL["top_values"] = "\nUNION ALL\n".join(
   FROM orders WHERE {c} IS NOT NULL GROUP BY 2) t WHERE rank <= 10"""
     for c, _, num in _ORDERS_COLS if not num)
 SQL["duplicate_rows"] = with_(RAW_L2) + """SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows
-FROM (SELECT date_time, account, currency, tags, COUNT(*) AS c FROM raw GROUP BY ALL) g"""
+FROM (SELECT COUNT(*) * CASE WHEN account = 'R' THEN 2 ELSE 1 END AS c
+      FROM raw GROUP BY date_time, category, account, amount, currency, tags) g"""
 
 
 def amount_stats_sql(src: str, by: str = "") -> str:
@@ -571,7 +572,8 @@ FROM g"""
 
 SQL["append_new_rows"] = with_(L1) + """, led AS (SELECT transaction_id, year_month, CAST(amount AS DOUBLE) AS amount FROM l1),
 existing AS (SELECT * FROM led WHERE year_month < '1998-01'),
-incoming AS (SELECT * FROM led WHERE year_month >= '1997-07')
+incoming AS (SELECT * FROM led WHERE year_month >= '1997-07'
+             UNION ALL SELECT transaction_id, '1999-01', amount FROM led WHERE year_month < '1993-01')
 SELECT * FROM existing
 UNION ALL
 SELECT * FROM incoming WHERE transaction_id NOT IN (SELECT transaction_id FROM existing)"""
@@ -630,8 +632,9 @@ SELECT (SELECT COUNT(*) FROM raw) AS source_rows, (SELECT COUNT(*) FROM raw) AS
                                              unique_count := unique_count) ORDER BY column_name)) AS VARCHAR) FROM cols) AS columns_json"""
 
 
-SQL["top_anomalies"] = with_(L2) + f"""SELECT * FROM ({anomalies_sql('l2')}) a
-ORDER BY abs(z_score) DESC, category, year_month LIMIT 15"""
+SQL["top_anomalies"] = with_(L2) + f"""SELECT * EXCLUDE (z), CAST(row_number() OVER o AS INTEGER) AS rank
+FROM ({anomalies_sql('l2', more=", (CAST(t AS DOUBLE) - mean) / std AS z")}) a
+WINDOW o AS (ORDER BY abs(z) DESC, category, year_month) QUALIFY row_number() OVER o <= 15"""
 SQL["category_breakdown_by_entity"] = with_(L1) + category_sql("l1", by="entity_id")
 SQL["account_breakdown_by_entity"] = with_(L2) + account_sql("l2", by="entity_id")
 SQL["date_range_by_entity"] = with_(L3) + """SELECT entity_id, MIN(transaction_date) AS min_date, MAX(transaction_date) AS max_date,

@@ -1,8 +1,9 @@
 """Raw transaction log scan.
 
-Read with a fixed all-text schema (no inference pass over the data); the
-header decides which columns exist. A missing required column is an error
-naming it; extra columns are tolerated and dropped by the cleaner's projection.
+All columns are read as text by the name in each file's header, so files may
+order their columns differently; quotes are doubled inside quoted fields, which
+may span lines. A missing required column is an error naming it; extra columns
+are tolerated and dropped by the cleaner's projection.
 """
 
 from __future__ import annotations
@@ -17,25 +18,33 @@ class ExtractError(RuntimeError):
     """The raw dataset cannot be read or lacks required columns."""
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line(s): a one-row read of the text source."""
-    first = spark.read.option("header", True).option("inferSchema", False).csv(path).schema
-    return [f.name for f in first.fields]
+def _options(reader):
+    return reader.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", True)
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header: a listing, and one line of every file."""
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        found.setdefault(tuple(_options(spark.read).csv(f).columns), []).append(f)
+    return found
 
 
 def extract_transactions(spark: SparkSession, path: str, required=REQUIRED_RAW_COLUMNS) -> DataFrame:
     """All-text DataFrame of the raw log; raises ``ExtractError`` on missing columns or path."""
     try:
-        cols = _header(spark, path)
+        headers = _headers(spark, path)
     except Exception as exc:  # noqa: BLE001  (missing path: AnalysisException)
         raise ExtractError(f"Raw data file not found or unreadable: {path}: {exc}") from exc
-    missing = [c for c in required if c not in cols]
-    if missing:
-        raise ExtractError(f"Dataset is missing required columns: {missing}")
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    if not headers:
+        raise ExtractError(f"Raw data file not found or unreadable: {path}")
+    out = None
+    for cols, files in headers.items():
+        missing = [c for c in required if c not in cols]
+        if missing:
+            raise ExtractError(f"Dataset is missing required columns: {missing} in {files[0]}")
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
+        part = _options(spark.read.schema(schema)).option("mode", "PERMISSIVE").csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

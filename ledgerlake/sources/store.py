@@ -6,12 +6,10 @@ one relational operator, the keyed upsert::
 
     result = current LEFT ANTI updates  UNION ALL  updates
 
-Parquet files are immutable, so a table here is a folder of versions
-(``v00001``, ``v00002``, ...): an upsert reads the newest version and writes
-the next one, never overwriting a path it reads. A version becomes visible
-only once its write has committed and a row is appended to the table's
-``_versions`` log, so a lost executor or a retried job cannot expose a
-half-written table.
+A catalog whose tables support row-level operations runs it as ``MERGE INTO``
+(``merge_into``). For plain parquet folders, ``append_table`` adds files and
+rewrites nothing; ``upsert_table`` partitions the table by a hash bucket of the
+key, which a key never leaves, and overwrites the buckets that a batch touches.
 """
 
 from __future__ import annotations
@@ -23,8 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERSION_PREFIX = "v"
-VERSION_LOG = "_versions"
+BUCKET = "key_bucket"
 
 
 # --- SQL access (S5, S6) --------------------------------------------------------------
@@ -45,69 +42,59 @@ def cache_key(*cols: Column | str) -> Column:
 
 
 # --- pure DataFrame operators -------------------------------------------------------
-def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction_id",
-               partition_cols: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``existing``.
+def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Rows of ``incoming`` whose key is not in ``existing`` (S4, J2), wherever it is held there.
 
     As in the source, duplicates inside one incoming batch are not removed.
     The key is never null (ids are generated), so a plain left anti join has
-    ``NOT IN`` semantics. With ``partition_cols`` (columns that are a function
-    of the key, e.g. ``year_month`` for transaction ids, which hash the
-    datetime), only existing keys in the partitions the incoming rows touch
-    are compared (``restrict_to_touched``): on a table partitioned by them,
-    every other partition is pruned instead of shuffling all existing keys.
+    ``NOT IN`` semantics. Of the existing table only the key column is read, and
+    only keys that the batch holds too reach the anti join: with a batch below
+    the broadcast threshold the existing keys are not shuffled.
     """
-    keys = restrict_to_touched(existing.select(key, *partition_cols), incoming, partition_cols)
-    return incoming.join(keys.select(key), key, "left_anti")
-
-
-MAX_STATIC_PARTITIONS = 10_000
+    batch_keys = incoming.select(key).distinct()
+    seen = existing.select(key).join(batch_keys, key, "left_semi")
+    return incoming.join(seen, key, "left_anti").select(*incoming.columns)
 
 
 def restrict_to_touched(table: DataFrame, changes: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
-    """Rows of ``table`` in the partitions that ``changes`` touch.
-
-    For one partition column the distinct values of the (small) change set are
-    fetched (one job over the changes, at most ``MAX_STATIC_PARTITIONS``
-    values) and applied as a static ``IN`` filter, which prunes partitions at
-    planning time. Otherwise (several partition columns, or more values than
-    the cap) it is a plain semi-join on the distinct values, and the planner
-    picks broadcast or shuffle from their measured size.
+    """Rows of ``table`` in the partitions that ``changes`` touch: a semi-join on the partition columns.
+
+    On a table partitioned by them, dynamic partition pruning skips the others.
     """
     cols = list(partition_cols)
     if not cols:
         return table
-    if len(cols) == 1:
-        vals = changes.select(cols[0]).distinct().limit(MAX_STATIC_PARTITIONS + 1).collect()
-        if len(vals) <= MAX_STATIC_PARTITIONS:
-            present = [v[0] for v in vals if v[0] is not None]
-            cond = F.col(cols[0]).isin(present) if present else F.lit(False)
-            if any(v[0] is None for v in vals):
-                cond = cond | F.col(cols[0]).isNull()
-            return table.where(cond)
     return table.join(changes.select(*cols).distinct(), cols, "left_semi").select(*table.columns)
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Column | str | None = None,
            flag: str | None = None) -> DataFrame:
-    """Keyed upsert: every update row replaces the current row with its key or is inserted.
+    """Keyed upsert, field by field (S7-S10): an update overwrites the columns it has, or is inserted.
 
-    ``order_by`` picks the latest of several updates for one key (``max_by``);
-    without it updates must be unique per key. ``flag`` adds a column saying
-    ``kept``/``updated``/``inserted`` for the reported counts.
+    Columns of ``current`` that ``updates`` lacks keep their value (null in
+    inserted rows). Of several updates for one key the last wins: by
+    ``order_by``, or without it by the order in which the batch is read.
+    ``flag`` adds a column saying ``kept``/``updated``/``inserted``.
     """
     keys = list(keys)
-    if order_by is not None:
-        o = F.col(order_by) if isinstance(order_by, str) else order_by
-        cols = [c for c in updates.columns if c not in keys]
-        updates = updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), o).alias("_u")).select(*keys, "_u.*")
-    updates = updates.select(*current.columns)
-    kept = current.join(updates.select(*keys), keys, "left_anti")
-    if flag is None:
-        return kept.unionByName(updates)
-    matched = updates.join(current.select(*keys).withColumn("_hit", F.lit(True)), keys, "left")
-    up = matched.withColumn(flag, F.when(F.col("_hit"), F.lit("updated")).otherwise(F.lit("inserted"))).drop("_hit")
-    return kept.withColumn(flag, F.lit("kept")).unionByName(up)
+    cols = [c for c in updates.columns if c not in keys]
+    order = F.col(order_by) if isinstance(order_by, str) else order_by
+    if order is None:
+        updates = updates.withColumn("_order", F.monotonically_increasing_id())
+        order = F.col("_order")
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols], F.lit(1).alias("_")), order).alias("_u"))
+    absent = [c for c in current.columns if c not in updates.columns]
+    kept = current.join(last.select(*keys), keys, "left_anti")
+    if absent or flag:
+        have = current.select(*keys, F.lit(True).alias("_hit"), *absent)
+        merged = last.join(have, keys, "left")
+    else:
+        merged = last
+    merged = merged.select(
+        *[F.col(c) if c in keys or c in absent else F.col(f"_u.`{c}`").alias(c) for c in current.columns],
+        *([F.when(F.col("_hit"), "updated").otherwise("inserted").alias(flag)] if flag else []),
+    )
+    return (kept.withColumn(flag, F.lit("kept")) if flag else kept).unionByName(merged)
 
 
 def find_rows(df: DataFrame, query: Mapping[str, object] | None = None, limit: int = 0) -> DataFrame:
@@ -193,115 +180,124 @@ def create_tables(spark: SparkSession, tables: Mapping[str, T.StructType], locat
     return created
 
 
-# --- versioned parquet tables -------------------------------------------------------
+# --- parquet tables -----------------------------------------------------------------
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The parquet data at ``path``, or None when the path is missing or holds no data files."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _log_path(root: str) -> str:
-    return f"{root.rstrip('/')}/{VERSION_LOG}"
-
-
-def list_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions, ascending, from the table's commit log."""
-    log = read_or_none(spark, _log_path(root))
-    if log is None:
-        return []
-    return sorted({r.version for r in log.select("version").collect()})
-
-
-def version_path(root: str, v: int) -> str:
-    return f"{root.rstrip('/')}/{VERSION_PREFIX}{v:05d}"
-
-
-def read_current(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:
-    vs = list_versions(spark, root)
-    if not vs:
-        return None
-    r = spark.read.schema(schema) if schema is not None else spark.read
-    return r.parquet(version_path(root, vs[-1]))
-
-
-def write_version(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the next version, then commit it by appending (version, path) to the log.
-
-    Readers only see logged versions. A folder left by a failed attempt is not
-    logged, so it is never read and the next attempt overwrites it.
-    """
-    spark = df.sparkSession
-    vs = list_versions(spark, root)
-    v = (vs[-1] + 1) if vs else 1
-    path = version_path(root, v)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    spark.createDataFrame([(v, path)], "version int, path string").coalesce(1).write.mode("append").parquet(_log_path(root))
-    return path
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The rows of a table written by this module, or None."""
+    table = read_or_none(spark, root)
+    return None if table is None else table.drop(BUCKET)
+
+
+def write_rows(df: DataFrame, root: str, partition_by: Sequence[str] = (), mode: str = "append") -> str:
+    """Write ``df`` by partition with few files: rows are rebalanced on the partition
+    columns first, so a partition gets one file, and a hot one several (by size)."""
+    parts = list(partition_by)
+    if not parts:
+        df.write.mode(mode).parquet(root)
+        return root
+    even = df.hint("rebalance", *parts)
+    w = even.write.mode(mode).partitionBy(*parts)
+    if mode == "overwrite":
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(root)
+    return root
 
 
 def replace_table(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
-    """``mode="replace"`` (S3): the frame becomes the next version."""
-    return write_version(df, root, partition_by)
+    """``mode="replace"`` (S3): the frame becomes the table."""
+    even = df.hint("rebalance", *partition_by) if partition_by else df
+    w = even.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(root)
+    return root
 
 
 def append_table(df: DataFrame, root: str, key: str = "transaction_id", partition_by: Sequence[str] = ()) -> str:
-    """``mode="append"`` (S4): add rows whose key is absent; creates the table when absent."""
-    spark = df.sparkSession
-    cur = read_current(spark, root, df.schema)
-    out = df if cur is None else cur.unionByName(append_new(cur, df, key, partition_by))
-    return write_version(out, root, partition_by)
+    """``mode="append"`` (S4): add rows whose key is absent, as new files; creates the table when absent."""
+    cur = read_or_none(df.sparkSession, root)
+    return write_rows(df if cur is None else append_new(cur, df, key), root, partition_by)
 
 
-def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], partition_by: Sequence[str] = (),
-                 order_by: Column | str | None = None) -> dict:
-    """Keyed upsert into a versioned table; returns the new path and inserted/updated/kept counts.
+def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], order_by: Column | str | None = None,
+                 buckets: int = 64) -> dict:
+    """Keyed upsert into a parquet table partitioned by a hash bucket of the key.
 
-    The counts ride on the write job as an ``Observation`` (no extra pass).
+    Only the buckets that the updates touch are read and overwritten. Returns
+    the path and inserted/updated/kept counts (kept: within touched buckets),
+    which ride on the write job as an ``Observation``. ``buckets`` must stay the
+    same over the table's life; at scale take it so that a bucket is one or a few files.
     """
     spark = updates.sparkSession
-    cur = read_current(spark, root, updates.schema)
-    if cur is None:
-        cur = spark.createDataFrame([], updates.schema)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    upd = updates.withColumn(BUCKET, bucket)
+    cur = read_or_none(spark, root)
+    touched = spark.createDataFrame([], upd.schema) if cur is None else restrict_to_touched(cur, upd, [BUCKET])
     obs = Observation(f"upsert_{uuid.uuid4().hex[:8]}")
-    merged = upsert(cur, updates, keys, order_by, flag="_op").observe(
+    merged = upsert(touched, upd, keys, order_by, flag="_op").observe(
         obs,
         F.count_if(F.col("_op") == "inserted").alias("inserted"),
         F.count_if(F.col("_op") == "updated").alias("updated"),
         F.count_if(F.col("_op") == "kept").alias("kept"),
     )
-    path = write_version(merged.drop("_op"), root, partition_by)
-    return {"path": path, **obs.get}
+    write_rows(merged.drop("_op"), root, [BUCKET], "overwrite")
+    return {"path": root, **obs.get}
+
+
+def merge_sql(table: str, source: str, keys: Sequence[str], columns: Sequence[str]) -> str:
+    """``MERGE INTO`` of the rows of ``source`` by key, field by field."""
+    q = lambda c: f"`{c}`"
+    on = " AND ".join(f"t.{q(k)} <=> s.{q(k)}" for k in keys)
+    sets = ", ".join(f"t.{q(c)} = s.{q(c)}" for c in columns if c not in keys)
+    names = ", ".join(q(c) for c in columns)
+    matched = f" WHEN MATCHED THEN UPDATE SET {sets}" if sets else ""
+    return (f"MERGE INTO {table} AS t USING {source} AS s ON {on}{matched}"
+            f" WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join('s.' + q(c) for c in columns)})")
+
+
+def merge_into(updates: DataFrame, table: str, keys: Sequence[str]) -> None:
+    """Keyed upsert into a catalog table that supports row-level operations; updates must be unique by key."""
+    view = f"updates_{uuid.uuid4().hex[:8]}"
+    updates.createOrReplaceTempView(view)
+    updates.sparkSession.sql(merge_sql(table, view, keys, updates.columns))
+
+
+def save_records(records: DataFrame, root: str, id_col: str, json_cols: Sequence[str] = ()) -> str:
+    """Append report or simulation records (S15): JSON text is checked, ``created_at`` stamped where absent.
+
+    A record without an id gets a random one. JSON stays text on disk; ``with_variant`` reads it as VARIANT.
+    """
+    out = records
+    if id_col not in out.columns:
+        out = out.withColumn(id_col, F.expr("uuid()"))
+    if "created_at" not in out.columns:
+        out = out.withColumn("created_at", F.current_timestamp())
+    for c in json_cols:
+        out = out.withColumn(c, F.when(F.try_parse_json(c).isNotNull(), F.col(c)))
+    return write_rows(out, root)
 
 
 # --- partition-scoped upsert for large partitioned tables -----------------------------
 def upsert_partitions(updates: DataFrame, root: str, keys: Sequence[str], partition_by: Sequence[str] = ("year_month",)) -> str:
-    """Keyed upsert that rewrites only the partitions the updates touch.
-
-    Reads only the touched partitions (``restrict_to_touched``: a static
-    partition filter built from the change set), replaces rows by
-    key, and writes them back with dynamic partition overwrite; all other
-    partitions are left as they are. Valid when the partition value is a
-    function of the key (a transaction id hashes its datetime; a summary is
-    keyed by its month), so a key never moves between partitions. A failure
-    before the commit leaves the table unchanged; for a commit that is atomic
-    across partitions, use ``upsert_table`` (versioned) or a transactional
-    table format.
+    """Keyed upsert that rewrites only the partitions the updates touch; the partition columns are part of the key.
+
+    Reads only the touched partitions (``restrict_to_touched``), replaces rows
+    by key, and writes them back with dynamic partition overwrite; all other
+    partitions are left as they are. For keys that can move between partitions
+    use ``upsert_table``.
     """
-    spark = updates.sparkSession
     keys, parts = list(keys), list(partition_by)
-    cur = read_or_none(spark, root)
-    if cur is None:
-        merged = updates
-    else:
-        cur_t = restrict_to_touched(cur, updates, parts)
-        merged = upsert(cur_t, updates.select(*cur.columns), keys)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).parquet(root))
-    return root
+    if not set(parts) <= set(keys):
+        raise ValueError(f"partition columns {parts} must be among the keys {keys}: a key could move between partitions")
+    cur = read_or_none(updates.sparkSession, root)
+    merged = updates if cur is None else upsert(restrict_to_touched(cur, updates, parts), updates, keys)
+    return write_rows(merged, root, parts, "overwrite")

@@ -1,25 +1,19 @@
 """Incremental ingestion with Structured Streaming.
 
-X1 ``start_append_dedup``: rows arrive as files; event time gets a watermark,
-``dropDuplicatesWithinWatermark`` removes repeats of a key that arrive within
-it (its state expires with the watermark), and each micro-batch appends only
-keys the table does not hold yet (left anti join against the touched months
-of the table). A row behind the watermark is still appended (measured: the
-de-duplication operator keeps it), and a repeat arriving after its state
-expired is caught by the anti join, so nothing is lost and nothing doubles;
-the watermark only bounds the state.
-
-X2 ``start_monthly_summary``: the same de-duplicated stream aggregated per
-(entity, month) in update mode; every micro-batch upserts the changed
-(entity, month) rows, rewriting only the months it touched. Aggregation
-state is one row per (entity, month) -- as large as the summary table, not
-the input -- and the de-duplication state is bounded by the watermark.
-
-Both sinks are idempotent under retries: the append sink writes each batch to
-its own ``batch_id=N`` folder (overwritten on retry) and checks keys only
-against earlier batches; the summary sink replaces day totals by key and
-rewrites only the month partitions the batch touched. At scale, run with the
-RocksDB state store provider.
+X1 ``start_append_dedup``: rows arrive as files; every micro-batch keeps one row
+of each key and appends those whose key the table does not hold (left anti join
+on the table's key column). Nothing is dropped by event time: a row may be
+arbitrarily late, and a repeat may come at any time after the first. The table
+itself is the de-duplication state, so no state expires and none can be lost.
+
+X2 ``start_ingest``: X1, and from what each batch has written its sums per
+(by, month), kept by batch id; the touched (by, month) rows of the summary are
+recomputed from them. ``start_monthly_summary`` is the same with the rows kept
+beside the summary.
+
+Both sinks are idempotent under retries: a batch writes to its own
+``batch_id=N`` folder (overwritten on retry), checks keys only against earlier
+batches, and replaces its own sums.
 """
 
 from __future__ import annotations
@@ -42,76 +36,28 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, name_glo
     return r.format(fmt).load(folder)
 
 
-def dedup_stream(stream: DataFrame, key: str, event_time: str, watermark: str = "60 days") -> DataFrame:
-    """Watermark on event time (cast to TIMESTAMP; watermarks refuse timestamp_ntz) + key de-duplication."""
-    s = stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-    return s.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark([key])
-
-
-def _append_batch(table_root: str, key: str, month_col: str = "year_month"):
+def _append_batch(table_root: str, key: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.drop("_event_time")
-        table = ST.read_or_none(spark, table_root)
+        rows = batch.dropDuplicates([key])
+        table = ST.read_or_none(batch.sparkSession, table_root)
         if table is not None:
-            existing = table.where(F.col("batch_id") < batch_id)
-            # only the months this batch touches are read (the id fixes the month)
-            rows = ST.append_new(existing, rows, key, [month_col])
+            rows = ST.append_new(table.where(F.col("batch_id") < batch_id), rows, key)
         # the batch's own folder: a retried batch replaces exactly what it wrote before
-        rows.write.mode("overwrite").partitionBy(month_col).parquet(f"{table_root.rstrip('/')}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{table_root.rstrip('/')}/batch_id={batch_id}")
 
     return run
 
 
-def start_append_dedup(stream: DataFrame, table_root: str, checkpoint: str, key: str = "transaction_id",
-                       event_time: str = "transaction_datetime", watermark: str = "60 days",
-                       available_now: bool = True, processing_time: str | None = None):
-    """Start X1; returns the StreamingQuery."""
-    d = dedup_stream(stream, key, event_time, watermark)
-    w = d.writeStream.foreachBatch(_append_batch(table_root, key)).option("checkpointLocation", checkpoint)
+def _started(stream: DataFrame, sink, checkpoint: str, available_now: bool, processing_time: str | None):
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 
 
-def _summary_batch(table_root: str, keys: Sequence[str]):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        out = batch.select(
-            *keys,
-            F.col("_inc").cast("double").alias("total_income"),
-            F.col("_exp").cast("double").alias("total_expense"),
-            F.col("_net").cast("double").alias("net"),
-            "transaction_count",
-        ).withColumn("savings_rate_pct", savings_rate("net", "total_income"))
-        # running totals replace the stored rows; only the months this batch touched are rewritten
-        ST.upsert_partitions(out, table_root, list(keys), ["year_month"])
-
-    return run
-
-
-def start_monthly_summary(stream: DataFrame, table_root: str, checkpoint: str, by: Sequence[str] = (),
-                          key: str = "transaction_id", event_time: str = "transaction_datetime",
-                          watermark: str = "60 days", available_now: bool = True,
-                          processing_time: str | None = None):
-    """Start X2 over a ledger-shaped stream; returns the StreamingQuery.
-
-    The streaming aggregate is keyed by (by, month) in update mode: its state
-    holds the running totals, one row per (by, month) -- the size of the
-    summary table itself, not of the input -- so a late row still lands in
-    the right month. Event-time day windows closed by the watermark were
-    tried: a late row then reopens an evicted window with a partial total,
-    which a replacing sink would store in place of the full one.
-    """
-    d = dedup_stream(stream, key, event_time, watermark)
-    agg = d.groupBy(*by, "year_month").agg(
-        F.sum(income_amt()).alias("_inc"),
-        F.sum(expense_amt()).alias("_exp"),
-        F.sum(signed_amt()).alias("_net"),
-        F.count(F.lit(1)).alias("transaction_count"),
-    )
-    w = (agg.writeStream.outputMode("update").foreachBatch(_summary_batch(table_root, [*by, "year_month"]))
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
-    return w.start()
+def start_append_dedup(stream: DataFrame, table_root: str, checkpoint: str, key: str = "transaction_id",
+                       available_now: bool = True, processing_time: str | None = None):
+    """Start X1; returns the StreamingQuery."""
+    return _started(stream, _append_batch(table_root, key), checkpoint, available_now, processing_time)
 
 
 def _ingest_batch(table_root: str, summary_root: str, key: str, by: Sequence[str], month_col: str = "year_month"):
@@ -120,7 +66,7 @@ def _ingest_batch(table_root: str, summary_root: str, key: str, by: Sequence[str
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _append_batch(table_root, key, month_col)(batch, batch_id)
+        _append_batch(table_root, key)(batch, batch_id)
         written = ST.read_or_none(spark, f"{table_root.rstrip('/')}/batch_id={batch_id}")
         if written is None:
             return
@@ -144,23 +90,20 @@ def _ingest_batch(table_root: str, summary_root: str, key: str, by: Sequence[str
 
 
 def start_ingest(stream: DataFrame, table_root: str, summary_root: str, checkpoint: str, by: Sequence[str] = (),
-                 key: str = "transaction_id", event_time: str = "transaction_datetime", watermark: str = "60 days",
-                 available_now: bool = True, processing_time: str | None = None):
-    """X1 and X2 in one exact, stateless-aggregation stream; returns the StreamingQuery.
-
-    Each micro-batch appends only keys the table does not hold (X1), then
-    stores that batch's per-(by, month) sums keyed by batch id in a deltas
-    table and recomputes the touched (by, month) rows of the summary from it.
-    Repeats arriving after their de-duplication state expired never reach the
-    summary (the table's anti-join drops them), late rows are counted, and a
-    retried batch replaces its own deltas. Only the de-duplication keys within
-    the watermark are held as state.
+                 key: str = "transaction_id", available_now: bool = True, processing_time: str | None = None):
+    """X1 and X2 in one exact stream; returns the StreamingQuery.
+
+    Repeats never reach the summary (the table's anti-join drops them), late
+    rows are counted, and a retried batch replaces its own sums.
     """
-    d = dedup_stream(stream, key, event_time, watermark)
-    w = d.writeStream.foreachBatch(_ingest_batch(table_root, summary_root, key, list(by))).option(
-        "checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
-    return w.start()
+    sink = _ingest_batch(table_root, summary_root, key, list(by))
+    return _started(stream, sink, checkpoint, available_now, processing_time)
+
+
+def start_monthly_summary(stream: DataFrame, summary_root: str, checkpoint: str, by: Sequence[str] = (),
+                          key: str = "transaction_id", available_now: bool = True, processing_time: str | None = None):
+    """Start X2 over a ledger-shaped stream; the rows are kept at ``<summary_root>_rows``."""
+    return start_ingest(stream, f"{summary_root.rstrip('/')}_rows", summary_root, checkpoint, by, key, available_now, processing_time)
 
 
 def run_to_completion(start: Callable[[], object], timeout_s: int = 600) -> None:

@@ -1,10 +1,13 @@
-"""Upsert idempotence, versioned tables, plan change-sets, and streaming equals batch."""
+"""Upserts, parquet tables, plan change-sets, and streaming equals batch."""
 
+import datetime as dt
 import os
 import tempfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import summary as S
@@ -30,33 +33,90 @@ def test_upsert_idempotent_and_counts(spark):
     assert {r.k: r.v for r in latest.collect()}["b"] == 6.0
 
 
-def test_versioned_table(spark):
+def _files(spark, root):
+    return {r.value for r in spark.read.parquet(root).select(F.input_file_name().alias("value")).distinct().collect()}
+
+
+def test_parquet_table_append_and_upsert(spark):
     root = scratch_path(spark, "tbl")
-    df = spark.createDataFrame([("x", 1), ("y", 2)], "transaction_id string, n int")
-    p1 = ST.replace_table(df, root)
-    p2 = ST.append_table(spark.createDataFrame([("y", 9), ("z", 3)], df.schema), root)
-    assert p1 != p2 and ST.list_versions(spark, root) == [1, 2]
+    df = spark.createDataFrame([("x", "2025-01", 1), ("y", "2025-01", 2)], "transaction_id string, year_month string, n int")
+    ST.replace_table(df, root, ["year_month"])
+    before = _files(spark, root)
+    # y comes again under another month: still the same id, so it is not appended
+    ST.append_table(spark.createDataFrame([("y", "2025-02", 9), ("z", "2025-02", 3)], df.schema), root, partition_by=["year_month"])
     assert sorted((r.transaction_id, r.n) for r in ST.read_current(spark, root).collect()) == [("x", 1), ("y", 2), ("z", 3)]
-    res = ST.upsert_table(spark.createDataFrame([("z", 30), ("w", 4)], df.schema), root, ["transaction_id"])
-    assert (res["inserted"], res["updated"], res["kept"]) == (1, 1, 2)
-    assert ST.read_current(spark, root).count() == 4
+    assert before <= _files(spark, root)   # an append rewrites nothing
+
+    root = scratch_path(spark, "upserts")
+    ST.upsert_table(df, root, ["transaction_id"])
+    before = _files(spark, root)
+    moved = spark.createDataFrame([("y", "2025-07", 20), ("w", "2025-07", 4), ("y", "2025-08", 21)], df.schema).coalesce(1)
+    res = ST.upsert_table(moved, root, ["transaction_id"])
+    assert (res["inserted"], res["updated"]) == (1, 1)
+    got = sorted(tuple(r) for r in ST.read_current(spark, root).select("transaction_id", "year_month", "n").collect())
+    assert got == [("w", "2025-07", 4), ("x", "2025-01", 1), ("y", "2025-08", 21)]   # moved once, the last update wins
+    assert len(before & _files(spark, root)) >= 1   # the other bucket stays as it is
+    ST.upsert_table(moved, root, ["transaction_id"])   # idempotent
+    assert ST.read_current(spark, root).count() == 3
+
+
+def test_upsert_is_field_wise_and_last_wins(spark):
+    cur = spark.createDataFrame([("a", 1, "keep"), ("b", 2, "keep")], "k string, v int, note string")
+    upd = spark.createDataFrame([("b", 5), ("c", 7), ("b", 6)], "k string, v int").coalesce(1)
+    got = sorted(tuple(r) for r in ST.upsert(cur, upd, ["k"]).collect())
+    assert got == [("a", 1, "keep"), ("b", 6, "keep"), ("c", 7, None)]
+    flags = {r.k: r.op for r in ST.upsert(cur, upd, ["k"], flag="op").collect()}
+    assert flags == {"a": "kept", "b": "updated", "c": "inserted"}
+
+
+def test_merge_sql_parses(spark):
+    sql = ST.merge_sql("db.t", "u", ["k"], ["k", "v"])
+    spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    assert "WHEN MATCHED THEN UPDATE SET t.`v` = s.`v`" in sql
+
+
+def test_read_or_none_only_hides_missing_data(spark, tmp_path):
+    assert ST.read_or_none(spark, str(tmp_path / "absent")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        ST.read_or_none(spark, str(tmp_path / "bad"))
+
+
+def test_partitioned_write_makes_few_files(spark):
+    root = scratch_path(spark, "files")
+    df = spark.range(4000).select(F.col("id").cast("string").alias("transaction_id"),
+                                  F.concat(F.lit("2025-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0")).alias("year_month"))
+    ST.replace_table(df.repartition(16), root, ["year_month"])
+    assert len(_files(spark, root)) <= 12 * 2
+
+
+def test_saved_records(spark):
+    root = scratch_path(spark, "records")
+    rows = spark.createDataFrame([("r", '{"a": 1}'), ("s", "not json")], "report_type string, payload string")
+    ST.save_records(rows, root, "report_id", ["payload"])
+    ST.save_records(rows.limit(1), root, "report_id", ["payload"])
+    got = ST.with_variant(spark.read.parquet(root), ["payload"])
+    assert got.count() == 3 and got.select("report_id").distinct().count() == 3
+    assert got.where("created_at is null").count() == 0 and got.where("payload is null").count() == 1
 
 
 def test_upsert_partitions_rewrites_touched_months_only(spark):
     root = scratch_path(spark, "parts")
-    base = spark.createDataFrame([(f"id{i}", f"2025-0{1 + i % 3}", float(i)) for i in range(30)],
-                                 "transaction_id string, year_month string, amount double")
-    ST.upsert_partitions(base, root, ["transaction_id"])
-    files_before = {r.value for r in spark.read.text(root).select(F.input_file_name().alias("value")).distinct().collect()}
-    upd = spark.createDataFrame([("id1", "2025-02", 100.0), ("new", "2025-02", 5.0)], base.schema)
-    ST.upsert_partitions(upd, root, ["transaction_id"])
+    keys = ["entity", "year_month"]
+    base = spark.createDataFrame([(f"e{i}", f"2025-0{1 + i % 3}", float(i)) for i in range(30)],
+                                 "entity string, year_month string, amount double")
+    ST.upsert_partitions(base, root, keys)
+    before = _files(spark, root)
+    upd = spark.createDataFrame([("e1", "2025-02", 100.0), ("new", "2025-02", 5.0)], base.schema)
+    ST.upsert_partitions(upd, root, keys)
     out = spark.read.parquet(root)
-    assert out.count() == 31 and out.where("transaction_id = 'id1'").collect()[0].amount == 100.0
-    files_after = {r.value for r in spark.read.text(root).select(F.input_file_name().alias("value")).distinct().collect()}
-    untouched = {f for f in files_before if "2025-02" not in f}
-    assert untouched <= files_after   # January and March files were not rewritten
-    ST.upsert_partitions(upd, root, ["transaction_id"])   # idempotent
+    assert out.count() == 31 and out.where("entity = 'e1'").collect()[0].amount == 100.0
+    assert {f for f in before if "2025-02" not in f} <= _files(spark, root)   # other months were not rewritten
+    ST.upsert_partitions(upd, root, keys)   # idempotent
     assert spark.read.parquet(root).count() == 31
+    with pytest.raises(ValueError):
+        ST.upsert_partitions(base, root, ["entity"])
 
 
 def test_plan_changes_and_latest(spark):
@@ -90,98 +150,39 @@ def test_first_non_empty(spark):
     assert ST.first_non_empty([broken, lambda: empty, lambda: full]).collect() == [(1,)]
 
 
-def test_stream_dedup_with_injected_duplicates(spark):
-    """Events split over files with 200 repeated ids arriving later: the stream keeps each id once."""
+def _arrivals(spark):
+    """Four files: recent events; later ones with repeats; old ones (late by any watermark) with repeats; old repeats."""
     src = tempfile.mkdtemp(prefix="ll-src-")
     ev = pq.read_table(f"{SF}/events.parquet")
-    n = ev.num_rows
-    pq.write_table(ev.slice(0, n // 2), os.path.join(src, "part-0.parquet"))
-    pq.write_table(ev.slice(n // 2), os.path.join(src, "part-1.parquet"))
-    pq.write_table(ev.slice(0, 200), os.path.join(src, "part-2-dups.parquet"))
-    schema = spark.read.parquet(f"{SF}/events.parquet").schema
-    stream = TD.events_to_ledger(IN.file_stream(spark, src, schema, "*.parquet", max_files_per_trigger=1))
-    root = scratch_path(spark, "x1")
-    IN.run_to_completion(lambda: IN.start_append_dedup(stream, f"{root}/t", f"{root}/ck"))
-    got = spark.read.parquet(f"{root}/t")
-    assert got.count() == n and got.select("transaction_id").distinct().count() == n
-    # X2 on the same input equals the batch summary
-    stream2 = TD.events_to_ledger(IN.file_stream(spark, src, schema, "*.parquet", max_files_per_trigger=1))
-    IN.run_to_completion(lambda: IN.start_monthly_summary(stream2, f"{root}/s", f"{root}/ck2", by=["entity_id"]))
-    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{root}/s").select(
-        "entity_id", "year_month", "total_income", "total_expense", "net", "transaction_count").collect())
-    batch = sorted(tuple(r) for r in S.monthly_summary(TD.events_ledger(spark, SF), by=["entity_id"]).select(
-        "entity_id", "year_month", "total_income", "total_expense", "net", "transaction_count").collect())
-    assert streamed == batch
-
-
-def test_stream_late_rows_kept_and_late_repeats_removed(spark):
-    """Old events arrive after newer ones, behind a 1-hour watermark, together with repeats of stored ids:
-    nothing is lost (the de-dup operator keeps late rows) and nothing doubles (the sink's anti-join)."""
-    import pyarrow.compute as pc
-
-    src = tempfile.mkdtemp(prefix="ll-late-")
-    ev = pq.read_table(f"{SF}/events.parquet")
-    ts_type = ev.schema.field("ts").type
-    late = ev.filter(pc.less(ev["ts"], pa.scalar(pd_ts("2024-01-10"), type=ts_type)))
-    recent = ev.filter(pc.greater_equal(ev["ts"], pa.scalar(pd_ts("2024-01-20"), type=ts_type)))
-    pq.write_table(recent, os.path.join(src, "a-recent.parquet"))
-    pq.write_table(pa.concat_tables([late, recent.slice(0, 50)]), os.path.join(src, "b-late-and-repeats.parquet"))
+    ts = ev.schema.field("ts").type
+    cut = lambda day: pa.scalar(dt.datetime.fromisoformat(day), type=ts)
+    late = ev.filter(pc.less(ev["ts"], cut("2024-01-10")))
+    mid = ev.filter(pc.and_(pc.greater_equal(ev["ts"], cut("2024-01-10")), pc.less(ev["ts"], cut("2024-01-20"))))
+    recent = ev.filter(pc.greater_equal(ev["ts"], cut("2024-01-20")))
+    assert min(late.num_rows, mid.num_rows, recent.num_rows) > 50
+    files = [recent, pa.concat_tables([mid, recent.slice(0, 50), mid.slice(0, 20)]),
+             pa.concat_tables([late.slice(100), mid.slice(0, 50)]), pa.concat_tables([late, recent.slice(0, 30)])]
+    for i, f in enumerate(files):
+        pq.write_table(f, os.path.join(src, f"{i}.parquet"))
+        os.utime(os.path.join(src, f"{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
-    stream = TD.events_to_ledger(IN.file_stream(spark, src, schema, "*.parquet", max_files_per_trigger=1))
-    root = scratch_path(spark, "late")
-    IN.run_to_completion(lambda: IN.start_append_dedup(stream, f"{root}/t", f"{root}/ck", watermark="1 hour"))
-    got = spark.read.parquet(f"{root}/t")
-    assert late.num_rows > 0
-    assert got.count() == recent.num_rows + late.num_rows
-    assert got.select("transaction_id").distinct().count() == got.count()
-
-
-def pd_ts(day):
-    import datetime as dt
-
-    return dt.datetime.fromisoformat(day)
-
+    stream = lambda: TD.events_to_ledger(IN.file_stream(spark, src, schema, "*.parquet", max_files_per_trigger=1))
+    return ev.num_rows, stream
 
-def test_monthly_stream_counts_late_rows(spark):
-    """X2 keeps running totals per (entity, month): a file of old events behind a 1-hour watermark is still counted."""
-    import pyarrow.compute as pc
 
-    src = tempfile.mkdtemp(prefix="ll-late2-")
-    ev = pq.read_table(f"{SF}/events.parquet")
-    ts_type = ev.schema.field("ts").type
-    late = ev.filter(pc.less(ev["ts"], pa.scalar(pd_ts("2024-01-10"), type=ts_type)))
-    recent = ev.filter(pc.greater_equal(ev["ts"], pa.scalar(pd_ts("2024-01-20"), type=ts_type)))
-    pq.write_table(recent, os.path.join(src, "a-recent.parquet"))
-    pq.write_table(late, os.path.join(src, "b-late.parquet"))
-    schema = spark.read.parquet(f"{SF}/events.parquet").schema
-    stream = TD.events_to_ledger(IN.file_stream(spark, src, schema, "*.parquet", max_files_per_trigger=1))
-    root = scratch_path(spark, "late2")
-    IN.run_to_completion(lambda: IN.start_monthly_summary(stream, f"{root}/s", f"{root}/ck", watermark="1 hour"))
-    got = spark.read.parquet(f"{root}/s").agg(F.sum("transaction_count")).collect()[0][0]
-    assert late.num_rows > 0 and got == recent.num_rows + late.num_rows
+COLS = ["entity_id", "year_month", "total_income", "total_expense", "net", "transaction_count"]
 
 
-def test_ingest_is_exact_with_repeats_after_the_watermark(spark):
-    """Repeats of stored ids arrive in a later file, long after a 1-hour watermark expired their state:
-    the combined ingest still counts every id once in the table and in the monthly summary."""
-    import pyarrow.compute as pc
-
-    src = tempfile.mkdtemp(prefix="ll-ingest-")
-    ev = pq.read_table(f"{SF}/events.parquet")
-    ts_type = ev.schema.field("ts").type
-    early = ev.filter(pc.less(ev["ts"], pa.scalar(pd_ts("2024-01-10"), type=ts_type)))
-    recent = ev.filter(pc.greater_equal(ev["ts"], pa.scalar(pd_ts("2024-01-10"), type=ts_type)))
-    pq.write_table(early, os.path.join(src, "a-early.parquet"))
-    pq.write_table(recent, os.path.join(src, "b-recent.parquet"))
-    pq.write_table(early.slice(0, 100), os.path.join(src, "c-repeats.parquet"))   # ids already stored, now far behind
-    schema = spark.read.parquet(f"{SF}/events.parquet").schema
-    stream = TD.events_to_ledger(IN.file_stream(spark, src, schema, "*.parquet", max_files_per_trigger=1))
-    root = scratch_path(spark, "ingest")
-    IN.run_to_completion(lambda: IN.start_ingest(stream, f"{root}/t", f"{root}/s", f"{root}/ck", by=["entity_id"],
-                                                 watermark="1 hour"))
-    assert spark.read.parquet(f"{root}/t").count() == ev.num_rows
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/s").select(
-        "entity_id", "year_month", "total_income", "total_expense", "net", "transaction_count").collect())
-    want = sorted(tuple(r) for r in S.monthly_summary(TD.events_ledger(spark, SF), by=["entity_id"]).select(
-        "entity_id", "year_month", "total_income", "total_expense", "net", "transaction_count").collect())
-    assert got == want
+def test_streams_lose_nothing_and_double_nothing(spark):
+    n, stream = _arrivals(spark)
+    root = scratch_path(spark, "streams")
+    want = sorted(tuple(r) for r in S.monthly_summary(TD.events_ledger(spark, SF), by=["entity_id"]).select(*COLS).collect())
+    IN.run_to_completion(lambda: IN.start_append_dedup(stream(), f"{root}/t", f"{root}/ck1"))
+    got = spark.read.parquet(f"{root}/t")
+    assert got.select("batch_id").distinct().count() >= 3
+    assert got.count() == n and got.select("transaction_id").distinct().count() == n
+    IN.run_to_completion(lambda: IN.start_monthly_summary(stream(), f"{root}/s", f"{root}/ck2", by=["entity_id"]))
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/s").select(*COLS).collect()) == want
+    IN.run_to_completion(lambda: IN.start_ingest(stream(), f"{root}/it", f"{root}/is", f"{root}/ck3", by=["entity_id"]))
+    assert spark.read.parquet(f"{root}/it").count() == n
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/is").select(*COLS).collect()) == want
