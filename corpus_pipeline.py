@@ -21,8 +21,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar, fitted on the labelled ones among them, does not reject."""
     labels = read_table(spark, sf_dir, "labels").filter(~held_out())
-    kept = toxicity.scored(docs, toxicity.fit(docs, labels)).filter("predicted = 0")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

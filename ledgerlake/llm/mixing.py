@@ -63,33 +63,44 @@ def draw(seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _with_copies(docs: DataFrame, weights: tuple[int, ...], share: float, limit: float, seed: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, source_size, target and copies, under names that clash with no column."""
+    size, source_size, target, copies, key, u, rate = fresh(
+        docs, "size", "source_size", "target", "copies", "_source", "_draw", "_rate"
+    )
+    sized = docs.withColumn(size, n_words(text_of()))
+    targets = source_targets(sized, size, weights, share, limit).select(
+        F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target)
+    )
+    rated = (
+        sized.withColumn(u, draw(seed))
+        .join(targets, F.col("source").eqNullSafe(F.col(key)))
+        .withColumn(rate, F.coalesce(F.try_divide(target, source_size), F.lit(0.0)))
+    )
+    extra = (F.col(u) < F.col(rate) - F.floor(rate)).cast("long")
+    return rated.withColumn(copies, F.floor(rate) + extra).drop(key, u, rate), [size, source_size, target, copies]
+
+
 def mixed(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, one row per document.
 
     size is the number of words (null text: 0). Needs doc_id, text and source;
-    columns of the four names are replaced. Repeated rows draw alike. The table
-    of sources is joined back: Spark broadcasts it if its files are below the
-    session's threshold, and splits hot sources otherwise.
+    columns of the four names are replaced. Repeated rows draw alike. An empty
+    table gives an empty one. The table of sources is joined back: Spark
+    broadcasts it if its files are below the session's threshold, and splits hot
+    sources otherwise.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
-    key, u, rate = fresh(docs, "_source", "_draw", "_rate")
-    sized = docs.withColumn("size", n_words(text_of()))
-    targets = source_targets(sized, "size", weights, share, limit).withColumnRenamed("source", key)
-    rated = (
-        sized.withColumn(u, draw(seed))
-        .join(targets, F.col("source").eqNullSafe(F.col(key)))
-        .withColumn(rate, F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    )
-    extra = (F.col(u) < F.col(rate) - F.floor(rate)).cast("long")
-    return rated.withColumn("copies", F.floor(rate) + extra).drop(key, u, rate)
+    return _with_copies(docs.drop("size", "source_size", "target", "copies"), weights, share, limit, seed)[0]
 
 
-def emitted(docs: DataFrame, **options) -> DataFrame:
+def emitted(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED
+) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    (at,) = fresh(docs, "_copy")
-    mix = mixed(docs, **options).filter("copies > 0")
-    return mix.withColumn(at, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+    mix, (*_, copies) = _with_copies(docs, weights, share, limit, seed)
+    (at,) = fresh(mix, "_copy")
+    return mix.filter(F.col(copies) > 0).withColumn(at, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stored
 
 TRAIN_ROWS = 40_000  # about so many labelled rows are used for fitting, chosen by a hash of their id
-STEMS = range(4, 11)  # lengths of stems, in characters
+STEMS = range(2, 11)  # lengths of stems, in characters
 LEAST_G2 = 30.0  # significance of a stem (log-likelihood ratio)
 LEAST_LOG_ODDS = 1.5
 LEXICON = 5_000  # most stems in a model
@@ -143,20 +143,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(chosen, prior, drift)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``CUT`` on).
 
     Only ``text`` is read; a null text scores as an empty one. Columns of the
-    two names are replaced, the others are kept.
+    two names are replaced, the others are kept; repeated rows score alike.
     """
-    docs = docs.drop("score", "predicted")
-    (out,) = fresh(docs, "_score")
+    docs = docs.drop(score, predicted)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return texts.map(model.score).astype("float64")
 
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*names, score(F.coalesce("text", F.lit(""))).alias(out)).select(
-        *names, F.col(out).alias("score"), (F.col(out) >= CUT).cast("int").alias("predicted")
-    )
+    out = docs.withColumn(score, of(F.coalesce("text", F.lit(""))))
+    return out.withColumn(predicted, (F.col(score) >= CUT).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    score, predicted = fresh(docs, "_score", "_predicted")
+    kept = scored(docs, model, score, predicted).filter(F.col(predicted) == 0)
+    return kept.drop(score, predicted)
