@@ -76,7 +76,8 @@ def json_document(parts: Sequence[tuple], by: Sequence[str] = (), out: str = "js
     elements). Every section's rows are rendered to JSON text where they are,
     then one ``union`` and one ``groupBy(by)`` collect them; lists are built
     from the collected, sorted elements. The number of shuffles does not grow
-    with the number of sections.
+    with the number of sections; sections that are all partitioned by ``by``
+    keep that partitioning through the union.
     """
     rows = None
     kinds = []

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from typing import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The category mapping of the source application.
@@ -44,9 +45,15 @@ def type_expr(category: Column | str, mapping: Mapping[str, str] | None = None,
     return F.coalesce(F.try_element_at(table, cat), F.lit(default))
 
 
-def classify(df: DataFrame, mapping: Mapping[str, str] | None = None, default: str = DEFAULT_TYPE,
-             category_col: str = "category", out_col: str = "type") -> DataFrame:
-    return df.withColumn(out_col, type_expr(category_col, mapping, default))
+def read_mapping(spark: SparkSession, path: str) -> dict[str, str]:
+    """The category mapping of a JSON file; the fallback mapping when the file is absent."""
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return dict(FALLBACK_CATEGORY_MAPPING)
+    return json.loads(text.value)
 
 
 def classify_with_table(df: DataFrame, mapping_df: DataFrame, default: str = DEFAULT_TYPE,

@@ -77,13 +77,6 @@ def int_pow(m, prefix: str = "_g") -> Column:
     return F.when(m < F.lit(1 << POW_BITS), acc).otherwise(F.pow(F.col(f"{prefix}0"), m))
 
 
-def balance_at(S, c, r, m, prefix: str = "_g") -> Column:
-    """Closed-form balance after m months; needs ``with_powers(df, 1 + r, prefix)``."""
-    S, c, r, m = col_or(S), col_or(c), col_or(r), col_or(m)
-    g = int_pow(m, prefix)
-    return F.when(r == 0, S + c * m).otherwise(S * g + c * (g - F.lit(1.0)) / r)
-
-
 def with_first_month(df: DataFrame, S, c, r, N, M, out: str = "_fire_month") -> DataFrame:
     """Add ``out`` = smallest m in [0, M] with balance_at(m) >= N; null if none or N <= 0.
 

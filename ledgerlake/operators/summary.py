@@ -69,8 +69,12 @@ def savings_rate(net, income) -> Column:
     return F.when(income > 0, round_dec(net / income * F.lit(100.0), 2))
 
 
-def monthly_summary(ledger: DataFrame, filters=None, by: Sequence[str] = (), stamp: bool = False) -> DataFrame:
-    """Per (by, year_month): total_income, total_expense, net, transaction_count, savings_rate_pct (A1, A2)."""
+def monthly_summary(ledger: DataFrame, filters=None, by: Sequence[str] = (), stamp: bool = False,
+                    ordered: bool = False) -> DataFrame:
+    """Per (by, year_month): total_income, total_expense, net, transaction_count, savings_rate_pct (A1, A2).
+
+    ``ordered`` sorts as the source lists it (K1): oldest month first.
+    """
     df = apply_filter(ledger, filters)
     out = (
         df.groupBy(*by, "year_month")
@@ -84,12 +88,15 @@ def monthly_summary(ledger: DataFrame, filters=None, by: Sequence[str] = (), sta
     )
     if stamp:
         out = out.withColumn("generated_at", F.current_timestamp())
-    return out
+    return read_summary(out, by) if ordered else out
 
 
 def category_breakdown(ledger: DataFrame, filters=None, by: Sequence[str] = (), year_month: str | None = None,
-                       type_filter: str | None = None) -> DataFrame:
-    """Per (by, category, type): total_amount, transaction_count, avg_amount (A3)."""
+                       type_filter: str | None = None, ordered: bool = False) -> DataFrame:
+    """Per (by, category, type): total_amount, transaction_count, avg_amount (A3).
+
+    ``ordered`` sorts by total, largest first (K1; ties by category and type).
+    """
     spec = LedgerFilter.of(filters)
     if year_month or type_filter:
         from dataclasses import replace
@@ -97,7 +104,7 @@ def category_breakdown(ledger: DataFrame, filters=None, by: Sequence[str] = (),
         spec = replace(spec, year_month=year_month or spec.year_month, type=type_filter or spec.type)
     df = apply_filter(ledger, spec)
     g = df.groupBy(*by, "category", "type").agg(F.sum(_amt()).alias("_s"), n_rows(df).alias("transaction_count"))
-    return g.select(
+    out = g.select(
         *by,
         "category",
         "type",
@@ -105,6 +112,7 @@ def category_breakdown(ledger: DataFrame, filters=None, by: Sequence[str] = (),
         "transaction_count",
         (F.col("_s").cast("double") / F.col("transaction_count")).alias("avg_amount"),
     )
+    return out.orderBy(*by, F.col("total_amount").desc(), "category", "type") if ordered else out
 
 
 def top_n(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
@@ -134,14 +142,15 @@ def top_categories(ledger: DataFrame, n: int = 5, type_filter: str = EXPENSE, fi
     return top_n(g, n, [F.col("total_amount").desc(), F.col("category").asc()], by)
 
 
-def account_breakdown(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFrame:
-    """Per account: total_expense, total_income, transaction_count (A5)."""
+def account_breakdown(ledger: DataFrame, filters=None, by: Sequence[str] = (), ordered: bool = False) -> DataFrame:
+    """Per account: total_expense, total_income, transaction_count (A5); ``ordered`` by expense, largest first (K1)."""
     df = apply_filter(ledger, filters)
-    return df.groupBy(*by, "account").agg(
+    out = df.groupBy(*by, "account").agg(
         dsum(expense_amt()).alias("total_expense"),
         dsum(income_amt()).alias("total_income"),
         n_rows(df).alias("transaction_count"),
     )
+    return out.orderBy(*by, F.col("total_expense").desc(), "account") if ordered else out
 
 
 def date_range(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFrame:
@@ -211,6 +220,11 @@ def kpi_totals(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataF
     )
 
 
+def read_summary(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The monthly summary, oldest month first."""
+    return summary.orderBy(*by, "year_month")
+
+
 def recent_months(summary: DataFrame, n: int = 12, by: Sequence[str] = ()) -> DataFrame:
     """Latest n months of a monthly summary, newest first."""
     cols = [c for c in ["year_month", "total_income", "total_expense", "net", "savings_rate_pct", "transaction_count"]]

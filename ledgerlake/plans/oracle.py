@@ -677,3 +677,15 @@ SELECT '1996-01' AS period_start, k.months_covered, {R('k.total_expense')} AS to
        (SELECT MIN(account) FROM l1 {FILTER_A}) AS first_account,
        h.category_hhi, o.n_over_budget
 FROM k, h, o"""
+
+
+SQL["category_breakdown_ordered"] = f"""SELECT *, row_number() OVER (ORDER BY total_amount DESC, category, type) - 1 AS place
+FROM ({SQL['category_breakdown']}) c"""
+SQL["whatif_context_fields"] = f"""SELECT w.entity_id, w.scenario_id, w.scenario, w.adjusted_net_monthly, w.adjusted_cumulative_net,
+       c.months_covered, c.net, c.top_expense_category, c.composite_score
+FROM ({SQL['whatif_scenarios']}) w JOIN ({SQL['context_package_fields']}) c USING (entity_id)"""
+SQL["fire_context_fields"] = f"""SELECT i.entity_id, i.monthly_income, a.fire_number, a.fire_age, r.fire_age AS base_fire_age, n.fire_number AS number_at_4_pct
+FROM ({with_(L1, FIRE_INPUTS)} SELECT entity_id, monthly_income FROM inputs) i
+JOIN ({SQL['fire_age']}) a USING (entity_id)
+JOIN (SELECT * FROM ({SQL['fire_return_scenarios']}) q WHERE scenario = 'Base case') r USING (entity_id)
+JOIN (SELECT * FROM ({SQL['fire_withdrawal_scenarios']}) q WHERE withdrawal_rate_pct = 4.0) n USING (entity_id)"""

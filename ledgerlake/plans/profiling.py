@@ -75,11 +75,15 @@ def profile_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def profiling_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """Condensed summary (C21): headline counts, and per column only dtype, null % and distinct count."""
+    """Condensed summary (C21): headline counts, per column only dtype, null % and distinct count,
+    and date range and amount statistics of the cleaned rows."""
     counts = headline_counts(raw, clean)
     cols = PR.column_profile(raw).select("column_name", "dtype", "null_pct", "unique_count")
     listed = _listed(cols, "columns", ["column_name"])
-    return merge_columns([counts, listed.select(F.to_json("columns").alias("columns_json"))])
+    return merge_columns([
+        counts, listed.select(F.to_json("columns").alias("columns_json")),
+        S.date_range(clean).select("min_date", "max_date"), PR.amount_stats(clean),
+    ])
 
 
 def write_report(report: DataFrame, report_dir: str) -> str:

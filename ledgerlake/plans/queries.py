@@ -571,6 +571,45 @@ def q_context_package_fields(spark, sf):
     )
 
 
+@register("category_breakdown_ordered")
+def q_category_breakdown_ordered(spark, sf):
+    """The breakdown in the order of the source; the place of each row is read off the sorted frame."""
+    listed = S.category_breakdown(l1(spark, sf), ordered=True).coalesce(1)
+    return listed.withColumn("place", F.monotonically_increasing_id())
+
+
+@register("whatif_context_fields")
+def q_whatif_context_fields(spark, sf):
+    ctx = CX.whatif_context(l1(spark, sf), WHATIF_SCENARIOS, by=BY)
+    j = F.col("context_json")
+    get = lambda path, t: F.get_json_object(j, path).cast(t)
+    return ctx.select(
+        *BY, "scenario_id",
+        get("$.scenario.name", "string").alias("scenario"),
+        get("$.whatif_results.adjusted_net_monthly", "double").alias("adjusted_net_monthly"),
+        get("$.whatif_results.adjusted_cumulative_net", "double").alias("adjusted_cumulative_net"),
+        get("$.baseline.months_covered", "bigint").alias("months_covered"),
+        get("$.baseline.totals.net", "double").alias("net"),
+        get("$.top_expense_categories[0].category", "string").alias("top_expense_category"),
+        get("$.financial_health_score.composite_score", "double").alias("composite_score"),
+    )
+
+
+@register("fire_context_fields")
+def q_fire_context_fields(spark, sf):
+    ctx = CX.fire_context(fire_inputs(spark, sf), by=BY)
+    j = F.col("context_json")
+    get = lambda path, t: F.get_json_object(j, path).cast(t)
+    return ctx.select(
+        *BY,
+        get("$.fire_inputs.monthly_income", "double").alias("monthly_income"),
+        get("$.fire_results.fire_number", "double").alias("fire_number"),
+        get("$.fire_results.fire_age", "double").alias("fire_age"),
+        get("$.return_scenarios[1].fire_age", "double").alias("base_fire_age"),
+        get("$.withdrawal_scenarios[1].fire_number", "double").alias("number_at_4_pct"),
+    )
+
+
 # --- star schema ------------------------------------------------------------------
 
 

@@ -103,10 +103,3 @@ TABLES = {
     "fire_simulations": SIMULATION_SCHEMA,
 }
 
-TABLE_KEYS = {
-    "transactions": ["transaction_id"],
-    "monthly_summary": ["year_month"],
-    "budget_plans": ["budget_id"],
-    "ai_reports": ["report_id"],
-    "fire_simulations": ["simulation_id"],
-}

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from ledgerlake.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 SKIP = {"stream_append_dedup", "stream_monthly_summary", "stream_ingest_summary"}  # they run a stream when called
@@ -14,7 +15,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: plan_of(fn(spark, SF)) for n, fn in E.queries().items() if n not in SKIP}
+    return {n: plan_of(fn(spark, SF)) for n, fn in REGISTRY.items() if n not in SKIP}
 
 
 def test_no_cartesian_no_nested_loop_no_python(plans):
@@ -57,20 +58,26 @@ def test_scans_read_only_needed_columns(spark):
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string>" in p
 
 
-def test_append_reads_only_touched_months(spark):
+def test_append_reads_only_keys(spark):
     from pyspark.sql import functions as F
 
     from ledgerlake.session import scratch_path
     from ledgerlake.sources import store as ST
 
-    root = scratch_path(spark, "dpp")
+    root = scratch_path(spark, "keys")
     base = spark.range(0, 2000).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("transaction_id"),
                                        F.format_string("2025-%02d", (F.col("id") % 12 + 1).cast("int")).alias("year_month"))
     base.write.partitionBy("year_month").parquet(root)
     existing = spark.read.parquet(root)
-    incoming = spark.createDataFrame([("id5", "2025-06"), ("new", "2025-06")], "transaction_id string, year_month string")
-    out = ST.append_new(existing, incoming, partition_cols=["year_month"])
-    assert sorted(r.transaction_id for r in out.collect()) == ["new"]
-    plan = formatted(out)
-    part_filters = [line for line in plan.splitlines() if line.startswith("PartitionFilters")]
-    assert any("= 2025-06" in line for line in part_filters), part_filters
+    incoming = spark.createDataFrame([("id5", "2025-01"), ("new", "2025-06")], "transaction_id string, year_month string")
+    out = ST.append_new(existing, incoming)
+    assert sorted(r.transaction_id for r in out.collect()) == ["new"]   # wherever id5 is held
+    assert "ReadSchema: struct<transaction_id:string>" in formatted(out)
+
+
+def test_context_sections_share_one_exchange_by_entity(spark):
+    plan = REGISTRY["context_package"](spark, SF)
+    plan.collect()
+    text = plan_of(plan)
+    final = text[text.index("== Final Plan =="):text.index("== Initial Plan ==")]
+    assert "Checkpoint" not in text and final.count("Scan parquet") - final.count("customer.parquet") <= 4
