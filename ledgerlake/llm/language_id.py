@@ -119,53 +119,90 @@ def _softmax(logs: Column, n: int) -> list[Column]:
     return [x / sum(e[1:], e[0]) for x in e]
 
 
-def identified(pages: DataFrame, docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Columns ``carry`` of ``pages`` (all by default) with ``declared``, ``lang`` and ``probability``.
+def _prefix(df: DataFrame) -> str:
+    """What the names of working columns begin with: no column of ``df`` does."""
+    x = "_"
+    while any(c.startswith(x) for c in df.columns):
+        x += "_"
+    return x
+
+
+def fused(rows: DataFrame, keep: list[str], langs: list[str], said: str, levels: list[str], text: str, x: str) -> DataFrame:
+    """Columns ``keep``, the declared language, and the most probable language with its probability.
 
-    Needs html and url of ``pages``, text and lang of ``docs``. A page without
-    text is decided by the other evidence. Null url or html count as empty; with
-    no labelled document lang is null. Repeated rows get equal answers; columns
-    of the three names are replaced.
+    ``text`` names the log-likelihoods, ``said`` the declaration, ``levels`` the
+    columns of the prior from the widest group to the narrowest. What a row says
+    itself is taken out of every table before the table speaks about the row.
     """
-    langs, rates = fit_text(docs)
     n = len(langs)
-    carried = [c for c in (carry or pages.columns) if c.lower() not in ("declared", "lang", "probability")]
-    keep = [F.col(f"`{c}`") for c in carried]
-    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
-    declared = declared_language(html)
-    if not n:
-        return pages.select(
-            *keep, declared.alias("declared"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability")
-        )
-    x = "_"  # working columns begin with what no column of the table begins with
-    while any(c.startswith(x) for c in pages.columns):
-        x += "_"
-    said, suffix, host, domain, text = (x + c for c in ("said", "suffix", "host", "domain", "text"))
-    seen = with_text_evidence(pages, "html", langs, rates, text, True).select(
-        *keep, text, declared.alias(said), suffix_of(url).alias(suffix), host_of(url).alias(host),
-        F.regexp_extract(host_of(url), r"([^.]*\.?[^.]*)$", 1).alias(domain),
-    )
+    kept = [F.col(f"`{c}`") for c in keep]
     own = [f"{x}own{k}" for k in range(n)]
-    rows = stored(seen.select("*", *[p.alias(c) for c, p in zip(own, _softmax(F.col(text), n), strict=True)]), "page-evidence")
+    rows = stored(rows.select("*", *[p.alias(c) for c, p in zip(own, _softmax(F.col(text), n), strict=True)]), "language-evidence")
     total = [v or 0.0 for v in rows.agg(*[F.sum(c) for c in own]).first()]
-
-    # Pages by language for every declaration, suffix, domain and host, without the page itself.
     joined, others = rows, {}
-    for by in (said, suffix, domain, host):
+    for by in (said, *levels):
         names = [f"{by}{k}" for k in range(n)]
         table = stored(rows.groupBy(by).agg(*[F.sum(c).alias(m) for c, m in zip(own, names, strict=True)]), "evidence")
         joined = joined.join(table, by)
         others[by] = [F.greatest(F.col(m) - F.col(c), F.lit(0.0)) for c, m in zip(own, names, strict=True)]
     prior = [F.lit((t + ALPHA) / (sum(total) + ALPHA * n)) for t in total]
-    for by in (suffix, domain, host):
-        pages_there = sum(others[by][1:], others[by][0])
-        prior = [(o + KAPPA * p) / (pages_there + KAPPA) for o, p in zip(others[by], prior, strict=True)]
+    for by in levels:
+        there = sum(others[by][1:], others[by][0])
+        prior = [(o + KAPPA * p) / (there + KAPPA) for o, p in zip(others[by], prior, strict=True)]
     says = [(o + ALPHA) / F.lit(t + ALPHA * 2) for o, t in zip(others[said], total, strict=True)]
     logs = [F.get(text, k) + F.log(prior[k]) + F.log(says[k]) for k in range(n)]
-    post = joined.select(*keep, F.col(said).alias("declared"), F.array(*logs).alias(text)).select(
-        *keep, "declared", F.array(*_softmax(F.col(text), n)).alias(text)
+    post = joined.select(*kept, F.col(said).alias(f"{x}said"), F.array(*logs).alias(text)).select(
+        *kept, f"{x}said", F.array(*_softmax(F.col(text), n)).alias(text)
     )
     at = (F.array_position(text, F.array_max(text)) - 1).cast("int")
     return post.select(
-        *keep, "declared", F.get(F.array(*[F.lit(v) for v in langs]), at).alias("lang"), F.array_max(text).alias("probability")
+        *kept, F.col(f"{x}said").alias("declared"), F.get(F.array(*[F.lit(v) for v in langs]), at).alias("lang"),
+        F.array_max(text).alias("probability"),
     )
+
+
+ANSWERS = ("declared", "lang", "probability")
+
+
+def identified(pages: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` of ``pages`` (all by default) with ``declared``, ``lang`` and ``probability``.
+
+    Needs html and url; ``model`` comes from ``fit_text``. A page without text is
+    decided by the other evidence. Null url or html count as empty; a model
+    without languages gives a null lang. Repeated rows get equal answers; columns
+    of the three names are replaced; an empty table gives an empty one.
+    """
+    langs, rates = model
+    keep = [c for c in (carry or pages.columns) if c.lower() not in ANSWERS]
+    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    declared = declared_language(html)
+    if not langs:
+        return pages.select(*[F.col(f"`{c}`") for c in keep], declared.alias("declared"), *_unknown())
+    x = _prefix(pages)
+    said, suffix, host, domain, text = (x + c for c in ("declared", "suffix", "host", "domain", "text"))
+    seen = with_text_evidence(pages, "html", langs, rates, text, True).select(
+        *[F.col(f"`{c}`") for c in keep], text, declared.alias(said), suffix_of(url).alias(suffix), host_of(url).alias(host),
+        F.regexp_extract(host_of(url), r"([^.]*\.?[^.]*)$", 1).alias(domain),
+    )
+    return fused(seen, keep, langs, said, [suffix, domain, host], text, x)
+
+
+def identified_documents(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str]) -> DataFrame:
+    """The same for plain documents (text, source): no markup declares a language, and the source is the host.
+
+    A column lang of ``docs`` is no evidence; it is replaced unless left out of ``carry``.
+    """
+    langs, rates = model
+    keep = [c for c in carry if c.lower() not in ANSWERS]
+    if not langs:
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("declared"), *_unknown())
+    x = _prefix(docs)
+    said, host, text = x + "declared", x + "host", x + "text"
+    seen = with_text_evidence(docs, "text", langs, rates, text, False).select(
+        *[F.col(f"`{c}`") for c in keep], text, F.lit("").alias(said), F.coalesce("source", F.lit("")).alias(host)
+    )
+    return fused(seen, keep, langs, said, [host], text, x)
+
+
+def _unknown() -> list[Column]:
+    return [F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability")]

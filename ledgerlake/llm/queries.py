@@ -30,9 +30,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages (page_id, url) and all documents (doc_id), each with its language."""
     pages, docs = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
-    found = language_id.identified(pages, docs, carry=["page_id", "url"])
-    return found.select("page_id", "url", "declared", "lang", "probability")
+    model = language_id.fit_text(docs)
+    answers = ["declared", "lang", "probability"]
+    web = language_id.identified(pages, model, ["page_id", "url"])
+    plain = language_id.identified_documents(docs, model, ["doc_id"])
+    return web.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long"), "url", *answers).unionByName(
+        plain.select("doc_id", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), *answers)
+    )
 
 
 def held_out() -> Column:

@@ -131,10 +131,13 @@ def test_language_of_held_out_documents(spark):
     assert right >= 0.97 * len(rows)
 
 
-def test_language_of_pages(spark):
-    got = E.queries()["op3_language_id"](spark, SF).collect()
-    assert len(got) == read_table(spark, SF, "pages").count()
-    assert sum(r.lang == r.declared for r in got) >= 0.9 * len(got) and all(0.25 <= r.probability <= 1 for r in got)
+def test_language_of_pages_and_documents(spark):
+    rows = E.queries()["op3_language_id"](spark, SF).collect()
+    pages, docs = [r for r in rows if r.page_id is not None], [r for r in rows if r.doc_id is not None]
+    assert len(pages) == read_table(spark, SF, "pages").count() and len(pages) + len(docs) == len(rows)
+    assert sum(r.lang == r.declared for r in pages) >= 0.9 * len(pages) and all(0.25 <= r.probability <= 1 for r in rows)
+    lang = {r.doc_id: r.lang for r in read_table(spark, SF, "documents").collect()}
+    assert len(docs) == len(lang) and sum(lang[r.doc_id] == r.lang for r in docs) >= 0.97 * len(docs)
 
 
 def test_evidence_is_fused(spark, docs_of):
@@ -145,10 +148,16 @@ def test_evidence_is_fused(spark, docs_of):
     rows += [("https://www.blatt.de/none", None), ("https://news.paper.uk/none", ""), ("https://new.example/x", page("", "de")), (None, None), (None, None),
              ("https://www.blatt.de/wrong", page("der hund und die katze sind nicht hier", "en"))]
     table = spark.createDataFrame([(*r, "c", "c") for r in rows], "url string, html string, lang string, _own0 string")
-    out = language_id.identified(table, docs)
+    model = language_id.fit_text(docs)
+    out = language_id.identified(table, model)
     assert out.count() == len(rows) and {"url", "html", "declared", "lang", "probability", "_own0"} == set(out.columns)
     got = {r.url: r.lang for r in out.collect()}
     assert got["https://www.blatt.de/none"] == "de" and got["https://news.paper.uk/none"] == "en"
     assert got["https://new.example/x"] == "de" and got["https://www.blatt.de/wrong"] == "de"
-    assert language_id.identified(table.limit(0), docs).count() == 0
-    assert {r.lang for r in language_id.identified(table, docs.limit(0)).collect()} == {None}
+    assert language_id.identified(table.limit(0), model).count() == 0
+    none = language_id.fit_text(docs.limit(0))
+    assert {r.lang for r in language_id.identified(table, none).collect()} == {None}
+    plain = docs_of([(1, "der hund und die katze sind nicht hier", "a"), (2, None, "a"), (2, None, "a"), (3, "", None), (None, "the cat sat with the hat", "b")])
+    got = language_id.identified_documents(plain, model, plain.columns)
+    assert got.count() == 5 and {(r.doc_id, r.lang) for r in got.collect()} >= {(1, "de"), (2, "de"), (None, "en")}
+    assert language_id.identified_documents(plain.limit(0), model, ["doc_id"]).count() == 0
