@@ -5,8 +5,8 @@ and T tags in its subtree, LC and LT of them in links, and body totals Cb, LCb,
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
-(zero denominators count as one; the second logarithm is at least ``LEAST_LOG``,
-as it vanishes on a page without links). A node's density sum is that of its children.
+(zero denominators count as one; the logarithms are at least 1 and ``LEAST_LOG``,
+as they vanish for one character and on a page without links). A node's density sum is that of its children.
 The node with the greatest sum is content; the least density on its path to
 the body is the threshold, and in every branch whose density reaches it the
 subtree with the greatest sum is content too, as are headings beside content.
@@ -64,6 +64,8 @@ class Page(HTMLParser):
         self.breaks = self.breaks + 1 if tag == "br" else 0
         if tag in BLOCK or self.breaks == 2:
             self.block += 1
+        if tag == "br":
+            self.handle_data(" ")
         if tag in INLINE:
             if "hidden" not in (named := dict(attrs)) and not named.get("class") and not named.get("id"):
                 return
@@ -120,7 +122,7 @@ def density(c: float, t: float, lc: float, lt: float, page_c: float, page_lc: fl
         return 0.0
     base = math.log(c / max(c - lc, 1) * lc + page_lc / max(page_c, 1) * c + math.e)
     ratio = (c / max(lc, 1)) * (max(t, 1) / max(lt, 1))
-    return c / max(t, 1) * math.log(max(ratio, 1.0)) / max(math.log(base), LEAST_LOG)
+    return c / max(t, 1) * math.log(max(ratio, math.e)) / max(math.log(base), LEAST_LOG)
 
 
 def main_text(html: str | None) -> str:

@@ -70,7 +70,8 @@ def test_toxicity_of_awkward_tables(spark, docs_of):
 
 
 def test_fitted_stems(spark, docs_of):
-    texts = [(i, f"w{i} grumk{'abcdefghij'[i % 10]}o w{i + 1} w{i + 2}" if i % 2 else f"w{i} fine w{i + 3} w{i + 4}") for i in range(400)]
+    name = lambda i: "w" + "".join("abcdefghij"[int(d)] for d in str(i))
+    texts = [(i, f"{name(i)} grumk{'abcdefghij'[i % 10]}o {name(i + 1)}" if i % 2 else f"{name(i)} fine {name(i + 3)}") for i in range(400)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
     stems = toxicity.fit(docs_of(texts), labels).stems
     assert any("grumkx".startswith(s) for s in stems) and "fine" not in stems
