@@ -11,12 +11,13 @@ Candidates are compared from long prefixes to short ones:
 1. in every group of one full label, an item is compared with the group's first
    item; links join items into classes;
 2. the same over the shortened prefixes, with items of other classes;
-3. every pair of items that share a shortened prefix and are still in
-   different classes is compared.
+3. in every group under a shortened prefix that still holds several classes,
+   all items are compared with each other, block by block inside of tasks; only
+   links that join two classes leave a task.
 So no candidate pair is left out: pairs that are not compared are in one class.
 Number of links of an item: all members of its class that it resembles,
-counted in blocks of at most ``BLOCK`` items; no pair leaves a task for that.
-All comparisons are exact, on sets of 64-bit shingle hashes.
+counted block by block in the same way. A block has about ``BLOCK`` items,
+whatever the size of a group or class. All comparisons are exact, on sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import content_key, fresh, stored
-from .shingles import LETTERS, hashed_words, mixed, rolled, row_of, shingle_set, whole
+from .shingles import LETTERS, hashed_words, mixed, rolled, row_of, shingle_set, small, whole
 
 SHINGLE = 5
 TREES, DEPTH = 24, 8
@@ -67,7 +68,7 @@ def _sets(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _label(batches: Iterator[pa.RecordBatch], names: list[str], depths: list[int]) -> Iterator[pa.RecordBatch]:
     """For each row: two digests of its set, its size, and per level the prefix hash in every tree."""
-    for batch in batches:
+    for batch in small(batches):
         values, offsets = hashed_words(batch.column("text"), LETTERS)
         at, sh = _sets(values, offsets)
         full, starts, counts = np.unique(at, return_index=True, return_counts=True)
@@ -100,7 +101,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, "ta"):
         sides = []
         for name in ("ta", "tb"):
             values, offsets = hashed_words(batch.column(name), LETTERS)
@@ -109,27 +110,66 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(keep)
 
 
-def _degrees(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Links of every item of one block with the items of another (or of the same)."""
-    values, offsets = hashed_words(pa.array(pairs["text"], pa.string()), LETTERS)
+def _alike(items: pd.DataFrame) -> np.ndarray:
+    """Which pairs of two blocks of items (or of one block and itself) are similar."""
+    values, offsets = hashed_words(pa.array(items["text"], pa.string()), LETTERS)
     sets = [shingle_set(values[i:j], SHINGLE) for i, j in zip(offsets, offsets[1:], strict=False)]
     size = np.array([len(s) for s in sets])
-    sh, item = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    sh, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(sh, kind="stable")
-    sh, item = sh[order], item[order]
+    sh, at = sh[order], at[order]
     column = np.cumsum(np.concatenate([[0], sh[1:] != sh[:-1]])) if len(sh) else np.empty(0, np.int64)
+    shared = np.bincount(column)[column] > 1  # a shingle of one item alone is in no intersection
+    column, at = np.unique(column[shared], return_inverse=True)[1], at[shared]
     both = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):  # so many shingles at a time
+    for lo in range(0, int(column.max()) + 1 if len(column) else 0, 8192):  # so many shingles at a time
         i, j = np.searchsorted(column, [lo, lo + 8192])
         has = np.zeros((len(sets), 8192), np.float32)
-        has[item[i:j], column[i:j] - lo] = 1
+        has[at[i:j], column[i:j] - lo] = 1
         both += has @ has.T
     alike = both * SIMILAR[1] >= SIMILAR[0] * (size[:, None] + size[None, :] - both)
     np.fill_diagonal(alike, False)
-    if pairs["i"].iloc[0] != pairs["j"].iloc[0]:  # links inside a block are counted where it meets itself
-        block = pairs["block"].to_numpy()
+    if items["i"].iloc[0] != items["j"].iloc[0]:  # pairs inside a block are compared where it meets itself
+        block = items["block"].to_numpy()
         alike &= block[:, None] != block[None, :]
-    return pd.DataFrame({"id": pairs["id"], "links": alike.sum(axis=1).astype("int64")})
+    return alike
+
+
+def _degrees(items: pd.DataFrame) -> pd.DataFrame:
+    """Links of every item of one block with the items of another (or of the same)."""
+    return pd.DataFrame({"id": items["id"], "links": _alike(items).sum(axis=1).astype("int64")})
+
+
+def _bridges(items: pd.DataFrame) -> pd.DataFrame:
+    """Links that join classes: at most one less than there are classes."""
+    label = items["label"].to_numpy()
+    a, b = np.nonzero(np.triu(_alike(items) & (label[:, None] != label[None, :])))
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    links = []
+    for i, j in zip(a, b, strict=True):
+        x, y = top(int(label[i])), top(int(label[j]))
+        if x != y:
+            up[x] = y
+            links.append((i, j))
+    at = np.array(links, np.int64).reshape(-1, 2)
+    ids = items["id"].to_numpy()
+    return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+
+def _dealt(members: DataFrame, group: str, texts: DataFrame) -> DataFrame:
+    """Members (group, blocks, id, label) with their texts, once for every pair of blocks (i, j) of their group."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    names = dict.fromkeys([group, "id", "label", "block", "text"])  # the group may be the label itself
+    meets = members.withColumn("block", block).join(texts, "id").select(
+        *names, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    )
+    return meets.select(*names, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,18 +196,14 @@ def _picked(buckets: DataFrame, prefix: str) -> DataFrame:
     return other.groupBy("id").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
 
 
-def _across(buckets: DataFrame, prefix: str) -> DataFrame:
-    """All pairs (a, b), a < b, of items of one group and different classes.
-
-    In a group every such pair has an item outside of the group's largest
-    class, so only those are joined to the others.
-    """
-    sizes = buckets.groupBy(prefix, "label").agg(F.count("*").alias("n"))
-    mixed_ = sizes.groupBy(prefix).agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    members = buckets.join(mixed_.select(prefix, F.col("top.label").alias("top")), prefix)
-    rest = members.filter("label <> top").select(prefix, F.col("id").alias("other"), F.col("label").alias("other_label"))
-    pairs = members.join(rest, prefix).filter("label <> other_label and (label = top or id < other)")
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def _across(buckets: DataFrame, prefix: str, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of every group that holds several; buckets: (prefix, id, label)."""
+    sizes = buckets.groupBy(prefix).agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    several = sizes.filter("lo <> hi").select(prefix, "blocks")
+    members = buckets.select(prefix, "id", "label").join(several, prefix)
+    return _dealt(members, prefix, texts).groupBy(prefix, "i", "j").applyInPandas(_bridges, "a bigint, b bigint").distinct()
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -222,16 +258,14 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         more = linked(_picked(labelled(labels), f"p{x}"))
         edges = stored(more if edges is None else edges.union(more), "links")
         labels = components(edges)
-    edges = stored(edges.union(linked(_across(labelled(labels), last))), "links")
+    edges = stored(edges.union(_across(labelled(labels), last, texts)), "links")
     labels = components(edges)
 
     # Links inside each class, block against block.
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = members.join(texts, "id").select(
-        "id", "label", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"),
-    ).select("id", "label", "block", "text", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    counted = dealt.groupBy("label", "i", "j").applyInPandas(_degrees, "id bigint, links bigint")
+    counted = _dealt(labels.join(sizes, "label"), "label", texts).groupBy("label", "i", "j").applyInPandas(
+        _degrees, "id bigint, links bigint"
+    )
     links = counted.groupBy("id").agg(F.sum("links").alias("n_links"))
 
     of = names.join(labels, "id", "left").join(links, "id", "left").withColumn("label", F.coalesce("label", "id"))

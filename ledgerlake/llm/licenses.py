@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
-from .shingles import ASCII_LETTERS, hashed_words, rolled, row_of, whole
+from .shingles import ASCII_LETTERS, hashed_words, rolled, row_of, small, whole
 
 SHINGLE = 5
 BANDS = 51
@@ -90,7 +90,7 @@ def _classes(hashed: list[np.ndarray]) -> list[_Class]:
 
 def _scan(batches: Iterator[pa.RecordBatch], classes: list[_Class], names: list[str]) -> Iterator[pa.RecordBatch]:
     """For each row: its number of words, and its matches as (template, start word, containment)."""
-    for batch in batches:
+    for batch in small(batches):
         values, offsets = hashed_words(batch.column("text"), ASCII_LETTERS)
         h, rows = rolled(values, SHINGLE), row_of(offsets)
         inside = whole(offsets, SHINGLE)

@@ -8,8 +8,11 @@ the batch; the hash of k words is a polynomial of their hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses nothing
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -25,10 +28,21 @@ ASCII_LETTERS = np.where(np.arange(256) < 128, LETTERS, 0).astype(np.uint64)
 _known: dict[int, np.ndarray] = {}
 
 
+def small(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``size`` bytes of text (one row at least): working arrays take some twenty times that."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 ... base**(n - 1), kept for the next batch."""
     if len(_known.get(int(base), ())) < n:
-        out = np.full(max(n, 5 << 20), base, np.uint64)
+        out = np.full(max(n, 2 << 20), base, np.uint64)
         out[0] = 1
         _known[int(base)] = np.cumprod(out, dtype=np.uint64)
     return _known[int(base)][:n]
@@ -49,7 +63,7 @@ def hashed_words(column: pa.Array, table: np.ndarray = WHITE_SPACE) -> tuple[np.
     hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
     lo = 0
     while lo < len(at) - 1:  # some rows at a time, as running sums take eight bytes for each byte
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (4 << 20))))
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20))))
         hi = min(hi, len(at) - 1)
         h, n = _part(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], table)
         hashes.append(h)

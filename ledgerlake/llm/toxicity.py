@@ -93,13 +93,15 @@ class Model:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct (word, word before, label) of each batch."""
+    """Distinct (word, word before, label) of some rows at a time."""
     for rows in batches:
         seen = set()
-        for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
+        for k, (text, toxic) in enumerate(zip(rows["text"], rows["toxic"], strict=True)):
             words = WORD.findall((text or "").lower())
             seen.update(zip(words, ["", *words], [int(toxic)] * len(words), strict=False))
-        yield pd.DataFrame(list(seen), columns=["word", "before", "toxic"])
+            if len(seen) > 200_000 or k == len(rows) - 1:
+                yield pd.DataFrame(list(seen), columns=["word", "before", "toxic"])
+                seen = set()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
