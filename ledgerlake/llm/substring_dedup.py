@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
-from .shingles import hashed_words, rolled, row_of, whole
+from .shingles import hashed_words, rolled, row_of, small, whole
 
 WINDOW = 13
-GRAM = 4
+GRAM = 7
 
 SPANS = "array<struct<start:bigint,end:bigint,source:bigint>>"
 
@@ -54,7 +54,7 @@ def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text the distinct anchors of its windows."""
-    for batch in batches:
+    for batch in small(batches):
         _, offsets, least, inside = _windows(batch.column("text"))
         rows, least = row_of(offsets)[: len(inside)][inside], least[inside]
         new = np.ones(len(rows), bool)
@@ -72,7 +72,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reference blocks: (h, c, doc, rn, at) for every window whose anchor is kept."""
-    for batch in batches:
+    for batch in small(batches):
         words, offsets, least, inside = _windows(batch.column("text"))
         kept = batch.column("anchors").flatten().to_numpy().view(np.uint64)
         at = np.flatnonzero(inside & np.isin(least, np.unique(kept)))
@@ -116,7 +116,7 @@ def _sha(words: list[bytes]) -> str:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         shas, removed, spans, kept = [], [], [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
             words = (text or "").encode().split()
@@ -134,7 +134,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         words = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("doc"), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string())],
