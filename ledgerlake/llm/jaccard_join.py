@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import content_key, fresh, stored
-from .shingles import LETTERS, hashed_words, mixed, rolled, row_of, shingle_set, small, whole
+from .shingles import LETTERS, hashed_words, mixed, odd_factors, rolled, row_of, shingle_set, small, whole
 
 SHINGLE = 5
 TREES, DEPTH = 24, 8
@@ -39,7 +39,7 @@ RECALL = 0.995
 SIMILAR = (4, 5)  # the threshold, 4/5
 BLOCK = 256
 
-_ODD = (np.arange(1, 2 * TREES * DEPTH + 1, 2, np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+_ODD = odd_factors(TREES * DEPTH, 0xBF58476D1CE4E5B9)
 
 
 def levels() -> list[int]:

@@ -98,6 +98,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def odd_factors(n: int, seed: int) -> np.ndarray:
+    """Fixed pseudo-random odd numbers, one for each MinHash function: products with multiples of one number are not independent."""
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed)) | np.uint64(1)
+
+
 def rolled(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words that start at each place; the last k - 1 places are dropped. Order counts."""
     n = len(values) - k + 1
