@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
-from .shingles import ASCII_LETTERS, hashed_words, rolled, row_of, small, whole
+from .shingles import ASCII_LETTERS, hashed_words, odd_factors, rolled, row_of, small, whole
 
 SHINGLE = 5
 BANDS = 51
@@ -44,7 +44,7 @@ TEMPLATES = (
 )
 
 
-_ODD = (np.arange(1, 2 * BANDS + 1, 2, np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+_ODD = odd_factors(BANDS, 0xA24BAED4963EE407)
 _MOST = np.iinfo(np.uint64).max
 
 

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlake.llm import jaccard_join
+from ledgerlake.llm import jaccard_join, licenses
+from ledgerlake.llm.shingles import ASCII_LETTERS, hashed_words
 
 
 def missed_pairs(shared, own, n):
@@ -27,3 +28,21 @@ def test_isolated_pairs_are_found_at_the_stated_recall(shared, own):
     bound = (1 - s ** jaccard_join.levels()[-1]) ** jaccard_join.TREES
     assert bound <= 1 - jaccard_join.RECALL
     assert missed_pairs(shared, own, n) <= n * bound + 3 * (n * bound) ** 0.5 + 1
+
+
+@pytest.mark.parametrize("share", [1.0, 0.8])
+def test_notices_are_retrieved_at_the_stated_rate(share):
+    values, offsets = hashed_words(pa.array([t for _, t in licenses.TEMPLATES]), ASCII_LETTERS)
+    classes = licenses._classes([values[i:j] for i, j in zip(offsets, offsets[1:], strict=False)])
+    r, n, missed = np.random.default_rng(1), 5_000, 0
+    for c in classes:
+        for t, (_, shingles) in enumerate(c.templates):
+            h = r.integers(0, 1 << 64, (n, 2 * c.g), np.uint64)
+            at = r.integers(0, 2 * c.g - len(shingles) + 1, n)
+            for w in range(n):
+                kept = r.permutation(len(shingles))[: int(np.ceil(share * len(shingles)))]
+                h[w, at[w] + kept] = shingles[kept]
+            found = licenses._candidates(h.ravel(), [c])[0]  # windows start every g places, so these are the even ones
+            missed += sum((2 * w, t) not in found for w in range(n))
+    bound = n * len(licenses.TEMPLATES) * (17 / 21) ** licenses.BANDS
+    assert missed <= bound + 3 * bound**0.5
