@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import MAX_FILE_AGE, scratch_path
 from .common import WS, stored, text_of
 
 # The settings that put the streaming state on disk.
@@ -71,7 +71,8 @@ def update_state(spark: SparkSession, path: str, folder: str, max_files: int = 1
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     # As a pattern, so that the path may be one file as well as a folder.
     pattern = f"{path[:-1]}[{path[-1]}]"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
+    options = {"maxFilesPerTrigger": max_files, "maxFileAge": MAX_FILE_AGE}
+    stream = spark.readStream.schema(schema).options(**options).parquet(pattern)
     groups = _groups(_rows(stream), "text_sha256")
 
     def keep(batch: DataFrame, batch_id: int) -> None:

@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# For file streams: a new file is read however much older than the newest one it is (Spark's default skips it after a week).
+MAX_FILE_AGE = "365000d"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlake") -> SparkSession:
     """Session for tests and the bench (local mode)."""

@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.summary import expense_amt, income_amt, savings_rate, signed_amt
+from ..session import MAX_FILE_AGE
 from ..sources import store as ST
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, name_glob: str = "*.parquet",
                 max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob).option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.format(fmt).load(folder)
