@@ -107,7 +107,8 @@ def start_monthly_summary(stream: DataFrame, summary_root: str, checkpoint: str,
     return start_ingest(stream, f"{summary_root.rstrip('/')}_rows", summary_root, checkpoint, by, key, available_now, processing_time)
 
 
-def run_to_completion(start: Callable[[], object], timeout_s: int = 600) -> None:
+def run_to_completion(start: Callable[[], object], timeout_s: int | None = None) -> None:
+    """Wait for a stream that ends by itself (availableNow), however long it takes unless ``timeout_s`` is given."""
     q = start()
     q.awaitTermination(timeout_s)
     if q.isActive:
