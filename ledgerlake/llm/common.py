@@ -20,7 +20,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that reads them is written itself."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -81,9 +81,40 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM rows WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
 """
 
+
+def _clustering(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    near = """
+SELECT r, arg_min(i, struct_pack(d := d, i := i)) AS i, min(d) AS d FROM (
+  SELECT r, i, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM kept, {c}
+) GROUP BY r"""
+    out = f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+kept AS MATERIALIZED (
+  SELECT r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM numbered
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS i, v AS c
+  FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k})
+)"""
+    for t in range(rounds):
+        out += f""", a{t} AS MATERIALIZED ({near.format(c=f"c{t}")}),
+m{t} AS (
+  SELECT i, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c
+  FROM (SELECT i, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT i, unnest(v) AS x, unnest(range({dims})) AS j FROM a{t} JOIN kept USING (r)) GROUP BY i, j)
+  GROUP BY i
+), c{t + 1} AS MATERIALIZED (SELECT i, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (i))"""
+    return out + f""", last AS MATERIALIZED ({near.format(c=f"c{rounds}")})
+SELECT vec_id, i::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY i))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN kept USING (r) JOIN c{rounds} USING (i)
+"""
+
+
 SQL: dict[str, str] = {
     "op5_substring_dedup": OP5,
     "op7_mix_sources": OP7,
     "op8_decontaminate": OP8,
     "op9_exact_dedup": OP9,
+    "op12_centroid_clustering": _clustering(),
 }

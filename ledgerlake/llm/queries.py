@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity
+from . import clustering, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity
 from .common import read_table, text_of
 
 N_SHARDS = 24
@@ -99,6 +99,11 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clustering.clustered(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -110,4 +115,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_feistel_shards": op10_feistel_shards,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }

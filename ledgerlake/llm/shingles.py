@@ -15,15 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses nothing
-_BASE = np.uint64(0xD1342543DE82EF95)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
 # Bytes that separate words (0), or what they count as.
 WHITE_SPACE = np.arange(1, 257, dtype=np.uint64)
 WHITE_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
 LETTERS = np.array([ord(chr(b).lower()) + 1 if b < 128 and chr(b).isalnum() else (b + 1) * (b >= 128) for b in range(256)], np.uint64)
 ASCII_LETTERS = np.where(np.arange(256) < 128, LETTERS, 0).astype(np.uint64)
 
+PLACES = 32  # of a word, whose numbers are kept in a table
+SECOND = 0x632BE59BD9B4E019  # seed of the independent second hash
 
 _known: dict[int, np.ndarray] = {}
 
@@ -39,13 +38,15 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2
             lo = hi
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n - 1), kept for the next batch."""
-    if len(_known.get(int(base), ())) < n:
-        out = np.full(max(n, 2 << 20), base, np.uint64)
-        out[0] = 1
-        _known[int(base)] = np.cumprod(out, dtype=np.uint64)
-    return _known[int(base)][:n]
+def _numbers(key: np.ndarray, seed: int) -> np.ndarray:
+    """The pseudo-random number of each key (place and byte)."""
+    return mixed((key + np.uint64(1)) * _STEP ^ np.uint64(seed))
+
+
+def _table(seed: int) -> np.ndarray:
+    if seed not in _known:
+        _known[seed] = _numbers(np.arange(PLACES << 9, dtype=np.uint64), seed)
+    return _known[seed]
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,36 +58,50 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def hashed_words(column: pa.Array, table: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(column: pa.Array, table: np.ndarray = WHITE_SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, offsets) of a string column: the words of row i are hashes[offsets[i]:offsets[i + 1]]."""
     data, at = raw_bytes(column)
     hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
     lo = 0
-    while lo < len(at) - 1:  # some rows at a time, as running sums take eight bytes for each byte
+    while lo < len(at) - 1:  # some rows at a time, as working arrays take eight bytes for each byte
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20))))
         hi = min(hi, len(at) - 1)
-        h, n = _part(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], table)
-        hashes.append(h)
-        counts.append(n)
+        part, cuts = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        first, last = word_spans(part, cuts, table)
+        hashes.append(span_hashes(part, first, last, table, seed))
+        counts.append(np.diff(np.searchsorted(first, cuts)))
         lo = hi
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
-def _part(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    value = table[data]
-    inside = value != 0
+def word_spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and byte after the last, of every word; rows begin at ``at`` and hold whole words."""
+    inside = table[data] != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cut = at[1:-1][(at[1:-1] < len(data))]
     begins[cut] = inside[cut]  # the first byte of a row begins a word
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | begins[1:]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value * _powers(_BASE, len(data)), out=sums[1:])
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    words = (sums[last] - sums[first]) * _powers(_BACK, len(data))[first]
-    counts = np.diff(np.searchsorted(first, at))
-    return mixed(words), counts
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of every word."""
+    if not len(first):
+        return np.empty(0, np.uint64)
+    size = last - first
+    begins = np.cumsum(size) - size
+    place = np.arange(begins[-1] + size[-1]) - np.repeat(begins, size)
+    key = (place.astype(np.uint64) << np.uint64(9)) + table[data[np.repeat(first, size) + place]]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        beyond = _numbers(key[far], seed)
+        key[far] = 0
+    numbers = _table(seed)[key]
+    if len(far):
+        numbers[far] = beyond
+    return mixed(np.add.reduceat(numbers, begins))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
