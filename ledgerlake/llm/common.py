@@ -15,11 +15,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder (a folder for each value of ``by``) and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table

@@ -82,6 +82,37 @@ FROM rows WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
 """
 
 
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w))
+  GROUP BY lang, k, phrase HAVING count(*) >= 100
+), cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inside AS (
+  SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a AS f, w, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand))
+), longer AS (SELECT lang, phrase, max(f) AS most FROM inside GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM cand c LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:k], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)
+), rated AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score, cut
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp JOIN totals t ON t.lang = c.lang
+), best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 def _clustering(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
     """Every vector against every centroid, round by round."""
     near = """
@@ -116,5 +147,6 @@ SQL: dict[str, str] = {
     "op7_mix_sources": OP7,
     "op8_decontaminate": OP8,
     "op9_exact_dedup": OP9,
+    "op13_phrase_collocations": OP13,
     "op12_centroid_clustering": _clustering(),
 }

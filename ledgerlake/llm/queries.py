@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity
+from . import clustering, collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity
 from .common import read_table, text_of
 
 N_SHARDS = 24
@@ -104,6 +104,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -115,5 +119,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_feistel_shards": op10_feistel_shards,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "op12_centroid_clustering": op12_centroid_clustering,
 }
