@@ -38,7 +38,7 @@ SHARDS = 4
 THRESHOLD = 100
 TOP = 2000
 BYTES_PER_SLOT, LEAST_SLOT_BITS, MOST_SLOT_BITS = 256, 16, 26
-HELD = 4 << 20  # hashes that a task holds before it sums them up
+HELD = 2 << 20  # hashes that a task holds before it sums them up
 SALTS = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -148,7 +148,7 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast)
     """(lang, k, phrase, n) of the phrases in the slots; k = 0 has the number of words of each language."""
     array = slots.value
     bits = int(len(array)).bit_length() - 1
-    for batch in small(batches, size=16 << 20):
+    for batch in small(batches, size=4 << 20):
         names = batch.column("lang").to_pylist()
         words, twin = Words(batch), Words(batch, SECOND).hash
         out = {"lang": [], "k": [], "phrase": [], "n": []}
