@@ -113,6 +113,25 @@ FROM ranked WHERE rank <= 2000
 """
 
 
+# Every pair is compared, so the SQL is for small tables; the search has to find all of them here.
+OP11 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND list_max(list_transform(embedding, lambda x: abs(x))) > 0, false) AS valid
+  FROM embeddings
+), u AS MATERIALIZED (SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v WHERE valid),
+link AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) / (a.size * b.size) >= 0.95
+), reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(vec_id) AS least FROM reach JOIN v ON v.r = b GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, low.least) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, low.least) AS kept
+FROM v LEFT JOIN deg ON deg.a = r LEFT JOIN low ON low.a = r
+"""
+
+
 def _clustering(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
     """Every vector against every centroid, round by round."""
     near = """
@@ -147,6 +166,7 @@ SQL: dict[str, str] = {
     "op7_mix_sources": OP7,
     "op8_decontaminate": OP8,
     "op9_exact_dedup": OP9,
-    "op13_phrase_collocations": OP13,
+    "op11_vector_links": OP11,
     "op12_centroid_clustering": _clustering(),
+    "op13_phrase_collocations": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity
+from . import clustering, collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, mixing, sharding, substring_dedup, toxicity, vector_links
 from .common import read_table, text_of
 
 N_SHARDS = 24
@@ -99,6 +99,10 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.linked_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clustering.clustered(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -119,6 +123,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_feistel_shards": op10_feistel_shards,
-    "op13_phrase_collocations": op13_phrase_collocations,
+    "op11_vector_links": op11_vector_links,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
