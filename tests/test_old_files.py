@@ -6,7 +6,6 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import exact_dedup
 from ledgerlake.session import scratch_path
 from ledgerlake.streaming import ingest as IN
 
@@ -20,16 +19,6 @@ def add_old(df, path, days=400):
         os.utime(f, (time.time() - days * 86_400,) * 2)
 
 
-def test_state_takes_files_with_old_dates(spark):
-    path, folder = scratch_path(spark, "grow-old"), scratch_path(spark, "state-old")
-    kind = "doc_id long, text string"
-    spark.createDataFrame([(5, "a b"), (6, "c")], kind).write.parquet(path)
-    assert exact_dedup.exact_dedup(spark, path, folder).count() == 2
-    add_old(spark.createDataFrame([(4, "ab"), (9, "d")], kind), path)
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path, folder).collect()}
-    assert got == {5: (5, 2), 4: (5, 2), 6: (6, 1), 9: (9, 1)}
-
-
 def test_stream_takes_files_with_old_dates(spark):
     path, root = scratch_path(spark, "source-old"), scratch_path(spark, "table-old")
     ids = lambda lo: spark.range(lo, lo + 3).select(F.col("id").cast("string").alias("transaction_id"))
