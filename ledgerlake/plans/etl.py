@@ -33,7 +33,7 @@ def run_etl(spark: SparkSession, raw_path: str, out_root: str, source: str = "cs
     obs = Observation("etl_clean")
     clean = clean_transactions(raw_df, source=source, mapping=mapping, observation=obs, require_non_empty=True)
     tx_root = f"{out_root.rstrip('/')}/transactions"
-    tx_path = ST.replace_table(clean, tx_root, partition_by)
+    tx_path = ST.replace_table(clean, tx_root, partition_by, key="transaction_id")
     metrics = obs.get
     tx = spark.read.parquet(tx_path)
     summary = monthly_summary(tx, stamp=True)

@@ -577,6 +577,11 @@ incoming AS (SELECT * FROM led WHERE year_month >= '1997-07'
 SELECT * FROM existing
 UNION ALL
 SELECT * FROM incoming WHERE transaction_id NOT IN (SELECT transaction_id FROM existing)"""
+SQL["append_batches"] = with_(L1) + """, led AS (SELECT transaction_id, year_month, CAST(amount AS DOUBLE) AS amount FROM l1)
+SELECT * FROM led
+UNION ALL
+SELECT transaction_id || '-b', year_month, amount
+FROM (SELECT * FROM led ORDER BY year_month DESC, transaction_id DESC LIMIT 300) newest"""
 SQL["upsert_by_key"] = with_(L1) + f""", cur AS ({monthly_with_rate('l1', "WHERE year_month < '1999-01'")}),
 upd AS ({monthly_with_rate('l1', "WHERE year_month >= '1998-07' AND account = 'F'")})
 SELECT *, 'kept' AS op FROM cur WHERE year_month NOT IN (SELECT year_month FROM upd)

@@ -395,6 +395,19 @@ def q_append_new_rows(spark, sf):
     return existing.unionByName(ST.append_new(existing, incoming))
 
 
+@register("append_batches")
+def q_append_batches(spark, sf):
+    """A table in files that grows by a large batch (joined) and by a small one (looked up), both with ids that it has."""
+    led = l1(spark, sf).select("transaction_id", "year_month", F.col("amount").cast("double").alias("amount"))
+    root = scratch_path(spark, "append-batches")
+    ST.replace_table(led.where(F.col("year_month") < "1998-01"), root, ["year_month"], key="transaction_id")
+    ST.append_table(led.where(F.col("year_month") >= "1997-07"), root, partition_by=["year_month"])
+    newest = ST.newest_n(led, 300, ts="year_month", tie=["transaction_id"])
+    fresh = newest.withColumn("transaction_id", F.concat("transaction_id", F.lit("-b")))
+    ST.append_table(newest.unionByName(fresh), root, partition_by=["year_month"])
+    return ST.read_current(spark, root).select(*led.columns)
+
+
 @register("upsert_by_key")
 def q_upsert_by_key(spark, sf):
     led = l1(spark, sf)

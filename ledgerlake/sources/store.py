@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "key_bucket"
+LOOKED_UP = 1000  # keys of a batch that are looked up through the files' Bloom filters; more are joined
+
+# Bloom filters of the key: one in 100,000 by chance, so that a thousand keys still leave 99 of 100 row groups out.
+BLOOM = {"enabled#KEY": "true", "fpp#KEY": "0.00001", "adaptive.enabled": "true", "max.bytes": str(8 << 20)}
 
 
 # --- SQL access (S5, S6) --------------------------------------------------------------
@@ -56,6 +60,22 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str = "transaction
     return incoming.join(seen, key, "left_anti").select(*incoming.columns)
 
 
+def known_keys(table: DataFrame, keys: Sequence[object], key: str) -> list:
+    """Which of some keys a table holds: a scan that skips row groups by their Bloom filters and statistics.
+
+    The keys are pushed into the scan as equalities, which is what a Bloom
+    filter can answer; Spark would otherwise replace a long list by its range.
+    """
+    spark = table.sparkSession
+    limit = "spark.sql.parquet.pushdown.inFilterThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(max(len(keys), int(before))))
+    try:
+        return [r[0] for r in table.select(key).where(F.col(key).isin(list(keys))).distinct().collect()]
+    finally:
+        spark.conf.set(limit, before)
+
+
 def restrict_to_touched(table: DataFrame, changes: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
     """Rows of ``table`` in the partitions that ``changes`` touch: a semi-join on the partition columns.
 
@@ -199,33 +219,54 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
     return None if table is None else table.drop(BUCKET)
 
 
-def write_rows(df: DataFrame, root: str, partition_by: Sequence[str] = (), mode: str = "append") -> str:
+def _writer(df: DataFrame, mode: str, key: str | None = None):
+    """A parquet writer; with a key, every row group gets a Bloom filter of it, sized to its keys."""
+    w = df.write.mode(mode)
+    if key is not None:
+        for name, value in BLOOM.items():
+            w = w.option(f"parquet.bloom.filter.{name}".replace("KEY", key), value)
+    return w
+
+
+def write_rows(df: DataFrame, root: str, partition_by: Sequence[str] = (), mode: str = "append", key: str | None = None) -> str:
     """Write ``df`` by partition with few files: rows are rebalanced on the partition
     columns first, so a partition gets one file, and a hot one several (by size)."""
     parts = list(partition_by)
     if not parts:
-        df.write.mode(mode).parquet(root)
+        _writer(df, mode, key).parquet(root)
         return root
     even = df.hint("rebalance", *parts)
-    w = even.write.mode(mode).partitionBy(*parts)
+    w = _writer(even, mode, key).partitionBy(*parts)
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(root)
     return root
 
 
-def replace_table(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
-    """``mode="replace"`` (S3): the frame becomes the table."""
+def replace_table(df: DataFrame, root: str, partition_by: Sequence[str] = (), key: str | None = None) -> str:
+    """``mode="replace"`` (S3): the frame becomes the table; ``key`` is the column that appends look up."""
     even = df.hint("rebalance", *partition_by) if partition_by else df
-    w = even.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    w = _writer(even, "overwrite", key).option("partitionOverwriteMode", "static")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(root)
     return root
 
 
 def append_table(df: DataFrame, root: str, key: str = "transaction_id", partition_by: Sequence[str] = ()) -> str:
-    """``mode="append"`` (S4): add rows whose key is absent, as new files; creates the table when absent."""
+    """``mode="append"`` (S4): add rows whose key is absent, as new files; creates the table when absent.
+
+    A batch of up to ``LOOKED_UP`` keys is looked up (``known_keys``): of files
+    written by this module with their key, only row groups whose Bloom filter
+    lets one of the keys pass are read. A larger batch is joined with the key column.
+    """
     cur = read_or_none(df.sparkSession, root)
-    return write_rows(df if cur is None else append_new(cur, df, key), root, partition_by)
+    if cur is not None:
+        keys = [r[0] for r in df.select(key).distinct().limit(LOOKED_UP + 1).collect()]
+        if len(keys) <= LOOKED_UP:
+            known = known_keys(cur, keys, key)
+            df = df.where(~F.col(key).isin(known)) if known else df
+        else:
+            df = append_new(cur, df, key)
+    return write_rows(df, root, partition_by, key=key)
 
 
 def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], order_by: Column | str | None = None,
