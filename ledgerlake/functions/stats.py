@@ -24,20 +24,24 @@ def sum_sq(c, over=None) -> Column:
     return F.when(put(F.count(sq)) == put(F.count(c)), put(F.try_sum(sq)))
 
 
-def var_numerator(n, s1, s2) -> Column:
-    """n*S2 - S1^2 as double (exact before the cast); null when it exceeds decimal(38)."""
+def var_numerator(n, s1, s2, scale: int = 0) -> Column:
+    """n*S2 - S1^2 as double (exact before the cast); null when it exceeds decimal(38).
+
+    With a ``scale`` the sums are whole numbers of 10**-scale, and the result is one rounding away from the exact value.
+    """
     n, s1, s2 = col_or(n), col_or(s1), col_or(s2)
-    return F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s1, s1)).cast("double")
+    exact = F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s1, s1))
+    return F.concat(exact.cast("string"), F.lit(f"E-{2 * scale}")).cast("double") if scale else exact.cast("double")
 
 
-def stddev_samp_from(n, s1, s2, wide=None) -> Column:
-    """Sample std from count, exact sum and exact sum of squares; null when n < 2.
+def stddev_samp_from(n, s1, s2, wide=None, scale: int = 0) -> Column:
+    """Sample std from count, exact sum and exact sum of squares (in units of 10**-scale); null when n < 2.
 
     ``wide`` (``stddev_samp`` of the same rows as double) stands in where the
     exact numerator exceeds decimal(38).
     """
     n = col_or(n)
-    exact = F.sqrt(safe_div(var_numerator(n, s1, s2), n * (n - F.lit(1))))
+    exact = F.sqrt(safe_div(var_numerator(n, s1, s2, scale), n * (n - F.lit(1))))
     return exact if wide is None else F.coalesce(exact, F.when(n > 1, col_or(wide)))
 
 

@@ -64,5 +64,8 @@ def detect_anomalies(ledger: DataFrame, z_threshold: float = 2.0, by: Sequence[s
 def top_anomalies(ledger: DataFrame, n: int = 15, z_threshold: float = 2.0, filters=None) -> DataFrame:
     """First n anomalies by unrounded |z| descending, with their rank (the page shows 15)."""
     top = _scored(ledger, z_threshold, (), filters).orderBy(F.abs("_z").desc(), "category", "year_month").limit(n)
-    rank = F.row_number().over(Window.orderBy(F.abs("_z").desc(), "category", "year_month"))  # n rows
-    return top.withColumn("rank", rank).drop("_z")
+    cols = [c for c in top.columns if c != "_z"]
+    listed = top.agg(F.sort_array(F.collect_list(F.struct(
+        (-F.abs("_z")).alias("_less"), "category", "year_month", *[c for c in cols if c not in ("category", "year_month")]))).alias("_l"))  # n items
+    return listed.select(F.posexplode("_l").alias("_place", "_r")).select(
+        *[F.col(f"_r.{c}").alias(c) for c in cols], (F.col("_place") + 1).alias("rank"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import round_dec
 from ..functions.filters import apply_filter
+from ..functions.ranking import global_rank
 from .summary import EXPENSE
 
 
@@ -48,11 +49,16 @@ def budget_status(ledger: DataFrame, plans: DataFrame, filters=None, by: Sequenc
     """Per planned category: monthly_limit, actual, over_under (rounded 2), is_over, over_rank.
 
     ``over_rank`` orders the over-budget categories by overrun, largest first
-    (the over-budget list of the source); it is null for the others.
+    (the over-budget list of the source); it is null for the others. Without
+    ``by`` the ranks are those of the whole table (``functions.ranking``), found when called.
     """
     out = _compare(ledger, plans, filters, by)
-    w = Window.partitionBy(*by).orderBy(F.col("_over").desc(), F.col("category").asc())
-    ranked = out.withColumn("over_rank", F.when(F.col("_over") > 0, F.row_number().over(w)))
+    order = [F.col("_over").desc(), F.col("category").asc()]
+    if by:
+        ranked = out.withColumn("over_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        ranked = global_rank(out, order, "over_rank")
+    ranked = ranked.withColumn("over_rank", F.when(F.col("_over") > 0, F.col("over_rank")))
     return ranked.select(
         *by, "category",
         round_dec("monthly_limit", 2).alias("monthly_limit"),

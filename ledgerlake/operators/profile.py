@@ -8,46 +8,60 @@ rows after the first of each identical group.
 Plans:
 
 * numeric and null statistics: one aggregate over all columns (one pass);
-* distinct counts and top values: every row emits one (column, value) pair per
-  column; ``groupBy(column, value).count()`` is partially aggregated map-side,
-  so a value held by a third of the rows costs one row per map task. The top
-  10 per column use ``row_number() <= 10`` (partial WindowGroupLimit before
-  the shuffle);
-* duplicates: ``groupBy(all columns).count()`` then ``sum(count - 1)``;
-* exact median: a two-level histogram over the decimal's unscaled value
-  (bucket counts, then the distinct values of the one or two buckets that hold
-  the middle ranks), so no task ever holds more than one bucket's distinct
-  values. Spark's ``median``/``percentile`` would instead merge every
-  partition's value map in a single final task. The whole-ledger median
-  filters rows to its (at most two) target buckets map-side; per-group
-  medians count (group, bucket, value) before joining the targets, so a hot
-  group never lands in one task.
+* distinct counts: one column at a time, read alone from the scan and
+  de-duplicated map-side, so no row is multiplied by the columns;
+* top values: a frequent-items summary of each column (``approx_top_k``, built
+  map-side and merged, of fixed size) names candidates; a second pass counts
+  them exactly. An item that is no candidate occurs at most as often as the least
+  estimate among them, so if the n-th exact count is above that, or the
+  candidates are all there is, the answer is proven; else the column's values
+  are all counted;
+* duplicates: 16-byte digests are counted, and only rows whose digest occurs
+  twice are compared as whole rows;
+* exact median: distinct values with their counts are ranked by range partition
+  and offsets (``functions.ranking``), on the type of the column itself. No task
+  sees all values, whether of the ledger or of one group.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.assemble import merge_columns
 from ..functions.exprs import round_dec
+from ..functions.ranking import running_weight
 from ..functions.stats import mean_from, stddev_samp_from, sum_sq
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-MEDIAN_BUCKET_BITS = 20  # 2^20 unscaled units (cents) per first-level bucket
+TRACKED = 10_000  # items that the summary of a column keeps
+CANDIDATES = 10  # candidates for each asked value
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    x = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-    return x.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
+    value = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
+    return value.groupBy("value").agg(F.count(F.lit(1)).alias("count")).select(F.lit(column).alias("column_name"), "value", "count")
+
+
+def _together(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, unique_count) of each column, nulls ignored."""
+    one = [df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct().agg(F.count(F.lit(1)).alias("unique_count"))
+           .select(F.lit(c).alias("column_name"), "unique_count") for c in columns]
+    return _together(one)
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -87,8 +101,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     per_col = per_col.withColumn(
         "null_pct", round_dec(F.try_divide(F.col("null_count") * F.lit(100.0), F.col("_rows").cast("double")), 2)
     )
-    uniques = _value_counts(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-    out = per_col.join(uniques, "column_name", "left")
+    out = per_col.join(distinct_counts(df, columns), "column_name", "left")
     return out.select(
         "column_name", "dtype", "null_count", F.coalesce("null_pct", F.lit(0.0)).alias("null_pct"),
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
@@ -96,74 +109,123 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
+def heavy_hitters(df: DataFrame, columns: Sequence[str], n: int) -> dict[str, list[tuple[str, int]] | None]:
+    """The n most frequent values of each column with exact counts; None where the summary cannot prove them.
+
+    What reaches the driver is bounded by the candidates: ``CANDIDATES`` * n a column.
+    """
+    k = CANDIDATES * n
+    sketches = [F.expr(f"approx_top_k(cast(`{c}` as string), {k}, {max(TRACKED, k)})").alias(f"t{i}") for i, c in enumerate(columns)]
+    totals = [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    seen = df.agg(*sketches, *totals).first()
+    found = {}
+    for i, c in enumerate(columns):
+        items = [(x["item"], x["count"]) for x in seen[f"t{i}"] if x["item"] is not None]
+        found[c] = (items, seen[f"n{i}"])
+    asked = [c for c in columns if found[c][0]]
+    exact: dict[str, dict[str, int]] = {c: {} for c in columns}
+    if asked:
+        counts = _together([
+            _value_counts(df.where(F.col(c).cast("string").isin([v for v, _ in found[c][0]])), c) for c in asked])
+        for r in counts.collect():
+            exact[r["column_name"]][r["value"]] = r["count"]
+    out = {}
+    for c in columns:
+        items, total = found[c]
+        best = sorted(exact[c].items(), key=lambda x: (-x[1], x[0].encode()))[:n]
+        everything = sum(exact[c].values()) == total
+        bound = min((estimate for _, estimate in items), default=0)
+        out[c] = best if everything or (len(best) == n and best[-1][1] > bound) else None
+    return out
+
+
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
-    """Up to n most frequent non-null values per non-numeric column; ties by value ascending."""
+    """Up to n most frequent non-null values per non-numeric column; ties by value ascending. Runs two jobs when called."""
     if columns is None:
         numeric = set(numeric_columns(df))
         columns = [c for c in df.columns if c not in numeric]
-    vc = _value_counts(df, columns)
-    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-    return vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    schema = "column_name string, value string, count long, rank int"
+    proven = heavy_hitters(df, columns, n)
+    rows = [(c, v, m, i) for c, best in proven.items() if best is not None for i, (v, m) in enumerate(best, 1)]
+    frames = [df.sparkSession.createDataFrame(rows, schema)]
+    for c in columns:
+        if proven[c] is None:
+            counts = _value_counts(df, c).orderBy(F.col("count").desc(), F.col("value").asc()).limit(n)
+            ordered = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "value"))).alias("best"))  # n items
+            ranked = ordered.select(F.posexplode("best").alias("place", "b"))
+            frames.append(ranked.select(F.lit(c).alias("column_name"), F.col("b.value").alias("value"), (-F.col("b.less")).alias("count"),
+                                        (F.col("place") + 1).alias("rank")))
+    return _together(frames)
+
+
+def row_digest(columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row; rows that differ may share them."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("again"), *reversed(columns))]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows after the first of each group of identical rows (nulls compare equal)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    """Rows after the first of each group of identical rows (nulls compare equal).
+
+    Only digests are shuffled, and whole rows of those that occur more than once.
+    """
+    first, second = row_digest(df.columns)
+    keyed = df.withColumn("_d1", first).withColumn("_d2", second)
+    often = keyed.groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_d1", "_d2")
+    alike = keyed.join(often, ["_d1", "_d2"], "left_semi")
+    g = alike.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def exact_median(df: DataFrame, col: str, by: Sequence[str] = (), scale: int = 2) -> DataFrame:
-    """Exact median of a decimal column with ``scale`` fractional digits, per ``by`` group.
+def exact_median(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact median of a numeric column per ``by`` group, as double.
 
     Middle ranks k1 = (n-1)//2 and k2 = n//2; median = (v[k1] + v[k2]) / 2, like
-    DuckDB's MEDIAN and pandas. Output column ``median`` (double).
+    DuckDB's MEDIAN and pandas. Values are compared as they are, whatever the
+    column's scale; the sum of the two is exact where it fits the type.
     """
-    unit = 10 ** scale
-    x = df.where(F.col(col).isNotNull()).select(*by, (F.col(col) * F.lit(unit)).cast("long").alias("_u"))
-    x = x.withColumn("_b", F.shiftright("_u", MEDIAN_BUCKET_BITS))
-    lvl1 = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wcum = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.partitionBy(*by)
-    lvl1 = lvl1.select(*by, "_b", "_c", F.sum("_c").over(wcum).alias("_hi"), F.sum("_c").over(wall).alias("_n"))
-    lvl1 = lvl1.withColumn("_lo", F.col("_hi") - F.col("_c"))
-    ranks = F.array(
-        F.struct(F.lit(1).alias("which"), F.floor((F.col("_n") - 1) / 2).cast("long").alias("k")),
-        F.struct(F.lit(2).alias("which"), F.floor(F.col("_n") / 2).cast("long").alias("k")),
-    )
-    t = lvl1.select("*", F.inline(ranks)).where((F.col("_lo") <= F.col("k")) & (F.col("k") < F.col("_hi")))
-    targets = t.select(*by, "_b", "which", (F.col("k") - F.col("_lo")).alias("_off"))
-    if not by:
-        # at most two target buckets: broadcasting them is size-safe and filters rows map-side
-        inb = x.join(F.broadcast(targets.select("_b").distinct()), ["_b"], "left_semi")
-        lvl2 = inb.groupBy("_b", "_u").agg(F.count(F.lit(1)).alias("_c2"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    rows, total = running_weight(counts, [*by, "_v"], "_c", "_before")
+    if by:
+        keys = [f"_k{i}" for i in range(len(by))]
+        groups = rows.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)]).agg(F.min("_before").alias("_start"), F.sum("_c").alias("_n"))
+        same = F.lit(True)
+        for b, k in zip(by, keys):
+            same = same & F.col(b).eqNullSafe(F.col(k))
+        rows = rows.join(groups, same).drop(*keys)
     else:
-        # per group: count (group, bucket, value) first -- partially aggregated, keyed by the value,
-        # so a hot group's bucket is spread over tasks -- then keep the target buckets
-        lvl2 = x.groupBy(*by, "_b", "_u").agg(F.count(F.lit(1)).alias("_c2")).join(
-            targets.select(*by, "_b").distinct(), [*by, "_b"])
-    w2 = Window.partitionBy(*by, "_b").orderBy("_u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lvl2 = lvl2.select(*by, "_b", "_u", F.sum("_c2").over(w2).alias("_hi2"), "_c2")
-    lvl2 = lvl2.withColumn("_lo2", F.col("_hi2") - F.col("_c2"))
-    hit = lvl2.join(targets, [*by, "_b"]).where((F.col("_lo2") <= F.col("_off")) & (F.col("_off") < F.col("_hi2")))
-    med = hit.groupBy(*by).agg(
-        # exact midpoint in units, one correctly rounded division
-        (F.sum("_u").cast("double") / (F.count(F.lit(1)) * F.lit(unit)).cast("double")).alias("median")
-    )
-    return med
+        rows = rows.withColumn("_start", F.lit(0)).withColumn("_n", F.lit(total))
+    lo = F.col("_before") - F.col("_start")
+    holds = lambda k: (lo <= k) & (k < lo + F.col("_c"))
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    two = rows.where(holds(low) | holds(high)).groupBy(*by).agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_v1"), F.max(F.when(holds(high), F.col("_v"))).alias("_v2"))
+    exact = F.try_add("_v1", "_v2").cast("double") / 2
+    apart = F.col("_v1").cast("double") / 2 + F.col("_v2").cast("double") / 2
+    return two.select(*by, F.coalesce(exact, apart).alias("median"))
 
 
 def amount_stats(ledger: DataFrame, by: Sequence[str] = (), col: str = "amount") -> DataFrame:
-    """min, max, avg, sample std and exact median of the amount."""
-    n, s1, s2 = F.count(F.col(col)), F.sum(F.col(col)), sum_sq(col)
-    st = ledger.groupBy(*by).agg(
+    """min, max, avg, sample std and exact median of the amount.
+
+    Moments of a decimal are taken in whole units of its last digit, so that no
+    product is rounded to Spark's 38 digits, whatever the column's scale.
+    """
+    kind = ledger.schema[col].dataType
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    unit = F.lit(10**scale).cast(f"decimal({scale + 1},0)")
+    units = F.try_multiply(F.col(col), unit).cast("decimal(38,0)") if scale else F.col(col)
+    rows = ledger.withColumn("_u", units)
+    st = rows.groupBy(*by).agg(
         F.min(col).cast("double").alias("min_amount"),
         F.max(col).cast("double").alias("max_amount"),
-        n.alias("_n"), s1.alias("_s1"), s2.alias("_s2"), F.stddev_samp(F.col(col).cast("double")).alias("_w"),
+        F.count(F.col(col)).alias("_n"), F.sum(F.col(col)).alias("_s1"), F.stddev_samp(F.col(col).cast("double")).alias("_w"),
+        F.when(F.count("_u") == F.count(col), F.try_sum("_u")).alias("_u1"), sum_sq("_u").alias("_u2"),
     )
+    st = st.withColumn("_u2", F.when(F.col("_u1").isNotNull(), F.col("_u2")))
     st = st.select(
         *by, "min_amount", "max_amount",
         mean_from("_n", "_s1").alias("avg_amount"),
-        stddev_samp_from("_n", "_s1", "_s2", "_w").alias("std_amount"),
+        stddev_samp_from("_n", "_u1", "_u2", "_w", scale).alias("std_amount"),
     )
     med = exact_median(ledger, col, by)
     # join-free: both parts are one row per key

@@ -65,11 +65,10 @@ def trends_from_monthly(m: DataFrame, by: Sequence[str] = (), rolling: Sequence[
 
 
 def category_share(ledger: DataFrame, filters=None, by: Sequence[str] = (), type_filter: str = EXPENSE) -> DataFrame:
-    """Each category's percent of the total of one type (D3): ratio to a window sum over the aggregate."""
+    """Each category's percent of the total of one type (D3): over a window per ``by``, or against one total of the ledger."""
     df = apply_filter(ledger, filters).where(F.col("type") == type_filter)
     g = df.groupBy(*by, "category").agg(F.sum("amount").alias("_t"))
-    w = Window.partitionBy(*by)
-    total = F.sum("_t").over(w)
+    total = F.sum("_t").over(Window.partitionBy(*by)) if by else df.agg(F.sum("amount")).scalar()
     return g.select(
         *by,
         "category",

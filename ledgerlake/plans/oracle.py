@@ -536,6 +536,12 @@ SQL["top_values"] = "\nUNION ALL\n".join(
          CAST(row_number() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) ASC) AS INTEGER) AS rank
   FROM orders WHERE {c} IS NOT NULL GROUP BY 2) t WHERE rank <= 10"""
     for c, _, num in _ORDERS_COLS if not num)
+SQL["top_values_log"] = with_(RAW_L2) + "\nUNION ALL\n".join(
+    f"""SELECT column_name, value, count, rank FROM (
+  SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count,
+         CAST(row_number() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) ASC) AS INTEGER) AS rank
+  FROM raw WHERE {c} IS NOT NULL GROUP BY 2) t WHERE rank <= 10"""
+    for c in ("date_time", "category", "account", "amount", "currency", "tags"))
 SQL["duplicate_rows"] = with_(RAW_L2) + """SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows
 FROM (SELECT COUNT(*) * CASE WHEN account = 'R' THEN 2 ELSE 1 END AS c
       FROM raw GROUP BY date_time, category, account, amount, currency, tags) g"""
@@ -552,6 +558,19 @@ FROM {src} {g}"""
 
 
 SQL["amount_stats"] = with_(L2) + amount_stats_sql("l2")
+SQL["amount_stats_four_decimals"] = """WITH l AS (
+  SELECT l_suppkey AS entity_id, CAST(l_extendedprice AS DECIMAL(16,2)) * CAST(l_discount AS DECIMAL(4,2)) AS amount FROM lineitem),
+s AS (SELECT entity_id, CAST(MIN(amount) AS DOUBLE) AS min_amount, CAST(MAX(amount) AS DOUBLE) AS max_amount,
+             CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_amount, CAST(COUNT(*) AS HUGEINT) AS n,
+             CAST(SUM(CAST(amount * 10000 AS BIGINT)) AS HUGEINT) AS s1,
+             SUM(CAST(CAST(amount * 10000 AS BIGINT) AS HUGEINT) * CAST(amount * 10000 AS BIGINT)) AS s2
+      FROM l GROUP BY 1),
+r AS (SELECT entity_id, amount, row_number() OVER (PARTITION BY entity_id ORDER BY amount) - 1 AS k, COUNT(*) OVER (PARTITION BY entity_id) AS n FROM l),
+m AS (SELECT entity_id, CAST(SUM(CASE WHEN k = (n - 1) // 2 THEN amount END) + SUM(CASE WHEN k = n // 2 THEN amount END) AS DOUBLE) / 2 AS median
+      FROM r GROUP BY 1)
+SELECT entity_id, min_amount, max_amount, avg_amount,
+       CASE WHEN n > 1 THEN sqrt(CAST(CAST(n * s2 - s1 * s1 AS VARCHAR) || 'E-8' AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) END AS std_amount, median
+FROM s JOIN m USING (entity_id)"""
 SQL["amount_stats_by_entity"] = with_(L1) + amount_stats_sql("l1", "entity_id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import LedgerFilter
+from ..functions.ranking import global_rank
 from ..operators import anomaly as AN
 from ..operators import budget as BU
 from ..operators import classify as CL
@@ -346,6 +347,12 @@ def q_top_values(spark, sf):
     return PR.top_values(TD.read_table(spark, sf, "orders"))
 
 
+@register("top_values_log")
+def q_top_values_log(spark, sf):
+    """The raw text log: columns of few values, of some thousand, and of nearly as many as rows (counted in full)."""
+    return PR.top_values(TD.lineitem_raw_log(spark, sf))
+
+
 @register("duplicate_rows")
 def q_duplicate_rows(spark, sf):
     raw = TD.lineitem_raw_log(spark, sf)
@@ -363,6 +370,14 @@ def q_amount_stats_by_entity(spark, sf):
     return PR.amount_stats(l1(spark, sf), by=BY)
 
 
+@register("amount_stats_four_decimals")
+def q_amount_stats_four_decimals(spark, sf):
+    """Discount amounts have four decimals; per supplier."""
+    li = TD.read_table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice", "l_discount")
+    amount = F.col("l_extendedprice").cast("decimal(16,2)") * F.col("l_discount").cast("decimal(4,2)")
+    return PR.amount_stats(li.select(F.col("l_suppkey").alias("entity_id"), amount.alias("amount")), by=BY)
+
+
 # --- macro and context ----------------------------------------------------------
 
 
@@ -586,9 +601,10 @@ def q_context_package_fields(spark, sf):
 
 @register("category_breakdown_ordered")
 def q_category_breakdown_ordered(spark, sf):
-    """The breakdown in the order of the source; the place of each row is read off the sorted frame."""
-    listed = S.category_breakdown(l1(spark, sf), ordered=True).coalesce(1)
-    return listed.withColumn("place", F.monotonically_increasing_id())
+    """The breakdown with the place of each row in the order of the source."""
+    order = [F.col("total_amount").desc(), "category", "type"]
+    placed = global_rank(S.category_breakdown(l1(spark, sf)), order, "place")
+    return placed.withColumn("place", (F.col("place") - 1).cast("long"))
 
 
 @register("whatif_context_fields")
