@@ -632,6 +632,30 @@ UNION ALL
 SELECT budget_id, '2-HIGH', 250.0, NULL, NULL, '2025-02-01', NULL FROM cre"""
 
 
+# The log replayed change by change: every row is the state after one more change of its user.
+SQL["budget_plan_change_log"] = """WITH RECURSIVE log AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, ts,
+         CASE WHEN event_type = 'purchase' THEN 'create' WHEN event_type IN ('signup', 'error') THEN 'delete' ELSE 'update' END AS op,
+         CASE WHEN event_id % 2 = 0 THEN event_type END AS category, CASE WHEN event_id % 3 = 0 THEN value END AS lim,
+         CASE WHEN event_id % 5 = 0 THEN strftime(ts, '%Y-%m') END AS frm, CASE WHEN event_id % 7 = 0 THEN CAST(event_id AS VARCHAR) END AS notes
+  FROM events),
+state(user_id, k, there, category, lim, frm, notes, created, updated) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), user_id % 3 = 0, CASE WHEN user_id % 3 = 0 THEN 'old' END,
+         CASE WHEN user_id % 3 = 0 THEN CAST(1.0 AS DOUBLE) END, CAST(NULL AS VARCHAR), CASE WHEN user_id % 3 = 0 THEN 'kept' END,
+         CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2020-01-01' END, CAST(NULL AS TIMESTAMP) FROM events
+  UNION ALL
+  SELECT s.user_id, l.k, CASE op WHEN 'create' THEN true WHEN 'delete' THEN false ELSE there END,
+         CASE WHEN op = 'delete' OR (op = 'update' AND NOT there) THEN NULL ELSE coalesce(l.category, s.category) END,
+         CASE WHEN op = 'delete' OR (op = 'update' AND NOT there) THEN NULL ELSE coalesce(l.lim, s.lim) END,
+         CASE WHEN op = 'delete' OR (op = 'update' AND NOT there) THEN NULL ELSE coalesce(l.frm, s.frm) END,
+         CASE WHEN op = 'delete' OR (op = 'update' AND NOT there) THEN NULL ELSE coalesce(l.notes, s.notes) END,
+         CASE WHEN op = 'delete' THEN NULL WHEN op = 'create' AND NOT there THEN l.ts ELSE s.created END,
+         CASE WHEN op = 'delete' OR NOT there THEN NULL ELSE l.ts END
+  FROM state s JOIN log l ON l.user_id = s.user_id AND l.k = s.k + 1)
+SELECT CAST(user_id AS VARCHAR) AS budget_id, category, lim AS monthly_limit, frm AS applies_from, notes,
+       strftime(created, '%Y-%m-%d %H:%M:%S') AS created, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated
+FROM state WHERE there QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1
+  AND k = (SELECT coalesce(max(l.k), 0) FROM log l WHERE l.user_id = state.user_id)"""
 SQL["stream_append_dedup"] = with_(L3) + """SELECT transaction_id, transaction_date, year_month, category, type, account, entity_id,
        CAST(amount AS DOUBLE) AS amount FROM l3"""
 SQL["stream_monthly_summary"] = with_(L3) + monthly_with_rate("l3", by="entity_id")

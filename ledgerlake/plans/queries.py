@@ -483,6 +483,31 @@ def q_budget_plan_changes(spark, sf):
                       F.date_format("updated_at", "yyyy-MM-dd").alias("updated_day"))
 
 
+@register("budget_plan_change_log")
+def q_budget_plan_change_log(spark, sf):
+    """Plans from a log with many changes a plan, several in one batch: every event of a user is a change of the user's plan.
+
+    A purchase creates, a signup and an error delete, all else updates; what an
+    update carries depends on the event, so fields come from different changes.
+    """
+    ev = TD.read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    op = F.when(F.col("event_type") == "purchase", "create").when(F.col("event_type").isin("signup", "error"), "delete").otherwise("update")
+    some = lambda k, c: F.when(F.col("event_id") % k == 0, c)
+    log = ev.select(
+        op.alias("op"), F.col("user_id").cast("string").alias("budget_id"), some(2, F.col("event_type")).alias("category"),
+        some(3, F.col("value")).alias("monthly_limit"), some(5, F.date_format("ts", "yyyy-MM")).alias("applies_from"),
+        some(7, F.col("event_id").cast("string")).alias("notes"), F.col("ts").cast("timestamp").alias("changed_at"), "event_id")
+    t0 = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    had = ev.where(F.col("user_id") % 3 == 0).select(
+        F.col("user_id").cast("string").alias("budget_id"), F.lit("old").alias("category"), F.lit(1.0).alias("monthly_limit"),
+        F.lit(None).cast("string").alias("applies_from"), F.lit("kept").alias("notes"), t0.alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at")).distinct()
+    out = ST.apply_plan_changes(had, log, tie=["event_id"])
+    return out.select("budget_id", "category", "monthly_limit", "applies_from", "notes",
+                      F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
+                      F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
 # --- streaming ------------------------------------------------------------------
 
 LEDGER_OUT = ["transaction_id", "transaction_date", "year_month", "category", "type", "account", "entity_id"]

@@ -92,18 +92,32 @@ def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_by
     """Keyed upsert, field by field (S7-S10): an update overwrites the columns it has, or is inserted.
 
     Columns of ``current`` that ``updates`` lacks keep their value (null in
-    inserted rows). Of several updates for one key the last wins: by
-    ``order_by``, or without it by the order in which the batch is read.
+    inserted rows). Of several updates for one key the last by ``order_by``
+    wins; without an order they may not differ, as rows of a distributed batch
+    have none of their own: two that do are an error that names the key.
     ``flag`` adds a column saying ``kept``/``updated``/``inserted``.
     """
     keys = list(keys)
     cols = [c for c in updates.columns if c not in keys]
     order = F.col(order_by) if isinstance(order_by, str) else order_by
     if order is None:
-        updates = updates.withColumn("_order", F.monotonically_increasing_id())
-        order = F.col("_order")
+        return _merged(current, _only_update(updates, keys, cols), updates.columns, keys, flag)
     last = updates.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols], F.lit(1).alias("_")), order).alias("_u"))
-    absent = [c for c in current.columns if c not in updates.columns]
+    return _merged(current, last, updates.columns, keys, flag)
+
+
+def _only_update(updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The update of each key; an error if two of one key differ."""
+    row = F.struct(*[F.col(c) for c in cols], F.lit(1).alias("_"))
+    found = updates.groupBy(*keys).agg(F.min(row).alias("_u"), F.max(row).alias("_other"))
+    which = F.concat(F.lit("updates of one key differ and order_by is not given: "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_u").eqNullSafe(F.col("_other")), F.col("_u")).otherwise(F.raise_error(which).cast(found.schema["_u"].dataType))
+    return found.select(*keys, checked.alias("_u"))
+
+
+def _merged(current: DataFrame, last: DataFrame, columns: Sequence[str], keys: list[str], flag: str | None) -> DataFrame:
+    """``current`` with the last updates (keys, _u) put in."""
+    absent = [c for c in current.columns if c not in columns]
     kept = current.join(last.select(*keys), keys, "left_anti")
     if absent or flag:
         have = current.select(*keys, F.lit(True).alias("_hit"), *absent)
@@ -146,28 +160,59 @@ def with_variant(df: DataFrame, json_cols: Iterable[str]) -> DataFrame:
     return out
 
 
-def apply_plan_changes(plans: DataFrame, changes: DataFrame, key: str = "budget_id", ts: str = "changed_at") -> DataFrame:
-    """Apply a batch of budget-plan changes (S14): create / update / delete, latest change per key wins.
+def fold_changes(current: DataFrame, changes: DataFrame, key: str, fields: Sequence[str], ts: str = "changed_at",
+                 tie: Sequence[str] = ()) -> DataFrame:
+    """What applying a log of changes one after another leaves (S14): key, fields, created_at, updated_at.
+
+    ``changes``: (op, key, fields, ts), op create / update / delete, applied in
+    the order of ``ts`` and then ``tie``; changes equal in both must not contradict each other. Per key:
 
-    ``changes``: (op, key, category, monthly_limit, applies_from, notes, changed_at).
-    A create stamps ``created_at``; an update overwrites only the fields it
-    carries (non-null) and stamps ``updated_at``; a delete removes the key.
+    * a delete ends what was there; an update or delete of an absent key does nothing;
+    * a create begins anew with the fields it carries; on a key that is there it counts as an update;
+    * an update sets the fields that it carries (not null) and ``updated_at``.
+
+    Sequential semantics as aggregates, so no task sees all changes of a key in
+    a row: the last delete of a key, the first create after it, and, of the
+    changes from there on, the last value of each field.
     """
-    fields = ["category", "monthly_limit", "applies_from", "notes"]
-    last = latest_per_key(changes, [key], ts)
-    j = plans.withColumn("_p", F.lit(True)).alias("p").join(last.alias("c"), key, "full_outer")
-    op = F.col("c.op")
-    exists_after = (F.col("p._p").isNotNull() & (op.isNull() | (op != F.lit("delete")))) | (
-        F.col("p._p").isNull() & (op == F.lit("create"))
+    at = F.struct(ts, *tie)
+    log = changes.where(F.col("op").isin("create", "update", "delete")).withColumn("_at", at)
+    ends = log.where("op = 'delete'").groupBy(key).agg(F.max("_at").alias("_end"))
+    alive = log.where("op <> 'delete'").join(ends, key, "left").where(F.col("_end").isNull() | (F.col("_at") > F.col("_end")))
+    alive = alive.join(current.select(key, F.lit(True).alias("_was")), key, "left")
+    # a key that was there and is not deleted goes on from its row; else the first create begins it
+    goes_on = F.col("_was").isNotNull() & F.col("_end").isNull()
+    begins = alive.where(~goes_on & (F.col("op") == "create")).groupBy(key).agg(F.min("_at").alias("_begin"))
+    counted = alive.join(begins, key, "left").where(goes_on | (F.col("_at") >= F.col("_begin")))
+    later = F.col("_begin").isNull() | (F.col("_at") > F.col("_begin"))
+    folded = counted.groupBy(key).agg(
+        F.first("_begin").alias("_begin"),
+        F.max(F.when(later, F.col("_at"))).alias("_last"),
+        # one struct for each field: max_by would skip nulls of the value, not of the order
+        *[F.max(F.when(F.col(f).isNotNull(), F.struct(F.col("_at"), F.col(f).alias("v")))).alias(f"_f_{f}") for f in fields],
     )
-    return j.where(exists_after).select(
-        F.col(key),
-        *[F.coalesce(F.col(f"c.{f}"), F.col(f"p.{f}")).alias(f) for f in fields],
-        F.coalesce(F.col("p.created_at"), F.when(op == "create", F.col(f"c.{ts}"))).alias("created_at"),
-        F.when(F.col("p._p").isNotNull() & (op == "update"), F.col(f"c.{ts}")).otherwise(F.col("p.updated_at")).alias("updated_at"),
+    old = current.join(ends, key, "left").select(
+        key, F.struct(*[F.col(c) for c in (*fields, "created_at", "updated_at")]).alias("_old"), F.col("_end").isNotNull().alias("_gone"))
+    both = old.join(folded, key, "full_outer")
+    stays = F.col("_old").isNotNull() & ~F.coalesce("_gone", F.lit(False))
+    kept = lambda c: F.when(stays, F.col(f"_old.{c}"))
+    return both.where(stays | F.col("_begin").isNotNull()).select(
+        key,
+        *[F.coalesce(F.col(f"_f_{f}.v"), kept(f)).alias(f) for f in fields],
+        F.coalesce(kept("created_at"), F.col(f"_begin.{ts}")).alias("created_at"),
+        F.coalesce(F.col(f"_last.{ts}"), kept("updated_at")).alias("updated_at"),
     )
 
 
+PLAN_FIELDS = ("category", "monthly_limit", "applies_from", "notes")
+
+
+def apply_plan_changes(plans: DataFrame, changes: DataFrame, key: str = "budget_id", ts: str = "changed_at",
+                       tie: Sequence[str] = ()) -> DataFrame:
+    """Budget plans after a batch of changes (S14), any number of them for one plan: see ``fold_changes``."""
+    return fold_changes(plans, changes, key, PLAN_FIELDS, ts, tie)
+
+
 def first_non_empty(readers: Sequence[Callable[[], DataFrame]]) -> DataFrame:
     """First reader whose frame has a row (S19): ``take(1)`` per candidate, in order."""
     last = None

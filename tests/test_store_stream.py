@@ -50,22 +50,22 @@ def test_parquet_table_append_and_upsert(spark):
     root = scratch_path(spark, "upserts")
     ST.upsert_table(df, root, ["transaction_id"])
     before = _files(spark, root)
-    moved = spark.createDataFrame([("y", "2025-07", 20), ("w", "2025-07", 4), ("y", "2025-08", 21)], df.schema).coalesce(1)
-    res = ST.upsert_table(moved, root, ["transaction_id"])
+    moved = spark.createDataFrame([("y", "2025-07", 20), ("w", "2025-07", 4), ("y", "2025-08", 21)], df.schema)
+    res = ST.upsert_table(moved, root, ["transaction_id"], order_by="n")
     assert (res["inserted"], res["updated"]) == (1, 1)
     got = sorted(tuple(r) for r in ST.read_current(spark, root).select("transaction_id", "year_month", "n").collect())
     assert got == [("w", "2025-07", 4), ("x", "2025-01", 1), ("y", "2025-08", 21)]   # moved once, the last update wins
     assert len(before & _files(spark, root)) >= 1   # the other bucket stays as it is
-    ST.upsert_table(moved, root, ["transaction_id"])   # idempotent
+    ST.upsert_table(moved, root, ["transaction_id"], order_by="n")   # idempotent
     assert ST.read_current(spark, root).count() == 3
 
 
 def test_upsert_is_field_wise_and_last_wins(spark):
     cur = spark.createDataFrame([("a", 1, "keep"), ("b", 2, "keep")], "k string, v int, note string")
-    upd = spark.createDataFrame([("b", 5), ("c", 7), ("b", 6)], "k string, v int").coalesce(1)
-    got = sorted(tuple(r) for r in ST.upsert(cur, upd, ["k"]).collect())
+    upd = spark.createDataFrame([("b", 5), ("c", 7), ("b", 6)], "k string, v int")
+    got = sorted(tuple(r) for r in ST.upsert(cur, upd, ["k"], order_by="v").collect())
     assert got == [("a", 1, "keep"), ("b", 6, "keep"), ("c", 7, None)]
-    flags = {r.k: r.op for r in ST.upsert(cur, upd, ["k"], flag="op").collect()}
+    flags = {r.k: r.op for r in ST.upsert(cur, upd, ["k"], order_by="v", flag="op").collect()}
     assert flags == {"a": "kept", "b": "updated", "c": "inserted"}
 
 
