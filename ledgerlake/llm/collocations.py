@@ -144,22 +144,49 @@ def _scan(batches: Iterator[pa.RecordBatch], step: int, shards: int, longest: in
         yield from _summed(held)
 
 
+class Spelling:
+    """Phrases of a task: their counts by two hashes, and their words, written out once."""
+
+    def __init__(self) -> None:
+        self.counts = np.empty((0, 3), np.uint64)  # hash, second hash, count; sorted and distinct
+        self.words: dict[tuple[int, int], tuple[str, int, str]] = {}
+        self.totals: dict[str, int] = {}
+
+    def add(self, h: np.ndarray, second: np.ndarray, spell) -> None:
+        order = np.lexsort((second, h))
+        h, second = h[order], second[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])]))
+        n = np.diff(np.append(first, len(h)))
+        for i, key in zip(order[first].tolist(), zip(h[first].tolist(), second[first].tolist(), strict=True), strict=True):
+            if key not in self.words:
+                self.words[key] = spell(i)
+        rows = np.concatenate([self.counts, np.stack([h[first], second[first], n.astype(np.uint64)], axis=1)])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+        self.counts = np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first)])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        known = [(lang, 0, "", n) for lang, n in self.totals.items()]
+        known += [(*self.words[h, second], n) for h, second, n in self.counts.tolist()]
+        for lo in range(0, len(known), 1 << 15):
+            lang, k, phrase, n = zip(*known[lo : lo + (1 << 15)], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
+                names=["lang", "k", "phrase", "n"],
+            )
+
+
 def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(lang, k, phrase, n) of the phrases in the slots; k = 0 has the number of words of each language."""
+    """(lang, k, phrase, n) of the phrases in the slots, once for each task; k = 0 has the number of words of each language."""
     array = slots.value
     bits = int(len(array)).bit_length() - 1
+    found = Spelling()
     for batch in small(batches, size=4 << 20):
         names = batch.column("lang").to_pylist()
         words, twin = Words(batch), Words(batch, SECOND).hash
-        out = {"lang": [], "k": [], "phrase": [], "n": []}
-
-        def put(lang: str, k: int, phrase: str, n: int) -> None:
-            for field, value in zip(out.values(), (lang, k, phrase, n), strict=True):
-                field.append(value)
-
         per_row = np.bincount(words.rows, minlength=batch.num_rows)
-        for lang in sorted(set(names)):
-            put(lang, 0, "", int(per_row[[i for i, n in enumerate(names) if n == lang]].sum()))
+        for lang, n in zip(names, per_row.tolist(), strict=True):
+            found.totals[lang] = found.totals.get(lang, 0) + n
         lower = LOWER[words.data].tobytes()
         for k, at, _, h, _ in growing(words, array, bits, longest):
             kept = array[slot_of(h, bits)] > 0
@@ -169,17 +196,13 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast)
             second = twin[at].copy()
             for j in range(1, k):
                 second = second * _STEP + twin[at + j]
-            order = np.lexsort((second, h))
-            at, h, second = at[order], h[order], second[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])]))
-            n = np.diff(np.append(first, len(h)))
-            for i, m in zip(at[first].tolist(), n.tolist(), strict=True):
-                parts = [lower[words.first[j] : words.last[j]] for j in range(i, i + k)]
-                put(names[words.rows[i]], k, b" ".join(parts).decode(), m)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["lang"], pa.string()), pa.array(out["k"], pa.int32()), pa.array(out["phrase"], pa.string()), pa.array(out["n"], pa.int64())],
-            names=list(out),
-        )
+
+            def spell(i: int, at=at, k=k) -> tuple[str, int, str]:
+                parts = [lower[words.first[j] : words.last[j]] for j in range(at[i], at[i] + k)]
+                return names[words.rows[at[i]]], k, b" ".join(parts).decode()
+
+            found.add(h, second, spell)
+    yield from found.batches()
 
 
 def _set_slots(reached: DataFrame, slots: np.ndarray, value: int) -> int:
@@ -190,7 +213,7 @@ def _set_slots(reached: DataFrame, slots: np.ndarray, value: int) -> int:
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
     new = 0
-    for row in marks.toLocalIterator():
+    for row in marks.collect():  # at most 2**MOST_SLOT_BITS / 2**15 rows of 4 KB
         on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little"))
         at = on + ((row["bucket"] - 1) << 15)
         at = at[slots[at] == 0]
