@@ -2,7 +2,10 @@
 
 Order of the rules follows the source: drop rows whose date does not parse,
 then rows whose amount does not parse (a row bad in both is counted once, as a
-bad date), take the magnitude of the amount, strip the four text columns
+bad date), then rows whose amount the amount type cannot hold as it is (too many
+decimals, too large, infinite: nothing is rounded). ``rejected_transactions`` has
+every dropped row with its reason, so rows in = rows out + rejected. Then take
+the magnitude of the amount, strip the four text columns
 (missing -> the text ``nan``), derive date parts, classify the type, stamp
 provenance, assign the stable id, project the 14 canonical columns.
 
@@ -68,10 +71,27 @@ def parse_amount(c: Column) -> Column:
 
 
 def exact_amount(v: Column, amount_type: str) -> Column:
-    """The double as ``amount_type``; an error for a value that the type cannot hold as it is."""
+    """The double as ``amount_type``; null for a value that the type cannot hold as it is."""
     d = v.try_cast(amount_type)
-    wrong = F.concat(F.lit("amount "), v.cast("string"), F.lit(f" does not fit {amount_type}; pass a wider amount_type"))
-    return F.when(d.isNotNull() & (d.cast("double") == v), d).otherwise(F.raise_error(wrong).cast(amount_type))
+    return F.when(d.cast("double") == v, d)
+
+
+BAD_DATE, BAD_AMOUNT, UNFIT_AMOUNT = "bad_date", "bad_amount", "unfit_amount"
+
+
+def reject_reason(formats: Sequence[str] = DEFAULT_DATETIME_FORMATS, amount_type: str = AMOUNT_TYPE) -> Column:
+    """Why a raw row (date_time, amount) is dropped; null for a row that is kept."""
+    amount = parse_amount(F.col("amount"))
+    return (
+        F.when(parse_datetime(F.col("date_time"), formats).isNull(), BAD_DATE)
+        .when(amount.isNull(), BAD_AMOUNT)
+        .when(exact_amount(F.abs(amount), amount_type).isNull(), UNFIT_AMOUNT)
+    )
+
+
+def rejected_transactions(raw: DataFrame, formats: Sequence[str] = DEFAULT_DATETIME_FORMATS, amount_type: str = AMOUNT_TYPE) -> DataFrame:
+    """The rows of ``raw`` that ``clean_transactions`` drops, as they are, with their ``reason``."""
+    return raw.withColumn("reason", reject_reason(formats, amount_type)).where(F.col("reason").isNotNull())
 
 
 def clean_text(c: Column, missing_text: str | None = MISSING_TEXT) -> Column:
@@ -87,14 +107,14 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
                        drop_duplicate_ids: bool = False, amount_type: str = AMOUNT_TYPE) -> DataFrame:
     """Canonical transactions from a raw all-text log with the six required columns.
 
-    ``mapping`` is a dict, or a table of (category, type), which is joined. An
-    amount that ``amount_type`` cannot hold exactly (too large, too many
-    decimals) is an error, never dropped or rounded.
+    ``mapping`` is a dict, or a table of (category, type), which is joined. A
+    row whose amount ``amount_type`` cannot hold exactly (too large, too many
+    decimals) is rejected, never rounded; take a wider type to keep it.
 
     ``require_non_empty`` runs one small job (``isEmpty``) to raise on an empty
     input like the source does; the default skips it. ``observation`` collects
-    rows_in, bad_date, bad_amount, rows_out, income_rows, expense_rows when the
-    result is first computed.
+    rows_in, bad_date, bad_amount, unfit_amount, rows_out, income_rows,
+    expense_rows when the result is first computed: rows_in is the sum of the next four.
     """
     missing = [c for c in REQUIRED_RAW_COLUMNS if c not in raw.columns]
     if missing:
@@ -108,11 +128,13 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
         F.col("date_time").cast("string").alias("date_time"),
         ts.alias("_ts"),
         amt.alias("_amt"),
+        exact_amount(amt, amount_type).isNotNull().alias("_fits"),
         *[clean_text(F.col(c).cast("string"), missing_text).alias(c) for c in TEXT_COLUMNS],
     )
     table = mapping if isinstance(mapping, DataFrame) else None
     if observation is not None:
-        good = F.col("_ts").isNotNull() & F.col("_amt").isNotNull()
+        parsed = F.col("_ts").isNotNull() & F.col("_amt").isNotNull()
+        good = parsed & F.col("_fits")
         if table is not None:
             staged = classify_with_table(staged, table, default_type)
         typ = F.col("type") if table is not None else type_expr(F.col("category"), mapping, default_type)
@@ -121,11 +143,12 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
             F.count(F.lit(1)).alias("rows_in"),
             F.count_if(F.col("_ts").isNull()).alias("bad_date"),
             F.count_if(F.col("_ts").isNotNull() & F.col("_amt").isNull()).alias("bad_amount"),
+            F.count_if(parsed & ~F.col("_fits")).alias("unfit_amount"),
             F.count_if(good).alias("rows_out"),
             F.count_if(good & (typ == "Income")).alias("income_rows"),
             F.count_if(good & (typ == "Expense")).alias("expense_rows"),
         )
-    kept = staged.where(F.col("_ts").isNotNull() & F.col("_amt").isNotNull()).select(
+    kept = staged.where(F.col("_ts").isNotNull() & F.col("_amt").isNotNull() & F.col("_fits")).select(
         "date_time", "category", "account", F.col("_amt").cast("string").alias("amount_text"), "tags", "currency",
     )
     # the parsed timestamp and amount are functions of the hashed text: recomputed after the id step
@@ -147,7 +170,7 @@ def clean_transactions(raw: DataFrame, source: str = "csv_seed", mapping: Mappin
         "category",
         F.col("type") if table is not None else type_expr(F.col("category"), mapping, default_type).alias("type"),
         "account",
-        exact_amount(F.col("_amt"), amount_type).alias("amount"),
+        F.col("_amt").cast(amount_type).alias("amount"),  # fits, or the row would not be here
         "currency",
         "tags",
         F.lit(source).alias("source"),

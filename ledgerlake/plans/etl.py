@@ -1,7 +1,7 @@
 """The ETL job (S22): raw log -> canonical transactions -> monthly summary -> stores.
 
 extract (S1, S2) -> clean (T1-T12) -> write transactions, partitioned
-by ``year_month`` (S3) -> monthly summary (A1) read from
+by ``year_month`` (S3), and the rejected rows with their reasons -> monthly summary (A1) read from
 the written table -> keyed upsert into the summary table (S8) -> optional
 extra sinks. As in the source, a failing sink does not abort the run: its
 error is collected in ``errors``; errors in extract/clean propagate.
@@ -17,7 +17,7 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
-from ..operators.clean import clean_transactions
+from ..operators.clean import clean_transactions, rejected_transactions
 from ..operators.summary import monthly_summary
 from ..sources import store as ST
 from ..sources.raw_csv import extract_transactions
@@ -43,10 +43,15 @@ def run_etl(spark: SparkSession, raw_path: str, out_root: str, source: str = "cs
         "rows_out": metrics.get("rows_out"),
         "bad_date": metrics.get("bad_date"),
         "bad_amount": metrics.get("bad_amount"),
+        "unfit_amount": metrics.get("unfit_amount"),
         "income_rows": metrics.get("income_rows"),
         "expense_rows": metrics.get("expense_rows"),
         "transactions_path": tx_path,
     }
+    dropped = [metrics.get(k) or 0 for k in ("bad_date", "bad_amount", "unfit_amount")]
+    result["rejected"] = sum(dropped)
+    if result["rejected"]:
+        result["rejected_path"] = ST.replace_table(rejected_transactions(raw_df), f"{out_root.rstrip('/')}/rejected")
     try:
         up = ST.upsert_table(summary, f"{out_root.rstrip('/')}/monthly_summary", ["year_month"])
         result["monthly_summary_path"] = up["path"]

@@ -489,13 +489,15 @@ def _clean_text_sql(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR {c} IN ({toks}) THEN 'nan' ELSE trim({c}) END"
 
 
-SQL["clean_ledger"] = with_(RAW_L2) + f""", p AS (
+def _clean_sql(raw: str) -> str:
+    return with_(raw) + f""", p AS (
   SELECT date_time, CAST(try_strptime(trim(date_time), '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS ts,
          abs(TRY_CAST(trim(amount) AS DOUBLE)) AS amt,
          {_clean_text_sql('category')} AS category, {_clean_text_sql('account')} AS account,
          {_clean_text_sql('currency')} AS currency, {_clean_text_sql('tags')} AS tags
   FROM raw),
-k AS (SELECT *, CAST(amt AS VARCHAR) AS amount_text FROM p WHERE ts IS NOT NULL AND amt IS NOT NULL AND NOT isnan(amt)),
+k AS (SELECT *, CAST(amt AS VARCHAR) AS amount_text FROM p WHERE ts IS NOT NULL AND amt IS NOT NULL AND NOT isnan(amt)
+        AND CAST(TRY_CAST(amt AS DECIMAL(18,2)) AS DOUBLE) = amt),
 n AS (SELECT *, concat_ws('|', date_time, category, account, amount_text, tags) AS content FROM k),
 o AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, category, account, amount_text, tags, currency, ts, amt) - 1 AS occ FROM n)
 SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transaction_id,
@@ -504,6 +506,24 @@ SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transact
        category, CASE WHEN category IN {BRAND_INCOME_SQL} THEN 'Income' ELSE 'Expense' END AS type,
        account, CAST(CAST(amt AS DECIMAL(18,2)) AS DOUBLE) AS amount, currency, tags, 'lineitem' AS source
 FROM o"""
+
+
+SQL["clean_ledger"] = _clean_sql(RAW_L2)
+DIRTY_L2 = """raw AS (
+  SELECT CASE WHEN l_orderkey % 11 = 0 THEN 'not-a-date' ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS date_time,
+         CASE WHEN l_orderkey % 31 = 0 THEN '  ' || p_brand || ' ' ELSE p_brand END AS category, l_returnflag AS account,
+         CASE WHEN l_orderkey % 7 = 0 THEN 'x' WHEN l_orderkey % 13 = 0 THEN '' WHEN l_orderkey % 17 = 0 THEN CAST(l_extendedprice AS VARCHAR) || '5'
+              WHEN l_orderkey % 19 = 0 THEN 'inf' WHEN l_orderkey % 23 = 0 THEN '1e20' WHEN l_orderkey % 29 = 0 THEN '-' || CAST(l_extendedprice AS VARCHAR)
+              WHEN l_orderkey % 37 = 0 THEN ' ' || CAST(l_extendedprice AS VARCHAR) WHEN l_orderkey % 41 = 0 THEN 'nan'
+              ELSE CAST(l_extendedprice AS VARCHAR) END AS amount,
+         'USD' AS currency, CASE WHEN l_orderkey % 43 = 0 THEN '' WHEN l_orderkey % 47 = 0 THEN NULL ELSE l_linestatus END AS tags
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+SQL["clean_dirty_ledger"] = _clean_sql(DIRTY_L2)
+SQL["rejected_rows"] = with_(DIRTY_L2) + """, v AS (SELECT *, try_strptime(trim(date_time), '%Y-%m-%d %H:%M:%S') AS ts, TRY_CAST(trim(amount) AS DOUBLE) AS amt FROM raw),
+w AS (SELECT date_time, category, account, amount, currency, tags,
+             CASE WHEN ts IS NULL THEN 'bad_date' WHEN amt IS NULL OR isnan(amt) THEN 'bad_amount'
+                  WHEN CAST(TRY_CAST(amt AS DECIMAL(18,2)) AS DOUBLE) IS DISTINCT FROM amt THEN 'unfit_amount' END AS reason FROM v)
+SELECT * FROM w WHERE reason IS NOT NULL"""
 SQL["stable_ids"] = with_(RAW_L2) + """SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transaction_id,
        date_time, account, tags
 FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, account, tags) - 1 AS occ

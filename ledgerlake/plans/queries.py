@@ -319,6 +319,19 @@ def q_clean_ledger(spark, sf):
     return df.drop("ingested_at").withColumn("amount", F.col("amount").cast("double"))
 
 
+@register("clean_dirty_ledger")
+def q_clean_dirty_ledger(spark, sf):
+    """The log with bad dates, bad and unfit amounts, padding, signs and missing tags: what is kept."""
+    df = CN.clean_transactions(TD.lineitem_dirty_log(spark, sf), source="lineitem", mapping=TD.LINEITEM_MAPPING)
+    return df.drop("ingested_at").withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("rejected_rows")
+def q_rejected_rows(spark, sf):
+    """What is not kept, and why."""
+    return CN.rejected_transactions(TD.lineitem_dirty_log(spark, sf))
+
+
 @register("stable_ids")
 def q_stable_ids(spark, sf):
     # hashing only (date_time, account, tags) leaves ~4 copies per text: occurrence numbering does the work

@@ -121,6 +121,26 @@ def lineitem_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_dirty_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw text log with rows spoilt in every way that the cleaner has a rule for, by order number."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag",
+                                                      "l_linestatus", "l_shipdate")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    every = lambda n: F.col("l_orderkey") % n == 0
+    price = F.col("l_extendedprice").cast("string")
+    return j.select(
+        F.when(every(11), "not-a-date").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("date_time"),
+        F.when(every(31), F.concat(F.lit("  "), F.col("p_brand"), F.lit(" "))).otherwise(F.col("p_brand")).alias("category"),
+        F.col("l_returnflag").alias("account"),
+        F.when(every(7), "x").when(every(13), "").when(every(17), F.concat(price, F.lit("5"))).when(every(19), "inf").when(every(23), "1e20")
+        .when(every(29), F.concat(F.lit("-"), price)).when(every(37), F.concat(F.lit(" "), price)).when(every(41), "nan")
+        .otherwise(price).alias("amount"),
+        F.lit("USD").alias("currency"),
+        F.when(every(43), "").when(every(47), F.lit(None).cast("string")).otherwise(F.col("l_linestatus")).alias("tags"),
+    )
+
+
 def customer_budget_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget plans per customer, derived from ``customer`` (one narrow scan).
 
