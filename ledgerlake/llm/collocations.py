@@ -148,8 +148,8 @@ class Spelling:
     """Phrases of a task: their counts by two hashes, and their words, written out once."""
 
     def __init__(self) -> None:
-        self.counts = np.empty((0, 3), np.uint64)  # hash, second hash, count; sorted and distinct
-        self.words: dict[tuple[int, int], tuple[str, int, str]] = {}
+        self.counts = np.empty((0, 4), np.uint64)  # hash, second hash, place among the words, count; sorted and distinct
+        self.words: list[tuple[str, int, str]] = []
         self.totals: dict[str, int] = {}
 
     def add(self, h: np.ndarray, second: np.ndarray, spell) -> None:
@@ -157,23 +157,30 @@ class Spelling:
         h, second = h[order], second[order]
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])]))
         n = np.diff(np.append(first, len(h)))
-        for i, key in zip(order[first].tolist(), zip(h[first].tolist(), second[first].tolist(), strict=True), strict=True):
-            if key not in self.words:
-                self.words[key] = spell(i)
-        rows = np.concatenate([self.counts, np.stack([h[first], second[first], n.astype(np.uint64)], axis=1)])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-        self.counts = np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first)])
+        unknown = np.full(len(first), np.iinfo(np.uint64).max)
+        more = np.column_stack([h[first], second[first], unknown, n.astype(np.uint64)])
+        rows = np.concatenate([self.counts, more])
+        by = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))  # a phrase that has a place comes before its repeat
+        rows = rows[by]
+        group = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+        total = np.add.reduceat(rows[:, 3], group)
+        new = np.flatnonzero(rows[group, 2] == unknown[0])
+        rows = rows[group]
+        rows[:, 3] = total
+        rows[new, 2] = np.arange(len(self.words), len(self.words) + len(new), dtype=np.uint64)
+        self.words += [spell(i) for i in order[first[by[group[new]] - len(self.counts)]].tolist()]
+        self.counts = rows
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        known = [(lang, 0, "", n) for lang, n in self.totals.items()]
-        known += [(*self.words[h, second], n) for h, second, n in self.counts.tolist()]
-        for lo in range(0, len(known), 1 << 15):
-            lang, k, phrase, n = zip(*known[lo : lo + (1 << 15)], strict=True)
+        names = ["lang", "k", "phrase", "n"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+        if self.totals:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-                names=["lang", "k", "phrase", "n"],
-            )
+                [pa.array(x, t) for x, t in zip((list(self.totals), [0] * len(self.totals), [""] * len(self.totals), list(self.totals.values())), kinds, strict=True)], names)
+        for lo in range(0, len(self.counts), 1 << 14):
+            part = self.counts[lo : lo + (1 << 14)]
+            lang, k, phrase = zip(*[self.words[i] for i in part[:, 2].tolist()], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((lang, k, phrase, part[:, 3].astype(np.int64)), kinds, strict=True)], names)
 
 
 def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -181,7 +188,7 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast)
     array = slots.value
     bits = int(len(array)).bit_length() - 1
     found = Spelling()
-    for batch in small(batches, size=4 << 20):
+    for batch in small(batches):
         names = batch.column("lang").to_pylist()
         words, twin = Words(batch), Words(batch, SECOND).hash
         per_row = np.bincount(words.rows, minlength=batch.num_rows)
