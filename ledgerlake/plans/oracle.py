@@ -524,6 +524,12 @@ w AS (SELECT date_time, category, account, amount, currency, tags,
              CASE WHEN ts IS NULL THEN 'bad_date' WHEN amt IS NULL OR isnan(amt) THEN 'bad_amount'
                   WHEN CAST(TRY_CAST(amt AS DECIMAL(18,2)) AS DOUBLE) IS DISTINCT FROM amt THEN 'unfit_amount' END AS reason FROM v)
 SELECT * FROM w WHERE reason IS NOT NULL"""
+SQL["extract_log"] = with_(RAW_L2) + r""", t AS (
+  SELECT date_time, CASE WHEN substr(date_time, 10, 1) IN ('1', '4', '7') THEN category || chr(10) || 'says "well, yes",' || chr(10) || tags ELSE category END AS category,
+         account, amount, currency, tags FROM raw)
+SELECT category, account, currency, tags, note, COUNT(*) AS n, MIN(date_time) AS first, MAX(date_time) AS last,
+       CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM t, (VALUES (NULL), ('x')) v(note) GROUP BY ALL"""
 SQL["stable_ids"] = with_(RAW_L2) + """SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transaction_id,
        date_time, account, tags
 FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, account, tags) - 1 AS occ

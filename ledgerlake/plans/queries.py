@@ -26,6 +26,7 @@ from ..operators import stable_id as SI
 from ..operators import summary as S
 from ..operators import trends as TR
 from ..session import scratch_path
+from ..sources import raw_csv as RC
 from ..sources import store as ST
 from ..sources import testdata as TD
 from ..streaming import ingest as IN
@@ -319,6 +320,21 @@ def q_clean_ledger(spark, sf):
     return df.drop("ingested_at").withColumn("amount", F.col("amount").cast("double"))
 
 
+@register("extract_log")
+def q_extract_log(spark, sf):
+    """CSV files written from the log, with quotes, commas and line breaks in fields and two orders of columns, read back."""
+    root = scratch_path(spark, "raw-log")
+    log = TD.lineitem_raw_log(spark, sf)
+    text = F.when(F.substring("date_time", 10, 1).isin("1", "4", "7"), F.concat("category", F.lit('\nsays "well, yes",\n'), "tags")).otherwise(F.col("category"))
+    log = log.withColumn("category", text)
+    options = {"header": True, "escape": '"', "lineSep": "\n"}
+    log.write.options(**options).csv(f"{root}/a")
+    log.select(*reversed(log.columns), F.lit("x").alias("note")).write.options(**options).csv(f"{root}/b")
+    return RC.extract_transactions(spark, f"{root}/*").groupBy("category", "account", "currency", "tags", "note").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date_time").alias("first"), F.max("date_time").alias("last"),
+        F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 @register("clean_dirty_ledger")
 def q_clean_dirty_ledger(spark, sf):
     """The log with bad dates, bad and unfit amounts, padding, signs and missing tags: what is kept."""

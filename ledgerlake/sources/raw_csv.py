@@ -1,50 +1,167 @@
-"""Raw transaction log scan.
+"""Raw transaction log scan (S1, S2): quoted CSV files, split over tasks whatever their size and number.
 
 All columns are read as text by the name in each file's header, so files may
 order their columns differently; quotes are doubled inside quoted fields, which
 may span lines. A missing required column is an error naming it; extra columns
 are tolerated and dropped by the cleaner's projection.
+
+Files are read as lines, which any task can do for any stretch of a file. A line
+turns the state before it (outside or inside a quoted field) into that after
+it; most lines leave it as it is. Only files with a line that does not are
+looked at closer: composing those changes along the lines of a stretch, and then
+along the stretches of a file, gives the state before every line, hence which
+lines make one record. Records are parsed by ``from_csv``. Headers come from one
+aggregate over the first records of all files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import REQUIRED_RAW_COLUMNS
 
+CSV_OPTIONS = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
 
 class ExtractError(RuntimeError):
     """The raw dataset cannot be read or lacks required columns."""
 
 
-def _options(reader):
-    return reader.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", True)
+# --- lines and quotes ---------------------------------------------------------------
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line): ``at`` orders the lines of a block, ``block`` those of a file."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+    )
+
+
+def _ends_inside(line: Column, inside: bool) -> Column:
+    """Whether a line that begins inside a quoted field or not ends inside of one.
+
+    Outside, a field is quoted if its first character is a quote; it is left open
+    by an odd number of quotes up to the next comma. Inside, an odd number closes it.
+    """
+    def step(now: Column, field: Column) -> Column:
+        odd = F.length(F.regexp_replace(field, '[^"]+', "")) % 2 == 1
+        return F.when(now | field.startswith('"'), now != odd).otherwise(F.lit(False))
+
+    fold = F.aggregate(F.split(line, ","), F.lit(inside), step)
+    return F.when(line.contains('"'), fold).otherwise(F.lit(inside))
+
+
+def _changed(lines: DataFrame) -> DataFrame:
+    """Lines with what they do to the state: ``fixed`` (the same end either way, ``value``) or ``turn`` (it is reversed)."""
+    out, in_ = F.col("_out"), F.col("_in")
+    ends = lines.withColumn("_out", _ends_inside(F.col("line"), False)).withColumn("_in", _ends_inside(F.col("line"), True))
+    return ends.select(*lines.columns, (out == in_).alias("fixed"), out.alias("value"), (out & ~in_).alias("turn"))
+
+
+def _before(changes: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The composition of all earlier changes of a group: ``b_fixed`` and ``b_value``, or ``b_turn`` (reversed or not)."""
+    earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    turns = changes.withColumn("_turns", F.coalesce(F.sum(F.col("turn").cast("long")).over(earlier), F.lit(0)))
+    last = F.last(F.when(F.col("fixed"), F.struct("value", "_turns")), ignorenulls=True).over(earlier)
+    found = turns.withColumn("_last", last)
+    since = (F.col("_turns") - F.coalesce(F.col("_last._turns"), F.lit(0))) % 2 == 1
+    return found.select(
+        *changes.columns, F.col("_last").isNotNull().alias("b_fixed"),
+        (F.col("_last.value") != since).alias("b_value"), since.alias("b_turn"),
+    )
 
 
-def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header: a listing, and one line of every file."""
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    found: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        found.setdefault(tuple(_options(spark.read).csv(f).columns), []).append(f)
-    return found
+def _after() -> Column:
+    """(fixed, value, turn) of everything up to and with a line; what is fixed turns nothing."""
+    fixed = F.col("fixed") | F.col("b_fixed")
+    value = F.when(F.col("fixed"), F.col("value")).otherwise(F.col("b_value") != F.col("turn"))
+    return F.struct(fixed.alias("fixed"), F.coalesce(value, F.lit(False)).alias("value"), (~fixed & (F.col("b_turn") != F.col("turn"))).alias("turn"))
+
+
+def _state(fixed: str, value: str, turn: str, start: Column) -> Column:
+    return F.when(F.col(fixed), F.col(value)).otherwise(start != F.col(turn))
+
+
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    """Records (file, block, at, record) of files with quoted line breaks; a record is placed where it begins."""
+    inner = _before(_changed(lines), ["file", "block"], "at")
+    starts_if = lambda inside: F.count_if(~_state("b_fixed", "b_value", "b_turn", F.lit(inside)))
+    blocks = inner.groupBy("file", "block").agg(
+        F.max_by(_after(), F.col("at")).alias("all"), starts_if(False).alias("from_out"), starts_if(True).alias("from_in"))
+    blocks = _before(blocks.select("file", "block", "from_out", "from_in", "all.*"), ["file"], "block")
+    blocks = blocks.withColumn("inside", _state("b_fixed", "b_value", "b_turn", F.lit(False)))
+    begun = F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "inside", F.coalesce(F.sum(begun).over(earlier), F.lit(0)).alias("records"))
+
+    placed = inner.join(blocks, ["file", "block"])
+    placed = placed.withColumn("in_before", _state("b_fixed", "b_value", "b_turn", F.col("inside")))
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("number", F.col("records") + F.sum((~F.col("in_before")).cast("long")).over(upto))
+    in_after = F.when(F.col("fixed"), F.col("value")).otherwise(F.col("in_before") != F.col("turn"))
+    alone = ~F.col("in_before") & ~in_after
+    whole = placed.where(alone).select("file", "block", "at", F.col("line").alias("record"))
+    parts = placed.where(~alone).groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("parts"))
+    more = parts.select("file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["at"].alias("at"),
+                        F.array_join(F.col("parts.line"), "\n").alias("record"))
+    return whole.unionByName(more)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, record): the records of all files, not parsed yet; runs one job that looks for quoted line breaks."""
+    lines = read_lines(spark, path)
+    moved = _changed(lines).where(F.col("fixed") | F.col("turn")).select("file").distinct()
+    if moved.isEmpty():
+        records = lines.withColumnRenamed("line", "record")
+    else:
+        plain = lines.join(moved, "file", "left_anti").withColumnRenamed("line", "record")
+        records = plain.unionByName(_joined_lines(lines.join(moved, "file", "left_semi")))
+    records = records.withColumn("record", F.regexp_replace("record", "\r$", ""))
+    return records.where(F.col("record") != "")
+
+
+# --- columns ------------------------------------------------------------------------
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header.removeprefix("﻿")], strict=False)) if "\n" not in header else next(
+        csv.reader(header.removeprefix("﻿").splitlines(keepends=True)))
 
 
 def extract_transactions(spark: SparkSession, path: str, required=REQUIRED_RAW_COLUMNS) -> DataFrame:
-    """All-text DataFrame of the raw log; raises ``ExtractError`` on missing columns or path."""
+    """All-text DataFrame of the raw log; raises ``ExtractError`` on missing columns or path.
+
+    Two jobs run when called, over all files at once: for quoted line breaks, and
+    for headers, of which the distinct ones reach the driver.
+    """
     try:
-        headers = _headers(spark, path)
+        records = read_records(spark, path)
+        first = records.where("block = 0").groupBy("file").agg(F.min(F.struct("at", "record")).alias("first"))
+        first = first.select("file", F.col("first.at").alias("first_at"), F.col("first.record").alias("header"))
+        headers = {r["header"]: r["file"] for r in first.groupBy("header").agg(F.min("file").alias("file")).collect()}
     except Exception as exc:  # noqa: BLE001  (missing path: AnalysisException)
         raise ExtractError(f"Raw data file not found or unreadable: {path}: {exc}") from exc
     if not headers:
-        raise ExtractError(f"Raw data file not found or unreadable: {path}")
-    out = None
-    for cols, files in headers.items():
+        raise ExtractError(f"Raw data file not found, unreadable or empty: {path}")
+    names = {h: _names(h) for h in headers}
+    columns: dict[str, None] = {}
+    for header, cols in sorted(names.items(), key=lambda x: headers[x[0]]):
         missing = [c for c in required if c not in cols]
         if missing:
-            raise ExtractError(f"Dataset is missing required columns: {missing} in {files[0]}")
-        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-        part = _options(spark.read.schema(schema)).option("mode", "PERMISSIVE").csv(files)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+            raise ExtractError(f"Dataset is missing required columns: {missing} in {headers[header]}")
+        columns |= dict.fromkeys(cols)
+
+    width = max(len(c) for c in names.values())
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(width)])
+    parsed = F.from_csv("record", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), CSV_OPTIONS)
+    rows = records.join(first, "file").where((F.col("block") != 0) | (F.col("at") != F.col("first_at"))).withColumn("_v", parsed)
+    out = []
+    for c in columns:
+        value = F.lit(None).cast("string")
+        for header, cols in names.items():
+            if c in cols:
+                value = F.when(F.col("header") == header, F.col(f"_v.c{cols.index(c)}")).otherwise(value)
+        out.append((F.col(f"_v.c{next(iter(names.values())).index(c)}") if len(names) == 1 else value).alias(c))
+    return rows.select(*out)
