@@ -136,8 +136,8 @@ def _alike(items: pd.DataFrame) -> np.ndarray:
 
 
 def _degrees(items: pd.DataFrame) -> pd.DataFrame:
-    """Links of every item of one block with the items of another (or of the same)."""
-    return pd.DataFrame({"id": items["id"], "links": _alike(items).sum(axis=1).astype("int64")})
+    """Links of every item of one block with the texts of the items of another (or of the same)."""
+    return pd.DataFrame({"id": items["id"], "links": _alike(items).astype("int64") @ items["texts"].to_numpy()})
 
 
 def _bridges(items: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +165,7 @@ def _bridges(items: pd.DataFrame) -> pd.DataFrame:
 def _dealt(members: DataFrame, group: str, texts: DataFrame) -> DataFrame:
     """Members (group, blocks, id, label) with their texts, once for every pair of blocks (i, j) of their group."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    names = dict.fromkeys([group, "id", "label", "block", "text"])  # the group may be the label itself
+    names = dict.fromkeys([group, "id", "label", "block", "text", "texts"])  # the group may be the label itself
     meets = members.withColumn("block", block).join(texts, "id").select(
         *names, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     )
@@ -213,8 +213,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     text. class_id is the least doc_id (nulls last) among the rows of all items
     that links connect; ``keeps`` marks the row that stands for the class (all
     rows equal to it in doc_id and text are marked). n_links counts the other
-    sets of shingles, not their copies, of similarity 0.8 or more. Texts of one
-    to four words are one shingle; null and empty texts are one item without
+    texts of similarity 0.8 or more, each once however many rows have it; texts
+    that differ but have equal shingle sets are linked. Texts of one
+    to four words are one shingle; texts without words are one item without
     links. An empty table gives an empty one.
     """
     depths = levels()
@@ -228,20 +229,22 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         "shingle-sets",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    items = rows.groupBy("d1", "d2", "n").agg(first, *[F.first(f"p{x}").alias(f"p{x}") for x in depths])
-    items = stored(items.withColumn("id", F.monotonically_increasing_id()), "items")
-    names = items.select("d1", "d2", "n", "id", "first")
+    digests = ["d1", "d2", "n"]
+    items = rows.groupBy(*digests).agg(first, *[F.first(f"p{x}").alias(f"p{x}") for x in depths])
+    texts_of = rows.groupBy(*digests, "key").agg(F.lit(1).alias("_")).groupBy(*digests).agg(F.count("*").alias("texts"))
+    items = stored(items.join(texts_of, digests).withColumn("id", F.monotonically_increasing_id()), "items")
+    names = items.select(*digests, "id", "first", "texts")
 
     # The tries: only groups of at least two items under a shortened prefix matter.
     tries = items.filter("n > 0").select("id", F.explode(F.arrays_zip(*[f"p{x}" for x in depths])).alias("p")).select("id", "p.*")
     many = tries.groupBy(last).agg(F.count("*").alias("n")).filter("n > 1").select(last)
     groups = stored(tries.join(many, last), "prefix-groups")
     near = groups.select("id").distinct()
-    chosen = items.join(near, "id").select("id", "first.doc_id", "first.key")
+    chosen = items.join(near, "id").select("id", "first.doc_id", "first.key", "texts")
     found = docs.select("doc_id", content_key().alias("key"), "text").alias("d").join(
         chosen.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
     )
-    texts = stored(found.select("id", "text").dropDuplicates(["id"]), "near-texts")
+    texts = stored(found.select("id", "text", "texts").dropDuplicates(["id"]), "near-texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -271,7 +274,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     of = names.join(labels, "id", "left").join(links, "id", "left").withColumn("label", F.coalesce("label", "id"))
     of = stored(of, "classes")
     head = of.groupBy("label").agg(F.min("first").alias("head"))
-    answer = of.join(head, "label").select("d1", "d2", "n", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = F.when(F.col("n") > 0, F.col("texts") - 1).otherwise(0)
+    answer = of.join(head, "label").select("d1", "d2", "n", "head", (F.coalesce("n_links", F.lit(0)) + own).alias("n_links"))
     keeps = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key"))
     return rows.join(answer, ["d1", "d2", "n"]).select(
         "doc_id", "key", F.col("head.doc_id").alias("class_id"), keeps.alias("keeps"), "n_links", F.col("n").alias("n_shingles")

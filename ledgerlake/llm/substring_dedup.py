@@ -17,7 +17,7 @@ last: the windows across a factor's boundary are looked up like all others, and
 no duplicate hides there. Factors are the duplicate spans.
 
 Documents whose words all equal those of an earlier one are one factor and need
-no parse. Windows are keyed by 96 bits of hash.
+no parse. Windows are keyed by 96 bits: 64 of one word hash and 32 of an independent one.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
-from .shingles import hashed_words, rolled, row_of, small, whole
+from .shingles import SECOND, hashed_words, rolled, row_of, small, whole
 
 WINDOW = 13
 GRAM = 7
@@ -78,7 +78,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(inside & np.isin(least, np.unique(kept)))
         rows = row_of(offsets)[at]
         h = rolled(words, WINDOW)[at]
-        c = (rolled(words[::-1].copy(), WINDOW)[::-1][at] >> np.uint64(32)).astype(np.uint32)  # read backwards
+        twin, _ = hashed_words(batch.column("text"), seed=SECOND)
+        c = (rolled(twin, WINDOW)[at] >> np.uint64(32)).astype(np.uint32)
         for lo in range(0, max(len(at), 1), 100_000):
             part = slice(lo, lo + 100_000)
             yield pa.RecordBatch.from_arrays(

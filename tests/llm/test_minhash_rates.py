@@ -42,7 +42,7 @@ def test_notices_are_retrieved_at_the_stated_rate(share):
             for w in range(n):
                 kept = r.permutation(len(shingles))[: int(np.ceil(share * len(shingles)))]
                 h[w, at[w] + kept] = shingles[kept]
-            found = licenses._candidates(h.ravel(), [c])[0]  # windows start every g places, so these are the even ones
+            found = licenses._candidates(h.ravel(), np.ones(h.size, bool), np.array([0, h.size]), [c])[0][1]  # windows start every g places, so these are the even ones
             missed += sum((2 * w, t) not in found for w in range(n))
     bound = n * len(licenses.TEMPLATES) * (17 / 21) ** licenses.BANDS
     assert missed <= bound + 3 * bound**0.5

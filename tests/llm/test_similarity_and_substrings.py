@@ -37,12 +37,13 @@ def shingle_set(text):
 
 
 def classes_by_hand(rows):
-    sets = {}
+    sets, texts = {}, defaultdict(set)
     for k, (d, t) in enumerate(rows):
         sets.setdefault(shingle_set(t), []).append(k)
+        texts[shingle_set(t)].add(t or "")
     items = list(sets)
     up = list(range(len(items)))
-    links = [0] * len(items)
+    links = [len(texts[s]) - 1 if s else 0 for s in items]
 
     def top(x):
         while up[x] != x:
@@ -52,8 +53,8 @@ def classes_by_hand(rows):
     for a in range(len(items)):
         for b in range(a):
             if items[a] and items[b] and 5 * len(items[a] & items[b]) >= 4 * len(items[a] | items[b]):
-                links[a] += 1
-                links[b] += 1
+                links[a] += len(texts[items[b]])
+                links[b] += len(texts[items[a]])
                 up[top(a)] = top(b)
     members = defaultdict(list)
     for x, s in enumerate(items):
@@ -78,6 +79,34 @@ def test_classes_and_links_equal_brute_force(docs_of, seed):
     assert sorted(map(str, (k.doc_id for k in kept.collect()))) == sorted(map(str, heads))
 
 
+def thue_morse(n=1024):
+    """Two words that a polynomial of their letters modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_of_equal_sets_are_linked(docs_of):
+    rows = [(1, "a b c d e f"), (2, "A b, c d e f!"), (3, "a b c d e f."), (3, "a b c d e f."), (4, "..."), (5, "!"), (6, None)]
+    got = {g.doc_id: (g.class_id, g.n_links) for g in jaccard_join.similarity_classes(docs_of(rows)).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0), 5: (4, 0), 6: (4, 0)}
+
+
+def test_colliding_words_are_told_apart(docs_of):
+    a, b = thue_morse()
+    h, _ = shingles.hashed_words(pa.array([a, b]))
+    assert h[0] != h[1]
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same} {a} x")]
+    got = substring_dedup.duplicate_spans(docs_of(rows)).collect()
+    assert sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got), key=str) == spans_by_hand(rows)
+    short = [(1, f"v w x y {a}"), (2, f"v w x y {b}")]
+    got = jaccard_join.similarity_classes(docs_of(short)).select("doc_id", "class_id", "n_links").collect()
+    assert sorted((tuple(g) for g in got), key=str) == classes_by_hand(short) == [(1, 1, 0), (2, 2, 0)]
+    notice = f"released under the {a} license of {a}"
+    found = licenses.scan(docs_of([(1, notice), (2, notice.replace(a, b))]), (("X", notice),)).collect()
+    assert {g.doc_id: len(g.license_matches) for g in found} == {1: 1, 2: 0}
+
+
 def test_blocks_count_links_of_a_large_class(docs_of, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     base = [f"w{i}" for i in range(200)]
@@ -201,6 +230,23 @@ def test_licenses_are_found_where_they_stand(docs_of):
     assert len(got) == len(rows)
 
 
+def test_license_matches_depend_on_the_text_alone(docs_of, spark):
+    r = random.Random(8)
+    filler = lambda n: " ".join(r.choice(["lorem", "the", "license", "under", "version", "a"]) for _ in range(n))
+    rows = []
+    for k in range(120):
+        some = [t for _, t in r.sample(licenses.TEMPLATES, r.randint(1, 3))]
+        rows.append((k, filler(r.randint(0, 70)) + " " + f" {filler(r.randint(0, 40))} ".join(some * r.randint(1, 2))))
+    table = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    seen = []
+    for parts, templates in ((1, licenses.TEMPLATES), (5, licenses.TEMPLATES), (2, table)):
+        got = licenses.scan(docs_of(rows).repartition(parts, "text"), templates).collect()
+        seen.append({g.doc_id: sorted((m.license, m.start, m.containment) for m in g.license_matches) for g in got})
+    assert seen[0] == seen[1] == seen[2] and all(seen[0].values())
+    once = licenses.scan(docs_of([(1, filler(33) + " " + licenses.TEMPLATES[1][1])])).first().license_matches
+    assert [m.license for m in once] == ["MIT"] and once[0].containment == 1.0
+
+
 def test_queries_cover_whole_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = E.queries()["op1_license_scan"](spark, SF).collect()
