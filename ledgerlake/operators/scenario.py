@@ -1,10 +1,13 @@
 """What-if scenarios over (entity x scenario).
 
-The source evaluates one scenario for one household on the driver. Here the
-baseline is one aggregate per entity and every scenario of a small, fixed list
-is attached to it with ``explode`` of a literal array (a generator, not a
-join: rows = entities x scenarios, linear in the data). Scenario figures are
-column expressions over a handful of exact per-entity sums.
+The source evaluates one scenario for one household on the driver. Here all
+that scenarios need of a ledger is one row per entity: its exact sums, its months
+and its expense categories with their totals, largest first; rows are aggregated
+by (entity, category, month) once, and those aggregates twice more. A list of
+scenarios is attached to it with ``explode`` of a literal array; a table of
+scenarios, of any size, is joined in chunks: the keys of that join are (chunk,
+salt), as many salts as shuffle partitions, so no key is hot and neither
+side is collected. Scenario figures are column expressions over the one row.
 
 Baseline (C6): n = months present (>= 1); monthly income = income / n; monthly
 expense = expense-category total / n; net = income - expense. Entities without
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import round_dec
 from ..functions.filters import apply_filter
+from ..functions.ranking import running_weight
 from .fire import future_value, monthly_return, with_powers
 from .summary import EXPENSE, expense_amt, income_amt
 
@@ -62,8 +66,11 @@ SCENARIO_TYPE = ("array<struct<scenario_id:int,scenario:string,kind:string,pct:d
                  "annual_return_pct:double,months_forward:int,keywords:array<string>>>")
 
 
+CHUNK = 1000  # scenarios of a table that travel together
+
+
 def scenario_list(scenarios: Sequence[Scenario] | DataFrame) -> list[Scenario]:
-    """Scenarios given as a list, or as a table with the fields of ``Scenario`` (parameters, read on the driver)."""
+    """Scenarios given as a list, or as a table with the fields of ``Scenario`` (read on the driver: for small tables)."""
     if not isinstance(scenarios, DataFrame):
         return list(scenarios)
     names = [f for f in Scenario.__dataclass_fields__ if f in scenarios.columns]
@@ -82,52 +89,66 @@ def scenario_array(scenarios: Sequence[Scenario]) -> Column:
     return F.from_json(F.lit(json.dumps(items)), SCENARIO_TYPE)
 
 
-def baseline(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFrame:
-    """Per ``by``: exact income and expense totals and months present."""
-    df = apply_filter(ledger, filters)
-    return df.groupBy(*by).agg(
-        F.sum(income_amt()).alias("s_inc"),
-        F.sum(expense_amt()).alias("s_exp"),
-        F.count(F.when(F.col("type") == EXPENSE, F.lit(1))).alias("n_exp_rows"),
-        F.count_distinct("year_month").alias("n_months"),
-    )
+def scenario_table(scenarios: DataFrame) -> tuple[DataFrame, int]:
+    """A table with fields of ``Scenario`` as structs ``sc`` like those of ``scenario_array``, and its number of rows.
+
+    Without a column ``scenario_id`` scenarios are numbered from 0 by name, then kind.
+    """
+    fields = {"kind": "string", "pct": "double", "amount": "double", "annual_return_pct": "double", "months_forward": "int", "keywords": "array<string>"}
+    unset = {"kind": "''", "pct": "0", "amount": "0", "annual_return_pct": "0", "months_forward": "12", "keywords": "array()"}
+    cols = [F.coalesce(F.col(f).cast(t), F.expr(unset[f]).cast(t)).alias(f) if f in scenarios.columns else F.expr(unset[f]).cast(t).alias(f)
+            for f, t in fields.items()]
+    given = ["scenario_id"] if "scenario_id" in scenarios.columns else []
+    rows = scenarios.select(*given, F.col("name").alias("scenario"), *cols)
+    if given:
+        total = rows.count()
+    else:
+        rows, total = running_weight(rows, ["scenario", "kind"], out="scenario_id")
+    lower = F.transform("keywords", lambda k: F.lower(k)).alias("keywords")
+    whole = F.struct(F.col("scenario_id").cast("int").alias("scenario_id"), "scenario", *[f for f in fields if f != "keywords"], lower)
+    return rows.select(whole.alias("sc")), total
 
 
-def _keyword_picks(ledger: DataFrame, filters, by: Sequence[str], scenarios: Sequence[Scenario]) -> DataFrame | None:
-    keyed = [(i, s) for i, s in enumerate(scenarios) if s.kind == "reduce_category" and s.keywords]
-    if not keyed:
-        return None
-    cats = (
-        apply_filter(ledger, filters)
-        .where(F.col("type") == EXPENSE)
-        .groupBy(*by, "category")
-        .agg(F.sum("amount").alias("t"))
-    )
-    kws = [{"scenario_id": i, "kws": [k.lower() for k in s.keywords]} for i, s in keyed]
-    kw = F.from_json(F.lit(json.dumps(kws)), "array<struct<scenario_id:int,kws:array<string>>>")
-    x = cats.select(*by, "category", "t", F.explode(kw).alias("k"))
-    hit = F.exists(F.col("k.kws"), lambda k: F.contains(F.lower(F.col("category")), k))
-    m = x.where(hit)
-    # highest spend first, ties by category name
-    best = F.min_by(F.struct("category", "t"), F.struct((-F.col("t")).alias("nt"), F.col("category")))
-    return m.groupBy(*by, F.col("k.scenario_id").alias("scenario_id")).agg(best.alias("pick")).select(
-        *by, "scenario_id", F.col("pick.category").alias("target_category"), F.col("pick.t").alias("pick_t")
+def _with_scenarios(base: DataFrame, scenarios: Sequence[Scenario] | DataFrame) -> DataFrame:
+    """Every row of ``base`` with every scenario, as ``sc``."""
+    if not isinstance(scenarios, DataFrame):
+        return base.select("*", F.explode(scenario_array(list(scenarios))).alias("sc"))
+    table, total = scenario_table(scenarios)
+    chunks, salts = -(-total // CHUNK), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    parts = table.groupBy(F.pmod(F.xxhash64("sc"), F.lit(max(chunks, 1))).cast("int").alias("_chunk")).agg(F.collect_list("sc").alias("_scs"))
+    parts = parts.select("_chunk", "_scs", to(salts).alias("_salt"))
+    keyed = base.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in base.columns if c != "cats"]), F.lit(salts)).cast("int"))
+    keyed = keyed.select("*", to(chunks).alias("_chunk"))
+    return keyed.join(parts, ["_chunk", "_salt"]).select(*base.columns, F.explode("_scs").alias("sc"))
+
+
+def baseline(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFrame:
+    """Per ``by``: exact income and expense totals, months present, and expense categories with their totals, largest first."""
+    df = apply_filter(ledger, filters)
+    cells = df.groupBy(*by, "category", "year_month").agg(
+        F.sum(income_amt()).alias("_inc"), F.sum(expense_amt()).alias("_exp"), F.count_if(F.col("type") == EXPENSE).alias("_n"))
+    cats = cells.groupBy(*by, "category").agg(
+        F.sum("_inc").alias("_inc"), F.sum("_exp").alias("_exp"), F.sum("_n").alias("_n"), F.collect_set("year_month").alias("_months"))
+    spent = F.struct((-F.col("_exp")).alias("less"), "category", F.col("_exp").alias("t"))
+    return cats.groupBy(*by).agg(
+        F.sum("_inc").alias("s_inc"),
+        F.sum("_exp").alias("s_exp"),
+        F.sum("_n").alias("n_exp_rows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_months")))).alias("n_months"),
+        # largest total first, ties by name
+        F.sort_array(F.collect_list(F.when(F.col("_n") > 0, spent))).alias("cats"),
     )
 
 
 def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] | DataFrame = DEFAULT_SCENARIOS, filters=None,
                      by: Sequence[str] = ()) -> DataFrame:
     """One row per (by, scenario) with the ten rounded figures of the scenario record."""
-    scenarios = scenario_list(scenarios)
     base = baseline(ledger, filters, by).where(F.col("n_exp_rows") > 0)
-    grid = base.select("*", F.explode(scenario_array(scenarios)).alias("sc")).select(
-        *by, "s_inc", "s_exp", "n_months", "sc.*"
-    )
-    picks = _keyword_picks(ledger, filters, by, scenarios)
-    if picks is not None:
-        grid = grid.join(picks, [*by, "scenario_id"], "left")
-    else:
-        grid = grid.withColumn("target_category", F.lit(None).cast("string")).withColumn("pick_t", F.lit(None))
+    named = lambda c: F.exists(F.col("sc.keywords"), lambda k: F.contains(F.lower(c["category"]), k))
+    pick = F.when(F.col("sc.kind") == "reduce_category", F.get(F.filter("cats", named), 0))
+    grid = _with_scenarios(base, scenarios).select(*by, "s_inc", "s_exp", "n_months", "sc.*", pick.alias("_pick"))
+    grid = grid.withColumn("target_category", F.col("_pick.category")).withColumn("pick_t", F.col("_pick.t")).drop("_pick")
     n = F.greatest(F.col("n_months"), F.lit(1))
     inc = F.col("s_inc").cast("double") / n
     exp = F.col("s_exp").cast("double") / n
