@@ -15,9 +15,9 @@ first step at which a phrase of that slot reached it. Slots are never changed
 once set, so phrases that share one are merely counted without need, for a full
 circle as well. The array has one slot for ``BYTES_PER_SLOT`` bytes of text, at
 most 2**``MOST_SLOT_BITS`` (64 MB); when it is crowded the counting only prunes
-less. Counts live in a table keyed by 64 bits of hash, which can only overstate;
-the phrases that survive are counted once more by their words in a last scan,
-and those numbers are exact.
+less. Shards hold a 32-bit code for each word, and counts live in a table keyed
+by 64 bits of hash; both can only overstate. The phrases that survive are counted
+once more by their words in a last scan of the texts, and those numbers are exact.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ WORDS[[0x20, 0x09]] = 0
 
 
 class Words:
-    """The words of a batch: bytes, spans, row, hash, and whether the next word is in the same piece."""
+    """The words of a batch of texts: bytes, spans, row, code (32 bits, never 0), and whether the next word is in the same piece."""
 
     def __init__(self, batch: pa.RecordBatch, seed: int = 0):
         self.data, at = raw_bytes(batch.column("text"))
@@ -68,14 +68,25 @@ class Words:
             lasts.append(last + at[lo])
             lo = hi
         self.first, self.last = np.concatenate(firsts), np.concatenate(lasts)
-        offsets = np.cumsum(np.concatenate([[0], *counts]))
-        self.rows = row_of(offsets)
-        lang = span_codes(batch.column("lang"))
-        self.hash = mixed(np.concatenate(hashes) ^ lang[self.rows])
+        self.offsets = np.cumsum(np.concatenate([[0], *counts]))
+        self.rows = row_of(self.offsets)
+        self.full = mixed(np.concatenate(hashes) ^ span_codes(batch.column("lang"))[self.rows])
+        self.code = np.maximum((self.full >> np.uint64(32)).astype(np.uint32), 1)
         piece = np.cumsum(ENDS[self.data], dtype=np.int32)[self.first]
         self.linked = (self.rows[1:] == self.rows[:-1]) & (piece[1:] == piece[:-1])
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, codes): the codes of each text, a 0 after every piece."""
+    for batch in small(batches):
+        words = Words(batch)
+        ends = np.flatnonzero(~np.append(words.linked, False)) + 1 if len(words.code) else np.empty(0, np.int64)
+        codes = np.insert(words.code, ends, 0)
+        at = words.offsets + np.searchsorted(ends, words.offsets, side="right")
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(codes.view(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), lists], names=["shard", "codes"])
+
+
 def span_codes(column: pa.Array) -> np.ndarray:
     """A number for each language name."""
     names = column.to_pylist()
@@ -88,25 +99,27 @@ def slot_of(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(64 - bits)
 
 
-def growing(words: Words, slots: np.ndarray, shift: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k, places, running hash, hash, start step) of the phrases whose two subphrases have a slot, for each length k."""
-    at, acc = np.arange(len(words.hash)), words.hash
-    start = np.zeros(len(at), np.uint8)
+def growing(codes: np.ndarray, linked: np.ndarray, slots: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, places, hash, start step) of the phrases whose two subphrases have a slot, for each length k.
+
+    ``codes`` are those of words, 0 where there is none; ``linked`` tells whether the place after is of the same piece.
+    """
+    at = np.flatnonzero(codes)
+    single = mixed(codes.astype(np.uint64))
+    acc, start = single[at], np.zeros(len(at), np.uint8)
     for k in range(1, longest + 1):
         h = acc if k == 1 else mixed(acc ^ np.uint64(k))
-        yield k, at, acc, h, start
+        yield k, at, h, start
         if k == longest or not len(at):
             return
-        reached = np.zeros(len(words.hash) + 1, np.uint8)
-        slot = slots[slot_of(h, shift)]
+        reached = np.zeros(len(codes) + 1, np.uint8)
+        slot = slots[slot_of(h, bits)]
         reached[at] = np.where(slot > 0, np.maximum(slot, start), 0)  # not before the phrase itself is seen, whoever set its slot
         both = (reached[at] > 0) & (reached[at + 1] > 0)
         if k == 1:
-            both[:-1] &= words.linked
-            both[-1] = False
-        acc = acc[both] * _STEP
-        at = at[both]
-        acc += words.hash[at + k]
+            both &= np.append(linked, False)[at]
+        acc, at = acc[both] * _STEP, at[both]
+        acc += single[at + k]
         start = np.maximum(reached[at], reached[at + 1])
 
 
@@ -129,17 +142,24 @@ def _scan(batches: Iterator[pa.RecordBatch], step: int, shards: int, longest: in
     array = slots.value
     bits = int(len(array)).bit_length() - 1
     held, size = [], 0
-    for batch in small(batches, size=4 << 20):
-        words = Words(batch)
-        for k, _, _, h, start in growing(words, array, bits, longest):
-            now = (start <= step) & (start.astype(np.int32) + shards > step)
-            h, start = h[now], start[now]
-            if len(h):
-                held.append((h, start.astype(np.int32) * 8 + k))
-                size += len(h)
-        if size >= HELD:
-            yield from _summed(held)
-            held, size = [], 0
+    for batch in batches:
+        column = batch.column("codes")
+        every, ends = column.flatten().to_numpy().view(np.uint32), np.cumsum(column.value_lengths().to_numpy())
+        lo = 0
+        while lo < len(ends):  # whole texts, of about a million places
+            begin = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + (1 << 20))))
+            codes = every[begin : int(ends[min(hi, len(ends)) - 1])]
+            lo = hi
+            for k, _, h, start in growing(codes, codes[1:] != 0, array, bits, longest):
+                now = (start <= step) & (start.astype(np.int32) + shards > step)
+                h, start = h[now], start[now]
+                if len(h):
+                    held.append((h, start.astype(np.int32) * 8 + k))
+                    size += len(h)
+            if size >= HELD:
+                yield from _summed(held)
+                held, size = [], 0
     if size:
         yield from _summed(held)
 
@@ -190,12 +210,12 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast)
     found = Spelling()
     for batch in small(batches):
         names = batch.column("lang").to_pylist()
-        words, twin = Words(batch), Words(batch, SECOND).hash
+        words, twin = Words(batch), Words(batch, SECOND).full
         per_row = np.bincount(words.rows, minlength=batch.num_rows)
         for lang, n in zip(names, per_row.tolist(), strict=True):
             found.totals[lang] = found.totals.get(lang, 0) + n
         lower = LOWER[words.data].tobytes()
-        for k, at, _, h, _ in growing(words, array, bits, longest):
+        for k, at, h, _ in growing(words.code, words.linked, array, bits, longest):
             kept = array[slot_of(h, bits)] > 0
             at, h = at[kept], h[kept]
             if not len(at):
@@ -234,11 +254,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
     spark = docs.sparkSession
     sc = spark.sparkContext
     size = Observation()
-    dealt = docs.select(
-        F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
-    ).observe(size, F.sum(F.octet_length("text")).alias("bytes"))
-    corpus = stored(dealt, "shards", "shard")
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"))
+    dealt = texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    dealt = dealt.observe(size, F.sum(F.octet_length("text")).alias("bytes"))
+    corpus = stored(dealt.mapInArrow(_coded, "shard int, codes array<int>"), "shards", "shard")
     n_bytes = size.get["bytes"] or 0
     bits = min(max((n_bytes // BYTES_PER_SLOT).bit_length(), LEAST_SLOT_BITS), MOST_SLOT_BITS)
     slots = np.zeros(1 << bits, np.uint8)
@@ -247,7 +266,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
     while step < shards or step < last_reach + 1 + shards:
         sent = sc.broadcast(slots.copy())
         scan = lambda batches, t=step, b=sent: _scan(batches, t, shards, longest, b)
-        shard = corpus.filter(F.col("shard") == step % shards).select("lang", "text")
+        shard = corpus.filter(F.col("shard") == step % shards).select("codes")
         counts = shard.mapInArrow(scan, "h long, tag int, n long")
         counts = counts if state is None else counts.unionByName(state)
         summed = counts.groupBy("h").agg(F.min("tag").alias("tag"), F.sum("n").alias("n"))
@@ -266,7 +285,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
     final = np.zeros(1 << bits, np.uint8)
     _set_slots(state.filter(F.col("n") >= threshold), final, 1)
     sent = sc.broadcast(final)
-    spelled = corpus.select("lang", "text").mapInArrow(
+    spelled = texts.mapInArrow(
         lambda batches: _spelled(batches, longest, sent), "lang string, k int, phrase string, n long"
     )
     found = spelled.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))

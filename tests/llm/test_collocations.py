@@ -107,6 +107,6 @@ def test_hashes_tell_languages_and_pieces_apart():
 
     batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b. a b", "a b"]})
     words = collocations.Words(batch)
-    assert len(set(words.hash.tolist())) == 4
+    assert len(set(words.code.tolist())) == 4
     assert words.linked.tolist() == [True, False, True, False, True]
     assert np.array_equal(words.rows, [0, 0, 0, 0, 1, 1])
