@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import dropped, stored, text_of
 from .shingles import SECOND, hashed_words, rolled, row_of, small, whole
 
 WINDOW = 13
@@ -154,13 +154,15 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     earlier than another of the same id; null texts have no words; texts under
     ``WINDOW`` words are never removed. An empty table gives an empty one.
     """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select("doc_id", doc.alias("doc"), text_of().alias("text"))
     sizes = stored(rows.mapInArrow(_sizes, f"doc_id {kind}, doc long, n_words long, sha string"), "text-sizes")
     first = sizes.groupBy("sha").agg(F.min("doc").alias("first"))
-    sizes = sizes.join(first, "sha").withColumn("copy", (F.col("first") < F.col("doc")) & (F.col("n_words") >= WINDOW))
-    sizes = stored(sizes, "text-copies")
+    marked = sizes.join(first, "sha").withColumn("copy", (F.col("first") < F.col("doc")) & (F.col("n_words") >= WINDOW))
+    plain, sizes = sizes, stored(marked, "text-copies")
+    dropped(spark, plain)
 
     # 1. Anchors that more than one document has, and which of them each document has.
     texts = rows.select("doc", "text")
@@ -168,11 +170,10 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     common = stored(anchors.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "anchors")
     copies = sizes.groupBy("doc").agg(F.min(F.col("copy").cast("int")).alias("all")).filter("all = 1").select("doc")
     own = anchors.join(common, "a").groupBy("doc").agg(F.collect_set("a").alias("anchors"))
-    own = own.join(copies, "doc", "left_anti")
-    blocks_of = stored(
-        texts.join(stored(own, "document-anchors").hint("shuffle_hash"), "doc").withColumn("rn", F.monotonically_increasing_id()),
-        "factored-texts",
-    )
+    own = stored(own.join(copies, "doc", "left_anti"), "document-anchors")
+    dropped(spark, common)
+    blocks_of = stored(texts.join(own.hint("shuffle_hash"), "doc").withColumn("rn", F.monotonically_increasing_id()), "factored-texts")
+    dropped(spark, own)
 
     # 2. Reference blocks, and the earliest document of each.
     blocks = blocks_of.mapInArrow(_blocks, "h long, c int, doc long, rn long, at int")
@@ -186,6 +187,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
         _parse, f"doc long, sha string, n_removed long, kept string, spans {SPANS}"
     )
     factored = stored(factored.dropDuplicates(["doc", "sha"]), "factors")
+    dropped(spark, index, blocks_of)
     out = sizes.join(factored, ["doc", "sha"], "left")
     whole_text = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("first").alias("source")))
     none = F.array().cast(SPANS)
