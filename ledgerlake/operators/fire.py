@@ -60,6 +60,12 @@ def real_return_pct(nominal_pct, inflation_pct) -> Column:
             - F.lit(1.0)) * F.lit(100.0)
 
 
+def rate(annual_pct, compounding: str = "effective", inflation_pct: float | str | None = None) -> Column:
+    """Monthly rate of an annual return, inflation-adjusted where an inflation (percent, or a column of it) is given."""
+    inflation = F.lit(float(inflation_pct)) if isinstance(inflation_pct, (int, float)) else inflation_pct
+    return monthly_return(annual_pct if inflation is None else real_return_pct(annual_pct, inflation), compounding)
+
+
 def with_powers(df: DataFrame, base, prefix: str = "_g") -> DataFrame:
     """Add columns prefix0..prefix{POW_BITS-1} = base^(2^i); one projection per step (no tree blow-up)."""
     df = df.withColumn(f"{prefix}0", col_or(base))
@@ -88,9 +94,10 @@ def with_first_month(df: DataFrame, S, c, r, N, M, out: str = "_fire_month") ->
                   col_or(N).alias("_fN"), col_or(M).alias("_fM"))
     S, c, r, N, M = (F.col(k) for k in ("_fS", "_fc", "_fr", "_fN", "_fM"))
     k = c / r
-    cand_r = F.ceil(F.log((N + k) / (S + k)) / F.log(F.lit(1.0) + r))
+    ratio = (N + k) / F.nullif(S + k, F.lit(0.0))  # with a negative rate the balance tends to -k: N beyond it is never reached
+    cand_r = F.ceil(F.log(ratio) / F.log(F.lit(1.0) + r))
     cand_0 = F.ceil((N - S) / c)
-    cand = F.when(S >= N, F.lit(0)).when(r == 0, F.when(c > 0, cand_0)).when((S + k) > 0, cand_r)
+    cand = F.when(S >= N, F.lit(0)).when(r == 0, F.when(c > 0, cand_0)).when(ratio > 0, cand_r)
     x = x.withColumn("_fcand", cand.cast("long"))
     x = with_powers(x, F.lit(1.0) + r, prefix="_fp")
     tmp = ["_fS", "_fc", "_fr", "_fN", "_fM", "_fcand"] + [f"_fp{i}" for i in range(POW_BITS)]
@@ -152,10 +159,15 @@ def _horizon() -> Column:
     return (F.col("target_age") - F.col("current_age")) * 12
 
 
-def fire_plan(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """FIRE number (25x annual expense), contribution, FIRE age and years to FIRE."""
+def fire_plan(inputs: DataFrame, by: Sequence[str] = (), compounding: str = "effective",
+              inflation_pct: float | str | None = None) -> DataFrame:
+    """FIRE number (25x annual expense), contribution, FIRE age and years to FIRE.
+
+    ``compounding`` and ``inflation_pct`` (D6, here and below): see ``rate``;
+    with an inflation all amounts are in today's money.
+    """
     number = F.col("monthly_expense") * F.lit(12.0) * F.lit(25.0)
-    r = monthly_return("annual_return_pct")
+    r = rate("annual_return_pct", compounding, inflation_pct)
     x = with_first_month(inputs, "current_savings", _contribution(), r, number, _horizon())
     return x.select(
         *by,
@@ -165,35 +177,38 @@ def fire_plan(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def fire_return_scenarios(inputs: DataFrame, by: Sequence[str] = (), deltas=RETURN_DELTAS) -> DataFrame:
+def fire_return_scenarios(inputs: DataFrame, by: Sequence[str] = (), deltas=RETURN_DELTAS, compounding: str = "effective",
+                          inflation_pct: float | str | None = None) -> DataFrame:
     """FIRE age under return R - 2, R, R + 2 percentage points, floored at 0 (C17)."""
     arr = F.array(*[F.struct(F.lit(lbl).alias("scenario"), F.lit(float(d)).alias("delta")) for lbl, d in deltas])
     x = inputs.select("*", F.explode(arr).alias("s"))
     rr = F.greatest(F.lit(0.0), F.col("annual_return_pct") + F.col("s.delta"))
     number = F.col("monthly_expense") * F.lit(12.0) * F.lit(25.0)
-    x = with_first_month(x, "current_savings", _contribution(), monthly_return(rr), number, _horizon())
+    x = with_first_month(x, "current_savings", _contribution(), rate(rr, compounding, inflation_pct), number, _horizon())
     return x.select(*by, F.col("s.scenario").alias("scenario"), round_dec(rr).alias("annual_return_pct"),
                     *_age_cols(F.col("_fire_month"), F.col("current_age")))
 
 
-def fire_withdrawal_scenarios(inputs: DataFrame, by: Sequence[str] = (), rates=WITHDRAWAL_RATES) -> DataFrame:
+def fire_withdrawal_scenarios(inputs: DataFrame, by: Sequence[str] = (), rates=WITHDRAWAL_RATES, compounding: str = "effective",
+                              inflation_pct: float | str | None = None) -> DataFrame:
     """FIRE number and age for withdrawal rates 3/4/5 %, flagging the 4 % (25x) row."""
     x = inputs.select("*", F.explode(F.array(*[F.lit(float(w)) for w in rates])).alias("wr"))
     number = F.col("monthly_expense") * F.lit(12.0) / (F.col("wr") / F.lit(100.0))
-    x = with_first_month(x, "current_savings", _contribution(), monthly_return("annual_return_pct"), number, _horizon())
+    x = with_first_month(x, "current_savings", _contribution(), rate("annual_return_pct", compounding, inflation_pct), number, _horizon())
     return x.select(*by, F.col("wr").alias("withdrawal_rate_pct"), round_dec(number).alias("fire_number"),
                     *_age_cols(F.col("_fire_month"), F.col("current_age")),
                     (F.col("wr") == F.lit(DEFAULT_WITHDRAWAL)).alias("is_default_25x"))
 
 
-def fire_projection(inputs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def fire_projection(inputs: DataFrame, by: Sequence[str] = (), compounding: str = "effective",
+                    inflation_pct: float | str | None = None) -> DataFrame:
     """Portfolio value per month from current to target age (the planner's chart series).
 
     Rate, contribution and the powers of 1 + r are computed once per entity
     before the months are generated; each generated row multiplies at most
     ``POW_BITS`` of them.
     """
-    x = inputs.withColumn("_r", monthly_return("annual_return_pct")).withColumn("_c", _contribution())
+    x = inputs.withColumn("_r", rate("annual_return_pct", compounding, inflation_pct)).withColumn("_c", _contribution())
     x = with_powers(x.where(_horizon() >= 0), F.lit(1.0) + F.col("_r"))  # no months when the target age has passed
     x = x.select(*by, "current_age", "current_savings", "_r", "_c", *[f"_g{i}" for i in range(POW_BITS)],
                  F.explode(F.sequence(F.lit(0), _horizon_of(x))).alias("m"))

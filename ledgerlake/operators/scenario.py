@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import round_dec
 from ..functions.filters import apply_filter
 from ..functions.ranking import running_weight
-from .fire import future_value, monthly_return, with_powers
+from .fire import future_value, rate, with_powers
 from .summary import EXPENSE, expense_amt, income_amt
 
 
@@ -142,8 +142,11 @@ def baseline(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFra
 
 
 def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] | DataFrame = DEFAULT_SCENARIOS, filters=None,
-                     by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, scenario) with the ten rounded figures of the scenario record."""
+                     by: Sequence[str] = (), compounding: str = "effective", inflation_pct: float | None = None) -> DataFrame:
+    """One row per (by, scenario) with the ten rounded figures of the scenario record.
+
+    ``compounding`` and ``inflation_pct`` (D6) are those of ``fire.rate``, for investments.
+    """
     base = baseline(ledger, filters, by).where(F.col("n_exp_rows") > 0)
     named = lambda c: F.exists(F.col("sc.keywords"), lambda k: F.contains(F.lower(c["category"]), k))
     pick = F.when(F.col("sc.kind") == "reduce_category", F.get(F.filter("cats", named), 0))
@@ -167,7 +170,7 @@ def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] | DataFram
     once = F.when((kind == "one_time_expense") & (F.col("months_forward") >= 1), F.col("amount")).otherwise(F.lit(0.0))
     adj_net = F.when(is_inv, net - F.col("amount")).otherwise(adj_inc - adj_exp)
     h = F.col("months_forward")
-    r = monthly_return("annual_return_pct")
+    r = rate("annual_return_pct", compounding, inflation_pct)
     fv = future_value("amount", r, h)
     out = with_powers(grid, F.lit(1.0) + r).select(
         *by,
@@ -190,10 +193,24 @@ def whatif_scenarios(ledger: DataFrame, scenarios: Sequence[Scenario] | DataFram
         net.alias("_net"),
         adj_net.alias("_adj_net"),
         F.when(kind == "one_time_expense", F.col("amount")).otherwise(F.lit(0.0)).alias("_once"),
+        F.when(is_inv, F.col("amount")).alias("_invested"),
+        F.when(is_inv, r).alias("_rate"),
     )
     return out
 
 
+def investment_path(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Value of the investment after each month 1..H (C11), of the investment scenarios among ``whatif_scenarios``.
+
+    The rate's powers are computed once per (by, scenario), before its months are generated.
+    """
+    x = with_powers(results.where(F.col("_invested").isNotNull() & (F.col("months_forward") >= 1)), F.lit(1.0) + F.col("_rate"))
+    x = x.select("*", F.explode(F.sequence(F.lit(1), F.col("months_forward"))).alias("month"))
+    value = future_value("_invested", "_rate", "month")
+    return x.select(*by, "scenario_id", "scenario", "month", round_dec(value).alias("investment_value"),
+                    round_dec(F.col("_invested") * F.col("month")).alias("contributed"))
+
+
 def whatif_projection(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative net for months 0..H, baseline and adjusted (C12); rows = (by, scenario) x (H + 1)."""
     x = results.select(*by, "scenario_id", "scenario", "_net", "_adj_net", "_once",
@@ -206,7 +223,8 @@ def whatif_projection(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def scenario_results(ledger: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS, filters=None,
-                     by: Sequence[str] = ()) -> DataFrame:
+def scenario_results(ledger: DataFrame, scenarios: Sequence[Scenario] | DataFrame = DEFAULT_SCENARIOS, filters=None,
+                     by: Sequence[str] = (), compounding: str = "effective", inflation_pct: float | None = None) -> DataFrame:
     """``whatif_scenarios`` without the internal columns."""
-    return whatif_scenarios(ledger, scenarios, filters, by).drop("_net", "_adj_net", "_once")
+    return whatif_scenarios(ledger, scenarios, filters, by, compounding, inflation_pct).drop(
+        "_net", "_adj_net", "_once", "_invested", "_rate")

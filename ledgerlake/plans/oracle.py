@@ -419,6 +419,16 @@ SQL["fire_age"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, {R('monthly_exp
        {R('GREATEST(monthly_income - monthly_expense, 0.0)')} AS monthly_contribution, {age_cols_sql('fm')}
 FROM (SELECT *, CAST({fire_month_sql('annual_return_pct', 'monthly_expense * 12.0 * 25.0')} AS INTEGER) AS fm
       FROM ({with_powers_sql('SELECT * FROM inputs', '1.0 + ' + _RA)}) i) x"""
+# Month by month, as the loop of the planner.
+SQL["fire_age_real"] = with_(L1, FIRE_INPUTS).replace("WITH ", "WITH RECURSIVE ", 1) + f""", plan AS (
+  SELECT *, monthly_expense * 12.0 * 25.0 AS number, GREATEST(monthly_income - monthly_expense, 0.0) AS c,
+         ((1.0 + annual_return_pct / 100.0) / (1.0 + CAST(2.5 AS DOUBLE) / 100.0) - 1.0) * 100.0 / 1200.0 AS r FROM inputs),
+path(entity_id, m, bal) AS (
+  SELECT entity_id, 0, current_savings FROM plan
+  UNION ALL SELECT p.entity_id, p.m + 1, p.bal * (1.0 + q.r) + q.c FROM path p JOIN plan q USING (entity_id) WHERE p.m < (q.target_age - q.current_age) * 12),
+hit AS (SELECT entity_id, CAST(MIN(m) AS INTEGER) AS fm FROM path JOIN plan USING (entity_id) WHERE number > 0 AND bal >= number GROUP BY entity_id)
+SELECT entity_id, {R('number')} AS fire_number, {R('c')} AS monthly_contribution, {age_cols_sql('fm')}
+FROM plan LEFT JOIN hit USING (entity_id)"""
 SQL["fire_return_scenarios"] = with_(L1, FIRE_INPUTS) + f"""SELECT entity_id, scenario, {R('rr')} AS annual_return_pct, {age_cols_sql('fm')}
 FROM (SELECT *, CAST({fire_month_sql('rr', 'monthly_expense * 12.0 * 25.0')} AS INTEGER) AS fm
       FROM ({with_powers_sql("""SELECT *, GREATEST(0.0, annual_return_pct + delta) AS rr FROM inputs
@@ -443,6 +453,21 @@ SQL["whatif_baseline"] = ("SELECT entity_id, baseline_monthly_income, baseline_m
 SQL["investment_growth"] = ("SELECT entity_id, scenario, future_value_after_months, total_contributed, investment_growth, "
                             "adjusted_net_monthly FROM (" + whatif_sql("l2", _INV) + ") w")
 
+
+
+def _path_sql(seven: str) -> str:
+    """The loop of the simulator: what is there grows, then the month's amount is added."""
+    return with_(L2).replace("WITH ", "WITH RECURSIVE ", 1) + f""", sc(scenario_id, scenario, a, r, h) AS (
+  VALUES (0, 'Invest', CAST(100.0 AS DOUBLE), {seven}, 36), (1, 'Invest at 0%', CAST(50.0 AS DOUBLE), {seven.replace('7.0', '0.0')}, 12)),
+path(scenario_id, month, v) AS (
+  SELECT scenario_id, 1, CAST(0 AS DOUBLE) * (1.0 + r) + a FROM sc
+  UNION ALL SELECT scenario_id, month + 1, v * (1.0 + r) + a FROM path JOIN sc USING (scenario_id) WHERE month < h)
+SELECT entity_id, scenario_id, scenario, month, {R('v')} AS investment_value, {R('a * month')} AS contributed
+FROM path JOIN sc USING (scenario_id), (SELECT entity_id FROM l2 WHERE type = 'Expense' GROUP BY entity_id) e"""
+
+
+SQL["investment_path"] = _path_sql("pow(1.0 + CAST(7.0 AS DOUBLE) / 100.0, CAST(1.0 AS DOUBLE) / 12.0) - 1.0")
+SQL["investment_path_real"] = _path_sql("((1.0 + CAST(7.0 AS DOUBLE) / 100.0) / (1.0 + CAST(2.5 AS DOUBLE) / 100.0) - 1.0) * 100.0 / 1200.0")
 _NET = "(CAST(s_inc AS DOUBLE) / GREATEST(n_months, 1) - CAST(s_exp AS DOUBLE) / GREATEST(n_months, 1))"
 
 

@@ -286,6 +286,26 @@ def q_investment_growth(spark, sf):
         *BY, "scenario", "future_value_after_months", "total_contributed", "investment_growth", "adjusted_net_monthly")
 
 
+INVESTMENTS = (
+    SC.Scenario("Invest", "increase_investment", amount=100.0, annual_return_pct=7.0, months_forward=36),
+    SC.Scenario("Invest at 0%", "increase_investment", amount=50.0, annual_return_pct=0.0, months_forward=12),
+    SC.Scenario("No investment", "increase_income", pct=5.0, months_forward=12),
+)
+
+
+@register("investment_path")
+def q_investment_path(spark, sf):
+    res = SC.whatif_scenarios(l2(spark, sf), INVESTMENTS, by=BY)
+    return SC.investment_path(res, by=BY)
+
+
+@register("investment_path_real")
+def q_investment_path_real(spark, sf):
+    """Nominal monthly compounding of a return adjusted for 2.5 % inflation."""
+    res = SC.whatif_scenarios(l2(spark, sf), INVESTMENTS, by=BY, compounding="nominal", inflation_pct=2.5)
+    return SC.investment_path(res, by=BY)
+
+
 def fire_inputs(spark, sf):
     return FI.planner_inputs(l1(spark, sf), by=BY)
 
@@ -295,6 +315,12 @@ def q_fire_age(spark, sf):
     return FI.fire_plan(fire_inputs(spark, sf), by=BY)
 
 
+@register("fire_age_real")
+def q_fire_age_real(spark, sf):
+    """The plan with nominal monthly compounding and 2.5 % inflation."""
+    return FI.fire_plan(fire_inputs(spark, sf), by=BY, compounding="nominal", inflation_pct=2.5)
+
+
 @register("fire_return_scenarios")
 def q_fire_return_scenarios(spark, sf):
     return FI.fire_return_scenarios(fire_inputs(spark, sf), by=BY)

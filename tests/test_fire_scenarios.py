@@ -105,3 +105,21 @@ def test_whatif_cases(make_ledger):
     assert inv7.future_value_after_months == round(fv, 2)
     proj = SC.whatif_projection(SC.whatif_scenarios(led, scen)).where("scenario = 'Increase Income'").orderBy("month").collect()
     assert len(proj) == 13 and proj[12].adjusted_cumulative_net == round((1050 - 450) * 12, 2)
+
+
+def test_options_of_the_planner_against_its_loop(spark):
+    """Nominal compounding and inflation (D6), month by month."""
+    rows = [(i, e, inc, s, r, 30, 60) for i, (e, inc, s, r) in enumerate(itertools.product([500.0, 2500.0], [1000.0, 4000.0], [0.0, 50000.0], [0.0, 7.0, 15.0]))]
+    df = spark.createDataFrame(rows, "i int, monthly_expense double, monthly_income double, current_savings double, "
+                                     "annual_return_pct double, current_age int, target_age int").withColumn("withdrawal_rate_pct", F.lit(4.0))
+    for compounding, inflation in (("nominal", None), ("nominal", 2.5), ("effective", 3.0)):
+        got = {r.i: r.fire_month for r in FI.fire_plan(df, ["i"], compounding, inflation).collect()}
+        last = {r.i: r.portfolio_value for r in FI.fire_projection(df, ["i"], compounding, inflation).where("month = 360").collect()}
+        for i, e, inc, s, pct, a, t in rows:
+            pct = ((1 + pct / 100) / (1 + (inflation or 0) / 100) - 1) * 100
+            r = pct / 1200 if compounding == "nominal" else (1 + pct / 100) ** (1 / 12) - 1
+            bal, hit = s, None
+            for m in range((t - a) * 12 + 1):
+                hit = m if hit is None and bal >= e * 300 else hit
+                end, bal = bal, bal * (1 + r) + max(inc - e, 0)
+            assert got[i] == hit and abs(last[i] - end) < 0.02, (i, compounding, inflation)
