@@ -9,9 +9,10 @@ leave room for the whole window before and after it (positional and length
 bounds), and the words around it must equal the window's words.
 
 Documents are scanned twice: for shingle frequencies and for places. In both a
-fixed-size Bloom filter of the shingles wanted (``FILTER`` bytes, whatever the
-size of the benchmark) drops the other places before any row is made; a false
-positive costs a row and changes nothing.
+Bloom filter of the shingles wanted drops the other places before any row is
+made; a false positive costs a row and changes nothing. It has ``ROOM`` places
+for each shingle (one in a thousand passes by chance), rounded up to a power of
+two, and at most 2**``MOST_BITS`` (16 MB): beyond half a million shingles it lets more pass.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import content_key, fresh, stored, text_of
 
 WINDOW = 10
 SHINGLE = 3
-FILTER = 1 << 17
+ROOM, LEAST_BITS, MOST_BITS = 32, 17, 24
 
 # Characters between words, once A-Z have been lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -62,12 +63,16 @@ def _slots(h: Column, n: int) -> list[Column]:
     return [F.pmod(F.shiftrightunsigned(h, 21 * i), F.lit(n)) for i in range(3)]
 
 
-def _filter_of(hashes: DataFrame, n: int = FILTER) -> bytes:
-    """A Bloom filter with one byte for each place; at most n numbers reach the driver."""
-    slots = hashes.select(F.explode(F.array(*_slots(F.col("h"), n))).alias("s")).distinct()
-    table = bytearray(n)
-    for row in slots.collect():
-        table[row.s] = 1
+def _filter_of(hashes: DataFrame) -> bytes:
+    """A Bloom filter of distinct hashes with one byte for each place; the driver gets a bit for each."""
+    bits = min(max((ROOM * hashes.count() - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    slot = hashes.select(F.explode(F.array(*[s + 1 for s in _slots(F.col("h"), 1 << bits)])).alias("s"))  # positions count from 1
+    marks = slot.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("on"))
+    table = bytearray(1 << bits)
+    for row in marks.collect():
+        at = (row["bucket"] - 1) << 15
+        for i in range(1 << 15):
+            table[at + i] = row["on"][i >> 3] >> (i & 7) & 1
     return bytes(table)
 
 

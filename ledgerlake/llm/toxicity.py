@@ -34,7 +34,6 @@ TRAIN_ROWS = 40_000  # about so many labelled rows are used for fitting, chosen
 STEMS = range(2, 11)  # lengths of stems, in characters
 LEAST_G2 = 30.0  # significance of a stem (log-likelihood ratio)
 LEAST_LOG_ODDS = 1.5
-LEXICON = 5_000  # most stems in a model
 THREAT, REACH = 2.0, 3
 NEGATED, REPORTED, TARGETED = 0.5, 0.5, 1.25
 CUT = 0.7  # predicted toxic from this score on
@@ -51,7 +50,7 @@ CLAUSE_END = re.compile(r"[.!?;:\n\r]+")
 
 @dataclass(frozen=True)
 class Model:
-    """Stem -> log rate ratio, with what the score needs besides; at most ``LEXICON`` stems."""
+    """Stem -> log rate ratio, with what the score needs besides."""
 
     stems: dict[str, float] = field(default_factory=dict)
     prior: float = 0.0
@@ -134,13 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     best = (
         stems.select("stem", "t", "c", odds.alias("odds"), g2.alias("g2"))
         .filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("g2") >= LEAST_G2))
-        .orderBy(F.desc("g2"), F.desc(F.length("stem")), "stem").limit(LEXICON).collect()
+        .orderBy(F.desc("g2"), F.desc(F.length("stem")), "stem").collect()  # those of at most ``train_rows`` texts
     )
     chosen: dict[str, float] = {}
+    begun: set[str] = set()  # what the chosen ones begin with
     drift = 0.0
     for r in best:  # the most significant stem of a family stands for it
-        if not any(r.stem.startswith(s) or s.startswith(r.stem) for s in chosen):
+        if r.stem not in begun and not any(r.stem[:n] in chosen for n in STEMS):
             chosen[r.stem] = r.odds
+            begun.update(r.stem[:n] for n in STEMS)
             drift += r.t / n_t - r.c / n_c
     return Model(chosen, prior, drift)
 

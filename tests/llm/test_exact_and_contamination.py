@@ -113,3 +113,21 @@ def test_queries_cover_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for q in ("op7_mix_sources", "op8_decontaminate", "op9_exact_dedup"):
         assert E.queries()[q](spark, SF).count() == n and q in E.oracle_sql()
+
+
+def test_filter_grows_with_the_benchmark(spark):
+    """200,000 shingles: of other places few pass."""
+    hashes = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    table = decontaminate._filter_of(hashes)
+    assert len(table) == 1 << 23
+    passed = spark.range(200_000, 300_000).select(F.xxhash64("id").alias("h")).filter(decontaminate._wanted(F.col("h"), table)).count()
+    assert passed < 500
+    assert hashes.filter(decontaminate._wanted(F.col("h"), table)).count() == 200_000
+
+
+def test_large_benchmark(docs_of, spark):
+    words = [f"w{i}" for i in range(4000)]
+    items = spark.createDataFrame([(i, " ".join(words[(i * 7 + j * (i % 13 + 1)) % 4000] for j in range(12))) for i in range(20_000)], "item_id long, text string")
+    docs = docs_of([(1, "x " + " ".join(words[(700 + j * 10) % 4000] for j in range(10)) + " y"), (2, " ".join(words[:9])), (3, None)])
+    got = {r.doc_id: (r.n_hit, len(r.item_ids) > 0) for r in decontaminate.contamination(docs, items).collect()}
+    assert got[1] == (10, True) and got[2] == (0, False) and got[3] == (0, False)
