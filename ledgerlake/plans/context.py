@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.assemble import json_document
 from ..functions.exprs import round_dec
+from ..functions.ranking import stored
 from ..functions.filters import LedgerFilter
 from ..operators import budget as BU
 from ..operators import fire as FI
@@ -56,11 +57,9 @@ def assert_aggregate_only(schema: T.DataType, path: str = "") -> None:
 
 
 def _dealt(ledger: DataFrame, spec: LedgerFilter, by: Sequence[str]) -> DataFrame:
+    """The pre-aggregate, written once when called: the ledger is read once, whatever the sections read of it."""
     base = S.preaggregate(ledger, spec, by)
-    base = base.repartition(*by) if by else base
-    # Always true, but it reads every column and, as rand() is in it, stays above the exchange: else each section's
-    # own columns would be pruned below it, no two exchanges would be equal, and the ledger would be read for each.
-    return base.where(F.rand(0) + F.pmod(F.xxhash64(*base.columns), F.lit(2)) >= 0)
+    return stored(base.repartition(*by) if by else base, "context")
 
 
 def _r2(df: DataFrame, keep: Sequence[str] = ("_rn",)) -> DataFrame:
