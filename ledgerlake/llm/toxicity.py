@@ -5,9 +5,9 @@ evidence counts distinct (word before, word) contexts, so that copies of one
 document count once. Threats, targets, negations and reporting verbs are closed
 classes, given as fixed values.
 
-Grammar: a clause (the words between . ! ? ; : and line ends) is read by the
-composition of five transducers, run as one machine whose state is (negated
-within reach, reported, target seen). An insult emits its learned log-odds, a
+Grammar: a clause (the words between . ! ? ; : and line ends) is read by five
+transducers, each a table of its own, composed into one (``grammar``). Where two
+paths are possible, as for whether a target follows, the accepted one counts. An insult emits its learned log-odds, a
 threat emits ``THREAT`` where a target stands in the clause; a negation just
 before and a reporting verb earlier in the clause weaken what is emitted, a
 target strengthens it. Words outside a matched clause emit nothing.
@@ -48,6 +48,69 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n\r]+")
 
 
+# What a word may be, as bits.
+INSULT, THREATEN, TARGET, NEGATE, REPORT = (1 << i for i in range(5))
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted machine over classes of words: ``step[state, class]`` is the next state and the factors (insult, threat) it puts out."""
+
+    starts: tuple
+    finals: frozenset
+    step: dict
+
+    def __matmul__(self, other: "Transducer") -> "Transducer":
+        """Both at once on the same words: pairs of states that a start leads to, products of factors."""
+        starts = tuple((a, b) for a in self.starts for b in other.starts)
+        step, todo, seen = {}, list(starts), set(starts)
+        while todo:
+            a, b = todo.pop()
+            for c in CLASSES:
+                (a2, (i, t)), (b2, (j, u)) = self.step[a, c], other.step[b, c]
+                step[(a, b), c] = (a2, b2), (i * j, t * u)
+                if (a2, b2) not in seen:
+                    seen.add((a2, b2))
+                    todo.append((a2, b2))
+        return Transducer(starts, frozenset(x for x in seen if x[0] in self.finals and x[1] in other.finals), step)
+
+
+CLASSES = range(1 << 5)
+
+
+def _machine(starts, finals, rule) -> Transducer:
+    """The table of a rule (state, class) -> (next state, factors), over the states that it reaches."""
+    step, todo, seen = {}, list(starts), set(starts)
+    while todo:
+        state = todo.pop()
+        for c in CLASSES:
+            step[state, c] = after, _ = rule(state, c)
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return Transducer(tuple(starts), frozenset(x for x in seen if finals(x)), step)
+
+
+def grammar() -> Transducer:
+    """Insult, threat, target, negation and reported speech, composed.
+
+    The target machine guesses at the clause's beginning whether somebody is
+    addressed, and accepts if that turns out right; so a target counts wherever it stands.
+    """
+    one = (1.0, 1.0)
+    insult = _machine([0], lambda s: True, lambda s, c: (s, (float(bool(c & INSULT)), 1.0)))
+    threat = _machine([0], lambda s: True, lambda s, c: (s, (1.0, float(bool(c & THREATEN and not c & INSULT)))))
+    target = _machine([(False, False), (True, False)], lambda s: s[0] == s[1], lambda s, c: (
+        (s[0], s[1] or bool(c & TARGET)), (TARGETED, 1.0) if s[0] else (1.0, 0.0)))
+    negation = _machine([0], lambda s: True, lambda s, c: (
+        REACH if c & NEGATE else max(0, s - 1), (NEGATED, NEGATED) if s else one))
+    report = _machine([False], lambda s: True, lambda s, c: (s or bool(c & REPORT), (REPORTED, REPORTED) if s else one))
+    return insult @ threat @ target @ negation @ report
+
+
+GRAMMAR = grammar()
+
+
 @dataclass(frozen=True)
 class Model:
     """Stem -> log rate ratio, with what the score needs besides."""
@@ -67,19 +130,21 @@ class Model:
         return 0.0
 
     def clause(self, words: list[str]) -> float:
-        """What the composed transducers emit for one clause."""
-        negated, reported, out, threats = 0, False, 0.0, 0
-        target = any(w in TARGETS for w in words)
-        for w in words:
-            context = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            if insult := self.weight(w):
-                out += insult * context * (TARGETED if target else 1.0)
-            elif w in THREATS and target:
-                threats += 1
-                out += THREAT * context
-            negated = REACH if w in NEGATIONS else max(0, negated - 1)
-            reported = reported or w in REPORTING
-        return out
+        """What the composed transducers put out for one clause, on the path that they accept."""
+        weights = [self.weight(w) for w in words]
+        classes = [
+            INSULT * bool(x) | THREATEN * (w in THREATS) | TARGET * (w in TARGETS) | NEGATE * (w in NEGATIONS) | REPORT * (w in REPORTING)
+            for w, x in zip(words, weights, strict=True)
+        ]
+        step = GRAMMAR.step
+        for state in GRAMMAR.starts:
+            out = 0.0
+            for c, x in zip(classes, weights, strict=True):
+                state, (insult, threat) = step[state, c]
+                out += x * insult + THREAT * threat
+            if state in GRAMMAR.finals:
+                return out
+        return 0.0
 
     def score(self, text: str | None) -> float:
         low = (text or "").lower()

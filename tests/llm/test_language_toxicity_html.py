@@ -162,3 +162,34 @@ def test_evidence_is_fused(spark, docs_of):
     got = language_id.identified_documents(plain, model, plain.columns)
     assert got.count() == 5 and {(r.doc_id, r.lang) for r in got.collect()} >= {(1, "de"), (2, "de"), (None, "en")}
     assert language_id.identified_documents(plain.limit(0), model, ["doc_id"]).count() == 0
+
+
+def clause_by_hand(model, words):
+    """The grammar's rules one after another, without machines."""
+    negated, reported, out = 0, False, 0.0
+    target = any(w in toxicity.TARGETS for w in words)
+    for w in words:
+        context = (toxicity.NEGATED if negated else 1.0) * (toxicity.REPORTED if reported else 1.0)
+        if insult := model.weight(w):
+            out += insult * context * (toxicity.TARGETED if target else 1.0)
+        elif w in toxicity.THREATS and target:
+            out += toxicity.THREAT * context
+        negated = toxicity.REACH if w in toxicity.NEGATIONS else max(0, negated - 1)
+        reported = reported or w in toxicity.REPORTING
+    return out
+
+
+def test_composed_machines_equal_their_rules():
+    import random
+
+    r = random.Random(4)
+    model = toxicity.Model({"grum": 2.5, "zork": 1.75, "kill": 1.5, "he": 3.0})
+    words = ["grumble", "zorky", "killer", "kill", "hurt", "you", "he", "not", "never", "said", "wrote", "plain", "word", "other"]
+    for _ in range(3000):
+        clause = [r.choice(words) for _ in range(r.randint(0, 12))]
+        assert abs(model.clause(clause) - clause_by_hand(model, clause)) < 1e-9
+    assert len(toxicity.GRAMMAR.starts) == 2 and all(len(s) == 2 for s in toxicity.GRAMMAR.starts)
+    assert model.clause(["grumble"]) == 2.5 and model.clause([]) == 0.0
+    assert model.clause(["hurt", "you"]) == toxicity.THREAT and model.clause(["hurt"]) == 0.0
+    assert model.clause(["never", "hurt", "you"]) == toxicity.THREAT * toxicity.NEGATED
+    assert model.clause(["he", "said", "zorky"]) == (3.0 + 1.75 * toxicity.REPORTED) * toxicity.TARGETED
