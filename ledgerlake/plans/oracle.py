@@ -555,6 +555,10 @@ SQL["extract_log"] = with_(RAW_L2) + r""", t AS (
 SELECT category, account, currency, tags, note, COUNT(*) AS n, MIN(date_time) AS first, MAX(date_time) AS last,
        CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM t, (VALUES (NULL), ('x')) v(note) GROUP BY ALL"""
+SQL["etl_summary"] = f"""WITH clean AS ({SQL['clean_dirty_ledger']}),
+led AS (SELECT * REPLACE (CAST(amount AS DECIMAL(18,2)) AS amount) FROM clean),
+monthly AS ({monthly_with_rate('led')})
+SELECT *, (SELECT COUNT(*) FROM clean) AS rows_out, (SELECT COUNT(*) FROM ({SQL['rejected_rows']}) r) AS rejected FROM monthly"""
 SQL["stable_ids"] = with_(RAW_L2) + """SELECT substr(sha256(content || '|' || CAST(occ AS VARCHAR)), 1, 24) AS transaction_id,
        date_time, account, tags
 FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY date_time, account, tags) - 1 AS occ
@@ -640,6 +644,7 @@ SELECT series_id, CAST(NULL AS VARCHAR) AS label, latest_value, latest_date, n_u
 FROM g"""
 
 
+SQL["macro_saved_series"] = SQL["macro_yoy"]
 SQL["append_new_rows"] = with_(L1) + """, led AS (SELECT transaction_id, year_month, CAST(amount AS DOUBLE) AS amount FROM l1),
 existing AS (SELECT * FROM led WHERE year_month < '1998-01'),
 incoming AS (SELECT * FROM led WHERE year_month >= '1997-07'

@@ -26,11 +26,13 @@ from ..operators import stable_id as SI
 from ..operators import summary as S
 from ..operators import trends as TR
 from ..session import scratch_path
+from ..sources import macro as SM
 from ..sources import raw_csv as RC
 from ..sources import store as ST
 from ..sources import testdata as TD
 from ..streaming import ingest as IN
 from . import context as CX
+from . import etl as ETL
 from . import marts as MT
 from . import profiling as PF
 
@@ -374,6 +376,18 @@ def q_rejected_rows(spark, sf):
     return CN.rejected_transactions(TD.lineitem_dirty_log(spark, sf))
 
 
+@register("etl_summary")
+def q_etl_summary(spark, sf):
+    """The whole job over the dirty log: the summary table that it writes, with what was rejected."""
+    root = scratch_path(spark, "etl")
+    res = ETL.run_etl(spark, "", root, source="lineitem", mapping=TD.LINEITEM_MAPPING, raw=TD.lineitem_dirty_log(spark, sf))
+    if res["errors"]:
+        raise RuntimeError(str(res["errors"]))
+    return ST.read_current(spark, res["monthly_summary_path"]).select(
+        "year_month", "total_income", "total_expense", "net", "transaction_count", "savings_rate_pct",
+        F.lit(res["rows_out"]).cast("long").alias("rows_out"), F.lit(res["rejected"]).cast("long").alias("rejected"))
+
+
 @register("stable_ids")
 def q_stable_ids(spark, sf):
     # hashing only (date_time, account, tags) leaves ~4 copies per text: occurrence numbering does the work
@@ -441,6 +455,16 @@ def q_macro_yoy(spark, sf):
     return MA.macro_indicators(TD.orders_macro_observations(spark, sf), yoy_series=None)
 
 
+@register("macro_saved_series")
+def q_macro_saved_series(spark, sf):
+    """The series saved as response bodies, one file a series, and read back."""
+    obs = TD.orders_macro_observations(spark, sf)
+    body = F.to_json(F.struct(F.first("series_id").alias("series_id"), F.sort_array(F.collect_list(F.struct("date", "value")), asc=False).alias("observations")))
+    root = scratch_path(spark, "saved-series")
+    obs.groupBy("series_id").agg(body.alias("value")).withColumnRenamed("series_id", "name").write.partitionBy("name").text(root)
+    return MA.macro_indicators(SM.read_observations(spark, f"{root}/*"), yoy_series=None)
+
+
 @register("context_package")
 def q_context_package(spark, sf):
     return CX.financial_context(l1(spark, sf), by=BY, plans=plans(spark, sf)).select(*BY, "context_json")

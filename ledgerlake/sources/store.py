@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import folders as FO
+
 BUCKET = "key_bucket"
 LOOKED_UP = 1000  # keys of a batch that are looked up through the files' Bloom filters; more are joined
 
@@ -314,19 +316,58 @@ def append_table(df: DataFrame, root: str, key: str = "transaction_id", partitio
     return write_rows(df, root, partition_by, key=key)
 
 
+BUCKET_ROWS = 1_000_000  # of a table that ``upsert_table`` writes: about so many rows a bucket, at most four times as many
+
+
+def _layout(spark: SparkSession, root: str) -> int | None:
+    """The number of buckets of a table, kept beside it."""
+    path = f"{root.rstrip('/')}/_layout"
+    return spark.read.parquet(path).first()["buckets"] if FO.finished(spark, path) else None
+
+
+def _in_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def _dealt_anew(spark: SparkSession, root: str, keys: Sequence[str], buckets: int | None) -> None:
+    """Deal the table over another number of buckets; with None, go on with what a lost job has begun.
+
+    The table is written whole beside itself first, with its layout; from then on that copy is what counts.
+    """
+    stage, layout = f"{root.rstrip('/')}/_dealt", f"{root.rstrip('/')}/_layout"
+    if buckets is not None:
+        FO.delete(spark, stage)
+        rows = read_current(spark, root)
+        spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{root.rstrip('/')}/_dealt_layout")
+        replace_table(_in_buckets(rows, keys, buckets), stage, [BUCKET])
+    if FO.finished(spark, stage):
+        for folder in FO.numbered(spark, root, BUCKET):
+            FO.delete(spark, f"{root.rstrip('/')}/{BUCKET}={folder}")
+        # copied, not moved: until the stage is deleted a retry can repeat all of this
+        write_rows(spark.read.parquet(stage), root, [BUCKET], "overwrite")
+        spark.read.parquet(f"{root.rstrip('/')}/_dealt_layout").write.mode("overwrite").parquet(layout)
+        FO.delete(spark, stage)
+
+
 def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], order_by: Column | str | None = None,
-                 buckets: int = 64) -> dict:
+                 buckets: int | None = None) -> dict:
     """Keyed upsert into a parquet table partitioned by a hash bucket of the key.
 
     Only the buckets that the updates touch are read and overwritten. Returns
     the path and inserted/updated/kept counts (kept: within touched buckets),
-    which ride on the write job as an ``Observation``. ``buckets`` must stay the
-    same over the table's life; at scale take it so that a bucket is one or a few files.
+    which ride on the write job as an ``Observation``. The number of buckets is
+    taken from the first batch (``BUCKET_ROWS`` rows each, or as given), kept
+    beside the table, and raised fourfold when the table has outgrown it, so
+    that a bucket stays a few files and a batch rewrites what it has to.
     """
     spark = updates.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    upd = updates.withColumn(BUCKET, bucket)
+    _dealt_anew(spark, root, keys, None)
     cur = read_or_none(spark, root)
+    n = _layout(spark, root)
+    if n is None:
+        n = buckets or (64 if cur is not None else max(1, -(-updates.count() // BUCKET_ROWS)))  # 64: tables without a layout
+        spark.createDataFrame([(n,)], "buckets int").write.mode("overwrite").parquet(f"{root.rstrip('/')}/_layout")
+    upd = _in_buckets(updates, keys, n)
     touched = spark.createDataFrame([], upd.schema) if cur is None else restrict_to_touched(cur, upd, [BUCKET])
     obs = Observation(f"upsert_{uuid.uuid4().hex[:8]}")
     merged = upsert(touched, upd, keys, order_by, flag="_op").observe(
@@ -336,6 +377,10 @@ def upsert_table(updates: DataFrame, root: str, keys: Sequence[str], order_by: C
         F.count_if(F.col("_op") == "kept").alias("kept"),
     )
     write_rows(merged.drop("_op"), root, [BUCKET], "overwrite")
+    table = read_or_none(spark, root)
+    rows = 0 if table is None else table.count()  # from the files' footers
+    if buckets is None and rows > 4 * BUCKET_ROWS * n:
+        _dealt_anew(spark, root, keys, 4 * n)
     return {"path": root, **obs.get}
 
 

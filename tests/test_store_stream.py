@@ -48,7 +48,7 @@ def test_parquet_table_append_and_upsert(spark):
     assert before <= _files(spark, root)   # an append rewrites nothing
 
     root = scratch_path(spark, "upserts")
-    ST.upsert_table(df, root, ["transaction_id"])
+    ST.upsert_table(df, root, ["transaction_id"], buckets=64)
     before = _files(spark, root)
     moved = spark.createDataFrame([("y", "2025-07", 20), ("w", "2025-07", 4), ("y", "2025-08", 21)], df.schema)
     res = ST.upsert_table(moved, root, ["transaction_id"], order_by="n")
@@ -60,6 +60,32 @@ def test_parquet_table_append_and_upsert(spark):
     assert ST.read_current(spark, root).count() == 3
 
 
+def test_buckets_follow_the_size_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKET_ROWS", 10)
+    root = scratch_path(spark, "grows")
+    rows = lambda lo, hi, v: spark.range(lo, hi).selectExpr("cast(id as string) k", f"{v} as v")
+    ST.upsert_table(rows(0, 25, 1), root, ["k"])
+    assert ST._layout(spark, root) == 3
+    ST.upsert_table(rows(20, 300, 2), root, ["k"])
+    assert ST._layout(spark, root) == 12 and len(set(r[0] for r in spark.read.parquet(root).select(ST.BUCKET).distinct().collect())) == 12
+    want = {str(i): 1 if i < 20 else 2 for i in range(300)}
+    assert {r.k: r.v for r in ST.read_current(spark, root).collect()} == want
+    # a job lost while the table is dealt anew: the next one goes on from the staged copy
+    whole = ST.write_rows
+
+    def lost(df, path, *args, **kw):
+        raise OSError("lost")
+
+    monkeypatch.setattr(ST, "write_rows", lost)
+    with pytest.raises(OSError):  # after the staged copy is finished and the old buckets are gone
+        ST._dealt_anew(spark, root, ["k"], 5)
+    assert ST.read_or_none(spark, root) is None
+    monkeypatch.setattr(ST, "write_rows", whole)
+    ST.upsert_table(rows(299, 301, 3), root, ["k"])
+    assert ST._layout(spark, root) == 5
+    assert {r.k: r.v for r in ST.read_current(spark, root).collect()} == want | {"299": 3, "300": 3}
+
+
 def test_upsert_is_field_wise_and_last_wins(spark):
     cur = spark.createDataFrame([("a", 1, "keep"), ("b", 2, "keep")], "k string, v int, note string")
     upd = spark.createDataFrame([("b", 5), ("c", 7), ("b", 6)], "k string, v int")
