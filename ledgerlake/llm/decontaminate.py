@@ -11,8 +11,8 @@ bounds), and the words around it must equal the window's words.
 Documents are scanned twice: for shingle frequencies and for places. In both a
 Bloom filter of the shingles wanted drops the other places before any row is
 made; a false positive costs a row and changes nothing. It has ``ROOM`` places
-for each shingle (one in a thousand passes by chance), rounded up to a power of
-two, and at most 2**``MOST_BITS`` (16 MB): beyond half a million shingles it lets more pass.
+for each shingle (one in two hundred passes by chance), rounded up to a power of
+two, and at most 2**``MOST_BITS`` (16 MB): beyond a million shingles it lets more pass.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import content_key, fresh, stored, text_of
 
 WINDOW = 10
 SHINGLE = 3
-ROOM, LEAST_BITS, MOST_BITS = 32, 17, 24
+ROOM, LEAST_BITS, MOST_BITS = 16, 17, 24
 
 # Characters between words, once A-Z have been lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
