@@ -38,7 +38,7 @@ SHARDS = 4
 THRESHOLD = 100
 TOP = 2000
 BYTES_PER_SLOT, LEAST_SLOT_BITS, MOST_SLOT_BITS = 256, 16, 26
-HELD = 2 << 20  # hashes that a task holds before it sums them up
+HELD = 1 << 20  # hashes that a task holds before it sums them up
 SALTS = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
