@@ -355,7 +355,7 @@ def q_extract_log(spark, sf):
     log = TD.lineitem_raw_log(spark, sf)
     text = F.when(F.substring("date_time", 10, 1).isin("1", "4", "7"), F.concat("category", F.lit('\nsays "well, yes",\n'), "tags")).otherwise(F.col("category"))
     log = log.withColumn("category", text)
-    options = {"header": True, "escape": '"', "lineSep": "\n"}
+    options = {"header": True, "escape": '"', "lineSep": "\n", "compression": "gzip"}
     log.write.options(**options).csv(f"{root}/a")
     log.select(*reversed(log.columns), F.lit("x").alias("note")).write.options(**options).csv(f"{root}/b")
     return RC.extract_transactions(spark, f"{root}/*").groupBy("category", "account", "currency", "tags", "note").agg(

@@ -117,3 +117,28 @@ def test_a_quote_that_is_never_closed(spark, small_blocks):
         f.write(",".join(COLS) + "\n2025-01-01,Food,a,1,BYN,t\n2025-01-01,\"open,a,1,BYN,t\n" + "2025-01-02,Food,a,1,BYN,t\n" * 300)
     got = RC.extract_transactions(spark, folder).collect()
     assert len(got) == 2 == len(whole_files(spark, folder))
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_records_cut_by_blocks_and_batches(spark, small_blocks, batch):
+    folder = tempfile.mkdtemp(prefix="ll-csv-")
+    write_log(folder, "a.csv", 300, 11, texts=["Food", "x\ny\n\nz" * 40, 'a\n"b",\nc'])
+    write_log(folder, "b.csv", 60, 12, texts=["plain"])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        got = sorted([tuple(r) for r in RC.extract_transactions(spark, folder).select(*COLS).collect()], key=str)
+    finally:
+        spark.conf.set(name, before)
+    assert got == whole_files(spark, folder)
+
+
+def test_lines_are_not_shuffled(spark):
+    """Only the parts of cut records are; else a log takes many times its size on disk."""
+    folder = tempfile.mkdtemp(prefix="ll-csv-")
+    write_log(folder, "a.csv", 50, 5)
+    plan = RC.extract_transactions(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in x]
+    assert "MapInArrow" in plan and len(lines) == 1, lines  # of parts, by file
+    assert "SortMergeJoin" not in plan
