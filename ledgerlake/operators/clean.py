@@ -57,17 +57,21 @@ def parse_datetime(c: Column, formats: Sequence[str] = DEFAULT_DATETIME_FORMATS)
     kept. A slash date counts as a dash date; ``formats`` are tried last.
     """
     s = strip(c)
+    plain = s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ][\d:.]*)?$")  # nothing to replace: by far the most rows
     iso = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"\s*(?:Z|UTC|[+-]\d{2}:?\d{2})$", "")
-    day = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso)
+    day = F.when(plain, s).when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso)
     tries = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats if f not in DEFAULT_DATETIME_FORMATS]
     return F.coalesce(day.try_cast("timestamp_ntz"), *tries)
 
 
 def parse_amount(c: Column) -> Column:
-    """Text -> double; null for non-numeric text and NaN."""
-    v = strip(c).try_cast("double")
-    return F.when(~F.isnan(v), v)
+    """Text -> double; null for non-numeric text and NaN.
+
+    Text without a digit is a number only as a form of infinity; it is not cast, since a cast that fails costs an exception.
+    """
+    s = strip(c)
+    return F.nullif(F.when(s.rlike("[0-9]|(?i:inf)"), s.try_cast("double")), F.lit(float("nan")))
 
 
 def exact_amount(v: Column, amount_type: str) -> Column:
@@ -80,18 +84,18 @@ BAD_DATE, BAD_AMOUNT, UNFIT_AMOUNT = "bad_date", "bad_amount", "unfit_amount"
 
 
 def reject_reason(formats: Sequence[str] = DEFAULT_DATETIME_FORMATS, amount_type: str = AMOUNT_TYPE) -> Column:
-    """Why a raw row (date_time, amount) is dropped; null for a row that is kept."""
-    amount = parse_amount(F.col("amount"))
-    return (
-        F.when(parse_datetime(F.col("date_time"), formats).isNull(), BAD_DATE)
-        .when(amount.isNull(), BAD_AMOUNT)
-        .when(exact_amount(F.abs(amount), amount_type).isNull(), UNFIT_AMOUNT)
-    )
+    """Why a raw row (date_time, amount) is dropped; null for a row that is kept. The amount is parsed once."""
+    def unfit(amount: Column) -> Column:
+        return F.when(amount.isNull(), BAD_AMOUNT).when(exact_amount(F.abs(amount), amount_type).isNull(), UNFIT_AMOUNT)
+
+    by_amount = F.transform(F.array(parse_amount(F.col("amount"))), unfit)[0]
+    return F.when(parse_datetime(F.col("date_time"), formats).isNull(), BAD_DATE).otherwise(by_amount)
 
 
 def rejected_transactions(raw: DataFrame, formats: Sequence[str] = DEFAULT_DATETIME_FORMATS, amount_type: str = AMOUNT_TYPE) -> DataFrame:
     """The rows of ``raw`` that ``clean_transactions`` drops, as they are, with their ``reason``."""
-    return raw.withColumn("reason", reject_reason(formats, amount_type)).where(F.col("reason").isNotNull())
+    # exploded instead of filtered: a filter would work out the reason a second time, below the projection
+    return raw.withColumn("reason", F.explode(F.array_compact(F.array(reject_reason(formats, amount_type)))))
 
 
 def clean_text(c: Column, missing_text: str | None = MISSING_TEXT) -> Column:

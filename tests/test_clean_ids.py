@@ -9,7 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.classify import DEFAULT_CATEGORY_MAPPING
-from ledgerlake.operators.clean import TransformError, clean_transactions
+from ledgerlake.operators.clean import TransformError, clean_transactions, rejected_transactions
 from ledgerlake.operators.stable_id import assign_stable_ids
 from ledgerlake.sources.raw_csv import ExtractError, extract_transactions
 
@@ -127,3 +127,12 @@ def test_option_paths(spark):
                                 "series_id string, date string, value string")
     r = MA.macro_indicators(obs, yoy_series=None, labels={}).collect()[0]
     assert r.label is None and r.n_usable == 13 and r.yoy_change_pct == 12.0
+
+
+def test_reasons_are_worked_out_once(spark):
+    """A filter on the reason would repeat it below the projection, parses and failing casts included."""
+    raw = spark.range(10).selectExpr("if(id < 2, 'no', '2025-01-0' || id) date_time", "case id when 5 then 'x' when 6 then 'inf' when 7 then 'nan' else '1' end amount")
+    bad = rejected_transactions(raw)
+    assert "Filter" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["amount"], r["reason"]) for r in bad.collect()) == [
+        ("1", "bad_date"), ("1", "bad_date"), ("inf", "unfit_amount"), ("nan", "bad_amount"), ("x", "bad_amount")]
