@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assemble import json_object, merge_columns
+from ..functions.ranking import stored
 from ..operators import profile as PR
 from ..operators import summary as S
 
@@ -38,6 +39,14 @@ def column_entries(raw: DataFrame) -> DataFrame:
     return PR.column_profile(raw).join(tops, "column_name", "left")
 
 
+CLEAN_COLUMNS = ("transaction_date", "category", "type", "account", "amount")  # what the sections read
+
+
+def _held(raw: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames written once: every section and column reads them again, and the cleaner numbers copies over two shuffles."""
+    return stored(raw, "profile-raw"), stored(clean.select(*CLEAN_COLUMNS), "profile-clean")
+
+
 def headline_counts(raw: DataFrame, clean: DataFrame) -> DataFrame:
     c = merge_columns([
         raw.agg(F.count(F.lit(1)).alias("source_rows")),
@@ -48,7 +57,8 @@ def headline_counts(raw: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def profile_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """One row: ``report_json`` with generated_at, counts, structural and statistical sections."""
+    """One row: ``report_json`` with generated_at, counts, structural and statistical sections. Writes both frames when called."""
+    raw, clean = _held(raw, clean)
     counts = headline_counts(raw, clean)
     structural = json_object([
         ("row_count", counts.select(F.col("source_rows").alias("row_count"))),
@@ -76,7 +86,8 @@ def profile_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
 
 def profiling_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Condensed summary (C21): headline counts, per column only dtype, null % and distinct count,
-    and date range and amount statistics of the cleaned rows."""
+    and date range and amount statistics of the cleaned rows. Writes both frames when called."""
+    raw, clean = _held(raw, clean)
     counts = headline_counts(raw, clean)
     cols = PR.column_profile(raw).select("column_name", "dtype", "null_pct", "unique_count")
     listed = _listed(cols, "columns", ["column_name"])

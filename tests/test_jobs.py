@@ -96,3 +96,11 @@ def test_scale_conf_and_touched_partitions(spark):
     changes = spark.createDataFrame([("x", "2025-03"), ("y", "2025-04")], "k string, year_month string")
     static = ST.restrict_to_touched(table, changes, ["year_month"])
     assert static.count() == 20
+
+
+def test_profile_report_cleans_once(spark):
+    """Its sections read the cleaned rows that were written, not the cleaner's plan again."""
+    raw = spark.range(20).selectExpr("'2025-01-01' date_time", "'Food' category", "'a' account", "cast(id as string) amount", "'BYN' currency", "'t' tags")
+    for report in (profiling.profile_report, profiling.profiling_summary):
+        plan = report(raw, clean_transactions(raw))._jdf.queryExecution().optimizedPlan().toString()
+        assert "_content" not in plan and "sequence(" not in plan
