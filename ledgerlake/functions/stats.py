@@ -10,11 +10,16 @@ double moments take its place instead of an overflow error.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exprs import col_or, safe_div
 
+HALF_BITS = 30
+
 
 def sum_sq(c, over=None) -> Column:
     """Exact sum of squares of a decimal column; null when a square or the sum exceeds decimal(38)."""
@@ -24,6 +29,27 @@ def sum_sq(c, over=None) -> Column:
     return F.when(put(F.count(sq)) == put(F.count(c)), put(F.try_sum(sq)))
 
 
+def has_halves(dtype: T.DataType) -> bool:
+    """Whether ``halves`` holds a value of this type exactly: a decimal of up to 18 digits, 6 of them after the point."""
+    return isinstance(dtype, T.DecimalType) and dtype.precision <= 18 and 0 <= dtype.scale <= 6
+
+
+def halves(c, dtype: T.DecimalType) -> tuple[Column, Column]:
+    """A decimal's whole units of 10**-scale as two longs: units >> 30 (signed) and the low 30 bits.
+
+    Sums of each half are exact for more than 8 * 10**9 rows a group, whatever their amounts, and take 8 bytes
+    of an aggregate's row where a decimal sum takes 32.
+    """
+    units = (col_or(c) * F.lit(10**dtype.scale)).cast("long")
+    return F.shiftright(units, HALF_BITS), units.bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+
+
+def from_halves(hi, lo, dtype: T.DecimalType) -> Column:
+    """The sum that two sums of ``halves`` stand for, in the type of ``sum`` over the decimal itself."""
+    units = col_or(hi).cast("decimal(19,0)") * F.lit(1 << HALF_BITS) + col_or(lo).cast("decimal(19,0)")
+    return (units * F.lit(Decimal(1).scaleb(-dtype.scale))).cast(T.DecimalType(dtype.precision + 10, dtype.scale))
+
+
 def var_numerator(n, s1, s2, scale: int = 0) -> Column:
     """n*S2 - S1^2 as double (exact before the cast); null when it exceeds decimal(38).
 

@@ -11,9 +11,15 @@ Weights .40 / .25 / .15 / .20. The display form weights the unrounded
 sub-scores; the snapshot form rounds each to one decimal first.
 
 Plan: one scan of the ledger grouped by two grouping sets, (by, month) and
-(by, category, type), then one second-level aggregate by ``by`` that reads
-each set's rows. No join; the only shuffles carry pre-aggregated rows. All
-moments are exact decimal sums (``functions.stats``).
+(by, expense category), then one second-level aggregate by ``by`` that reads
+each set's rows. No join. Rows of other types share one group of the second
+set, since no score reads their categories. With keys, the ledger's few needed
+columns are first dealt by key: an entity has few rows per month in any one
+scan task, so an aggregate before that shuffle would hold and send about one
+row for each that it reads. The hint lets AQE split the partition of a hot
+key; each part then sends one row per month and category. All moments are
+exact decimal sums (``functions.stats``), added up over ledger rows as pairs
+of longs.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, round_dec, safe_div
 from ..functions.filters import apply_filter
-from ..functions.stats import stddev_pop_from, sum_sq
-from .summary import EXPENSE, expense_amt, income_amt, signed_amt
+from ..functions.stats import from_halves, halves, has_halves, stddev_pop_from, sum_sq
+from .summary import EXPENSE, INCOME, WEIGHT
 
 # Sub-score weights and band thresholds of the health score.
 WEIGHTS = {
@@ -48,16 +54,34 @@ def band_expr(score: Column) -> Column:
 
 def health_inputs(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> DataFrame:
     """Per ``by``: exact income/expense/net totals, monthly moments and expense-category moments."""
-    df = apply_filter(ledger, filters)
-    gs = df.groupingSets([[*by, "year_month"], [*by, "category", "type"]], *by, "year_month", "category", "type").agg(
-        F.sum(income_amt()).alias("_inc"),
-        F.sum(expense_amt()).alias("_exp"),
-        F.sum(signed_amt()).alias("_net"),
-        F.sum("amount").alias("_amt"),
+    money = ledger.schema["amount"].dataType
+    is_income, is_expense = (F.coalesce(F.col("type") == t, F.lit(False)) for t in (INCOME, EXPENSE))
+    df = apply_filter(ledger, filters).withColumns({
+        "_is_inc": is_income,
+        "_is_exp": is_expense,
+        "_exp_cat": F.when(is_expense, F.col("category")),
+    })
+    if has_halves(money):
+        hi, lo = halves("amount", money)
+        df = df.withColumns({"_hi": hi, "_lo": lo})
+        parts = ("_hi", "_lo")
+    else:
+        parts = ("amount",)
+    if by and WEIGHT not in ledger.columns:  # a pre-aggregate has one row per cell of an entity already
+        df = df.select(*by, "year_month", "_exp_cat", "_is_inc", "_is_exp", *parts).hint("rebalance", *by)
+    sums = {
+        "_inc": lambda c: F.when(F.col("_is_inc"), c).otherwise(F.lit(0)),
+        "_exp": lambda c: F.when(F.col("_is_exp"), c).otherwise(F.lit(0)),
+        "_net": lambda c: F.when(F.col("_is_inc"), c).otherwise(-c),
+    }
+    gs = df.groupingSets([[*by, "year_month"], [*by, "_exp_cat", "_is_exp"]], *by, "year_month", "_exp_cat", "_is_exp").agg(
+        *[F.sum(of(F.col(p))).alias(name + p) for name, of in sums.items() for p in parts],
         F.grouping("year_month").alias("_is_cat"),
     )
+    whole = lambda name: from_halves(name + "_hi", name + "_lo", money) if len(parts) == 2 else F.col(name + "amount")
+    gs = gs.select(*by, "_is_exp", "_is_cat", *[whole(name).alias(name) for name in sums])
     is_month = F.col("_is_cat") == 0
-    is_exp_cat = (F.col("_is_cat") == 1) & (F.col("type") == EXPENSE)
+    is_exp_cat = (F.col("_is_cat") == 1) & F.col("_is_exp")
 
     def msum(c):
         return F.sum(F.when(is_month, c))
@@ -71,9 +95,9 @@ def health_inputs(ledger: DataFrame, filters=None, by: Sequence[str] = ()) -> Da
         sum_sq(F.when(is_month, F.col("_exp"))).alias("s2_exp"),
         F.stddev_pop(F.when(is_month, F.col("_inc").cast("double"))).alias("w_inc"),
         F.stddev_pop(F.when(is_month, F.col("_exp").cast("double"))).alias("w_exp"),
-        F.sum(F.when(is_exp_cat, F.col("_amt"))).alias("t1"),
-        sum_sq(F.when(is_exp_cat, F.col("_amt"))).alias("t2"),
-        F.sum(F.when(is_exp_cat, F.col("_amt").cast("double") * F.col("_amt").cast("double"))).alias("w2"),
+        F.sum(F.when(is_exp_cat, F.col("_exp"))).alias("t1"),
+        sum_sq(F.when(is_exp_cat, F.col("_exp"))).alias("t2"),
+        F.sum(F.when(is_exp_cat, F.col("_exp").cast("double") * F.col("_exp").cast("double"))).alias("w2"),
         F.count(F.when(is_exp_cat, F.lit(1))).alias("n_exp_cats"),
     )
 

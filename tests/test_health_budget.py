@@ -1,8 +1,15 @@
 """Health score against a direct transcription of the formulas; budget status cases (FX5)."""
 
+import random
+from decimal import Decimal
+
 import numpy as np
+import pytest
 from conftest import tx
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerlake.functions.stats import from_halves, halves, has_halves
 from ledgerlake.operators import budget as BU
 from ledgerlake.operators import health as HE
 from ledgerlake.operators import summary as S
@@ -63,6 +70,44 @@ def test_health_edges(make_ledger):
     assert r2.savings_score == 0.0 and r2.overall_savings_rate_pct == 0.0
 
 
+def test_health_inputs_count_nulls_and_other_types_as_before(spark):
+    rows = [(1, "2025-01", "Job", "Income", "10.01"), (1, "2025-01", None, "Expense", "3.00"), (1, "2025-01", "Move", "Transfer", "5.00"),
+            (1, "2025-02", "Job", "Income", None), (1, "2025-03", "Food", "Expense", None), (1, "2025-03", "Food", None, "-7.50"),
+            (1, None, "Food", "Expense", "2.25"), (None, "2025-01", "Job", "Income", "1.00"), (None, "2025-01", "Food", "Income", "4.00")]
+    led = spark.createDataFrame([(e, m, c, t, a and Decimal(a)) for e, m, c, t, a in rows],
+                                "entity_id long, year_month string, category string, type string, amount decimal(18,2)")
+    names = ["s_inc", "s_exp", "s_net", "n_months", "s2_inc", "s2_exp", "t1", "t2", "n_exp_cats"]
+    want = {1: ("10.01", "5.25", "7.26", 4, "100.2001", "14.0625", "5.25", "14.0625", 2), None: ("5.00", "0.00", "5.00", 1, "25.0000", "0.0000", None, None, 0)}
+    for ledger in (led, led.withColumn("amount", F.col("amount").cast("decimal(28,2)"))):   # longs, decimals
+        got = {r.entity_id: tuple(None if r[n] is None else r[n] if isinstance(r[n], int) else str(r[n]) for n in names)
+               for r in HE.health_inputs(ledger, by=["entity_id"]).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("precision, scale", [(18, 2), (18, 6), (9, 0)])
+def test_halves_sum_exactly(spark, precision, scale):
+    r = random.Random(1)
+    top = 10**precision - 1
+    units = [top, -top, top, top, -1, 0, 1, -(1 << 30), (1 << 30) - 1] + [r.randint(-top, top) for _ in range(200)]
+    units = [u for u in units if abs(u) <= top]
+    kind = T.DecimalType(precision, scale)
+    assert has_halves(kind) and not has_halves(T.DecimalType(19, 2)) and not has_halves(T.DoubleType())
+    df = spark.createDataFrame([(Decimal(u).scaleb(-scale),) for u in units] + [(None,)], T.StructType([T.StructField("c", kind)]))
+    hi, lo = halves("c", kind)
+    sums = df.agg(F.sum("c").alias("want"), F.sum(hi).alias("h"), F.sum(lo).alias("l")).select("want", from_halves("h", "l", kind).alias("got"))
+    assert sums.schema["got"].dataType == sums.schema["want"].dataType
+    row = sums.first()
+    assert row.got == row.want == Decimal(sum(units)).scaleb(-scale)
+
+
+def test_ledger_rows_are_dealt_by_entity_before_they_are_grouped(make_ledger):
+    led = make_ledger([tx("2025-01-05", "Job", "Income", "a", 100)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(HE.health_score(led, by=["entity_id"]))
+    assert "REBALANCE" not in plan(HE.health_score(led))   # one ledger: a row per month and task leaves the scan
+    assert "REBALANCE" not in plan(HE.health_score(S.preaggregate(led, by=["entity_id"]), by=["entity_id"]))
+
+
 def test_budget_cases(spark, make_ledger):
     led = make_ledger([
         tx("2025-01-05", "Food", "Expense", "a", 300),
