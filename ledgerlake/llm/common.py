@@ -33,6 +33,11 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver look for shuffles that nothing refers to any more, whose files Spark's cleaner then deletes: else they stay until it happens to."""
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Working column names that clash with no column of ``df`` (compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -19,9 +19,14 @@ is a distance of r = sqrt(2 - 2 similar).
   reranked by the exact cosine in double precision.
 
 The search runs in blocks: bins of whole lists (a longer list is dealt over
-several bins), of about ``BLOCK`` items, meet blocks of about as many queries.
-Pairs never leave their block: it returns the number of links of each item and
-one root for each group that links connect.
+several bins), of ``BLOCK`` to 4 * ``BLOCK`` items, meet blocks of about twice
+as many queries. Pairs never leave their block: it returns the number of links
+of each item and one root for each group that links connect.
+
+An item goes to as many blocks as it has bins to probe, which is many times the
+input. So bins take turns: those of one turn are dealt about as many rows as
+there are items (``TURN`` at least), and what a turn has shuffled is deleted
+before the next one. Components of 32 bits are kept as such.
 """
 
 from __future__ import annotations
@@ -35,8 +40,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored, swept
 from .jaccard_join import components
+from .shingles import mixed
 
 SIMILAR = 0.95
 SAMPLE = 1 << 16  # items that the index is fitted on, at most (about)
@@ -45,36 +51,41 @@ WORDS = 256
 WIDTH = 8
 REACH = 4.0
 BLOCK = 8192
+TURN = 1 << 19  # rows that a turn may deal, however few items there are
+SLICE = 2048  # items that a task deals at once
 RARE = 1 << 12  # lists for vectors of lengths that the sample has none of
 EPS = 1e-4  # rounding of 32-bit sums
 
 
-def _whole(vector: pa.ListScalar | list | None) -> np.ndarray | None:
-    """A vector scaled by a power of two to components around one; null where it links with nothing."""
-    if vector is None or not len(vector) or any(x is None for x in vector):
-        return None
-    v = np.asarray(vector, np.float64) + 0.0  # one zero
-    most = np.abs(v).max()
-    if not np.isfinite(most) or most == 0:
-        return None
-    return v if 1e-100 < most < 1e100 else np.ldexp(v, -int(np.frexp(most)[1]))
-
-
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, dims, vector): a digest of each vector and its bytes; null for vectors without links."""
+    """(id, key, dims, vector): a digest of each vector and its bytes, scaled by a power of two where they are far from one; null for vectors without links."""
     for batch in batches:
-        vectors = [_whole(v) for v in batch.column("v").to_pylist()]
-        raw = [None if v is None else v.tobytes() for v in vectors]
-        keys = [None if b is None else hashlib.blake2b(b, digest_size=16).hexdigest() for b in raw]
+        column = batch.column("v")
+        flat, size = column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        kept = np.float32 if flat.type == pa.float32() else np.float64  # each holds its components exactly
+        plain = flat.cast(pa.float64()) if pa.types.is_floating(flat.type) or pa.types.is_integer(flat.type) else pa.array([None if x is None else float(x) for x in flat.to_pylist()], pa.float64())
+        values = plain.fill_null(np.nan).to_numpy(zero_copy_only=False) + 0.0  # one zero
+        narrow, at = values.astype(kept), np.cumsum(size) - size
+        most = np.zeros(len(size))
+        if len(values):
+            most[size > 0] = np.maximum.reduceat(np.abs(values), at[size > 0])
+        raw, keys = [None] * len(size), [None] * len(size)
+        for i in np.flatnonzero(np.isfinite(most) & (most > 0)).tolist():
+            part = slice(at[i], at[i] + size[i])
+            whole = values[part] if 1e-100 < most[i] < 1e100 else np.ldexp(values[part], -int(np.frexp(most[i])[1]))
+            raw[i] = (narrow[part] if kept == np.float32 else whole).tobytes()
+            keys[i] = hashlib.blake2b(whole.tobytes(), digest_size=16).hexdigest()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(keys, pa.string()), pa.array([None if v is None else len(v) for v in vectors], pa.int32()), pa.array(raw, pa.binary())],
+            [batch.column("id"), pa.array(keys, pa.string()), pa.array([None if k is None else n for k, n in zip(keys, size.tolist(), strict=True)], pa.int32()), pa.array(raw, pa.binary())],
             names=["id", "key", "dims", "vector"],
         )
 
 
 def rows_of(column: pa.Array, dims: int) -> np.ndarray:
-    """The vectors of a binary column, all of ``dims`` components."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
+    """The vectors of a binary column, all of ``dims`` components (of 32 bits each, or of 64), as doubles."""
+    raw = b"".join(column.to_pylist())
+    kept = np.float32 if len(raw) == 4 * dims * len(column) else np.float64
+    return np.frombuffer(raw, kept).reshape(-1, dims).astype(np.float64)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -94,7 +105,11 @@ def means(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of x to all rows of c."""
-    return np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", c, c)[None, :] - 2 * (x @ c.T)
+    out = x @ c.T
+    out *= -2
+    out += np.einsum("ij,ij->i", x, x)[:, None]
+    out += np.einsum("ij,ij->i", c, c)[None, :]
+    return out
 
 
 class Index:
@@ -121,11 +136,23 @@ class Index:
         for m, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
             q[:, p] += w[codes[:, m]]
         away = np.sqrt(((x - q) ** 2).sum(axis=1))
-        apart = np.sqrt(np.maximum(_squares(self.coarse[near], self.coarse), 0))
         reach = r * min(1.0, REACH / self.dims**0.5)
-        near_enough = d - d[np.arange(len(x)), near][:, None] <= 2 * reach * apart + EPS
+        far = _squares(self.coarse[near], self.coarse)
+        np.sqrt(np.maximum(far, 0, out=far), out=far)
+        far *= np.float32(2 * reach)
+        far += np.float32(EPS)
+        d -= d[np.arange(len(x)), near][:, None]
+        near_enough = d <= far
         near_enough[np.arange(len(x)), near] = True
-        return near, codes, (q * q).sum(axis=1), away, [np.flatnonzero(row) for row in near_enough]
+        probes = np.split(np.nonzero(near_enough)[1], np.cumsum(near_enough.sum(axis=1))[:-1])
+        return near, codes, (q * q).sum(axis=1), away, probes
+
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What c and the code words add up to, for items of these lists."""
+        q = self.coarse[lists - self.base].copy()
+        for m, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
+            q[:, p] += w[codes[:, m]]
+        return q
 
 
 def _coded(batches: Iterator[pa.RecordBatch], sent: Broadcast, r: float) -> Iterator[pa.RecordBatch]:
@@ -153,7 +180,7 @@ def _coded(batches: Iterator[pa.RecordBatch], sent: Broadcast, r: float) -> Iter
                 )
 
 
-def bins_of(sizes: dict[int, int], indexes: dict[int, Index]) -> dict[int, tuple[int, int]]:
+def bins_of(sizes: dict[int, int], indexes: dict[int, Index], block: int) -> dict[int, tuple[int, int]]:
     """(first bin, number of bins) of every list: lists of near centroids share a bin, long lists have several."""
     order = sorted(n for n in sizes if n < 0)
     for ix in indexes.values():
@@ -161,39 +188,128 @@ def bins_of(sizes: dict[int, int], indexes: dict[int, Index]) -> dict[int, tuple
         order += [ix.base + int(i) for i in np.argsort(_squares(ix.coarse, top).argmin(axis=1), kind="stable") if ix.base + int(i) in sizes]
     out, at, room = {}, -1, 0
     for n in order:
-        if sizes[n] > BLOCK:
-            many = -(-sizes[n] // BLOCK)
+        if sizes[n] > block:
+            many = -(-sizes[n] // block)
             out[n], at, room = (at + 1, many), at + many, 0
         else:
             if sizes[n] > room:
-                at, room = at + 1, BLOCK
+                at, room = at + 1, block
             out[n], room = (at, 1), room - sizes[n]
     return out
 
 
-def _placed(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(id, bin, bins): the bin that holds an item, and those that its probed lists lie in."""
-    bins = sent.value
+class Deal:
+    """Where items go: bins of every list, and blocks of queries and turn of every bin (arrays)."""
+
+    def __init__(self, bins: dict[int, tuple[int, int]]):
+        self.n_bins = max((sum(b) for b in bins.values()), default=0)
+        self.first, self.many = np.zeros((2, RARE + 1 + max(bins, default=0)), np.int64)
+        for n, (first, many) in bins.items():
+            self.first[n + RARE], self.many[n + RARE] = first, many
+        self.blocks, self.turns = np.ones((2, self.n_bins), np.int64)
+
+    def own(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The bin that each item lies in."""
+        n = batch.column("list").to_numpy() + RARE
+        return self.first[n] + batch.column("id").to_numpy() % self.many[n]
+
+    def probed(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+        """(row, bin, lists) of each bin that a row probes, with the probed lists that lie in it."""
+        probes = batch.column("probes")
+        lists = probes.flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), probes.value_lengths().to_numpy())
+        at = np.where(lists + RARE < len(self.many), lists + RARE, 0)
+        n = np.where(lists + RARE < len(self.many), self.many[at], 0)
+        to = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(row, n) << 32 | to
+        order = np.argsort(pair, kind="stable")
+        pair, lists = pair[order], np.repeat(lists, n)[order]
+        begin = np.flatnonzero(np.diff(pair, prepend=-1))
+        rows = pair[begin] >> 32
+        return rows, pair[begin] & 0xFFFFFFFF, pa.ListArray.from_arrays(pa.array(np.append(begin, len(pair)), pa.int32()), pa.array(lists, pa.int32()))
+
+    def settle(self, asked: np.ndarray, held: np.ndarray, block: int, rows: int) -> int:
+        """Set blocks and turns for bins that so many items ask for and lie in; how many turns of about ``rows`` rows."""
+        self.blocks = np.maximum(1, -(-asked // (2 * block)))
+        turn, room = 0, rows
+        for i, n in enumerate((asked + held * self.blocks).tolist()):
+            if n > room and room < rows:
+                turn, room = turn + 1, rows
+            self.turns[i], room = turn, room - n
+        return turn + 1
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, lists = batch.column("id").to_numpy(), batch.column("list").to_pylist()
-        own = [bins[n][0] + int(i) % bins[n][1] for i, n in zip(ids.tolist(), lists, strict=True)]
-        probed = [sorted({b for n in row if n in bins for b in range(bins[n][0], sum(bins[n]))}) for row in batch.column("probes").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.int32()), pa.array(probed, pa.list_(pa.int32()))], names=["id", "bin", "bins"])
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
+def _demand(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(bin, asked, held) of a task: how many items probe a bin, and how many lie in it."""
+    deal = sent.value
+    asked, held = np.zeros((2, deal.n_bins), np.int64)
+    for part in _slices(batches):
+        asked += np.bincount(deal.probed(part)[1], minlength=deal.n_bins)
+        held += np.bincount(deal.own(part), minlength=deal.n_bins)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(deal.n_bins), pa.int32()), pa.array(asked), pa.array(held)], names=["bin", "asked", "held"])
+
+
+def _parts(batch: pa.RecordBatch, at: np.ndarray, more: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The rows at ``at`` with more columns, some at a time; a column of the same name is replaced."""
+    for lo in range(0, len(at), 2 * SLICE):
+        part = batch.take(pa.array(at[lo : lo + 2 * SLICE]))
+        columns = {n: part.column(n) for n in part.schema.names} | {n: x.slice(lo, 2 * SLICE) for n, x in more.items()}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _members(batches: Iterator[pa.RecordBatch], sent: Broadcast, turn: int) -> Iterator[pa.RecordBatch]:
+    """The items of the bins of a turn, once for each block of queries."""
+    deal = sent.value
+    for part in _slices(batches):
+        own = deal.own(part)
+        use = np.flatnonzero(deal.turns[own] == turn)
+        n = deal.blocks[own[use]]
+        at, block = np.repeat(use, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield from _parts(part, at, {"bin": pa.array(own[at], pa.int32()), "block": pa.array(block, pa.int32())})
+
+
+def _queries(batches: Iterator[pa.RecordBatch], sent: Broadcast, turn: int) -> Iterator[pa.RecordBatch]:
+    """The items that probe bins of a turn, once for each bin, with the lists that they probe there."""
+    deal = sent.value
+    for part in _slices(batches):
+        at, to, lists = deal.probed(part)
+        use = np.flatnonzero(deal.turns[to] == turn)
+        at, to, lists = at[use], to[use], lists.take(pa.array(use))
+        block = mixed(part.column("id").to_numpy().astype(np.uint64))[at] % deal.blocks[to].astype(np.uint64)
+        yield from _parts(part, at, {"probes": lists, "bin": pa.array(to, pa.int32()), "block": pa.array(block.astype(np.int32))})
+
+
+def _candidates(q: np.ndarray, x: np.ndarray, of: dict[int, np.ndarray], need: np.ndarray, members: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, member) pairs that the codes do not rule out; q is what the members' codes stand for, ``of`` and ``members`` are by list.
+
+    A product with q is the sum of the lookups for the centroid and the code words, for many pairs at once.
+    """
+    for n, queries in of.items():
+        for lo in range(0, len(members[n]), 2048):
+            some = members[n][lo : lo + 2048]
+            right, least = q[some].T, need[some]
+            for at in range(0, len(queries), 1024):
+                a, b = np.nonzero(x[queries[at : at + 1024]] @ right >= least)
+                yield queries[at : at + 1024][a], some[b]
 
 
-def _candidates(ix: Index, x: np.ndarray, of: dict[int, np.ndarray], codes: np.ndarray, need: np.ndarray, members: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, member) pairs that the table lookups do not rule out; ``of`` and ``members`` are by list."""
-    tables = [x[:, p] @ w.T for p, w in zip(ix.parts, ix.words, strict=True)]
-    for n, queries in of.items():
-        mine = members[n]
-        base = x[queries] @ ix.coarse[n - ix.base]
-        for lo in range(0, len(mine), 2048):
-            some = mine[lo : lo + 2048]
-            total = np.repeat(base[:, None], len(some), axis=1)
-            for m, table in enumerate(tables):
-                total += table[queries][:, codes[some, m]]
-            a, b = np.nonzero(total >= need[some])
-            yield queries[a], some[b]
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Add the links (a, b) to ``root``, which leads every place to the least one that links connect it with."""
+    while True:
+        apart = root[a] != root[b]
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def _links(left: pa.Table, right: pa.Table, indexes: dict[int, Index], similar: float) -> pa.Table:
@@ -202,20 +318,32 @@ def _links(left: pa.Table, right: pa.Table, indexes: dict[int, Index], similar:
     ids, copies, lists = (left.column(n).to_numpy() for n in ("id", "copies", "list"))
     dims = left.column("dims").to_numpy()
     q_ids, q_copies, q_lists, q_dims = (right.column(f"q_{n}").to_numpy() for n in ("id", "copies", "list", "dims"))
-    vectors, q_vectors = left.column("vector").to_pylist(), right.column("q_vector").to_pylist()
     need = (1 + left.column("norm").to_numpy() - (r + left.column("away").to_numpy() + EPS) ** 2) / 2 - EPS
     probes, q_probes = left.column("probes").combine_chunks(), right.column("q_probes").combine_chunks()
     probed = np.repeat(np.arange(len(ids)), probes.value_lengths().to_numpy()).astype(np.int64) << 32 | (probes.flatten().to_numpy().astype(np.int64) + RARE)
     probed = np.sort(probed)
     wanted, wanter = q_probes.flatten().to_numpy(), np.repeat(np.arange(len(q_ids)), q_probes.value_lengths().to_numpy())
-    found_q, found_m = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    nodes, where = np.unique(np.concatenate([q_ids, ids]), return_inverse=True)
+    q_node, node = where[: len(q_ids)], where[len(q_ids) :]
+    links, root, linked = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), np.zeros(len(nodes), bool)
+
+    def add(q: np.ndarray, m: np.ndarray) -> None:
+        """Links are summed up as they are found: a group of near copies has the square of its size."""
+        if not len(q):
+            return
+        back = (m << 32) | (q_lists[q].astype(np.int64) + RARE)  # the member finds this query by itself
+        alone = probed[np.minimum(np.searchsorted(probed, back), len(probed) - 1)] != back
+        a, b = q_node[q], node[m]
+        np.add.at(links, a, copies[m])
+        np.add.at(links, b[alone], q_copies[q[alone]])
+        linked[a] = linked[b] = True
+        hook(root, a, b)
 
     for n in np.unique(dims):
         at, q_at = np.flatnonzero(dims == n), np.flatnonzero(q_dims == n)
         if not len(q_at):
             continue
-        v = np.frombuffer(b"".join([vectors[i] for i in at]), np.float64).reshape(-1, n)
-        w = np.frombuffer(b"".join([q_vectors[i] for i in q_at]), np.float64).reshape(-1, n)
+        v, w = rows_of(left.column("vector").take(pa.array(at)), int(n)), rows_of(right.column("q_vector").take(pa.array(q_at)), int(n))
         size, q_size = np.sqrt(np.einsum("ij,ij->i", v, v)), np.sqrt(np.einsum("ij,ij->i", w, w))
         place, q_place = np.zeros(len(ids), np.int64), np.full(len(q_ids), -1)
         place[at], q_place[q_at] = np.arange(len(at)), np.arange(len(q_at))
@@ -224,47 +352,25 @@ def _links(left: pa.Table, right: pa.Table, indexes: dict[int, Index], similar:
         members = {int(lists[g[0]]): place[g] for g in np.split(order, cut)}
         use = (q_place[wanter] >= 0) & np.isin(wanted, list(members))
         ask, who = wanted[use], q_place[wanter[use]]
+        by = np.argsort(ask, kind="stable")
+        ask, who = ask[by], who[by]
+        groups = np.split(who, np.flatnonzero(np.diff(ask)) + 1) if len(ask) else []
+        of = {int(k): g for k, g in zip(np.unique(ask), groups, strict=True)}
         if n in indexes:
             codes = np.frombuffer(b"".join(left.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
             x = (w / q_size[:, None]).astype(np.float32)
-        for lo in range(0, len(q_at), 1024):
-            here = (who >= lo) & (who < lo + 1024)
-            by = np.argsort(ask[here], kind="stable")
-            a, b = ask[here][by], who[here][by]
-            groups = np.split(b, np.flatnonzero(np.diff(a)) + 1) if len(a) else []
-            of = {int(k): g for k, g in zip(np.unique(a), groups, strict=True)}
-            if n in indexes:
-                pairs = _candidates(indexes[n], x[lo : lo + 1024], {k: g - lo for k, g in of.items()}, codes, need[at], members)
-                pairs = ((p + lo, m) for p, m in pairs)
-            else:
-                pairs = ((np.repeat(g, len(members[k])), np.tile(members[k], len(g))) for k, g in of.items())
-            for p, m in pairs:
-                for part in range(0, len(p), 1 << 16):
-                    i, j = p[part : part + (1 << 16)], m[part : part + (1 << 16)]
-                    cosine = np.einsum("ij,ij->i", w[i], v[j]) / (q_size[i] * size[j])
-                    good = (cosine >= similar) & (q_ids[q_at[i]] != ids[at[j]])
-                    found_q.append(q_at[i[good]])
-                    found_m.append(at[j[good]])
-
-    q, m = np.concatenate(found_q), np.concatenate(found_m)
-    back = (m << 32) | (q_lists[q].astype(np.int64) + RARE)  # the member finds this query by itself
-    alone = ~np.isin(back, probed) if len(q) else np.empty(0, bool)
-    nodes, where = np.unique(np.concatenate([q_ids[q], ids[m]]), return_inverse=True)
-    a, b = where[: len(q)], where[len(q) :]
-    links = np.zeros(len(nodes), np.int64)
-    np.add.at(links, a, copies[m])
-    np.add.at(links, b[alone], q_copies[q[alone]])
-    root = np.arange(len(nodes))
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return pa.table({"id": pa.array(nodes, pa.int64()), "links": pa.array(links), "root": pa.array(nodes[root], pa.int64())})
+            pairs = _candidates(indexes[n].decoded(lists[at], codes), x, of, need[at].astype(np.float32), members)
+        else:
+            pairs = ((np.repeat(g[lo : lo + 16], len(members[k])), np.tile(members[k], len(g[lo : lo + 16]))) for k, g in of.items() for lo in range(0, len(g), 16))
+        for p, m in pairs:
+            for part in range(0, len(p), 1 << 16):
+                i, j = p[part : part + (1 << 16)], m[part : part + (1 << 16)]
+                cosine = np.einsum("ij,ij->i", w[i], v[j]) / (q_size[i] * size[j])
+                good = (cosine >= similar) & (q_ids[q_at[i]] != ids[at[j]])
+                add(q_at[i[good]], at[j[good]])
+
+    at = np.flatnonzero(linked)
+    return pa.table({"id": pa.array(nodes[at], pa.int64()), "links": pa.array(links[at]), "root": pa.array(nodes[root[at]], pa.int64())})
 
 
 def linked_vectors(rows: DataFrame, similar: float = SIMILAR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -288,7 +394,10 @@ def linked_vectors(rows: DataFrame, similar: float = SIMILAR, id_col: str = "vec
         F.first("dims").alias("dims"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("id").alias("least")
     )
     items = stored(items.withColumn("id", F.monotonically_increasing_id()), "vector-items")
-    names = items.select("key", "id", "copies", "least")
+    vectors, keyed = keyed, stored(keyed.select("id", "key"), "vector-keys")
+    names = stored(items.select("key", "id", "copies", "least"), "vector-names")
+    dropped(spark, vectors)
+    swept(spark)
 
     total = items.count()
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(total, 1))))
@@ -306,23 +415,33 @@ def linked_vectors(rows: DataFrame, similar: float = SIMILAR, id_col: str = "vec
     cells = "list int, code binary, norm double, away double, probes array<int>"
     coded = items.select("id", "dims", "vector", "copies").mapInArrow(lambda b: _coded(b, sent, r), f"id long, dims int, vector binary, copies long, {cells}")
     coded = stored(coded, "vector-codes")
+    dropped(spark, items)
     sizes = {x["list"]: x["count"] for x in coded.groupBy("list").count().collect()}  # at most one row a list
-    sent_bins = sc.broadcast(bins_of(sizes, indexes))
-    places = coded.select("id", "list", "probes").mapInArrow(lambda b: _placed(b, sent_bins), "id long, bin int, bins array<int>")
-    places = stored(places, "vector-places")
-
-    asked = places.select("id", F.explode("bins").alias("bin"))
-    blocks = stored(asked.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "vector-blocks")
-    members = places.select("id", "bin").join(blocks, "bin").select("id", "bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    queries = asked.join(blocks, "bin").select("id", "bin", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(coded, "id").groupBy("bin", "block")
-    queries = queries.join(coded.select("id", "dims", "vector", "copies", "list", "probes"), "id")
-    queries = queries.toDF(*[f"q_{n}" for n in queries.columns]).groupBy("q_bin", "q_block")
+    block = min(max(BLOCK, total // 16), 4 * BLOCK)
+    deal = Deal(bins_of(sizes, indexes, block))
+    sent_bins = sc.broadcast(deal)
+    asked, held = np.zeros((2, deal.n_bins), np.int64)
+    demand = coded.select("id", "list", "probes").mapInArrow(lambda b: _demand(b, sent_bins), "bin int, asked long, held long")
+    for x in demand.groupBy("bin").agg(F.sum("asked").alias("asked"), F.sum("held").alias("held")).collect():  # at most one row a bin
+        asked[x["bin"]], held[x["bin"]] = x["asked"], x["held"]
+    turns = deal.settle(asked, held, block, max(TURN, total))
+    sent_deal = sc.broadcast(deal)
 
     def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
         return _links(left, right, sent.value, similar)
 
-    found = stored(members.cogroup(queries).applyInArrow(block_links, "id long, links long, root long"), "vector-links")
+    found, dealt = [], "bin int, block int"
+    asking = coded.select("id", "dims", "vector", "copies", "list", "probes")
+    fields = "id long, dims int, vector binary, copies long"
+    for turn in range(turns):
+        members = coded.mapInArrow(lambda b, t=turn: _members(b, sent_deal, t), f"{fields}, {cells}, {dealt}")
+        queries = asking.mapInArrow(lambda b, t=turn: _queries(b, sent_deal, t), f"{fields}, list int, probes array<int>, {dealt}")
+        queries = queries.toDF(*[f"q_{n}" for n in queries.columns]).groupBy("q_bin", "q_block")
+        both = members.groupBy("bin", "block").cogroup(queries)
+        found.append(stored(both.applyInArrow(block_links, "id long, links long, root long"), "vector-links"))
+        swept(spark)
+    dropped(spark, coded)
+    found = spark.read.schema(found[0].schema).parquet(*[x.stored_at for x in found])
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
     of = names.join(links, "id", "left").join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
