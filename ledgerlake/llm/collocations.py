@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, text_of
+from .common import dropped, stored, swept, text_of
 from .shingles import SECOND, mixed, raw_bytes, row_of, small, span_hashes, word_spans
 
 LONGEST = 5
@@ -164,47 +164,77 @@ def _scan(batches: Iterator[pa.RecordBatch], step: int, shards: int, longest: in
         yield from _summed(held)
 
 
+def written(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings that begin at these bytes; they may overlap."""
+    out = []
+    for lo in range(0, len(start), 1 << 16):  # places take eight bytes for each byte
+        n = size[lo : lo + (1 << 16)].astype(np.int64)
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) + np.repeat(start[lo : lo + (1 << 16)] - (ends - n), n)
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        out.append(pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data[place])))
+    return pa.chunked_array(out, pa.large_string()).combine_chunks()
+
+
+def grouped(h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where each distinct pair of hashes begins in it)."""
+    order = np.argsort(h)
+    x, y = h[order], second[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():  # hardly ever
+        order = np.lexsort((second, h))
+        x, y = h[order], second[order]
+    return order, np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+
+
 class Spelling:
-    """Phrases of a task: their counts by two hashes, and their words, written out once."""
+    """Phrases of a task with their counts, told apart by two hashes.
+
+    Each batch of texts adds its distinct phrases. When ``HELD`` are there, equal
+    ones are summed up, and are handed on if that leaves more than half.
+    """
 
     def __init__(self) -> None:
-        self.counts = np.empty((0, 4), np.uint64)  # hash, second hash, place among the words, count; sorted and distinct
-        self.words: list[tuple[str, int, str]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []  # hash, second hash, count, language, length, phrase
+        self.size = 0
+        self.langs: dict[str, int] = {}
         self.totals: dict[str, int] = {}
 
-    def add(self, h: np.ndarray, second: np.ndarray, spell) -> None:
-        order = np.lexsort((second, h))
-        h, second = h[order], second[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])]))
+    def add(self, h: np.ndarray, second: np.ndarray, lang: np.ndarray, k: int, spell) -> None:
+        order, first = grouped(h, second)
+        at = order[first]
         n = np.diff(np.append(first, len(h)))
-        unknown = np.full(len(first), np.iinfo(np.uint64).max)
-        more = np.column_stack([h[first], second[first], unknown, n.astype(np.uint64)])
-        rows = np.concatenate([self.counts, more])
-        by = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))  # a phrase that has a place comes before its repeat
-        rows = rows[by]
-        group = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-        total = np.add.reduceat(rows[:, 3], group)
-        new = np.flatnonzero(rows[group, 2] == unknown[0])
-        rows = rows[group]
-        rows[:, 3] = total
-        rows[new, 2] = np.arange(len(self.words), len(self.words) + len(new), dtype=np.uint64)
-        self.words += [spell(i) for i in order[first[by[group[new]] - len(self.counts)]].tolist()]
-        self.counts = rows
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "k", "phrase", "n"]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
-        if self.totals:
+        self.held.append((h[at], second[at], n, lang[at], np.full(len(at), k, np.int32), spell(at)))
+        self.size += len(at)
+
+    def sum_up(self) -> None:
+        h, second, n, lang, k = (np.concatenate([x[i] for x in self.held]) for i in range(5))
+        order, first = grouped(h, second)
+        at = order[first]
+        phrase = pa.chunked_array([x[5] for x in self.held]).take(pa.array(at)).combine_chunks()
+        self.held = [(h[at], second[at], np.add.reduceat(n[order], first), lang[at], k[at], phrase)]
+        self.size = len(at)
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """What is to be handed on now."""
+        if self.held and (last or self.size >= HELD):
+            self.sum_up()
+            if last or self.size > HELD // 2:
+                _, _, n, lang, k, phrase = self.held[0]
+                names = pa.array(list(self.langs), pa.string())
+                for lo in range(0, self.size, 1 << 14):
+                    part = slice(lo, lo + (1 << 14))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(lang[part])), pa.array(k[part]), phrase[part].cast(pa.string()), pa.array(n[part], pa.int64())], names=["lang", "k", "phrase", "n"])
+                self.held, self.size = [], 0
+        if last and self.totals:
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip((list(self.totals), [0] * len(self.totals), [""] * len(self.totals), list(self.totals.values())), kinds, strict=True)], names)
-        for lo in range(0, len(self.counts), 1 << 14):
-            part = self.counts[lo : lo + (1 << 14)]
-            lang, k, phrase = zip(*[self.words[i] for i in part[:, 2].tolist()], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((lang, k, phrase, part[:, 3].astype(np.int64)), kinds, strict=True)], names)
+                [pa.array(x, t) for x, t in zip((list(self.totals), [0] * len(self.totals), [""] * len(self.totals), list(self.totals.values())), kinds, strict=True)],
+                names=["lang", "k", "phrase", "n"])
 
 
 def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(lang, k, phrase, n) of the phrases in the slots, once for each task; k = 0 has the number of words of each language."""
+    """(lang, k, phrase, n) of the phrases in the slots, summed up in each task; k = 0 has the number of words of each language."""
     array = slots.value
     bits = int(len(array)).bit_length() - 1
     found = Spelling()
@@ -214,7 +244,12 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast)
         per_row = np.bincount(words.rows, minlength=batch.num_rows)
         for lang, n in zip(names, per_row.tolist(), strict=True):
             found.totals[lang] = found.totals.get(lang, 0) + n
-        lower = LOWER[words.data].tobytes()
+        langs = np.array([found.langs.setdefault(x, len(found.langs)) for x in names], np.int32)[words.rows]
+        size = words.last - words.first
+        start = np.cumsum(size + 1) - (size + 1)
+        line = np.full(int((size + 1).sum()), 0x20, np.uint8)  # all words, a blank after each
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        line[np.repeat(start, size) + within] = LOWER[words.data[np.repeat(words.first, size) + within]]
         for k, at, h, _ in growing(words.code, words.linked, array, bits, longest):
             kept = array[slot_of(h, bits)] > 0
             at, h = at[kept], h[kept]
@@ -224,12 +259,13 @@ def _spelled(batches: Iterator[pa.RecordBatch], longest: int, slots: Broadcast)
             for j in range(1, k):
                 second = second * _STEP + twin[at + j]
 
-            def spell(i: int, at=at, k=k) -> tuple[str, int, str]:
-                parts = [lower[words.first[j] : words.last[j]] for j in range(at[i], at[i] + k)]
-                return names[words.rows[at[i]]], k, b" ".join(parts).decode()
+            def spell(i: np.ndarray, at=at, k=k) -> pa.Array:
+                begin, end = at[i], at[i] + (k - 1)
+                return written(line, start[begin], start[end] + size[end] - start[begin])
 
-            found.add(h, second, spell)
-    yield from found.batches()
+            found.add(h, second, langs[at], k, spell)
+        yield from found.batches()
+    yield from found.batches(last=True)
 
 
 def _set_slots(reached: DataFrame, slots: np.ndarray, value: int) -> int:
@@ -278,6 +314,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
         if state is not None:
             dropped(spark, state)
         sent.unpersist()
+        swept(spark)
         state, step = new, step + 1
         if step >= 250:
             raise RuntimeError("too many shards for the steps that a slot can hold")

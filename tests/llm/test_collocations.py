@@ -110,3 +110,35 @@ def test_hashes_tell_languages_and_pieces_apart():
     assert len(set(words.code.tolist())) == 4
     assert words.linked.tolist() == [True, False, True, False, True]
     assert np.array_equal(words.rows, [0, 0, 0, 0, 1, 1])
+
+
+def test_phrases_are_handed_on_in_parts(spark, monkeypatch):
+    """A task that hands its phrases on again and again counts the same; languages and long texts included."""
+    monkeypatch.setattr(collocations, "HELD", 50)
+    rows = corpus(200, 17) + [("en", "x y " * 400), (None, None), ("de", "Ä ä x Y")]
+    assert run(spark, rows, parts=1, threshold=4, shards=2) == brute(rows, 4)
+
+
+def test_spelling_sorts_about_as_often_as_phrases_occur(monkeypatch):
+    """Not all phrases of the task again for every batch of texts."""
+    import pyarrow as pa
+
+    class Slots:
+        value = np.ones(1 << 16, np.uint8)
+
+    r, n = random.Random(3), [0]
+    argsort, lexsort = np.argsort, np.lexsort
+
+    def counted(x, *args, **named):
+        n[0] += len(x[0]) if isinstance(x, tuple) else len(x)
+        return (lexsort if isinstance(x, tuple) else argsort)(x, *args, **named)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    monkeypatch.setattr(np, "lexsort", counted)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(1500)) for _ in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [t]}) for t in texts]
+    found = pa.Table.from_batches(list(collocations._spelled(iter(batches), 5, Slots))).to_pylist()
+    places = sum(1500 - k + 1 for k in range(1, 6)) * 40
+    assert sum(x["n"] for x in found if x["k"] > 0) == places
+    assert [x["n"] for x in found if x["k"] == 0] == [60_000]
+    assert n[0] <= 4 * places
